@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dayweave.llm import byte_bpe, chat, simhash, url_filter, warc, winnowing
+from dayweave.llm import byte_bpe, chat, quality, simhash, substrings, url_filter, warc, winnowing
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op2_chat_format": chat.query,
     "op3_winnowing": winnowing.query,
     "op4_simhash": simhash.query,
+    "op5_quality": quality.query,
+    "op7_substrings": substrings.query,
     "op9_warc": warc.query,
     "op10_url_filter": url_filter.query,
 }
-ORACLES = {"op2_chat_format": chat.ORACLE, "op9_warc": warc.ORACLE}
+ORACLES = {"op2_chat_format": chat.ORACLE, "op5_quality": quality.ORACLE, "op7_substrings": substrings.ORACLE, "op9_warc": warc.ORACLE}

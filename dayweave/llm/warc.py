@@ -164,8 +164,8 @@ ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      f AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, upper(sha1(html)) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, payload_bytes,
-  list_aggregate(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    1 + list_sum(list_transform(range(5), b -> ((instr('0123456789ABCDEF', substr(hex, 1 + (5 * k + b)::INT // 4, 1)) - 1) >> (3 - (5 * k + b)::INT % 4) & 1) << (4 - b)::INT))::INT, 1)), 'string_agg', '') AS payload_digest,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda b: ((instr('0123456789ABCDEF', substr(hex, 1 + (5 * k + b)::INT // 4, 1)) - 1) >> (3 - (5 * k + b)::INT % 4) & 1) << (4 - b)::INT))::INT, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
