@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayweave.llm import byte_bpe, chat, quality, simhash, substrings, url_filter, warc, winnowing
+from dayweave.llm import byte_bpe, chat, lines, quality, simhash, substrings, url_filter, warc, winnowing
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -10,8 +10,9 @@ QUERIES = {
     "op3_winnowing": winnowing.query,
     "op4_simhash": simhash.query,
     "op5_quality": quality.query,
+    "op6_line_chunks": lines.query,
     "op7_substrings": substrings.query,
     "op9_warc": warc.query,
     "op10_url_filter": url_filter.query,
 }
-ORACLES = {"op2_chat_format": chat.ORACLE, "op5_quality": quality.ORACLE, "op7_substrings": substrings.ORACLE, "op9_warc": warc.ORACLE}
+ORACLES = {"op2_chat_format": chat.ORACLE, "op5_quality": quality.ORACLE, "op6_line_chunks": lines.ORACLE, "op7_substrings": substrings.ORACLE, "op9_warc": warc.ORACLE}
