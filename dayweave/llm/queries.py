@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayweave.llm import byte_bpe, chat, lines, quality, simhash, substrings, url_filter, warc, winnowing
+from dayweave.llm import byte_bpe, chat, lines, quality, simhash, substrings, toxicity, url_filter, warc, winnowing
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_line_chunks": lines.query,
     "op7_substrings": substrings.query,
+    "op8_toxicity": toxicity.query,
     "op9_warc": warc.query,
     "op10_url_filter": url_filter.query,
 }
