@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayweave.plans import behaviour, behaviour_sql
+from dayweave.plans import behaviour, behaviour_sql, claims
 
-QUERIES = {**behaviour.QUERIES}
-ORACLES = {**behaviour_sql.ORACLES}
+QUERIES = behaviour.QUERIES | claims.QUERIES
+ORACLES = behaviour_sql.ORACLES | claims.ORACLES
