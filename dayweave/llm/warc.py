@@ -148,7 +148,8 @@ def read(index: DataFrame, with_payload: bool = True, verify: bool = True) -> Da
         if kept:
             yield flush()
 
-    dealt = runs.repartition("file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    held = runs.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # the index is small but its reads aren't: a fixed count keeps them apart
+    dealt = runs.repartition(max(1, -(-held // RUN_BYTES)), "file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     out = dealt.mapInArrow(get, "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
     return out if with_payload else out.drop("payload")
 
