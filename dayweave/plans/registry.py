@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayweave.plans import behaviour, behaviour_sql, claims
+from dayweave.plans import behaviour, behaviour_sql, claims, evaluation
 
-QUERIES = behaviour.QUERIES | claims.QUERIES
-ORACLES = behaviour_sql.ORACLES | claims.ORACLES
+QUERIES = behaviour.QUERIES | claims.QUERIES | evaluation.QUERIES
+ORACLES = behaviour_sql.ORACLES | claims.ORACLES | evaluation.ORACLES
