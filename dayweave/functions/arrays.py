@@ -8,10 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body names it: an expression inside a lambda is otherwise evaluated anew
+    for every element, and nesting multiplies that."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def median(xs: Column) -> Column:
     """The exact median of an array without nulls, the mean of the middle two for an even size; null if empty."""
-    s, n = F.array_sort(xs), F.size(xs)
-    return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
+    return let(F.array_sort(xs), lambda s: F.when(F.size(s) > 0, (F.get(s, ((F.size(s) - 1) / 2).cast("int")) + F.get(s, (F.size(s) / 2).cast("int"))) / 2))
 
 
 def mad(xs: Column, centre: Column) -> Column:
@@ -33,14 +38,12 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column, least: float = 1e-12) -> Column:
     """Divided by the norm, or by `least` if the norm is smaller."""
-    n = F.greatest(norm(a), F.lit(least))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(least)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def normalised_or_same(a: Column, least: float = 1e-9) -> Column:
     """Divided by the norm; unchanged if that is below `least`."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n < least, x.cast("double")).otherwise(x.cast("double") / n))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n < least, x.cast("double")).otherwise(x.cast("double") / n))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -50,22 +53,18 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def logsumexp(z: Column) -> Column:
-    top = F.array_max(z)
-    return top + F.log(total(F.transform(z, lambda x: F.exp(x - top))))
+    return let(z, lambda v: let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def log_softmax(z: Column) -> Column:
-    low = logsumexp(z)
-    return F.transform(z, lambda x: x - low)
+    return let(z, lambda v: let(logsumexp(v), lambda low: F.transform(v, lambda x: x - low)))
 
 
 def softmax(z: Column, temperature: float = 1.0) -> Column:
     """Max-shifted, at a temperature."""
-    t = F.transform(z, lambda x: x.cast("double") / temperature)
-    top = F.array_max(t)
-    e = F.transform(t, lambda x: F.exp(x - top))
-    n = total(e)
-    return F.transform(e, lambda x: x / n)
+    scaled = F.transform(z, lambda x: x.cast("double") / temperature)
+    shifted = let(scaled, lambda t: let(F.array_max(t), lambda top: F.transform(t, lambda x: F.exp(x - top))))
+    return let(shifted, lambda e: let(total(e), lambda n: F.transform(e, lambda x: x / n)))
 
 
 def adjusted(z: Column, log_prior: Column, tau) -> Column:
@@ -85,10 +84,9 @@ def log_of_mean_probabilities(streams: list[Column], floor: float = 1e-12) -> Co
 
 def argmax(z: Column) -> Column:
     """First position of the greatest element."""
-    return (F.array_position(z, F.array_max(z)) - 1).cast("int")
+    return let(z, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def margin(p: Column) -> Column:
     """Difference of the two greatest log-probabilities."""
-    s = F.sort_array(p, asc=False)
-    return F.log(F.greatest(F.get(s, 0), F.lit(1e-12))) - F.log(F.greatest(F.get(s, 1), F.lit(1e-12)))
+    return let(F.sort_array(p, asc=False), lambda s: F.log(F.greatest(F.get(s, 0), F.lit(1e-12))) - F.log(F.greatest(F.get(s, 1), F.lit(1e-12))))

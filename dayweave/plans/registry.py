@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayweave.plans import behaviour, behaviour_sql, claims, evaluation
+from dayweave.plans import behaviour, behaviour_sql, claims, evaluation, observations
 
-QUERIES = behaviour.QUERIES | claims.QUERIES | evaluation.QUERIES
-ORACLES = behaviour_sql.ORACLES | claims.ORACLES | evaluation.ORACLES
+QUERIES = behaviour.QUERIES | claims.QUERIES | evaluation.QUERIES | observations.QUERIES
+ORACLES = behaviour_sql.ORACLES | claims.ORACLES | evaluation.ORACLES | observations.ORACLES
