@@ -21,8 +21,11 @@ WINDOW, STRIDE = 32, 24
 WORD_DIM = CHAR_DIM = 8
 HIDDEN, ATTENTION = 8, 8
 CHAR_BUCKETS = 1 << 14
-#: Labelled documents of each class that training may gather at most, chosen by a hash of the id, and the bytes it may use of them.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 800, 16 << 20
+#: Toxic labelled documents that training may gather at most, chosen by a hash of the id; clean ones for each of them, and the bytes of all.
+SAMPLE_TOXIC, CLEAN_SHARE, SAMPLE_BYTES = 800, 4, 20 << 20
+#: Of the clean ones so many for each toxic one are trained on, if there are as many LEAST_CLEAN; the others calibrate, and CHOOSE of those kept
+#: choose between epochs.
+TRAIN_CLEAN, LEAST_CLEAN, CHOOSE = 1.5, 400, 400
 #: Windows of one document that training looks at.
 TRAIN_WINDOWS = 96
 EPOCHS, RATE, SEED = 6, 0.01, 7
@@ -209,7 +212,8 @@ class Network:
 
 
 def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) -> Network:
-    """A network for labelled texts, the same for the same input. A fifth of them is kept for early choice and calibration.
+    """A network for labelled texts, the same for the same input. A fifth of the toxic ones and the rest of the clean ones are kept to choose
+    between epochs and to calibrate.
 
     share: of toxic ones among all labelled documents, where the sample is more even than they are; scores are calibrated to it.
 
@@ -221,25 +225,38 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) ->
         net = Network(np.zeros(0, U64), rng)
         net.slope, net.shift = 0.0, float(np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5)))
         return net
+    n_toxic = int(toxic.sum())
+    chance = np.where(toxic > 0, 0.8, min(0.8, 0.8 * max(LEAST_CLEAN, TRAIN_CLEAN * n_toxic) / (len(toxic) - n_toxic)))
+    fit = rng.random(len(texts)) < chance
+    held = ~fit
+    if toxic[fit].min(initial=1) == toxic[fit].max(initial=0):
+        fit[:] = True
+    if not held.any() or toxic[held].min() == toxic[held].max():
+        held = fit.copy()
+    check, answers = [t for t, h in zip(texts, held, strict=True) if h], toxic[held]
+    texts, toxic = [t for t, f in zip(texts, fit, strict=True) if f], toxic[fit]
+    few = np.sort(np.concatenate([np.flatnonzero(answers > 0)[: CHOOSE // 2], np.flatnonzero(answers == 0)[: CHOOSE // 2]]))
     words = Words(texts)
     own = np.repeat(np.arange(len(texts)), words.n_words)
-    fit = rng.random(len(texts)) >= 0.2
-    if toxic[fit].min() == toxic[fit].max():
-        fit[:] = True
-    held = ~fit if not fit.all() else fit
     # how many clean and toxic documents have each distinct word or n-gram
     pair = np.unique(own.astype(np.int64) * len(words.hash) + words.at)
-    pair_doc, pair_word = pair // len(words.hash), pair % len(words.hash)
-    used = fit[pair_doc]
-    odds = _log_odds(pair_word[used], pair_doc[used], toxic, fit, len(words.hash))
-    frequent = np.flatnonzero(np.bincount(pair_word[used], minlength=len(words.hash)) >= 3)
+    n = len(words.hash)
+    pair_doc, pair_word = pair // n, pair % n
+    docs_with = np.bincount(pair_word, minlength=n)
+    odds = _log_odds(np.bincount(pair_word, weights=toxic[pair_doc], minlength=n), docs_with, toxic)
+    frequent = np.flatnonzero(docs_with >= 3)
     net = Network(words.hash[frequent], rng)
     net.p["word"][1:, 0] += 0.3 * odds[frequent]
     by_word = np.cumsum(words.gram_count) - words.gram_count
-    counts = words.gram_count[pair_word[used]]
-    gram_at = np.repeat(by_word[pair_word[used]], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    gram_pair = np.unique(np.repeat(pair_doc[used], counts) * CHAR_BUCKETS + words.grams[gram_at])
-    net.p["char"][:, 0] += 0.3 * _log_odds(gram_pair % CHAR_BUCKETS, gram_pair // CHAR_BUCKETS, toxic, fit, CHAR_BUCKETS)
+    bad, seen = np.zeros(CHAR_BUCKETS), np.zeros(CHAR_BUCKETS)
+    for at in range(0, len(texts), 64):  # a few documents at a time: their n-grams are many
+        mine = slice(*np.searchsorted(pair_doc, [at, at + 64]))
+        counts = words.gram_count[pair_word[mine]]
+        gram_at = np.repeat(by_word[pair_word[mine]], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        of = np.unique(np.repeat(pair_doc[mine], counts) * CHAR_BUCKETS + words.grams[gram_at])
+        seen += np.bincount(of % CHAR_BUCKETS, minlength=CHAR_BUCKETS)
+        bad += np.bincount(of % CHAR_BUCKETS, weights=toxic[of // CHAR_BUCKETS], minlength=CHAR_BUCKETS)
+    net.p["char"][:, 0] += 0.3 * _log_odds(bad, seen, toxic)
 
     doc, first, size = words.windows()
     if len(doc) > TRAIN_WINDOWS * 10:
@@ -248,8 +265,8 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) ->
         order = pick[np.argsort(doc[pick], kind="stable")]
         begin = np.flatnonzero(np.diff(doc[order], prepend=-1))
         rank[order] = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
-        few = np.flatnonzero(rank < TRAIN_WINDOWS)
-        doc, first, size = doc[few], first[few], size[few]
+        some = np.flatnonzero(rank < TRAIN_WINDOWS)
+        doc, first, size = doc[some], first[some], size[some]
     row = net.rows(words)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, best, best_loss = 0, None, np.inf
@@ -261,7 +278,7 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) ->
         begin = np.flatnonzero(np.diff(doc[order], prepend=-1))
         rank = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
         y = toxic[doc[order]] > 0
-        use = order[fit[doc[order]] & np.where(y, rank < 2, (rank < 3) | (rng.random(len(doc)) < 0.1))]
+        use = order[np.where(y, rank < 2, (rank < 3) | (rng.random(len(doc)) < 0.1))]
         rng.shuffle(use)
         features = net.features(words)
         for k in range(0, len(use), 128):
@@ -269,18 +286,17 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) ->
             step += 1
             g = net.gradients(words, features, first[part], size[part], toxic[doc[part]])
             features = _step(net, words, row, g, moments, step, features)
-        slope, shift, loss = _calibrate(net.worst([t for t, f in zip(texts, held, strict=True) if f]), toxic[held], share)
+        _, _, loss = _calibrate(net.worst([check[i] for i in few]), answers[few], share)
         if loss < best_loss:
-            best, best_loss = ({k: v.copy() for k, v in net.p.items()}, slope, shift), loss
-    net.p, net.slope, net.shift = best
+            best, best_loss = {k: v.copy() for k, v in net.p.items()}, loss
+    net.p = best
+    net.slope, net.shift, _ = _calibrate(np.concatenate([net.worst(b) for b in _blocks(check)]), answers, share)
     return net
 
 
-def _log_odds(item: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fit: np.ndarray, n: int) -> np.ndarray:
-    """Log-odds of the toxic class for each item's documents, shrunk where there are few."""
-    bad = np.bincount(item, weights=toxic[doc], minlength=n)
-    all_ = np.bincount(item, minlength=n)
-    n_bad, n_all = toxic[fit].sum(), fit.sum()
+def _log_odds(bad: np.ndarray, all_: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Log-odds of the toxic class by the numbers of toxic and of all documents an item is in, shrunk where there are few."""
+    n_bad, n_all = toxic.sum(), len(toxic)
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((all_ - bad + 0.5) / (n_all - n_bad + 1))
     return (odds * all_ / (all_ + 4)).astype(np.float32)
 
@@ -338,8 +354,8 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(FOLDS))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """A network trained on at most per_class labelled documents of each class outside fold 0.
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC) -> Network:
+    """A network trained on at most most_toxic toxic and CLEAN_SHARE times as many clean labelled documents outside fold 0.
 
     The sample is chosen by a hash of the id, among labels that are 0 or 1; texts are gathered up to SAMPLE_BYTES, longer ones last.
     """
@@ -348,10 +364,10 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r.y: r["count"] for r in known.filter("y in (0, 1)").groupBy("y").count().collect()}
     share = min(0.95, max(0.001, n.get(1, 0) / max(1, sum(n.values()))))
     order = F.xxhash64("id", F.lit(SEED))
-    sample = known.filter("y = 0").orderBy(order).limit(per_class).unionByName(known.filter("y = 1").orderBy(order).limit(per_class))
-    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES // 64).join(F.broadcast(sample), "id")  # at most 2 per_class rows
+    sample = known.filter("y = 0").orderBy(order).limit(CLEAN_SHARE * most_toxic).unionByName(known.filter("y = 1").orderBy(order).limit(most_toxic))
+    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES // 64).join(F.broadcast(sample), "id")  # at most (1 + CLEAN_SHARE) * most_toxic rows
     found, held = [], 0
-    for r in sorted(rows.orderBy(F.xxhash64("id", "text")).limit(2 * per_class).toLocalIterator(), key=lambda r: (len(r.text), r.id, bytes(r.text))):
+    for r in sorted(rows.orderBy(F.xxhash64("id", "text")).limit((1 + CLEAN_SHARE) * most_toxic).toLocalIterator(), key=lambda r: (len(r.text), r.id, bytes(r.text))):
         held += len(r.text)
         if held > SAMPLE_BYTES:
             break
