@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dayweave.plans import annotation, behaviour, behaviour_sql, claims, evaluation, observations
+from dayweave.plans import annotation, behaviour, behaviour_sql, claims, evaluation, observations, streams
 
-QUERIES = behaviour.QUERIES | claims.QUERIES | evaluation.QUERIES | observations.QUERIES | annotation.QUERIES
-ORACLES = behaviour_sql.ORACLES | claims.ORACLES | evaluation.ORACLES | observations.ORACLES | annotation.ORACLES
+QUERIES = behaviour.QUERIES | claims.QUERIES | evaluation.QUERIES | observations.QUERIES | annotation.QUERIES | streams.QUERIES
+ORACLES = behaviour_sql.ORACLES | claims.ORACLES | evaluation.ORACLES | observations.ORACLES | annotation.ORACLES | streams.ORACLES
