@@ -20,8 +20,8 @@ def spans_from_json(spark: SparkSession, path: str, n_classes: int) -> DataFrame
 def spans_from_csv(spark: SparkSession, path: str, classes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Lines of class, start, end (by comma, semicolon or tab; with or without a header) to file, line, name, class, start, end,
     reject_reason. classes: name, class; aliases: alias, name. Both are small vocabularies."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.replace("value", F.lit("﻿"), F.lit("")), r"\r?\n")).alias("line", "text"))
-    part = F.transform(F.filter(F.split("text", "[,;\t]"), lambda x: F.trim(x) != ""), F.trim)
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.replace("value", F.lit("\ufeff"), F.lit("")), r"\r?\n")).alias("line", "text"))
+    part = F.transform(F.filter(F.split("text", "[,;\t]"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
     rows = raw.withColumn("parts", part).filter(F.size("parts") > 0)
     first = F.row_number().over(Window.partitionBy("file").orderBy("line")) == 1
     is_header = F.exists("parts", lambda x: F.lower(x).isin(*HEADER)) & ~F.coalesce(F.get("parts", 1), F.lit("")).rlike(r"^-?\d+$")
