@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm.common import shared_dir, table
+from dayweave.llm.common import shared_dir, staged, table
 
 INDEX = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, file string, offset long, length long"
 _INDEX = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (f.split() for f in INDEX.split(", "))])
@@ -80,7 +80,9 @@ def write(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     key = F.col(f"`{id_col}`")
     rows = df.select(key.alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
+    # A written table here leaves Spark free to split the rows of a frequent payload, which an aggregation would keep together.
     first = rows.filter((F.octet_length("payload") >= least_bytes) & F.col("id").isNotNull()).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
+    first = staged(first, "warc-first")
     joined = rows.join(first, "sha", "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.when(F.col("id") > F.col("first"), F.col("first")).cast("string").alias("refers_to"))
 
     def put(batches):
