@@ -148,6 +148,13 @@ def summary(verified: DataFrame, *by: str) -> DataFrame:
     return s.withColumn("unfaithful_rate", F.when(F.col("n_claims") > 0, bad / F.col("n_claims")).otherwise(0.0)).withColumn("rate_low", low).withColumn("rate_high", high)
 
 
+def report_lines(verified: DataFrame, *by: str) -> DataFrame:
+    """What a caregiver sees per group: the faithful claims in order, one a line, the number withheld, and whether all were withheld."""
+    shown = F.array_sort(F.collect_list(F.when(F.col("faithful"), F.struct("claim_id", "text"))))
+    g = verified.groupBy(*by).agg(shown.alias("_s"), F.count_if(~F.col("faithful")).alias("n_withheld"))
+    return g.select(*by, F.array_join(F.transform("_s", lambda x: x["text"]), "\n").alias("summary"), "n_withheld", (F.size("_s") == 0).alias("nothing_shown"))
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of a share; NaN without observations."""
     p, spread = k / n, 1 + z * z / n

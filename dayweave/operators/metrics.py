@@ -173,6 +173,12 @@ def fall_operating_point(rows: DataFrame, score: str, target: str, window_s: flo
     return best.groupBy().agg(F.max_by("v", "k").alias("v")).select("v.*")
 
 
-def rank_in_hash_order(key: Column, by: list[str]) -> Column:
-    """A reproducible random order: row number by the hash of key."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(key)))
+def weighted_sample(rows: DataFrame, weight: str, n: int, key: Column) -> DataFrame:
+    """About n rows with replacement, each as often as its share of the weights: the whole part for certain, the rest by the hash of key."""
+    from dayweave.functions.text import uniform
+
+    total = rows.agg(F.sum(weight).alias("_total"))
+    share = F.col(weight) * n / F.col("_total")
+    times = (F.floor(share) + F.when(uniform(key) < share - F.floor(share), 1).otherwise(0)).cast("int")
+    r = rows.crossJoin(F.broadcast(total)).withColumn("_times", times).drop("_total")  # one row
+    return r.filter("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")

@@ -66,6 +66,13 @@ def q_weights(s, d):
     return _r(M.effective_weights(val_logits(s, d), K))
 
 
+def q_weighted_sample(s, d):
+    """Windows drawn with replacement so that classes count alike."""
+    w = M.effective_weights(val_logits(s, d), K).select(F.col("class").cast("int").alias("y"), F.round("sampler_weight", 9).alias("w"))
+    rows = val_logits(s, d).select("window_id", "y").join(F.broadcast(w), "y")  # K rows
+    return M.weighted_sample(rows, "w", 400, F.concat(F.lit("draw|"), F.col("window_id").cast("string"))).groupBy("window_id", "y").agg(F.count("*").alias("n_copies"))
+
+
 def q_prior(s, d):
     return _r(M.class_counts(val_logits(s, d), K))
 
@@ -152,7 +159,7 @@ def q_subject_split(s, d):
 
 
 QUERIES = {
-    "classification_scores": q_scores, "per_class": q_per_class, "stream_subsets": q_subsets, "tau_sweep": q_taus, "class_weights": q_weights, "class_prior": q_prior, "transition_matrix": q_transitions,
+    "classification_scores": q_scores, "per_class": q_per_class, "stream_subsets": q_subsets, "tau_sweep": q_taus, "class_weights": q_weights, "class_prior": q_prior, "weighted_sample": q_weighted_sample, "transition_matrix": q_transitions,
     "fragmentation": q_fragmentation, "temperature": q_temperature, "auroc": q_auroc, "auroc_by_dataset": q_auroc_by_dataset, "auprc": q_auprc, "fall_operating_point": q_fall_point,
     "open_set_split": q_split, "split_leaks": q_leaks, "split_summary": q_split_summary, "nearest_two": q_distances, "threshold_sweep": q_sweep, "fit_threshold": q_threshold, "equal_error": q_eer,
     "identity_profile": q_identity_profile, "identity_auroc": q_identity_auroc, "identity_operating_point": q_operating_point, "subject_split": q_subject_split,
@@ -232,6 +239,10 @@ ORACLES = {
     "stream_subsets": f"WITH {_VAL}, soft AS (SELECT *, {', '.join(f'{_SOFT(s)} AS p_{s}' for s in STREAMS)} FROM val), o AS (SELECT *, {_ARG.format('z')} AS pred FROM ({' UNION ALL '.join(_OPTIONS)})), {_scores('o', 'streams, mode')} SELECT * FROM sc",
     "tau_sweep": f"WITH {_PRED}, {_PRIOR}, lp AS (SELECT list(ln(prior) ORDER BY c) AS l FROM prior), o AS (SELECT y, tau, temperature, {_ARG.format('z')} AS pred FROM (SELECT y, tau, temperature, list_transform(range(1, 11), lambda i: fused[i] / temperature - tau * l[i]) AS z FROM p, lp, (SELECT unnest({TAUS}::DOUBLE[]) AS tau), (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS temperature))), {_scores('o', 'tau, temperature')} SELECT * FROM sc",
     "class_weights": f"WITH {_VAL}, {_PRIOR}, w AS (SELECT c, seen, (1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, n)) AS raw FROM prior) SELECT c AS class, seen AS n, round(raw / avg(raw) OVER (), 6) AS weight, round(CASE WHEN seen > 0 THEN raw / sum(CASE WHEN seen > 0 THEN raw END) OVER () * sum((seen > 0)::INT) OVER () ELSE 0 END, 6) AS sampler_weight FROM w",
+    "weighted_sample": f"""WITH {_VAL}, {_PRIOR}, e AS (SELECT c, seen, (1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, n)) AS raw FROM prior),
+w AS (SELECT c, round(raw / sum(CASE WHEN seen > 0 THEN raw END) OVER () * sum((seen > 0)::INT) OVER (), 9) AS w FROM e), s AS (SELECT window_id, y, w * 400 / sum(w) OVER () AS share FROM val JOIN w ON y = c),
+t AS (SELECT window_id, y, (floor(share) + (('0x' || substr(md5('draw|' || window_id), 1, 8))::BIGINT / 4294967296.0 < share - floor(share))::INT)::BIGINT AS n_copies FROM s)
+SELECT * FROM t WHERE n_copies > 0""",
     "class_prior": f"WITH {_VAL}, {_PRIOR} SELECT c AS class, n, round(prior, 6) AS prior FROM prior",
     "transition_matrix": f'WITH {_VAL}, b AS (SELECT y AS f, lead(y) OVER (PARTITION BY subject ORDER BY window_id) AS t FROM val), n AS (SELECT f, t, count(*) AS n FROM b WHERE t IS NOT NULL GROUP BY ALL), g AS (SELECT a.c AS f, b.c AS t, coalesce(n, 0) + 1.0 AS k FROM range(10) a(c) CROSS JOIN range(10) b(c) LEFT JOIN n ON f = a.c AND t = b.c) SELECT f AS "from", t AS "to", round(k / sum(k) OVER (PARTITION BY f), 6) AS probability FROM g',
     "fragmentation": f"WITH {_PRED}, r AS (SELECT subject, coalesce(lag(pred) OVER w <> pred, true)::INT AS p, coalesce(lag(y) OVER w <> y, true)::INT AS t FROM p WINDOW w AS (PARTITION BY subject ORDER BY window_id)) SELECT sum(p)::BIGINT AS segments_pred, sum(t)::BIGINT AS segments_true, count(DISTINCT subject) AS n_sequences, round(sum(p) / count(DISTINCT subject), 6) AS per_sequence, round(sum(p) / sum(t), 6) AS ratio FROM r",

@@ -289,3 +289,16 @@ def test_readers_keep_what_they_reject(spark, tmp_path):
 def test_upsert_keeps_the_last(spark):
     a, b = spark.createDataFrame([(1, "x", 1), (2, "y", 1)], "k long, v string, s int"), spark.createDataFrame([(2, "z", 2), (3, "w", 2)], "k long, v string, s int")
     assert sorted((r.k, r.v) for r in sinks.upsert(a, b, ["k"], "s").collect()) == [(1, "x"), (2, "z"), (3, "w")]
+
+
+def test_shards_and_augmentation(spark, tmp_path):
+    from dayweave.sources import shards
+
+    x = np.arange(3 * 2 * 17 * 3, dtype=np.float32).reshape(3, 2, 17, 3)
+    np.savez(tmp_path / "a.npz", skeletons=x, labels=np.array([0, 7, 2]), subjects=np.array(["p1", "p1", "p2"]))
+    got = {r.row: r for r in shards.shards_from_npz(spark, str(tmp_path / "*.npz"), 5).collect()}
+    assert [got[i].reject_reason for i in range(3)] == [None, "label out of range", None] and got[2].subject == "p2" and got[2].shape == [2, 17, 3]
+    assert np.allclose(got[1].skeleton, x[1].ravel())
+    df = spark.createDataFrame([(1, x[1].ravel().tolist()), (1, x[1].ravel().tolist()), (2, x[1].ravel().tolist())], "k long, s array<float>")
+    a, b, c = (r.v for r in df.select("k", shards.augmented(F.col("s"), F.col("k")).alias("v")).orderBy("k").collect())
+    assert a == b != c and len(a) == x[1].size
