@@ -56,15 +56,16 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     many = _cut(keyed, F.col("_text"), mean_lines).select("_id", "_row", F.filter(_chunks(), lambda c: (c["n_lines"] > 1) & (F.btrim(c["chunk"], F.lit(" \t\n\x0b\x0c\r")) != "")).alias("_chunks"))
     # An outer explode: for an inner one Spark infers a filter on the array, pushes it to the scan and so cuts the text anew for every line.
     chunks = many.select("_id", "_row", F.explode_outer("_chunks").alias("c")).filter("c is not null").select("_id", "_row", "c.k", "c.chunk", F.xxhash64("c.chunk").alias("h"))
-    # Written tables on the other side of a join leave Spark free to split a frequent chunk's rows; an aggregation there would not.
+    # Written tables on the other side of a join leave Spark free to split a frequent chunk's rows; an aggregation there would not. The hints
+    # keep one plan at every size.
     often = staged(chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "line-often")
-    met = staged(chunks.join(often, "h", "left_semi"), "line-chunks")
+    met = staged(chunks.join(often.hint("merge"), "h", "left_semi"), "line-chunks")
     first = staged(met.groupBy("h", "chunk").agg(F.min(F.struct("_id", "_row", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "chunk", "first.*").toDF("h", "chunk", "f_id", "f_row", "f_k"), "line-first")
-    again = met.join(first, ["h", "chunk"]).filter(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_row") == F.col("f_row")) & (F.col("k") == F.col("f_k"))))
+    again = met.join(first.hint("merge"), ["h", "chunk"]).filter(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_row") == F.col("f_row")) & (F.col("k") == F.col("f_k"))))
     gone = again.groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set("k").alias("_gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"))
-    joined = marked.join(gone, marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
+    joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
     cut = _cut(joined, raw, mean_lines)
     kept = F.filter(_chunks(), lambda c: ~F.array_contains("_gone", c["k"]))
     removed = F.aggregate(F.filter(_chunks(), lambda c: F.array_contains("_gone", c["k"])), F.lit(0), lambda n, c: n + c["n_lines"])

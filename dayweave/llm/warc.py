@@ -83,7 +83,7 @@ def write(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url
     # A written table here leaves Spark free to split the rows of a frequent payload, which an aggregation would keep together.
     first = rows.filter((F.octet_length("payload") >= least_bytes) & F.col("id").isNotNull()).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
     first = staged(first, "warc-first")
-    joined = rows.join(first, "sha", "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.when(F.col("id") > F.col("first"), F.col("first")).cast("string").alias("refers_to"))
+    joined = rows.join(first.hint("merge"), "sha", "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.when(F.col("id") > F.col("first"), F.col("first")).cast("string").alias("refers_to"))
 
     def put(batches):
         out, at, name = None, 0, ""
