@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dayweave.config import TRACKED
 from dayweave.functions.text import DOWN, UP, numbers, said_direction
 from dayweave.operators import claims as C
+from dayweave.operators import responses as R
 from dayweave.operators.alerts import alerts
 from dayweave.plans.behaviour import scored
 from dayweave.plans.behaviour_sql import ALERTS
@@ -69,6 +70,14 @@ def q_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report_lines(_all_verified(spark, sf_dir).filter("arm = 'corrupted'"), "home_id", "day")
 
 
+def q_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrupted claims written as loose responses, read back, repaired, checked and verified."""
+    s, a, r = _ranked(spark, sf_dir)
+    raw = R.response_text(C.corrupted_claims(r, 0.5), "home_id", "day")
+    out = R.assembled(raw, C.evidence_index(s, a), "home_id", "day")
+    return out.select("home_id", "day", "n_claims", "n_rejected", "n_withheld", "summary")
+
+
 def q_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and direction of every conversation turn and every claim-like document line."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", F.lit("walking fell to 1,800 s, -5k"), F.col("turn").cast("string")).alias("text"))
@@ -76,7 +85,7 @@ def q_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", F.size(n).cast("long").alias("n_numbers"), F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), said_direction(F.col("text")).alias("said"))
 
 
-QUERIES = {"evidence": q_evidence, "report_payload": q_payload, "faithful_claims": q_claims, "corrupted_claims": q_corrupted, "verified_claims": q_verified, "verification_summary": q_summary, "arm_comparison": q_arms, "report_lines": q_report_lines, "prose_numbers": q_numbers}
+QUERIES = {"evidence": q_evidence, "report_payload": q_payload, "faithful_claims": q_claims, "corrupted_claims": q_corrupted, "verified_claims": q_verified, "verification_summary": q_summary, "arm_comparison": q_arms, "report_lines": q_report_lines, "assembled_reports": q_reports, "prose_numbers": q_numbers}
 
 # ---- SQL ------------------------------------------------------------------------------------------------------
 
@@ -186,6 +195,8 @@ SELECT n_faithful, k_faithful, n_corrupted, k_corrupted, round(z0, 6) AS z,
   round(t0 * (0.254829592 + t0 * (-0.284496736 + t0 * (1.421413741 + t0 * (-1.453152027 + t0 * 1.061405429)))) * exp(-z0 * z0 / 2), 4) AS p_value FROM e""",
     "report_lines": f"""WITH {_VERIFIED}, t AS (SELECT j.*, c.text FROM judged j JOIN corrupted c USING (home_id, day, claim_id) WHERE j.arm = 'corrupted')
 SELECT home_id, day, coalesce(string_agg(text, chr(10) ORDER BY claim_id) FILTER (WHERE faithful), '') AS summary, count(*) FILTER (WHERE NOT faithful) AS n_withheld, count(*) FILTER (WHERE faithful) = 0 AS nothing_shown FROM t GROUP BY ALL""",
+    "assembled_reports": f"""WITH {_VERIFIED}, t AS (SELECT j.*, c.text FROM judged j JOIN corrupted c USING (home_id, day, claim_id) WHERE j.arm = 'corrupted')
+SELECT home_id, day, count(*) AS n_claims, 0 AS n_rejected, count(*) FILTER (WHERE NOT faithful) AS n_withheld, coalesce(string_agg(text, chr(10) ORDER BY claim_id) FILTER (WHERE faithful), '') AS summary FROM t GROUP BY ALL""",
     "prose_numbers": f"""WITH t AS (SELECT conv_id, turn, concat_ws(' ', text, 'walking fell to 1,800 s, -5k', turn::VARCHAR) AS text FROM conversations),
 n AS (SELECT conv_id, turn, {_NUMBERS} AS nums, regexp_extract_all(lower(text), '[a-z]+') AS w FROM t)
 SELECT conv_id, turn, len(nums) AS n_numbers, round(coalesce(list_sum(nums), 0), 6) AS total, {_SAID} AS said FROM n""",
