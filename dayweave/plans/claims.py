@@ -13,10 +13,11 @@ from dayweave.operators.alerts import alerts
 from dayweave.plans.behaviour import scored
 from dayweave.plans.behaviour_sql import ALERTS
 from dayweave.sources.domain import table
+from dayweave.sources.shared import staged
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = scored(spark, sf_dir)
+    s = staged(scored(spark, sf_dir), "state")  # alerts, evidence and payload all read the state
     return s, alerts(s)
 
 
