@@ -62,5 +62,5 @@ def test_entry_imports_without_the_llm_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(os.path.join(root, "dayweave"), tmp_path / "dayweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'alerts' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    code = "import re, __spark_entry__ as e; q = e.queries(); assert 'alerts' in q and 'pipeline' not in q and not any(re.match('op[0-9]', n) for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
