@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that occur before; n_chars follows the text."""
-    out = lines.without_repeated_chunks(docs)
+    """All documents, without chunks of lines and long lines that occur before; n_chars follows the text."""
+    out = lines.without_repeated_passages(docs)
     return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

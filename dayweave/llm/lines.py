@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of the last two lines chooses chunk ends, so that the same lines are cut alike wherever they stand in a
 document. Chunks of several lines that occur again anywhere are compared byte by byte, and all but the first occurrence are removed.
-Built-in functions throughout.
+`without_repeated_chunks` cuts at multiples, as its SQL twin says, and leaves chunks of one line alone; `without_repeated_passages` cuts
+at local minima, so that no chunk of a longer text has one line, and compares long lines by themselves too. Built-in functions throughout.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from dayweave.llm.common import staged, table
 MEAN_LINES = 3
 #: Weight of the line before in the rolling hash.
 WEIGHT = 1_000_003
+#: Words from which a line is a passage by itself (the window of operators 3 and 7).
+LONG_LINE = 13
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def line_hash(line: Column) -> Column:
@@ -43,6 +47,20 @@ def _chunks() -> Column:
     return F.transform(ends, one)
 
 
+def _repeats(chunks: DataFrame) -> DataFrame:
+    """Of chunks (_id, _row, k, chunk, h, ...) those that occur before; k has the place in the document."""
+    # Written tables on the other side of a join leave Spark free to split a frequent chunk's rows; an aggregation there would not. The hints
+    # keep one plan at every size.
+    often = staged(chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "line-often")
+    met = staged(chunks.join(often.hint("merge"), "h", "left_semi"), "line-chunks")
+    first = staged(met.groupBy("h", "chunk").agg(F.min(F.struct("_id", "_row", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "chunk", "first.*").toDF("h", "chunk", "f_id", "f_row", "f_k"), "line-first")
+    return met.join(first.hint("merge"), ["h", "chunk"]).filter(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_row") == F.col("f_row")) & (F.col("k") == F.col("f_k"))))
+
+
+def _keyed(docs: DataFrame, id_col: str, raw: Column) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"), raw.alias("_text")).filter("_text is not null")
+
+
 def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
     """docs with text_col shortened, and n_lines, n_removed_lines (long; columns of these names are replaced).
 
@@ -52,17 +70,11 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     moved once to find repeated chunks and once to apply the result, by keys that Spark can split when skewed.
     """
     raw = F.col(f"`{text_col}`")
-    keyed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"), raw.alias("_text")).filter("_text is not null")
-    many = _cut(keyed, F.col("_text"), mean_lines).select("_id", "_row", F.filter(_chunks(), lambda c: (c["n_lines"] > 1) & (F.btrim(c["chunk"], F.lit(" \t\n\x0b\x0c\r")) != "")).alias("_chunks"))
+    keyed = _keyed(docs, id_col, raw)
+    many = _cut(keyed, F.col("_text"), mean_lines).select("_id", "_row", F.filter(_chunks(), lambda c: (c["n_lines"] > 1) & (F.btrim(c["chunk"], F.lit(SPACE)) != "")).alias("_chunks"))
     # An outer explode: for an inner one Spark infers a filter on the array, pushes it to the scan and so cuts the text anew for every line.
     chunks = many.select("_id", "_row", F.explode_outer("_chunks").alias("c")).filter("c is not null").select("_id", "_row", "c.k", "c.chunk", F.xxhash64("c.chunk").alias("h"))
-    # Written tables on the other side of a join leave Spark free to split a frequent chunk's rows; an aggregation there would not. The hints
-    # keep one plan at every size.
-    often = staged(chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "line-often")
-    met = staged(chunks.join(often.hint("merge"), "h", "left_semi"), "line-chunks")
-    first = staged(met.groupBy("h", "chunk").agg(F.min(F.struct("_id", "_row", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "chunk", "first.*").toDF("h", "chunk", "f_id", "f_row", "f_k"), "line-first")
-    again = met.join(first.hint("merge"), ["h", "chunk"]).filter(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_row") == F.col("f_row")) & (F.col("k") == F.col("f_k"))))
-    gone = again.groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set("k").alias("_gone"))
+    gone = _repeats(chunks).groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set("k").alias("_gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"))
     joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
@@ -75,6 +87,55 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return cut.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.when(some, removed).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
 
 
+def _passages(df: DataFrame, text: Column) -> DataFrame:
+    """df with _lines and _units: struct of k (first line), n_lines and chunk of each chunk of two lines or more and of each long line.
+
+    A chunk ends where the rolling hash is less than at the line before and no greater than at the next one, neither at the first line nor
+    at the last but one: two neighbours cannot both be ends, so a text of two lines or more has no chunk of one line.
+    """
+    df = df.withColumn("_lines", F.split(text, "\n", -1))
+    df = df.withColumn("_hashes", F.transform("_lines", line_hash))
+    # A large odd factor and a prime spread the sum, whose order would otherwise be that of the line before.
+    h = F.col("_hashes")
+    df = df.withColumn("_rolled", F.transform(h, lambda x, i: ((x + WEIGHT * F.coalesce(F.get(h, i - 1), F.lit(0))) % 2147483647) * 1103515245 % 2147483647))
+    r, lines, last = F.col("_rolled"), F.col("_lines"), F.size("_lines") - 1
+    valley = lambda x, i: (i > 0) & (i < last - 1) & (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))
+    df = df.withColumn("_ends", F.array_compact(F.transform(r, lambda x, i: F.when((i == last) | F.coalesce(valley(x, i), F.lit(False)), i))))
+    ends = F.col("_ends")
+
+    def chunk(end, j):
+        before = F.coalesce(F.get(ends, j - 1), F.lit(-1))
+        return F.struct((before + 1).alias("k"), (end - before).alias("n_lines"), F.array_join(F.slice(lines, before + 2, end - before), "\n").alias("chunk"))
+
+    long = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("k"), F.lit(1).alias("n_lines"), x.alias("chunk"))), lambda c: (F.length(c["chunk"]) >= 2 * LONG_LINE - 1) & (F.size(F.split(F.btrim(c["chunk"], F.lit(SPACE)), f"[{SPACE}]+")) >= LONG_LINE))
+    many = F.filter(F.transform(ends, chunk), lambda c: (c["n_lines"] > 1) & (F.btrim(c["chunk"], F.lit(SPACE)) != ""))
+    return df.withColumn("_units", F.concat(many, long)).drop("_hashes", "_rolled", "_ends")
+
+
+def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs like without_repeated_chunks, but nothing is left alone for standing in a chunk of one line or at the edge of a chunk.
+
+    A line goes if its chunk (two lines or more) or, from LONG_LINE words on, the line itself occurs before. Every distinct line stays
+    where it first occurs. Shorter repeated lines stay unless all of their chunk repeats.
+    """
+    raw = F.col(f"`{text_col}`")
+    units = _passages(_keyed(docs, id_col, raw), F.col("_text")).select("_id", "_row", F.explode_outer("_units").alias("c")).filter("c is not null")
+    again = _repeats(units.select("_id", "_row", "c.*", F.xxhash64("c.chunk").alias("h")))
+    gone = again.groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set(F.struct("k", "n_lines")).alias("_gone"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"))
+    joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
+    cut = joined.withColumn("_lines", F.split(raw, "\n", -1))
+    lines, some = F.col("_lines"), F.col("_gone").isNotNull()
+    # array_except hashes: linear in the lines of a text.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.flatten(F.transform("_gone", lambda g: F.sequence(g["k"], g["k"] + g["n_lines"] - 1))))
+    cut = cut.withColumn("_stay", F.when(some, stay))
+    text = F.when(some, F.array_join(F.transform("_stay", lambda i: F.get(lines, i)), "\n")).otherwise(raw)
+    columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
+    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
+    return cut.select(*columns, n.alias("n_lines"), F.when(some, n - F.size("_stay")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document."""
     return without_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "text")

@@ -15,6 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from dayweave.llm import byte_bpe, chat, lines, quality, substrings, winnowing
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -200,6 +201,55 @@ def test_lines_equal_sql(spark):
     assert lines.without_repeated_chunks(df.limit(0)).count() == 0
 
 
+def brute_passages(texts, ids):
+    """Texts without the lines that stand in a chunk, or are a long line, that occurs before; units in order of id and first line."""
+    white = " \t\n\x0b\x0c\r"
+    units = []
+    for d, t in zip(ids, texts):
+        ls = t.split("\n") if t is not None else []
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
+        r = [(h[i] + lines.WEIGHT * (h[i - 1] if i else 0)) % 2147483647 * 1103515245 % 2147483647 for i in range(len(h))]
+        begin = 0
+        for i in range(len(ls)):
+            if i == len(ls) - 1 or 0 < i < len(ls) - 2 and r[i] < r[i - 1] and r[i] <= r[i + 1]:
+                assert i > begin or len(ls) == 1
+                if i > begin and "\n".join(ls[begin : i + 1]).strip(white):
+                    units.append((d, begin, ls[begin : i + 1]))
+                begin = i + 1
+            if len(re.findall(r"[^\x20\x09-\x0D]+", ls[i])) >= lines.LONG_LINE:
+                units.append((d, i, [ls[i]]))
+    seen, gone = set(), {d: set() for d in ids}
+    for d, k, chunk in sorted(units, key=lambda u: u[:2]):
+        if (len(chunk), "\n".join(chunk)) in seen:
+            gone[d] |= set(range(k, k + len(chunk)))
+        seen.add((len(chunk), "\n".join(chunk)))
+    return [(d, len(t.split("\n")) if t is not None else 0, len(gone[d]), t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])) for d, t in zip(ids, texts)]
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(10)
+    pool = [f"line {i} é" for i in range(12)] + ["", " ", "\t"] + [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (12, 13, 14, 60, 60)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))) for _ in range(150)] + ["", None, "\n\n\n", "one", "x\n" * 3000, "a\r\nb\r\na\r\nb"]
+    ids = list(range(len(texts)))
+    df = docs_df(spark, texts, ids)
+    out = lines.without_repeated_passages(df.withColumn("k", F.lit(1)).withColumn("n_lines", F.lit("mine"))).select("doc_id", "n_lines", "n_removed_lines", "text")
+    assert sorted(map(tuple, out.collect())) == brute_passages(texts, ids)
+    assert lines.without_repeated_passages(df.limit(0)).count() == 0
+    twice = docs_df(spark, ["p\nq\nr\ns\nt\nu"] * 2 + [None, "p\nq\nr\ns\nt\nu"], [1, 1, None, 2])
+    assert sorted((str(r.doc_id), r.n_removed_lines, r.text) for r in lines.without_repeated_passages(twice).collect()) == [("1", 0, "p\nq\nr\ns\nt\nu")] * 2 + [("2", 6, ""), ("None", 0, None)]
+
+
+def test_repeated_long_lines_and_copies_go_from_the_pipeline(spark):
+    """Each of 30 long lines stands again between other lines, and each of 30 texts has an exact copy: all of that goes."""
+    long = [" ".join(f"a{i}w{j}" for j in range(60)) for i in range(30)]
+    texts = [f"own {i} one\nown {i} two\n{t}\nown {i} three" for i, t in enumerate(long)] + [f"{t}\nother {i}" for i, t in enumerate(long)] + ["\n".join(f"short {i} {j}" for j in range(2 + i)) for i in range(30)] * 2
+    docs = docs_df(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).select(*corpus_pipeline.COLUMNS)
+    got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert all(got[i].text == t for i, t in enumerate(texts[:30])) and all(got[60 + i].text == texts[60 + i] for i in range(30))
+    assert [got[30 + i].text for i in range(30)] == [f"other {i}" for i in range(30)] and all(got[90 + i].text == "" for i in range(30))
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def brute_removed(texts, ids, window):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     low = {}
