@@ -71,8 +71,9 @@ class Items:
             if len(h) >= n:
                 at = np.flatnonzero(owner[: len(h) - n + 1] == owner[n - 1 :])
                 self._join(todo, known, window_hashes(h, n)[at], at)
-        for item, shift, p in {(j, p - q): (j, p - q, p) for j, p, q in todo}.values():
-            doc, words = owner[p], self.words[item]
+        # One alignment may run over several documents.
+        for doc, item, shift in {(int(owner[p]), j, p - q) for j, p, q in todo}:
+            words = self.words[item]
             lo, hi = max(shift, first[doc]), min(shift + len(words), first[doc] + n_words[doc])
             edge = np.diff(np.concatenate([[False], h[lo:hi] == words[lo - shift : hi - shift], [False]]).astype(np.int8))
             for a, b in zip(np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo, strict=True):

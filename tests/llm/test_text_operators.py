@@ -154,6 +154,19 @@ def test_contamination_equals_brute_force(spark, limit):
     assert winnowing.contamination(df.limit(0), bench).count() == 0
 
 
+def test_an_item_across_neighbouring_rows_hits_both(spark):
+    """A page stored as two rows, cut through a benchmark passage: both rows lie on one alignment of the item."""
+    item = [f"w{i}" for i in range(60)]
+    texts = [" ".join(["p", "q", *item[:30]]), " ".join([*item[30:], "r", "s"]), "nothing here"]
+    assert all(len(found) == 1 for found in winnowing.Items([("7", " ".join(item).encode())]).find([t.encode() for t in texts])[2][:2])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = winnowing.contamination(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    n_hit, bad = winnowing.verdict(F.col("contamination"))
+    c = F.col("contamination")
+    got = [tuple(r) for r in found.orderBy("doc_id").select(c.n_words, n_hit, F.size(c["items"]), F.sha2(F.array_join(c["items"], ","), 256), bad).collect()]
+    assert got == brute_contamination(texts, [(7, " ".join(item))]) and [g[1] for g in got] == [30, 30, 0]
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
