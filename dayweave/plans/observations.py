@@ -16,6 +16,10 @@ from dayweave.sources import annotations, domain
 
 FPS = 15.0
 KEYS = ["home_id", "track_id"]
+#: A clip is so many frames of the users of one home whose ids agree up to the last two digits, ten at most; a decoded sequence is so many
+#: windows of a subject at most. Groups of a recurrence are then bounded and grow in number with users, frames and windows.
+CLIP_FRAMES, SEQUENCE_WINDOWS = 500, 50
+CLIP = ["home_id", "party", "span"]
 ROLES = ("resident", "visitor", "unknown", "resident", "resident")
 
 
@@ -32,6 +36,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """observations with party and span, which with home_id name the clip: at most 10 * CLIP_FRAMES rows."""
+    return observations(spark, sf_dir).withColumn("party", F.floor(F.col("track_id") / 100).cast("long")).withColumn("span", F.floor(F.col("frame_idx") / CLIP_FRAMES).cast("long"))
+
+
 def q_windows(s, d):
     return T.windows(observations(s, d), KEYS).withColumn("k", F.col("k").cast("long"))
 
@@ -65,20 +74,20 @@ def q_voted(s, d):
 
 
 def q_tracked(s, d):
-    o = observations(s, d).select("home_id", "frame_idx", "x1", "y1", "x2", "y2", "confidence")
-    return T.tracked(o, ["home_id"]).groupBy("home_id", "track_id").agg(F.count("*").alias("n_boxes"), F.max("confirmed").alias("confirmed"))
+    o = clips(s, d).select(*CLIP, "frame_idx", "x1", "y1", "x2", "y2", "confidence")
+    return T.tracked(o, CLIP).groupBy(*CLIP, "track_id").agg(F.count("*").alias("n_boxes"), F.max("confirmed").alias("confirmed"))
 
 
 def q_slots(s, d):
-    o = observations(s, d)
-    o = o.select("home_id", "frame_idx", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("diagonal"))
-    return T.slots(o, ["home_id"]).groupBy("home_id", "slot").agg(F.count("*").alias("n"))
+    o = clips(s, d)
+    o = o.select(*CLIP, "frame_idx", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("diagonal"))
+    return T.slots(o, CLIP).groupBy(*CLIP, "slot").agg(F.count("*").alias("n"))
 
 
 def q_subject(s, d):
-    o = observations(s, d)
-    rows = o.select("home_id", "track_id", F.when(F.col("home_id") % 2 == 0, F.col("role")).otherwise("unknown").alias("role")).distinct()
-    return T.assert_subject(rows, T.spans(o, ["home_id"]), ["home_id"], FPS)
+    o = clips(s, d)
+    rows = o.select(*CLIP, "track_id", F.when(F.col("home_id") % 2 == 0, F.col("role")).otherwise("unknown").alias("role")).distinct()
+    return T.assert_subject(rows, T.spans(o, CLIP), CLIP, FPS)
 
 
 def q_carried(s, d):
@@ -113,13 +122,13 @@ def q_iou(s, d):
 
 
 def _decoded(s, d) -> DataFrame:
-    """Windows of twenty subjects with twelve classes: two streams widened, fused with objects, decoded by the structured prior."""
+    """Windows with twelve classes in sequences of twenty subjects: two streams widened, fused with objects, decoded by the structured prior."""
     v = val_logits(s, d)
     z = F.concat(mean_of([F.col(x) for x in STREAMS]), F.slice("joint", 1, 10))
     obj = F.array(*[F.when(F.col("window_id") % k == 0, n) for k, n in ((2, "cup"), (3, "tv"), (5, "bottle"))])
-    rows = v.select("subject", "window_id", "y", (F.col("window_id") * 1_000_000).alias("start_us"), (F.col("window_id") * 1_000_000 + 30_000_000).alias("end_us"), F.when(F.col("window_id") % 50 < 25, "kitchen").otherwise("hall").alias("room"), F.array_compact(obj).alias("objects"), z.alias("z"))
+    rows = v.select("subject", (F.floor(F.col("window_id") / (20 * SEQUENCE_WINDOWS)).cast("long") * 20 + F.col("subject")).alias("sequence"), "window_id", "y", (F.col("window_id") * 1_000_000).alias("start_us"), (F.col("window_id") * 1_000_000 + 30_000_000).alias("end_us"), F.when(F.col("window_id") % 50 < 25, "kitchen").otherwise("hall").alias("room"), F.array_compact(obj).alias("objects"), z.alias("z"))
     rows = rows.withColumn("posterior", D.fused(softmax(F.col("z")), F.col("objects"), 20)).drop("z")
-    return D.decoded(rows, ["subject"], "window_id", "posterior", D.structured_prior(20))
+    return D.decoded(rows, ["sequence"], "window_id", "posterior", D.structured_prior(20))
 
 
 def q_posteriors(s, d):
@@ -129,13 +138,13 @@ def q_posteriors(s, d):
 
 
 def q_decoded(s, d):
-    return _decoded(s, d).select("subject", "window_id", "smoothed", F.round("marginal", 5).alias("marginal"), "abstained", "label")
+    return _decoded(s, d).select("subject", "sequence", "window_id", "smoothed", F.round("marginal", 5).alias("marginal"), "abstained", "label")
 
 
 def q_decoded_segments(s, d):
     r = _decoded(s, d).withColumn("margin", margin(F.col("posterior")))
-    g = D.to_segments(r, ["subject"])
-    return g.select("subject", "activity_id", "room", "start_us", "end_us", F.round("confidence", 5).alias("confidence"), F.round("mean_logit_margin", 4).alias("mean_logit_margin"), F.array_join("supporting_objects", ",").alias("objects"), "n_windows")
+    g = D.to_segments(r, ["subject", "sequence"])
+    return g.select("subject", "sequence", "activity_id", "room", "start_us", "end_us", F.round("confidence", 5).alias("confidence"), F.round("mean_logit_margin", 4).alias("mean_logit_margin"), F.array_join("supporting_objects", ",").alias("objects"), "n_windows")
 
 
 def q_decode_evaluation(s, d):
@@ -143,7 +152,7 @@ def q_decode_evaluation(s, d):
     r = _decoded(s, d).withColumn("greedy", argmax(F.col("posterior")))
     out = None
     for name in ("greedy", "smoothed"):
-        one = M.scores(r.select("y", F.col(name).alias("pred"))).crossJoin(M.fragmentation(r, "subject", "window_id", "y", name)).withColumn("decoder", F.lit(name))  # one row each
+        one = M.scores(r.select("y", F.col(name).alias("pred"))).crossJoin(M.fragmentation(r, "sequence", "window_id", "y", name)).withColumn("decoder", F.lit(name))  # one row each
         out = one if out is None else out.unionByName(one)
     return out.select("decoder", *[F.round(c, 6).alias(c) for c in ("top1", "mean_class", "macro_f1", "ratio")], "segments_pred", "segments_true")
 

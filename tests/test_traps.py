@@ -319,3 +319,23 @@ def test_responses_are_repaired_but_never_filled_in(spark):
     assert [g.response_error for g in got[2:]] == ["claims are not a list", "unterminated or invalid JSON", "no JSON object", "no JSON object", None]
     strict = [r.s.error for r in spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "a": 2}',), ('{"a": NaN}',), ('{"a": 1} x',), ("[1]",)], "t string").coalesce(1).select(responses.strict_object(F.col("t")).alias("s")).collect()]
     assert strict[0] is None and all(strict[1:])
+
+
+def test_recurrences_have_bounded_groups_that_grow_in_number(spark, monkeypatch):
+    """The grouped Python of tracks and sequences: no group above its bound, more groups on more data."""
+    from dayweave.plans import observations as O
+
+    seen = []
+    kind = type(spark.range(1).groupBy("id"))
+    real = kind.applyInPandas
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, *a: (seen.append(self.count().agg(F.max("count"), F.count("*")).first()), real(self, *a))[1])
+    for name, most in (("tracker", 10 * O.CLIP_FRAMES), ("person_slots", 10 * O.CLIP_FRAMES), ("asserted_subject", 10), ("decoded_windows", O.SEQUENCE_WINDOWS)):
+        groups = []
+        for sf in ("sf0.001", "sf0.01", "sf0.1"):
+            seen.clear()
+            O.QUERIES[name](spark, f"/root/testdata/{sf}")
+            assert len(seen) == 1 and 0 < seen[0][0] <= most, (name, sf, seen)
+            groups.append(seen[0][1])
+        assert groups == sorted(groups) and groups[-1] > groups[0], (name, groups)
+    got = O.QUERIES["decoded_windows"](spark, "/root/testdata/sf0.001")
+    assert got.count() == O.val_logits(spark, "/root/testdata/sf0.001").count()
