@@ -24,9 +24,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; documents without an id stay."""
+    """Of each group of near-duplicates the document with the smallest id; documents without an id stay.
+
+    Rows that share an id are one document of the groups and stay or go together. Of those that agree in text too, the one whose other
+    columns are least stays (nulls come first); rows of one id with different texts all stay.
+    """
     stay = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = F.min(F.struct(*[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]))
+    known = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").groupBy("doc_id", "text").agg(rest.alias("_rest")).select("doc_id", "text", "_rest.*")
     return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

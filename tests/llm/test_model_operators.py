@@ -213,3 +213,11 @@ def test_pipeline_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, d, SF)
     assert last.count() == seen[-1]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    rows = [(1, texts[0], "en", "s", 3), (1, texts[1], "en", "s", 4), (1, texts[1], "en", "r", 9), (1, texts[1], "en", None, 9), (2, texts[2], "de", "s", 5), (3, texts[2], "en", "s", 5), (1, None, "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = sorted((tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted((rows[i] for i in (0, 3, 4, 6)), key=str)
