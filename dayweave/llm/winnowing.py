@@ -101,6 +101,18 @@ def blocks_of(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
+def item_blocks(rows: Iterator, limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Rows (item, text) in blocks of at most limit bytes of text, or of one longer text; one empty block if there are none."""
+    held, size = [], 0
+    for item, text in rows:
+        if held and size + len(text) > limit:
+            yield held
+            held, size = [], 0
+        held.append((item, bytes(text)))
+        size += len(text)
+    yield held
+
+
 def _finder(shared) -> Column:
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array) -> pa.Array:
@@ -126,24 +138,23 @@ def _finder(shared) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", into: str = "contamination", block_limit: int = BLOCK_LIMIT) -> DataFrame:
     """docs with a struct column `into`: n_words, spans (first and last word of each hit stretch), items (ids as strings, sorted).
 
-    One narrow pass over docs when the benchmark's texts fit in block_limit (measured first); a larger benchmark is dealt into blocks
-    by item, each one pass, written and reread in between. Null or wordless texts have no words and hit nothing; an item without words
+    One narrow pass over docs when the benchmark's texts fit in block_limit; a larger benchmark is dealt into blocks by running bytes, so
+    that equal texts spread over blocks too, each one pass, written and reread in between. Null or wordless texts have no words and hit nothing; an item without words
     has no windows; items with a null id mark words but are not listed; repeated rows give repeated rows; an empty benchmark hits
     nothing. A column that is already named `into` is replaced.
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("binary").alias("text")).filter("text is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-max(size, 1) // block_limit)
-    out = docs.drop(into)
-    parts = [f"{into}_{i}" for i in range(n)]
-    for i, part in enumerate(parts):
-        mine = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        shared = spark.sparkContext.broadcast(Items([(r.item, bytes(r.text)) for r in mine.toLocalIterator()]))
-        out = out.withColumn(part, _finder(shared)(F.col(f"`{text_col}`")))
-        out = staged(out, "winnow") if i + 1 < n else out
+    blocks = item_blocks(((r.item, r.text) for r in rows.toLocalIterator()), block_limit)
+    out, parts, block = docs.drop(into), [], next(blocks)
+    while block is not None:
+        parts.append(f"{into}_{len(parts)}")
+        shared = spark.sparkContext.broadcast(Items(block))
+        out = out.withColumn(parts[-1], _finder(shared)(F.col(f"`{text_col}`")))
+        block = next(blocks, None)
+        out = out if block is None else staged(out, "winnow")
     one = F.col(f"`{parts[0]}`")
-    if n > 1:
+    if len(parts) > 1:
         merged = lambda f: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"`{p}`.{f}") for p in parts]))))
         one = F.struct(one.n_words.alias("n_words"), merged("spans").alias("spans"), merged("items").alias("items"))
     return out.withColumn(into, one).drop(*[p for p in parts if p != into])

@@ -167,6 +167,19 @@ def test_an_item_across_neighbouring_rows_hits_both(spark):
     assert got == brute_contamination(texts, [(7, " ".join(item))]) and [g[1] for g in got] == [30, 30, 0]
 
 
+def test_equal_items_keep_to_the_block_limit(spark, monkeypatch):
+    """A benchmark of one text under 30 ids: every block is within the limit and every id is found."""
+    item = " ".join(f"w{i}" for i in range(20))
+    sizes, real = [], winnowing.Items.__init__
+    monkeypatch.setattr(winnowing.Items, "__init__", lambda self, rows: (sizes.append(sum(len(t) for _, t in rows)), real(self, rows))[1])
+    df = docs_df(spark, [item + " and more", "nothing here"])
+    found = winnowing.contamination(df, spark.createDataFrame([(j, item) for j in range(30)], "item_id long, text string"), block_limit=10 * len(item))
+    assert len(sizes) == 3 and max(sizes) <= 10 * len(item)
+    got = {r.doc_id: sorted(map(int, r.contamination["items"])) for r in found.collect()}
+    assert got == {0: list(range(30)), 1: []}
+    assert [sum(len(t) for _, t in b) for b in winnowing.item_blocks(iter([("a", b"xx"), ("b", b"yyy"), ("c", b"zzzzzzz"), (None, b"v")]), 5)] == [5, 7, 1]
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
