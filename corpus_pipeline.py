@@ -56,7 +56,7 @@ STAGES = [
     ("byte_bpe", tokenized),
 ]
 
-#: Trained scores, XXH64 and token merges are beyond SQL; tests hold the stages against brute force.
+#: Trained scores, XXH64 and token merges are beyond SQL; tests hold line dedup and decontamination against brute force.
 ORACLE_SQL = None
 
 

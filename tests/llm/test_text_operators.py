@@ -167,6 +167,18 @@ def test_an_item_across_neighbouring_rows_hits_both(spark):
     assert got == brute_contamination(texts, [(7, " ".join(item))]) and [g[1] for g in got] == [30, 30, 0]
 
 
+def test_contaminated_documents_go_from_the_pipeline(spark, tmp_path):
+    rng = random.Random(3)
+    item = [(j, " ".join(f"i{j}w{i}" for i in range(20))) for j in range(4)]
+    filler = lambda n: " ".join(f"f{rng.randrange(999)}" for _ in range(n))
+    texts = [f"{filler(n)} {rng.choice(item)[1]} {filler(n)}" for n in range(10, 400, 30)] + [filler(50), "", None]
+    spark.createDataFrame(item, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_df(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).select(*corpus_pipeline.COLUMNS)
+    want = [i for i, found in enumerate(brute_contamination(texts, item)) if not found[4]]
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in map(tuple, docs.collect()) if r[0] in want) and 3 < len(want) < len(texts)
+
+
 def test_equal_items_keep_to_the_block_limit(spark, monkeypatch):
     """A benchmark of one text under 30 ids: every block is within the limit and every id is found."""
     item = " ".join(f"w{i}" for i in range(20))
