@@ -35,6 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like staged, as a table bucketed by a column, which later joins on that column read without an exchange."""
+    unique = uuid.uuid4().hex
+    saved = f"{name.replace('-', '_')}_{unique}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(df.sparkSession)}/{name}-{unique}").saveAsTable(saved)
+    return df.sparkSession.table(saved)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,16 +1,19 @@
 """Substring dedup by level-wise doubling.
 
-Windows of a few words are looked up first; only where they are repeated in another document are windows of twice the length tried, up
-to the length asked for, and a document without candidates is finished at once. The shortest level keeps, of every run of windows that
-one longest-but-one window can hold, only the least hash, which every copy of the run chooses as well.
-
-Documents travel in blocks. A block sends each distinct window hash once, packed by hash range; the range's task answers with one bit
-per hash: another block has it (on the way up), or a document with a smaller id does (at the last level).
+Windows of 4 words are looked up first, and only where all of them are repeated in another document are windows of about twice the length
+tried, up to the length asked for or until no candidate survives. Of the windows of one level, those are looked up that hold the least
+hash of a window of the next length (winnowing: every copy of the longer window has the same least hash, so nothing is lost; at 4 words it
+looks up 0.40 windows a word instead of 1).
+
+Texts are written once, in blocks, as a table bucketed by groups of blocks; what moves after that are hashes and answers. A group sends the
+window hashes of its blocks packed by hash range, and the range's task answers which of them another document has (on the way up), or,
+with one bit each, a document with a smaller id (at the last level).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 
 import numpy as np
@@ -19,23 +22,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm.common import BLOCK_BYTES, SPACE_WORDS, U64, anchors, scan_words, staged, table, utf8_column, window_hashes
+from dayweave.llm.common import BLOCK_BYTES, SPACE_WORDS, U64, bucketed, scan_words, sliding_min, staged, table, utf8_column, window_hashes
 
-WINDOW, SHORTEST = 13, 8
-#: Bytes of text for each hash range, which bounds what a task gathers.
-RANGE_BYTES = 16 << 20
+WINDOW, SHORTEST = 13, 4
+#: Bytes of text for each hash range up to MANY_RANGES of them; beyond, ranges grow in number and in size with the root of the input.
+RANGE_BYTES, MANY_RANGES = 16 << 20, 4096
+#: Blocks of a group, bytes of hashes that a group packs at a time, and bytes of text for each bucket.
+GROUP_BLOCKS, PACK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8, 32 << 20, 32 << 20, 65_536
 SECOND = 0x9FB21C651E98DF25
+NONE = U64(0xFFFFFFFFFFFFFFFF)
+#: Bits dropped of hashes that are asked for, and of those answered, on the way up: chance hits there cost a look-up and change nothing.
+ASK_DROPS, ANSWER_DROPS = U64(16), U64(28)
 
-_BLOCK = "block long, ids binary, nulls binary, sizes binary, text binary, cand binary"
-_PACKED = "shard long, keys binary, more binary, least binary"
-_ROW = f"kind int, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, {_BLOCK}, {_PACKED}"
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.large_string(), "binary": pa.large_binary()}
-DONE, PENDING, PACKED = 0, 1, 2
+_BLOCK = "grp long, seq int, ids binary, nulls binary, sizes binary, text binary"
+_PACKED = "shard long, grp long, blocks binary, keys binary, more binary, least binary"
+_ANSWER = "grp long, shard long, blocks binary, data binary"
+_DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def _schema(ddl: str) -> pa.Schema:
-    narrow = {pa.large_string(): pa.string(), pa.large_binary(): pa.binary()}
-    return pa.schema([(n, narrow.get(_TYPES[t], _TYPES[t])) for n, t in (f.split() for f in ddl.split(", "))])
+    return pa.schema([(n, _TYPES[t]) for n, t in (f.split() for f in ddl.split(", "))])
 
 
 def levels(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
@@ -46,64 +53,111 @@ def levels(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
     return out
 
 
+def ranges(text_bytes: int, range_bytes: int = RANGE_BYTES) -> int:
+    """Hash ranges for so much text. Rows of packed hashes are groups times ranges: at 50 GB of text some 1,000 hashes a row, at 100 TB 20."""
+    units = max(1, -(-text_bytes // range_bytes))
+    return min(units, math.isqrt(units * MANY_RANGES))
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Numbers as compressed byte planes: the high bytes of small or close numbers are all alike."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return _squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_opened(data), np.uint8)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, U64), dtype=U64)
+
+
 class Block:
     """Documents of a block with their words hashed."""
 
-    def __init__(self, ids: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, text: bytes):
-        self.ids, self.nulls, self.text = ids, nulls, text
-        self.starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) + 1)])
-        self.s, self.e, self.h = scan_words(np.frombuffer(text, np.uint8), SPACE_WORDS)
-        self.owner = np.searchsorted(self.starts, self.s, "right") - 1
-        self.n_words = np.bincount(self.owner, minlength=len(ids)).astype(np.int64)
+    def __init__(self, r: dict):
+        self.ids = np.frombuffer(r["ids"], np.int64)
+        self.nulls = np.unpackbits(np.frombuffer(r["nulls"], np.uint8))[: len(self.ids)].astype(bool)
+        self.text = _opened(r["text"])
+        self.starts = np.concatenate([[0], np.cumsum(np.frombuffer(r["sizes"], np.int64) + 1)])
+        s, _, self.h = scan_words(np.frombuffer(self.text, np.uint8), SPACE_WORDS)
+        self.owner = (np.searchsorted(self.starts, s, "right") - 1).astype(np.int32)
+        self.n_words = np.bincount(self.owner, minlength=len(self.ids)).astype(np.int64)
         self.first = np.cumsum(self.n_words) - self.n_words
 
-    @staticmethod
-    def of_row(r: dict) -> Block:
-        bits = np.frombuffer(r["nulls"], np.uint8)
-        ids = np.frombuffer(r["ids"], np.int64)
-        return Block(ids, np.unpackbits(bits)[: len(ids)].astype(bool), np.frombuffer(r["sizes"], np.int64), zstandard.ZstdDecompressor().decompress(r["text"]))
-
-    def whole(self, at: np.ndarray, length: int) -> np.ndarray:
-        """Which windows lie within one document that has an id."""
-        end = at + length - 1
-        ok = end < len(self.h)
-        ok[ok] = (self.owner[at[ok]] == self.owner[end[ok]]) & ~self.nulls[self.owner[at[ok]]]
-        return ok
+    def whole(self, length: int) -> np.ndarray:
+        """For every window of that length, whether it lies within one document that has an id."""
+        n = max(0, len(self.h) - length + 1)
+        return (self.owner[:n] == self.owner[length - 1 :]) & ~self.nulls[self.owner[:n]]
 
-    def anchored(self, length: int, longer: int) -> np.ndarray:
+    def least(self, length: int, longer: int) -> np.ndarray:
+        """For every window of the longer length the least hash of the shorter windows in it."""
         grams = window_hashes(self.h, length)
-        every = np.arange(len(grams))
-        inside = self.whole(every, length)
-        at = anchors(np.where(inside, grams, U64(0xFFFFFFFFFFFFFFFF)), longer - length + 1)
-        return at[inside[at]]
+        return sliding_min(grams, longer - length + 1) if len(self.h) >= longer else np.zeros(0, U64)
+
+    def candidates(self, steps: list[int], k: int, known: np.ndarray | None) -> np.ndarray:
+        """Windows of level k that may be repeated, by the answers of the level before."""
+        ok = self.whole(steps[k])
+        if k and len(ok):
+            at = np.flatnonzero(ok)
+            ok[at] = _among(self.least(steps[k - 1], steps[k])[at] >> ANSWER_DROPS, known)
+        return ok
 
 
-class Entries:
-    """The distinct windows of a block at the given places: sorted keys, least and greatest document id of each."""
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which x are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _runs(x: np.ndarray, n: int) -> np.ndarray:
+    """Where n flags in a row are set."""
+    count = np.concatenate([[0], np.cumsum(x)])
+    return count[n:] - count[:-n] == n
+
 
-    def __init__(self, block: Block, at: np.ndarray, length: int, last: bool):
-        key = window_hashes(block.h, length)[at]
-        more = (window_hashes(block.h, length, SECOND)[at] >> U64(32)).astype(np.uint32) if last else np.zeros(len(at), np.uint32)
+class Entries:
+    """The distinct windows that a block asks for at level k: sorted keys with the least and greatest id of the documents that have each."""
+
+    def __init__(self, b: Block, steps: list[int], k: int, known: np.ndarray | None):
+        ok = b.candidates(steps, k, known)
+        if k + 1 == len(steps):
+            self.at = np.flatnonzero(ok)
+            key = window_hashes(b.h, steps[k])[self.at]
+            more = (window_hashes(b.h, steps[k], SECOND)[self.at] >> U64(32)).astype(np.uint32)
+        else:
+            longer = b.whole(steps[k + 1])
+            if k and len(longer):
+                longer &= _runs(ok, steps[k + 1] - steps[k] + 1)
+            low = b.least(steps[k], steps[k + 1])
+            new = longer.copy()
+            new[1:] &= (low[1:] != low[:-1]) | (b.owner[1 : len(low)] != b.owner[: max(0, len(low) - 1)]) | ~longer[:-1]
+            self.at = np.flatnonzero(new)
+            key, more = low[self.at] >> ASK_DROPS << ASK_DROPS, np.zeros(len(self.at), np.uint32)
         order = np.lexsort((more, key))
-        key, more, ids = key[order], more[order], block.ids[block.owner[at]][order]
+        key, more, ids = key[order], more[order], b.ids[b.owner[self.at]][order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
         begin = np.flatnonzero(new)
         self.key, self.more = key[begin], more[begin]
         self.least = np.minimum.reduceat(ids, begin) if len(begin) else ids
         self.most = np.maximum.reduceat(ids, begin) if len(begin) else ids
-        self.group = np.empty(len(at), np.int64)
+        self.group = np.empty(len(self.at), np.int64)
         self.group[order] = np.cumsum(new) - 1
 
     def cuts(self, shards: int) -> np.ndarray:
@@ -111,24 +165,33 @@ class Entries:
         bounds = np.array([(k << 64) // shards for k in range(1, shards)], U64)
         return np.concatenate([[0], np.searchsorted(self.key, bounds, "left"), [len(self.key)]])
 
-    def rows(self, block: int, shards: int, last: bool):
-        cuts = self.cuts(shards)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[k], cuts[k + 1]
-            key = self.key[a:b] if last else self.key[a:b] >> U64(16)
-            delta = np.diff(key, prepend=key[:1] * U64(0))
-            yield {"kind": PACKED, "block": block, "shard": k, "keys": _pack(delta), "more": _pack(self.more[a:b]) if last else np.packbits(self.least[a:b] != self.most[a:b]).tobytes(), "least": _pack(self.least[a:b]) if last else b""}
 
-    def answered(self, answers: dict[int, bytes], shards: int) -> np.ndarray:
-        cuts = self.cuts(shards)
-        out = np.zeros(len(self.key), bool)
-        for k, bits in answers.items():
-            a, b = cuts[k], cuts[k + 1]
-            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a]
-        return out
+class Packer:
+    """Rows of packed keys, one for each hash range, of a group's blocks."""
+
+    def __init__(self, shards: int, last: bool):
+        self.shards, self.last, self.held, self.size = shards, last, [], 0
 
+    def add(self, seq: int, entries: Entries) -> None:
+        self.held.append((seq, entries, entries.cuts(self.shards)))
+        self.size += 24 * len(entries.key)
+
+    def rows(self, grp: int):
+        held, self.held, self.size = self.held, [], 0
+        if not held:
+            return
+        counts = np.stack([np.diff(cuts) for *_, cuts in held])
+        for k in np.flatnonzero(counts.sum(0)).tolist():
+            parts = [(seq, e, slice(cuts[k], cuts[k + 1])) for seq, e, cuts in held if cuts[k] < cuts[k + 1]]
+            blocks = np.array([(seq, cut.stop - cut.start) for seq, _, cut in parts], np.int32)
+            row = {"shard": k, "grp": grp, "blocks": blocks.tobytes(), "keys": _packed_keys(np.concatenate([e.key[cut] >> (U64(0) if self.last else ASK_DROPS) for _, e, cut in parts]))}
+            if self.last:
+                yield row | {"more": _pack(np.concatenate([e.more[cut] for _, e, cut in parts])), "least": _pack(np.concatenate([e.least[cut] for _, e, cut in parts]))}
+            else:
+                yield row | {"more": _squeeze(np.packbits(np.concatenate([e.least[cut] != e.most[cut] for _, e, cut in parts])).tobytes())}
 
-def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+
+def _batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in schema.names}, schema=schema)
 
 
@@ -139,14 +202,16 @@ def _gathered(rows, schema: pa.Schema, most: int = 16 << 20):
         held.append(r)
         size += 64 + sum(len(v) for v in r.values() if isinstance(v, bytes | str))
         if size >= most or len(held) >= 20_000:
-            yield _rows(schema, held)
+            yield _batch(schema, held)
             held, size = [], 0
     if held:
-        yield _rows(schema, held)
+        yield _batch(schema, held)
 
 
 def _to_blocks(batches):
-    schema = _schema(_BLOCK)
+    def block(ids, texts):
+        nulls = np.array([i is None for i in ids])
+        return {"ids": np.array([i or 0 for i in ids], np.int64).tobytes(), "nulls": np.packbits(nulls).tobytes(), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "text": _squeeze(b"\n".join(texts))}
 
     def blocks():
         ids, texts, size = [], [], 0
@@ -161,40 +226,49 @@ def _to_blocks(batches):
         if ids:
             yield block(ids, texts)
 
-    def block(ids, texts):
-        nulls = np.array([i is None for i in ids])
-        return {"block": uuid.uuid4().int >> 65, "ids": np.array([i or 0 for i in ids], np.int64).tobytes(), "nulls": np.packbits(nulls).tobytes(), "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "text": zstandard.ZstdCompressor(level=1).compress(b"\n".join(texts)), "cand": None}
+    def numbered():
+        for n, b in enumerate(blocks()):
+            if n % GROUP_BLOCKS == 0:
+                grp = uuid.uuid4().int >> 65
+            yield b | {"grp": grp, "seq": n % GROUP_BLOCKS}
 
-    yield from _gathered(blocks(), schema)
+    yield from _gathered(numbered(), _schema(_BLOCK))
 
 
-def _first_level(steps: list[int], shards: int):
-    def run(batches):
-        def rows():
-            for rb in batches:
-                for r in rb.to_pylist():
-                    b = Block.of_row(r)
-                    last = len(steps) == 1
-                    at = np.flatnonzero(b.whole(np.arange(len(b.h)), steps[0])) if last else b.anchored(steps[0], steps[1])
-                    yield from Entries(b, at, steps[0], last).rows(r["block"], shards, last)
+def _known(answers: list[dict] | None) -> np.ndarray:
+    return np.unique(np.concatenate([_unpacked_keys(a["data"]) for a in answers])) if answers else np.zeros(0, U64)
 
-        yield from _gathered(rows(), _schema(_ROW))
 
-    return run
+def _ask(steps: list[int], k: int, shards: int):
+    """For blocks with the answers of the level before: packed keys of level k."""
+    last = k + 1 == len(steps)
+
+    def rows(batches):
+        packer, grp, known = Packer(shards, last), None, None
+        for rb in batches:
+            for r in rb.to_pylist():
+                if r["grp"] != grp:
+                    yield from packer.rows(grp)
+                    grp, known = r["grp"], _known(r.get("before"))
+                packer.add(r["seq"], Entries(Block(r), steps, k, known))
+                if packer.size >= PACK_BYTES:
+                    yield from packer.rows(grp)
+        yield from packer.rows(grp)
+
+    return lambda batches: _gathered(rows(batches), _schema(_PACKED))
 
 
 def _answer(last: bool):
-    """For packed rows sorted by shard: one bit for each key of each block."""
-    schema = _schema("block long, shard long, bits binary")
+    """For packed rows sorted by shard: the repeated keys of each, or at the last level a bit for each of its keys."""
 
     def shard_rows(shard: int, rows: list[dict]):
-        keys = [np.cumsum(_unpack(r["keys"], U64), dtype=U64) for r in rows]
+        keys = [_unpacked_keys(r["keys"]) for r in rows]
         sizes = np.array([len(k) for k in keys])
         key = np.concatenate(keys)
         if last:
             more, least = np.concatenate([_unpack(r["more"], np.uint32) for r in rows]), np.concatenate([_unpack(r["least"], np.int64) for r in rows])
         else:
-            more, least = np.zeros(len(key), np.uint32), np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8))[:n] for r, n in zip(rows, sizes.tolist(), strict=True)])
+            more, least = np.zeros(len(key), np.uint32), np.concatenate([np.unpackbits(np.frombuffer(_opened(r["more"]), np.uint8))[:n] for r, n in zip(rows, sizes.tolist(), strict=True)])
         order = np.lexsort((more, key))
         new = np.ones(len(key), bool)
         new[1:] = (np.diff(key[order]) != 0) | (np.diff(more[order]) != 0)
@@ -206,89 +280,64 @@ def _answer(last: bool):
         else:
             bit[order] = ((np.diff(begin, append=len(key)) > 1) | (np.maximum.reduceat(least[order], begin) > 0))[group]
         ends = np.cumsum(sizes)
-        for r, a, b in zip(rows, (ends - sizes).tolist(), ends.tolist(), strict=True):
-            if bit[a:b].any():
-                yield {"block": r["block"], "shard": shard, "bits": np.packbits(bit[a:b]).tobytes()}
-
-    def run(batches):
-        def rows():
-            held, shard = [], None
-            for rb in batches:
-                for r in rb.to_pylist():
-                    if held and r["shard"] != shard:
-                        yield from shard_rows(shard, held)
-                        held = []
-                    shard = r["shard"]
-                    held.append(r)
-            if held:
-                yield from shard_rows(shard, held)
-
-        yield from _gathered(rows(), schema)
-
-    return run
-
-
-def _next_level(steps: list[int], k: int, shards: int, with_text: bool):
-    """After the answers of level k: finished documents, and blocks of those that go on with their windows of level k + 1."""
-
-    def run(batches):
-        def rows():
-            for rb in batches:
-                for r in rb.to_pylist():
-                    yield from one(r)
-
-        yield from _gathered(rows(), _schema(_ROW))
-
-    def one(r: dict):
-        b = Block.of_row(r)
-        last, length = k + 1 == len(steps), steps[k]
-        answers = {a["shard"]: a["bits"] for a in r["answers"] or ()}
-        n = len(b.h)
-        if not k:
-            at = np.flatnonzero(b.whole(np.arange(n), length)) if last else b.anchored(length, steps[1])
-        else:
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(r["cand"]), np.uint8))[:n])
-        entries = Entries(b, at, length, last)
-        bit = entries.answered(answers, shards)[entries.group]
-        gone = np.zeros(n, bool)
-        cand = np.zeros(n, bool)
-        if last:
-            gone = _covered(n, at[bit | (b.ids[b.owner[at]] > entries.least[entries.group])], length)
-        else:
-            longer = steps[k + 1]
-            if not k:
-                good = np.zeros(n + longer, np.int64)
-                good[at[bit] + 1] = 1
-                good = np.cumsum(good)
-                reach = longer - length + 1
-                cand = good[reach : n + reach] > good[:n]  # a shared window's own least hash is chosen in every copy
-            else:
-                good = np.zeros(n + longer, bool)
-                good[at[bit]] = True
-                cand = good[:n] & good[longer - length : n + longer - length]
-            cand &= b.whole(np.arange(n), longer)
-        going = np.bincount(b.owner[cand], minlength=len(b.ids)) > 0
+        for r, own, a, b in zip(rows, keys, (ends - sizes).tolist(), ends.tolist(), strict=True):
+            found = bit[a:b]
+            if found.any():
+                yield {"grp": r["grp"], "shard": shard, "blocks": r["blocks"] if last else None, "data": _squeeze(np.packbits(found).tobytes()) if last else _packed_keys(np.unique(own[found] >> (ANSWER_DROPS - ASK_DROPS)))}
+
+    def rows(batches):
+        held, shard = [], None
+        for rb in batches:
+            for r in rb.to_pylist():
+                if held and r["shard"] != shard:
+                    yield from shard_rows(shard, held)
+                    held = []
+                shard = r["shard"]
+                held.append(r)
+        if held:
+            yield from shard_rows(shard, held)
+
+    return lambda batches: _gathered(rows(batches), _schema(_ANSWER))
+
+
+def _marked(seq: int, cuts: np.ndarray, n: int, answers: list[dict]) -> np.ndarray:
+    """The bits that answer a block's keys at the last level."""
+    out = np.zeros(n, bool)
+    for a in answers:
+        blocks = np.frombuffer(a["blocks"], np.int32).reshape(-1, 2)
+        mine = np.flatnonzero(blocks[:, 0] == seq)
+        if len(mine):
+            begin = int(blocks[: mine[0], 1].sum())
+            out[cuts[a["shard"]] : cuts[a["shard"] + 1]] = np.unpackbits(np.frombuffer(_opened(a["data"]), np.uint8))[begin : begin + int(blocks[mine[0], 1])]
+    return out
+
+
+def _finish(steps: list[int], shards: int, with_text: bool):
+    """For blocks with the answers of the last two levels: one row per document."""
+
+    def rows(batches):
+        grp, known = None, None
+        for rb in batches:
+            for r in rb.to_pylist():
+                if r["grp"] != grp:
+                    grp, known = r["grp"], _known(r.get("before"))
+                b = Block(r)
+                e = Entries(b, steps, len(steps) - 1, known)
+                bit = _marked(r["seq"], e.cuts(shards), len(e.key), r["answers"] or [])
+                at = e.at[bit[e.group] | (b.ids[b.owner[e.at]] > e.least[e.group])]
+                yield from documents(b, _covered(len(b.h), at, steps[-1]))
+
+    def documents(b: Block, gone: np.ndarray):
         removed = np.bincount(b.owner[gone], minlength=len(b.ids))
-        for d in np.flatnonzero(~going).tolist():
-            text = b.text[b.starts[d] : b.starts[d + 1] - 1]
-            f, m = b.first[d], b.n_words[d]
-            words = text.split()
+        for d in range(len(b.ids)):
+            words = b.text[b.starts[d] : b.starts[d + 1] - 1].split()
             if removed[d]:
-                words = [w for w, g in zip(words, gone[f : f + m].tolist(), strict=True) if not g]
+                f = b.first[d]
+                words = [w for w, g in zip(words, gone[f : f + b.n_words[d]].tolist(), strict=True) if not g]
             kept = b" ".join(words)
-            yield {"kind": DONE, "doc_id": None if b.nulls[d] else int(b.ids[d]), "n_words": int(m), "n_removed": int(removed[d]), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if with_text else None}
-        if going.any():
-            on = np.flatnonzero(going)
-            texts = [b.text[b.starts[d] : b.starts[d + 1] - 1] for d in on.tolist()]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            marks = cand[going[b.owner]]
-            rest = Block(b.ids[on], b.nulls[on], sizes, b"\n".join(texts))
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            yield {"kind": PENDING, "block": r["block"], "ids": rest.ids.tobytes(), "nulls": np.packbits(rest.nulls).tobytes(), "sizes": sizes.tobytes(), "text": squeeze(rest.text), "cand": squeeze(np.packbits(marks).tobytes())}
-            final = k + 2 == len(steps)
-            yield from Entries(rest, np.flatnonzero(marks), steps[k + 1], final).rows(r["block"], shards, final)
+            yield {"doc_id": None if b.nulls[d] else int(b.ids[d]), "n_words": int(b.n_words[d]), "n_removed": int(removed[d]), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode() if with_text else None}
 
-    return run
+    return lambda batches: _gathered(rows(batches), _schema(_DONE))
 
 
 def _covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
@@ -308,24 +357,24 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     steps = levels(window)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = -(-max(size, 1) // range_bytes)
-    blocks = staged(rows.mapInArrow(_to_blocks, _BLOCK), "substring-blocks")
-    packed = blocks.mapInArrow(_first_level(steps, shards), _ROW)
-    done = []
+    shards, buckets = ranges(size, range_bytes), min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+    blocks = bucketed(rows.mapInArrow(_to_blocks, _BLOCK), "substring-blocks", "grp", buckets)
+    asked, before, answers = blocks, None, None
     for k in range(len(steps)):
         last = k + 1 == len(steps)
-        bits = packed.select("shard", "block", "keys", "more", "least").repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer(last), "block long, shard long, bits binary")
-        answers = bits.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
-        out = blocks.join(answers, "block", "left").mapInArrow(_next_level(steps, k, shards, with_text), _ROW)
-        out = out if last else staged(out, "substring-level")
-        done.append(out.filter(F.col("kind") == DONE).select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])))
-        if not last:
-            blocks = out.filter(F.col("kind") == PENDING).select(*[f.split()[0] for f in _BLOCK.split(", ")])
-            packed = out.filter(F.col("kind") == PACKED)
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found.withColumnRenamed("doc_id", id_col)
+        packed = asked.mapInArrow(_ask(steps, k, shards), _PACKED)
+        found = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer(last), _ANSWER)
+        by_group = found.groupBy("grp").agg(F.collect_list(F.struct("shard", "blocks", "data")).alias("answers" if last else "before"))
+        if last:
+            answers = by_group
+        else:
+            before = staged(by_group, "substring-answers")
+            if before.isEmpty():
+                break
+            asked = blocks.join(before.hint("merge"), "grp")
+    final = blocks if before is None else blocks.join(before.hint("merge"), "grp", "left")
+    final = final.join(answers.hint("merge"), "grp", "left") if answers is not None else final.withColumn("answers", F.lit(None).cast("array<struct<shard: bigint, blocks: binary, data: binary>>"))
+    return final.mapInArrow(_finish(steps, shards, with_text), _DONE).select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
