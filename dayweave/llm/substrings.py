@@ -364,11 +364,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         last = k + 1 == len(steps)
         packed = asked.mapInArrow(_ask(steps, k, shards), _PACKED)
         found = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer(last), _ANSWER)
-        by_group = found.groupBy("grp").agg(F.collect_list(F.struct("shard", "blocks", "data")).alias("answers" if last else "before"))
-        if last:
-            answers = by_group
-        else:
-            before = staged(by_group, "substring-answers")
+        # Written out, so that the join takes the buckets' partitioning and leaves the texts where they are.
+        answers = staged(found.groupBy("grp").agg(F.collect_list(F.struct("shard", "blocks", "data")).alias("answers" if last else "before")), "substring-answers")
+        if not last:
+            before, answers = answers, None
             if before.isEmpty():
                 break
             asked = blocks.join(before.hint("merge"), "grp")
