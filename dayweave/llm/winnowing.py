@@ -2,7 +2,7 @@
 
 Of every run of W consecutive K-word hashes the least is kept (the rightmost of equals), in benchmark items and in documents alike,
 so every shared span of K + W - 1 = 13 words or more shares a kept hash. Kept hashes of documents are joined with those of the items;
-each hit is extended over the whole alignment of item and document and compared word by word.
+each hit is extended to the 13-word windows around it, which are looked up among the items' and compared word by word.
 """
 
 from __future__ import annotations
@@ -18,75 +18,112 @@ from dayweave.llm.common import ALNUM_WORDS, BLOCK_BYTES, LOWER, U64, anchors, s
 
 WINDOW = 13
 GRAM = 5
-#: UTF-8 bytes of benchmark text that one broadcast may hold; a larger benchmark is handled in several blocks.
-BLOCK_LIMIT = 32 << 20
+#: UTF-8 bytes of distinct benchmark texts and their ids that one broadcast may stand for; a larger benchmark is handled in several blocks.
+BLOCK_LIMIT = 16 << 20
 
 FOUND = "struct<n_words: bigint, spans: array<struct<first: int, last: int>>, items: array<string>>"
 _SPAN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
+class Table:
+    """The distinct windows of one length: sorted hashes, the place of one occurrence, and the texts that have each."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, owner: np.ndarray):
+        order = np.lexsort((owner, keys))
+        keys, at, owner = keys[order], at[order], owner[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        pair = new.copy()
+        pair[1:] |= owner[1:] != owner[:-1]
+        self.keys, self.at, self.owners = keys[new], at[new].astype(np.int32), owner[pair].astype(np.int32)
+        self.begin = np.append(np.flatnonzero(new[pair]), len(self.owners)).astype(np.int32)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """For each key its place among the distinct windows, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, place, -1)
+
+
 class Items:
-    """The fingerprints of a block of benchmark items."""
+    """The fingerprints of a block of benchmark texts, each with the ids of its items.
 
-    def __init__(self, rows: list[tuple[str | None, bytes]], window: int = WINDOW, gram: int = GRAM):
+    Every distinct window is held once, however often it occurs in an item or how many items have it, so looking up a document is linear
+    in its words. Arrays only: about six bytes for each byte of text.
+    """
+
+    def __init__(self, rows: list[tuple[list[str | None], bytes]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         self.names = [n for n, _ in rows]
-        self.words, self.texts, marks, self.short = [], [], [], {}
-        for j, (_, text) in enumerate(rows):
-            buf = np.frombuffer(text, np.uint8)
-            s, e, h = scan_words(buf, ALNUM_WORDS, LOWER)
-            self.words.append(h)
-            self.texts.append([text[a:b].lower() for a, b in zip(s.tolist(), e.tolist(), strict=True)])
-            if len(h) >= window:
-                grams = window_hashes(h, gram)
-                at = anchors(grams, window - gram + 1)
-                marks.append((grams[at], np.full(len(at), j), at))
-            elif len(h):
-                self.short.setdefault(len(h), []).append((window_hashes(h, len(h))[0], j, 0))
-        self.long = self._sorted([np.concatenate(x) for x in zip(*marks, strict=True)]) if marks else None
-        self.short = {n: self._sorted([np.array(x, t) for x, t in zip(zip(*found, strict=True), (U64, np.int64, np.int64), strict=True)]) for n, found in self.short.items()}
-
-    @staticmethod
-    def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.argsort(columns[0], kind="stable")
-        return [c[order] for c in columns]
+        text = b"\n".join(t for _, t in rows)
+        s, e, h = scan_words(np.frombuffer(text, np.uint8), ALNUM_WORDS, LOWER)
+        owner, n_words, first = _owners([t for _, t in rows], s)
+        self.plain, self.place = _plain(text, s, e)
+        long = n_words[owner] >= window if len(owner) else np.zeros(0, bool)
+        self.marks, self.tables = np.zeros(0, U64), {}
+        if long.any():
+            at = np.flatnonzero(long[: len(h) - window + 1] & (owner[: len(h) - window + 1] == owner[window - 1 :]))
+            self.tables[window] = Table(window_hashes(h, window)[at], at, owner[at])
+            self.marks = np.unique(_winnowed(h, owner, window, gram)[1])
+        for n in np.unique(n_words[(n_words > 0) & (n_words < window)]).tolist():
+            short = np.flatnonzero(n_words == n)
+            self.tables[n] = Table(window_hashes(h, n)[first[short]], first[short], short)
 
     def find(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
-        """Words of each text, a flag for each word of all texts (hit or not), the items found in each text."""
+        """Words of each text, a flag for each word of all texts (hit or not), the benchmark texts found in each text."""
         text = b"\n".join(texts)
-        buf = np.frombuffer(text, np.uint8)
-        s, e, h = scan_words(buf, ALNUM_WORDS, LOWER)
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        owner = np.searchsorted(begins, s, "right") - 1
-        n_words = np.bincount(owner, minlength=len(texts)).astype(np.int64)
-        first = np.cumsum(n_words) - n_words
-        hit, items = np.zeros(len(h), bool), [set() for _ in texts]
-        todo: set[tuple[int, int]] = set()
-        if self.long is not None and len(h) >= self.gram:
-            grams = window_hashes(h, self.gram)
-            grams[owner[: len(grams)] != owner[self.gram - 1 :]] = U64(0xFFFFFFFFFFFFFFFF)
-            at = anchors(grams, self.window - self.gram + 1)
-            self._join(todo, self.long, grams[at], at)
-        for n, known in self.short.items():
-            if len(h) >= n:
-                at = np.flatnonzero(owner[: len(h) - n + 1] == owner[n - 1 :])
-                self._join(todo, known, window_hashes(h, n)[at], at)
-        # One alignment may run over several documents.
-        for doc, item, shift in {(int(owner[p]), j, p - q) for j, p, q in todo}:
-            words = self.words[item]
-            lo, hi = max(shift, first[doc]), min(shift + len(words), first[doc] + n_words[doc])
-            edge = np.diff(np.concatenate([[False], h[lo:hi] == words[lo - shift : hi - shift], [False]]).astype(np.int8))
-            for a, b in zip(np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo, strict=True):
-                if b - a >= min(self.window, len(words)) and [text[x:y].lower() for x, y in zip(s[a:b].tolist(), e[a:b].tolist(), strict=True)] == self.texts[item][a - shift : b - shift]:
-                    hit[a:b] = True
-                    items[doc].add(item)
-        return n_words, hit, items
-
-    @staticmethod
-    def _join(todo: set, known: list[np.ndarray], found: np.ndarray, at: np.ndarray) -> None:
-        a, b = np.searchsorted(known[0], found, "left"), np.searchsorted(known[0], found, "right")
-        for k in np.flatnonzero(b > a).tolist():
-            todo.update((j, int(at[k]), q) for j, q in zip(known[1][a[k] : b[k]].tolist(), known[2][a[k] : b[k]].tolist(), strict=True))
+        s, e, h = scan_words(np.frombuffer(text, np.uint8), ALNUM_WORDS, LOWER)
+        owner, n_words, first = _owners(texts, s)
+        edge, items = np.zeros(len(h) + 1, np.int64), [set() for _ in texts]
+        for n, table in self.tables.items():
+            m = len(h) - n + 1
+            if m <= 0:
+                continue
+            inside = owner[:m] == owner[n - 1 :]
+            if n == self.window:
+                at, grams = _winnowed(h, owner, n, self.gram)
+                at = at[np.isin(grams, self.marks)]
+                near = np.zeros(len(h) + 1, np.int64)
+                np.add.at(near, np.maximum(at - (n - self.gram), 0), 1)
+                np.add.at(near, at + 1, -1)
+                inside &= np.cumsum(near)[:m] > 0  # the windows that a hit can be extended to
+            at = np.flatnonzero(inside)
+            which = table.lookup(window_hashes(h, n)[at])
+            at, which = at[which >= 0], which[which >= 0]
+            for doc in np.unique(owner[at]).tolist():
+                a, b = np.searchsorted(owner[at], [doc, doc + 1])
+                begin, end = first[doc], first[doc] + n_words[doc]
+                plain, place = _plain(text, s[begin:end], e[begin:end])
+                same = [plain[place[i - begin] : place[i - begin + n] - 1] == self.plain[self.place[j] : self.place[j + n] - 1] for i, j in zip(at[a:b].tolist(), table.at[which[a:b]].tolist(), strict=True)]
+                there, known = at[a:b][same], np.unique(which[a:b][same])
+                np.add.at(edge, there, 1)
+                np.add.at(edge, there + n, -1)
+                for j in known.tolist():
+                    items[doc].update(table.owners[table.begin[j] : table.begin[j + 1]].tolist())
+        return n_words, np.cumsum(edge[:-1]) > 0, items
+
+
+def _owners(texts: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words of texts joined by a line feed: the text of each word; the number of words and the first word of each text."""
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    owner = np.searchsorted(begins, starts, "right") - 1
+    n_words = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+    return owner, n_words, np.cumsum(n_words) - n_words
+
+
+def _plain(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words in lower case with one space between, and where each begins (one more for the end)."""
+    plain = b" ".join([text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]).lower()
+    return plain, np.concatenate([[0], np.cumsum(e - s + 1)]).astype(np.int32 if len(plain) < 1 << 31 else np.int64)
+
+
+def _winnowed(h: np.ndarray, owner: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the kept grams: of every run within one text the least."""
+    grams = window_hashes(h, gram)
+    grams[owner[: len(grams)] != owner[gram - 1 :][: len(grams)]] = U64(0xFFFFFFFFFFFFFFFF)
+    at = anchors(grams, window - gram + 1)
+    return at, grams[at]
 
 
 def blocks_of(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -101,15 +138,21 @@ def blocks_of(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def item_blocks(rows: Iterator, limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Rows (item, text) in blocks of at most limit bytes of text, or of one longer text; one empty block if there are none."""
+def item_blocks(rows: Iterator, limit: int) -> Iterator[list[tuple[list[str | None], bytes]]]:
+    """Rows (item, text), equal texts together, in blocks of at most limit bytes of text and ids, or of one longer text; one empty block
+    if there are none. A text whose ids don't fit goes on in the next block."""
     held, size = [], 0
     for item, text in rows:
-        if held and size + len(text) > limit:
+        again = bool(held) and held[-1][1] == text
+        cost = len(item or "") + (0 if again else len(text))
+        if held and size + cost > limit:
             yield held
-            held, size = [], 0
-        held.append((item, bytes(text)))
-        size += len(text)
+            held, size, again, cost = [], 0, False, len(item or "") + len(text)
+        if again:
+            held[-1][0].append(item)
+        else:
+            held.append(([item], bytes(text)))
+        size += cost
     yield held
 
 
@@ -125,7 +168,7 @@ def _finder(shared) -> Column:
                 if inside[doc]:
                     edge = np.diff(np.concatenate([[False], hit[at : at + n], [False]]).astype(np.int8))
                     spans.append([{"first": a, "last": b - 1} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)])
-                    names.append(sorted({items.names[j] for j in inside[doc]} - {None}))
+                    names.append(sorted({n for j in inside[doc] for n in items.names[j]} - {None}))
                 else:
                     spans.append([])
                     names.append([])
@@ -138,26 +181,36 @@ def _finder(shared) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", into: str = "contamination", block_limit: int = BLOCK_LIMIT) -> DataFrame:
     """docs with a struct column `into`: n_words, spans (first and last word of each hit stretch), items (ids as strings, sorted).
 
-    One narrow pass over docs when the benchmark's texts fit in block_limit; a larger benchmark is dealt into blocks by running bytes, so
-    that equal texts spread over blocks too, each one pass, written and reread in between. Null or wordless texts have no words and hit nothing; an item without words
-    has no windows; items with a null id mark words but are not listed; repeated rows give repeated rows; an empty benchmark hits
-    nothing. A column that is already named `into` is replaced.
+    One narrow pass over docs when the benchmark's distinct texts and ids fit in block_limit. A larger benchmark is dealt into blocks by
+    running bytes; each further block is a pass that writes only the texts with hits, by their digest, and these are joined with the last
+    pass. Null or wordless texts have no words and hit nothing; an item without words has no windows; items with a null id mark words but
+    are not listed; repeated rows give repeated rows; an empty benchmark hits nothing. A column that is already named `into` is replaced.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("binary").alias("text")).filter("text is not null")
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("binary").alias("text")).filter("text is not null").orderBy("text", "item")
     blocks = item_blocks(((r.item, r.text) for r in rows.toLocalIterator()), block_limit)
-    out, parts, block = docs.drop(into), [], next(blocks)
-    while block is not None:
-        parts.append(f"{into}_{len(parts)}")
-        shared = spark.sparkContext.broadcast(Items(block))
-        out = out.withColumn(parts[-1], _finder(shared)(F.col(f"`{text_col}`")))
-        block = next(blocks, None)
-        out = out if block is None else staged(out, "winnow")
-    one = F.col(f"`{parts[0]}`")
-    if len(parts) > 1:
-        merged = lambda f: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"`{p}`.{f}") for p in parts]))))
-        one = F.struct(one.n_words.alias("n_words"), merged("spans").alias("spans"), merged("items").alias("items"))
-    return out.withColumn(into, one).drop(*[p for p in parts if p != into])
+    text, docs, parts, block = F.col(f"`{text_col}`"), docs.drop(into), [], next(blocks)
+    own = "_winnow"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    digest, known, spans, items = (f"{own}{c}" for c in ("digest", "known", "spans", "items"))
+    for further in blocks:
+        found = _finder(spark.sparkContext.broadcast(Items(block)))
+        hits = docs.select(F.sha2(text.cast("binary"), 256).alias(digest), found(text).alias("f")).filter("size(f.spans) > 0")
+        parts.append(staged(hits.groupBy(digest).agg(F.first("f").alias("f")), "winnow"))
+        block = further
+    out = docs.withColumn(into, _finder(spark.sparkContext.broadcast(Items(block)))(text))
+    if not parts:
+        return out
+    hits = parts[0]
+    for more in parts[1:]:
+        hits = hits.unionByName(more)
+    hits = staged(hits.groupBy(digest).agg(F.collect_list("f.spans").alias(spans), F.collect_list("f.items").alias(items)), "winnow")
+    last = F.col(f"`{into}`")
+    merged = lambda more, mine: F.array_sort(F.array_distinct(F.concat(F.flatten(F.coalesce(F.col(more), F.array())), last[mine])))
+    out = out.withColumn(known, F.sha2(text.cast("binary"), 256)).join(hits.hint("merge"), F.col(known) == F.col(digest), "left")
+    both = F.struct(last["n_words"].alias("n_words"), merged(spans, "spans").alias("spans"), merged(items, "items").alias("items"))
+    return out.withColumn(into, F.when(F.col(digest).isNotNull(), both).otherwise(last)).drop(digest, known, spans, items)
 
 
 def verdict(found: Column) -> tuple[Column, Column]:
