@@ -36,7 +36,7 @@ LAYOUTS = {
 
 def fingerprint(paths: Iterable[str]) -> str:
     """The hash of a set of field paths, whatever their order."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode(errors="surrogatepass")).hexdigest()[:16]
 
 
 MAPPINGS = {fingerprint(m["paths"]): m | {"layout": name} for name, m in LAYOUTS.items()}
@@ -52,9 +52,9 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def value_paths(value, at: str = "") -> set[str]:
-    """Leaf paths of a parsed JSON record; empty lists count as lists of nothing."""
+    """Leaf paths of a parsed JSON record; empty lists count as lists of nothing, empty objects as a leaf of their own kind."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)} or {f"{at}{{}}"}
     if isinstance(value, list):
         return {p for v in value for p in value_paths(v, f"{at}[]")} or {f"{at}[]"}
     return {at}
@@ -91,22 +91,38 @@ def _joined(texts: list[Column]) -> Column:
     return texts[0] if len(texts) == 1 else F.array_join(F.filter(F.array(*texts), lambda t: t != ""), "\n\n")
 
 
+def _clean(text: str) -> str:
+    """Lone surrogates, which JSON can escape and UTF-8 cannot hold, become replacement characters."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _text(value) -> str:
+    return "" if value is None else _clean(value) if isinstance(value, str) else _clean(json.dumps(value, ensure_ascii=False))
+
+
 def _record_turns(value) -> tuple[str | None, list[dict] | None]:
+    """Layout and turns of a record; nulls where no mapping fits its paths or its values aren't of the kinds that the mapping needs."""
     found = MAPPINGS.get(fingerprint(value_paths(value)))
     if found is None:
         return None, None
-    text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     if "list" in found:
         items = value[found["list"]]
+        if not isinstance(items, list) or not all(isinstance(t, dict) for t in items):
+            return None, None
         if "order" in found:
-            items = sorted(items, key=lambda t: (t[found["order"]] is not None, t[found["order"]]))
-        return found["layout"], [{"role": found.get("roles", {}).get(t.get(found["role"]), text(t.get(found["role"]))), "text": text(t.get(found["text"]))} for t in items]
+            orders = [t.get(found["order"]) for t in items]
+            if not all(o is None or isinstance(o, int | float) and not isinstance(o, bool) for o in orders):
+                return None, None
+            items = sorted(items, key=lambda t: (t.get(found["order"]) is not None, t.get(found["order"]) or 0))
+        named = found.get("roles", {})
+        roles = [_text(t.get(found["role"])) for t in items]
+        return found["layout"], [{"role": named.get(r, r), "text": _text(t.get(found["text"]))} for r, t in zip(roles, items, strict=True)]
 
     def at(path: str):
         v = value
         for part in path.split("."):
             v = v[part]
-        return text(v)
+        return _text(v)
 
     turns = [{"role": role, "text": "\n\n".join(x for x in map(at, paths) if x)} for role, paths in found["fixed"]]
     return found["layout"], [t for t in turns if t["role"] != "system" or t["text"]]
@@ -115,8 +131,9 @@ def _record_turns(value) -> tuple[str | None, list[dict] | None]:
 def from_json_records(records: Column) -> Column:
     """Canonical turns of JSON records of mixed layouts, each by its own fingerprint: a struct of fingerprint, layout and turns.
 
-    A record of an unknown layout keeps its fingerprint and has null layout and turns, so that it can be counted and mapped; text that
-    isn't a JSON object has a null fingerprint as well.
+    A record of an unknown layout, or with turn orders that aren't all numbers, keeps its fingerprint and has null layout and turns, so
+    that it can be counted and mapped; text that isn't a JSON object has a null fingerprint as well. Roles and texts that aren't strings
+    are taken as JSON; lone surrogates become replacement characters.
     """
     return F.arrow_udf(_from_json_records, f"struct<fingerprint: string, layout: string, turns: {TURNS}>")(records)
 
@@ -209,10 +226,22 @@ def conversations(rows: DataFrame, id_col: str = "conv_id", order_col: str = "tu
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: all conversations and conversation -1, which comes in another layout."""
+    """op2: all conversations and conversation -1.
+
+    A conversation arrives in one of three layouts, by a hash of its id: rows with a turn order, a list of messages, or such a list as a
+    JSON record, read by the fingerprint of each record.
+    """
     probe = "</s>[INST] ok [/INST]"
+    rows = conversations(table(spark, sf_dir, "conversations"))
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    said = F.transform(F.array_sort(F.transform("turns", lambda t: F.struct(t["order"].alias("o"), F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
     extra = spark.createDataFrame([(-1, [("user", probe), ("assistant", probe)])], "conv_id long, messages array<struct<role: string, content: string>>")
-    turns = from_struct(conversations(table(spark, sf_dir, "conversations")), ["turns"]).select("conv_id", "turns").unionByName(from_struct(extra, ["messages"]).select("conv_id", "turns"))
+    messages = rows.filter(kind == 1).select("conv_id", said.alias("messages"))
+    records = rows.filter(kind == 2).select("conv_id", F.to_json(F.struct(said.alias("messages"))).alias("record"))
+    turns = from_struct(rows.filter(kind == 0), ["turns"]).select("conv_id", "turns")
+    for more in (messages, extra):
+        turns = turns.unionByName(from_struct(more, ["messages"]).select("conv_id", "turns"))
+    turns = turns.unionByName(records.select("conv_id", from_json_records(F.col("record"))["turns"].alias("turns")))
     return formatted(turns).select("conv_id", read_back(F.col("formatted"), F.col("loss_spans")).alias("r")).select("conv_id", "r.*")
 
 

@@ -30,13 +30,19 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def _open(path: str, mode: str):
     from pyarrow import fs
 
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    where, name = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
     if mode == "w":
         where.create_dir(name.rpartition("/")[0], recursive=True)
         return where.open_output_stream(name, compression=None)
     return where.open_input_file(name)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that Spark takes it to be on, so that tasks, whose own default may differ, find it there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -77,6 +83,7 @@ def write(df: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url
     always responses and are never referred to. Each task attempt writes files of its own, and only those named in the index count, so
     lost executors and repeated attempts do no harm. Other columns are ignored.
     """
+    root = qualified(df.sparkSession, root)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     key = F.col(f"`{id_col}`")
     rows = df.select(key.alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
@@ -115,7 +122,7 @@ def read(index: DataFrame, with_payload: bool = True, verify: bool = True) -> Da
     unless declined, payload (null for revisits).
 
     Ranges are dealt by file and megabyte run, sorted by offset, and neighbours closer than GAP_BYTES become one read. With verify, a
-    payload whose digest differs from its header fails the job. A selection may repeat rows; the record is then returned as often.
+    payload whose digest or length differs from its headers fails the job. A selection may repeat rows; the record is then returned as often.
     """
     runs = index.select("file", "offset", "length").filter("file is not null").withColumn("run", F.floor(F.col("offset") / RUN_BYTES))
 
@@ -133,8 +140,8 @@ def read(index: DataFrame, with_payload: bool = True, verify: bool = True) -> Da
                 r = parsed(data[o - first : o - first + n])
                 fields, revisit = r["fields"], r["fields"]["WARC-Type"] == "revisit"
                 sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if verify and not revisit and digest(r["payload"]) != sha:
-                    raise ValueError(f"digest mismatch in {name} at {o}")
+                if verify and not revisit and (digest(r["payload"]) != sha or len(r["payload"]) != r["payload_bytes"]):
+                    raise ValueError(f"digest or length mismatch in {name} at {o}")
                 rid = re.fullmatch("<urn:record:(.*)>", fields["WARC-Record-ID"], re.S)[1]
                 refers = re.fullmatch("<urn:record:(.*)>", fields["WARC-Refers-To"], re.S)[1] if revisit else None
                 for k, v in zip(found, (None if rid.startswith("none-") else rid, fields.get("WARC-Target-URI"), fields["WARC-Type"], refers, r["payload_bytes"], sha, None if revisit or not with_payload else r["payload"]), strict=True):

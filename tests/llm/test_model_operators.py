@@ -1,6 +1,7 @@
 """Operators 4, 8, 9 and 10, the graph helper and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -165,6 +166,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert least == 0
 
 
+def test_warc_paths_are_qualified_and_lengths_verified(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)).startswith("file:/")
+    index = warc.write(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), str(tmp_path / "q"))
+    row = index.first()
+    assert row.file.startswith("file:")
+    path = "/" + row.file.removeprefix("file:").lstrip("/")
+    wrong = warc.record("1", "u", b"abc", warc.digest(b"abc"), None, "d")
+    body = gzip.decompress(wrong).replace(b"Content-Length: 3\r", b"Content-Length: 4\r")
+    member = gzip.compress(body)
+    with open(path, "wb") as f:
+        f.write(member)
+    bad = index.withColumn("length", F.lit(len(member)).cast("long"))
+    with pytest.raises(Exception, match="mismatch"):
+        warc.read(bad).collect()
+
+
 def brute_url(u):
     if not u or "://" not in u:
         return "", "", None, None

@@ -106,6 +106,18 @@ def test_chat_layouts(spark):
     assert [t.asDict() for t in chat.from_struct(nested, ["prompt", "response"]).first().turns] == pair
 
 
+def test_odd_json_records_do_not_fail_the_job(spark):
+    odd = [
+        '{"turns":[{"order":1,"role":"a","text":"x"},{"order":"2","role":"b","text":"y"}]}', '{"conversations":[{"from":{},"value":"x"},{"from":"human","value":"q"}]}', '{"prompt":"\\ud800","completion":"x"}',
+        '{"turns":[{"order":2,"role":"b","text":"y"},{"order":null,"role":null,"text":7},{"order":1.5,"role":["r"],"text":{"k":1}}]}', '{"messages":[{"role":"a"},{"content":"x"}]}', '{"\\ud800":1}', '{"messages":[]}', '[1]', "", '{"prompt":{},"completion":"x"}',
+    ]
+    out = [r.r for r in spark.createDataFrame([(o,) for o in odd], "j string").coalesce(1).select(chat.from_json_records(F.col("j")).alias("r")).collect()]
+    assert [r.layout for r in out] == [None, None, "prompt", None, "messages", None, None, None, None, None]
+    assert out[2].turns[0].text == "\ufffd" and [(t.role, t.text) for t in out[4].turns] == [("a", ""), ("", "x")]
+    numbers = spark.createDataFrame([('{"turns":[{"order":2,"role":"b","text":"y"},{"order":null,"role":null,"text":7},{"order":1.5,"role":"r","text":null}]}',)], "j string")
+    assert [(t.role, t.text) for t in numbers.select(chat.from_json_records(F.col("j")).alias("r")).first().r.turns] == [("", "7"), ("r", ""), ("b", "y")]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -158,7 +170,7 @@ def test_an_item_across_neighbouring_rows_hits_both(spark):
     """A page stored as two rows, cut through a benchmark passage: both rows lie on one alignment of the item."""
     item = [f"w{i}" for i in range(60)]
     texts = [" ".join(["p", "q", *item[:30]]), " ".join([*item[30:], "r", "s"]), "nothing here"]
-    assert all(len(found) == 1 for found in winnowing.Items([("7", " ".join(item).encode())]).find([t.encode() for t in texts])[2][:2])
+    assert all(len(found) == 1 for found in winnowing.Items([(["7"], " ".join(item).encode())]).find([t.encode() for t in texts])[2][:2])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     found = winnowing.contamination(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
     n_hit, bad = winnowing.verdict(F.col("contamination"))
@@ -179,17 +191,32 @@ def test_contaminated_documents_go_from_the_pipeline(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(r for r in map(tuple, docs.collect()) if r[0] in want) and 3 < len(want) < len(texts)
 
 
-def test_equal_items_keep_to_the_block_limit(spark, monkeypatch):
-    """A benchmark of one text under 30 ids: every block is within the limit and every id is found."""
+def test_equal_items_are_one_text_of_a_block(spark, monkeypatch):
+    """A benchmark of one text under 10,000 ids: every block keeps to the limit and every id is found."""
     item = " ".join(f"w{i}" for i in range(20))
     sizes, real = [], winnowing.Items.__init__
-    monkeypatch.setattr(winnowing.Items, "__init__", lambda self, rows: (sizes.append(sum(len(t) for _, t in rows)), real(self, rows))[1])
-    df = docs_df(spark, [item + " and more", "nothing here"])
-    found = winnowing.contamination(df, spark.createDataFrame([(j, item) for j in range(30)], "item_id long, text string"), block_limit=10 * len(item))
-    assert len(sizes) == 3 and max(sizes) <= 10 * len(item)
+    monkeypatch.setattr(winnowing.Items, "__init__", lambda self, rows: (sizes.append(sum(len(t) + sum(len(n) for n in names) for names, t in rows)), real(self, rows))[1])
+    df = docs_df(spark, [item + " and more", "nothing here", None, "x " + item])
+    bench = spark.range(10_000).select(F.col("id").alias("item_id"), F.lit(item).alias("text"))
+    found = winnowing.contamination(df.withColumn("_winnowdigest", F.lit("mine")), bench, block_limit=20_000)
+    assert len(sizes) == 2 and max(sizes) <= 20_000
     got = {r.doc_id: sorted(map(int, r.contamination["items"])) for r in found.collect()}
-    assert got == {0: list(range(30)), 1: []}
-    assert [sum(len(t) for _, t in b) for b in winnowing.item_blocks(iter([("a", b"xx"), ("b", b"yyy"), ("c", b"zzzzzzz"), (None, b"v")]), 5)] == [5, 7, 1]
+    assert got == {0: list(range(10_000)), 1: [], 2: [], 3: list(range(10_000))}
+    assert [sum(len(t) for _, t in b) for b in winnowing.item_blocks(iter([("a", b"xx"), ("b", b"yyy"), ("c", b"zzzzzzz"), (None, b"v")]), 7)] == [5, 7, 1]
+    assert [n for n, _ in next(winnowing.item_blocks(iter([("a", b"xx"), ("b", b"xx"), ("c", b"y")]), 50))] == [["a", "b"], ["c"]]
+
+
+def test_a_million_equal_words_are_linear():
+    """Time and memory grow with the words of document and item, not with their product."""
+    import resource
+    import time
+
+    items = winnowing.Items([(["1"], b"a " * 2000), (["2"], b"a b " * 500), (["3"], b"a a")])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    n_words, hit, found = items.find([b"a " * 1_000_000, b"b a " * 100, b"b b"])
+    assert n_words.tolist() == [1_000_000, 200, 2] and hit[:1_000_000].all() and hit[1_000_000:1_000_200].all() and not hit[1_000_200:].any()
+    assert found == [{0, 2}, {1}, set()]
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
 
 
 def brute_quality(t):
