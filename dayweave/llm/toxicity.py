@@ -17,20 +17,25 @@ from pyspark.sql import functions as F
 
 from dayweave.llm.common import ALNUM_WORDS, LOWER, U64, mix, scan_words, table, utf8_column
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_DIM = CHAR_DIM = 8
 HIDDEN, ATTENTION = 8, 8
 CHAR_BUCKETS = 1 << 14
 #: Toxic labelled documents that training may gather at most, chosen by a hash of the id; clean ones for each of them, and the bytes of all.
 SAMPLE_TOXIC, CLEAN_SHARE, SAMPLE_BYTES = 800, 4, 20 << 20
-#: Of the clean ones so many for each toxic one are trained on, if there are as many LEAST_CLEAN; the others calibrate, and CHOOSE of those kept
-#: choose between epochs.
-TRAIN_CLEAN, LEAST_CLEAN, CHOOSE = 1.5, 400, 400
+#: The longest text, or stretch of one, of the sample.
+LONG_BYTES = SAMPLE_BYTES // 64
+#: Of the clean ones so many for each toxic one are trained on throughout, if there are as many LEAST_CLEAN. Of the others one half is searched
+#: in every epoch for the worst-scoring ones, one for every HARD_SHARE toxic ones, which are trained on too; the other half calibrates, and
+#: CHOOSE of those kept choose between epochs.
+TRAIN_CLEAN, LEAST_CLEAN, CHOOSE, HARD_SHARE = 1.5, 400, 400, 3
 #: Windows of one document that training looks at.
 TRAIN_WINDOWS = 96
 EPOCHS, RATE, SEED = 6, 0.01, 7
 #: Small samples are gone through more often, until so many steps are made.
 LEAST_STEPS = 240
+#: Shrinkage of the calibrating slope over standardised logits.
+SHRINK = 0.5
 FOLDS = 5
 BLOCK = 4 << 20
 
@@ -212,8 +217,8 @@ class Network:
 
 
 def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) -> Network:
-    """A network for labelled texts, the same for the same input. A fifth of the toxic ones and the rest of the clean ones are kept to choose
-    between epochs and to calibrate.
+    """A network for labelled texts, the same for the same input. A fifth of the toxic ones and half of the clean ones not trained on
+    throughout are kept to choose between epochs and to calibrate; the other half is searched for hard cases.
 
     share: of toxic ones among all labelled documents, where the sample is more even than they are; scores are calibrated to it.
 
@@ -228,13 +233,15 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) ->
     n_toxic = int(toxic.sum())
     chance = np.where(toxic > 0, 0.8, min(0.8, 0.8 * max(LEAST_CLEAN, TRAIN_CLEAN * n_toxic) / (len(toxic) - n_toxic)))
     fit = rng.random(len(texts)) < chance
-    held = ~fit
+    searched = ~fit & (toxic == 0) & (rng.random(len(texts)) < 0.5)
+    held = ~fit & ~searched
     if toxic[fit].min(initial=1) == toxic[fit].max(initial=0):
-        fit[:] = True
+        fit[:], searched[:] = True, False
     if not held.any() or toxic[held].min() == toxic[held].max():
         held = fit.copy()
     check, answers = [t for t, h in zip(texts, held, strict=True) if h], toxic[held]
-    texts, toxic = [t for t, f in zip(texts, fit, strict=True) if f], toxic[fit]
+    fit |= searched
+    texts, toxic, searched = [t for t, f in zip(texts, fit, strict=True) if f], toxic[fit], searched[fit]
     few = np.sort(np.concatenate([np.flatnonzero(answers > 0)[: CHOOSE // 2], np.flatnonzero(answers == 0)[: CHOOSE // 2]]))
     words = Words(texts)
     own = np.repeat(np.arange(len(texts)), words.n_words)
@@ -277,8 +284,11 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) ->
         order = np.lexsort((-logit, doc))
         begin = np.flatnonzero(np.diff(doc[order], prepend=-1))
         rank = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
-        y = toxic[doc[order]] > 0
-        use = order[np.where(y, rank < 2, (rank < 3) | (rng.random(len(doc)) < 0.1))]
+        y, pool = toxic[doc[order]] > 0, searched[doc[order]]
+        hard = np.zeros(len(texts), bool)
+        tops = order[(rank == 0) & pool]
+        hard[doc[tops[np.argsort(-logit[tops], kind="stable")[: int(toxic.sum() / HARD_SHARE)]]]] = True
+        use = order[np.where(y, rank < 2, np.where(pool, (rank == 0) & hard[doc[order]], (rank < 3) | (rng.random(len(doc)) < 0.1)))]
         rng.shuffle(use)
         features = net.features(words)
         for k in range(0, len(use), 128):
@@ -328,20 +338,25 @@ def _step(net: Network, words: Words, row: np.ndarray, g: dict, moments: dict, s
 
 
 def _calibrate(logit: np.ndarray, toxic: np.ndarray, share: float | None) -> tuple[float, float, float]:
-    """Slope and shift of a logistic fit by Newton's method with a little shrinkage, and its loss; the classes weigh as share says."""
+    """Slope and shift of a logistic fit by damped Newton steps with a little shrinkage of the slope, and its loss; the classes weigh as share says."""
     x, y = np.stack([logit.astype(np.float64), np.ones(len(logit))], axis=1), toxic.astype(np.float64)
     mine = (y.sum() + 0.5) / (len(y) + 1)
     weight = np.where(y > 0, (share or mine) / mine, (1 - (share or mine)) / (1 - mine))
-    w = np.array([1.0, 0.0])
+    centre, scale = x[:, 0].mean(), x[:, 0].std() + 1e-6
+    x[:, 0] = (x[:, 0] - centre) / scale
+    cost = lambda w: float((weight * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + 0.5 * SHRINK * w[0] ** 2)
+    w = np.zeros(2)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.eye(2) * 0.05
-        new = w - np.linalg.solve(hess, x.T @ (weight * (q - y)) + 0.05 * (w - [1, 0]))
-        if not np.isfinite(new).all() or np.abs(new - w).max() < 1e-8:
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([SHRINK, 1e-6])
+        step, length = np.linalg.solve(hess, x.T @ (weight * (q - y)) + np.array([SHRINK * w[0], 0])), 1.0
+        while cost(w - length * step) > cost(w) and length > 1e-6:
+            length /= 2
+        w = w - length * step
+        if np.abs(length * step).max() < 1e-8:
             break
-        w = new
-    if w[0] <= 0:
-        w = np.array([1.0, 0.0])
+    w = np.array([max(w[0], 1e-3) / scale, w[1] - max(w[0], 1e-3) / scale * centre])
+    x[:, 0] = x[:, 0] * scale + centre
     q = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -40, 40))), 1e-9, 1 - 1e-9)
     return float(w[0]), float(w[1]), float(-(weight * (y * np.log(q) + (1 - y) * np.log(1 - q))).mean())
 
@@ -357,7 +372,9 @@ def fold(id_col: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC) -> Network:
     """A network trained on at most most_toxic toxic and CLEAN_SHARE times as many clean labelled documents outside fold 0.
 
-    The sample is chosen by a hash of the id, among labels that are 0 or 1; texts are gathered up to SAMPLE_BYTES, longer ones last.
+    The sample is chosen by a hash of the id, among labels that are 0 or 1; texts are gathered in the order of a hash, whatever their
+    length, up to SAMPLE_BYTES. Of a clean text over LONG_BYTES a stretch of that length from a place chosen by hash is learned from, as its label
+    holds for every part; a toxic text over LONG_BYTES is left out of the sample, as its label may not hold for a part.
     """
     key = F.col(f"`{id_col}`").cast("long")
     known = labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(fold(F.col("id")) != 0)
@@ -365,9 +382,12 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = min(0.95, max(0.001, n.get(1, 0) / max(1, sum(n.values()))))
     order = F.xxhash64("id", F.lit(SEED))
     sample = known.filter("y = 0").orderBy(order).limit(CLEAN_SHARE * most_toxic).unionByName(known.filter("y = 1").orderBy(order).limit(most_toxic))
-    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES // 64).join(F.broadcast(sample), "id")  # at most (1 + CLEAN_SHARE) * most_toxic rows
+    text = F.col("text")
+    rows = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).filter("text is not null").join(F.broadcast(sample), "id")  # at most (1 + CLEAN_SHARE) * most_toxic rows
+    begin = F.pmod(F.xxhash64("id", F.octet_length(text)), F.greatest(F.lit(1), F.octet_length(text) - LONG_BYTES)).cast("int") + 1
+    rows = rows.filter((F.col("y") == 0) | (F.octet_length(text) <= LONG_BYTES)).withColumn("text", F.when(F.octet_length(text) > LONG_BYTES, F.substring(text, begin, F.lit(LONG_BYTES))).otherwise(text))
     found, held = [], 0
-    for r in sorted(rows.orderBy(F.xxhash64("id", "text")).limit((1 + CLEAN_SHARE) * most_toxic).toLocalIterator(), key=lambda r: (len(r.text), r.id, bytes(r.text))):
+    for r in rows.orderBy(F.xxhash64("id", "text"), "id", "text").limit((1 + CLEAN_SHARE) * most_toxic).toLocalIterator():
         held += len(r.text)
         if held > SAMPLE_BYTES:
             break
