@@ -124,6 +124,74 @@ def test_gradients_equal_differences(monkeypatch):
             assert g[name].reshape(-1)[i] == pytest.approx((up - down) / 2 / h, abs=2e-4), name
 
 
+def scalar_score(net, text):
+    """The score of one text by loops over words, windows and units, from the parameters alone."""
+    import math
+    import re
+
+    def word_hash(w):
+        return int(toxicity.Words([w]).hash[0])
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    p, H = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    words = [w.lower() for w in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    known = net.vocabulary.tolist()
+
+    def vector(w):
+        marked, grams = b"\x01" + w + b"\x02", []
+        for k in (3, 4):
+            for i in range(len(marked) - k + 1):
+                code = k
+                for c in marked[i : i + k]:
+                    code = (code * 257 + c) % 2**64
+                grams.append(int(toxicity.mix(np.array([code], np.uint64))[0]) % toxicity.CHAR_BUCKETS)
+        own = p["word"][known.index(word_hash(w)) + 1 if word_hash(w) in known else 0]
+        return list(own) + ([sum(p["char"][g][j] for g in grams) / len(grams) for j in range(toxicity.CHAR_DIM)] if grams else [0.0] * toxicity.CHAR_DIM)
+
+    def logit(window):
+        x = [vector(w) for w in window]
+        states = [[None] * len(x), [None] * len(x)]
+        for d, u in enumerate((p["uf"], p["ub"])):
+            h = [0.0] * H
+            for t in range(len(x)) if d == 0 else reversed(range(len(x))):
+                g = [p["bx"][3 * H * d + j] + sum(x[t][i] * p["wx"][i][3 * H * d + j] for i in range(len(x[t]))) for j in range(3 * H)]
+                v = [sum(h[i] * u[i][j] for i in range(H)) for j in range(3 * H)]
+                z, r = [sigmoid(g[j] + v[j]) for j in range(H)], [sigmoid(g[H + j] + v[H + j]) for j in range(H)]
+                c = [math.tanh(g[2 * H + j] + r[j] * v[2 * H + j]) for j in range(H)]
+                h = [c[j] + z[j] * (h[j] - c[j]) for j in range(H)]
+                states[d][t] = h
+        both = [states[0][t] + states[1][t] for t in range(len(x))]
+        e = [sum(math.tanh(sum(b[i] * p["wa"][i][a] for i in range(2 * H)) + p["ba"][a]) * p["va"][a] for a in range(toxicity.ATTENTION)) for b in both]
+        w = [math.exp(v - max(e)) for v in e]
+        pooled = [sum(w[t] * both[t][i] for t in range(len(x))) / sum(w) for i in range(2 * H)]
+        return sum(pooled[i] * p["wo"][i] for i in range(2 * H)) + p["bo"][0]
+
+    n, L, S = len(words), toxicity.WINDOW, toxicity.STRIDE
+    starts = [] if not n else [0] if n <= L else sorted({*range(0, n - L, S), n - L})
+    worst = max((logit(words[i : i + L]) for i in starts), default=p["bo"][0])
+    return sigmoid(max(-60, min(60, net.slope * worst + net.shift)))
+
+
+def test_scores_equal_scalar_recomputation():
+    rng = random.Random(5)
+    say = lambda n, bad: " ".join(rng.choice(["vile", "Évil-x"] if bad and rng.random() < 0.1 else ["ma", "na", "Pel", "dor7", "日本"]) for _ in range(n)).encode()
+    texts = [say(rng.randrange(5, 60), i % 3 == 0) for i in range(60)]
+    net = toxicity.train(texts, np.array([i % 3 == 0 for i in range(60)], np.float32))
+    some = [b"", b"one", b" . ", *texts[:4], say(32, False), say(33, True), say(90, True)]
+    assert net.score(some) == pytest.approx([scalar_score(net, t) for t in some], abs=2e-3)
+
+
+def test_long_labelled_texts_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LONG_BYTES", 500)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, share: seen.append((texts, y)))
+    docs = spark.createDataFrame([(i, "word " * (40 if i % 2 else 400)) for i in range(100)] + [(500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)] + [(500, 0)], "doc_id long, toxic int")
+    toxicity.fitted(docs, labels)
+    texts, y = seen[0]
+    assert max(map(len, texts)) == 500 and any(len(t) == 500 for t, v in zip(texts, y) if not v) and not any(len(t) > 500 for t in texts) and not y.any()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     clean = [f"{a}{b}" for a in ("ma", "to", "ri", "ke", "lu") for b in ("na", "pel", "dor", "sin")]
@@ -209,6 +277,55 @@ def test_urls_equal_brute_force(spark):
     assert {r.verdict for r in url_filter.judged(df.filter("page_id = 9")).collect()} == {"allow"}
 
 
+def test_url_verdicts_equal_plain_recomputation(spark):
+    """Counts, Witten-Bell models, mean differences, threshold and verdicts by dictionaries and loops."""
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(8)
+    urls = [f"http://{rng.choice(['blog', 'shop', 'news'])}.{t}/{rng.choice(['en', 'es', 'fr'])}/{rng.choice(['a', 'Page', 'x9-'])}{rng.randrange(999)}" for t in ("com", "net", "org") for _ in range(120)] + ["", "é://x", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_filter.judged(df).collect()}
+    folds = {r.page_id: r.f for r in df.select("page_id", F.pmod(F.xxhash64("url"), F.lit(url_filter.FOLDS)).alias("f")).collect()}
+
+    def symbols(u):
+        names = {c: i + 2 for i, c in enumerate(url_filter.ALPHABET)}
+        low = [chr(b).lower() if b < 128 else "\x00" for b in (u or "").encode()]
+        return [0] * url_filter.ORDER + [names.get("0" if c in "123456789" else c, 1) for c in low]
+
+    counts = {v: defaultdict(Counter) for v in ("allow", "block")}
+    for i, u in enumerate(urls):
+        verdict = brute_url(u)[3]
+        if verdict and folds[i] != 0:
+            s = symbols(u)
+            for k in range(url_filter.ORDER, len(s)):
+                for order in range(url_filter.ORDER + 1):
+                    counts[verdict][order, tuple(s[k - order : k])][s[k]] += 1
+
+    def chance(verdict, before, c):
+        p = 1 / url_filter.SIZE
+        for order in range(url_filter.ORDER + 1):
+            seen = counts[verdict][order, tuple(before[len(before) - order :])]
+            kinds = len(seen) or 1
+            p = (seen[c] + kinds * p) / (sum(seen.values()) + kinds)
+        return p
+
+    def score(u):
+        s = symbols(u)
+        d = [math.log(chance("allow", s[k - url_filter.ORDER : k], s[k])) - math.log(chance("block", s[k - url_filter.ORDER : k], s[k])) for k in range(url_filter.ORDER, len(s))]
+        return sum(d) / max(1, len(d))
+
+    scores = [score(u) for u in urls]
+    assert [got[i].score for i in range(len(urls))] == pytest.approx(scores, abs=1e-4)
+    kept = {v: [x for x, (i, u) in zip(scores, enumerate(urls)) if folds[i] == 0 and brute_url(u)[3] == v] for v in ("allow", "block")}
+    good = lambda t: sum(x >= t for x in kept["allow"]) / len(kept["allow"]) + sum(x < t for x in kept["block"]) / len(kept["block"])
+    cuts = sorted({got[i].score for i in range(len(urls))})
+    edge = max(got[i].score for i in range(len(urls)) if got[i].verdict == "block" and not brute_url(urls[i])[3])
+    first = min(got[i].score for i in range(len(urls)) if got[i].verdict == "allow" and not brute_url(urls[i])[3])
+    assert edge < first and good((edge + first) / 2) >= max(map(good, cuts)) - 1e-9
+    assert all(r.verdict == brute_url(urls[i])[3] for i, r in got.items() if brute_url(urls[i])[3])
+
+
 def test_markov_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     counts = np.zeros((url_filter.SIZE,) * 4)
