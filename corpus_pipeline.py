@@ -12,13 +12,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject, unchanged."""
+    """Documents that the toxicity model does not reject, unchanged. Null and empty texts are scored as empty; equal texts score alike, so
+    ties and repeated rows stay or go together; columns named like the score are not touched."""
     net = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.scorer(spark, net)(F.col("text")) < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines and long lines that occur before; n_chars follows the text."""
+    """All documents, without chunks of lines and long lines that occur before; n_chars follows the text.
+
+    Rows that agree in id and text are one document and are cut alike; null texts stay null, with their n_chars. Of equal chunks the one
+    with the smallest id stays, null ids first, then the earliest in its document.
+    """
     out = lines.without_repeated_passages(docs)
     return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
@@ -36,13 +41,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark windows, unchanged."""
+    """Documents of which less than a twentieth of the words lies in benchmark windows, unchanged, repeated rows included. Null and
+    wordless texts stay."""
     found = winnowing.contamination(docs, table(spark, sf_dir, "benchmark"), into="_contamination")
     return found.filter(~winnowing.verdict(F.col("_contamination"))[1]).select(*docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of the ids and of the decoded bytes."""
+    """A row per document, repeated rows included: token counts, and digests of the ids and of the decoded bytes; null counts as empty."""
     import public_tokenizers
 
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -56,7 +62,7 @@ STAGES = [
     ("byte_bpe", tokenized),
 ]
 
-#: Trained scores, XXH64 and token merges are beyond SQL; tests hold line dedup and decontamination against brute force.
+#: Trained scores, XXH64 and token merges are beyond SQL; tests hold run()'s rows against a plain chain of the five stages.
 ORACLE_SQL = None
 
 
