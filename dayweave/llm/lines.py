@@ -65,7 +65,7 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """docs with text_col shortened, and n_lines, n_removed_lines (long; columns of these names are replaced).
 
     The occurrence with the smallest id, then the earliest in its document, stays (null ids come first). Only chunks of two lines or
-    more with a character other than white space are compared. Rows that agree in id and text are one document and treated alike. Null
+    more with a character other than white space are compared. Rows that agree in id and text (by 64 bits of hash) are one document and treated alike. Null
     text stays null, with no lines; a text whose chunks all go becomes empty. Hashes are aggregated before anything is moved; texts are
     moved once to find repeated chunks and once to apply the result, by keys that Spark can split when skewed.
     """
@@ -78,11 +78,12 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"))
     joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
-    cut = _cut(joined, raw, mean_lines)
-    kept = F.filter(_chunks(), lambda c: ~F.array_contains("_gone", c["k"]))
-    removed = F.aggregate(F.filter(_chunks(), lambda c: F.array_contains("_gone", c["k"])), F.lit(0), lambda n, c: n + c["n_lines"])
     some = F.col("_gone").isNotNull()
-    text = F.when(some, F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n")).otherwise(raw)
+    cut = _cut(joined, raw, mean_lines)
+    # array_except hashes: linear in the chunks of a text.
+    cut = cut.withColumn("_all", F.when(some, _chunks())).withColumn("_stay", F.when(some, F.array_except(F.sequence(F.lit(0), F.size("_ends") - 1), "_gone")))
+    text = F.when(some, F.array_join(F.transform("_stay", lambda k: F.get("_all", k)["chunk"]), "\n")).otherwise(raw)
+    removed = F.size("_lines") - F.aggregate("_stay", F.lit(0), lambda n, k: n + F.get("_all", k)["n_lines"])
     columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
     return cut.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.when(some, removed).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
 

@@ -266,6 +266,15 @@ def test_lines_equal_sql(spark):
     assert lines.without_repeated_chunks(df.limit(0)).count() == 0
 
 
+def test_many_chunks_of_one_text_are_linear(spark):
+    import time
+
+    long = "\n".join(f"line {i}" for i in range(300_000))
+    began = time.time()
+    out = {r.doc_id: r for r in lines.without_repeated_chunks(docs_df(spark, [long, long + "\nend"])).collect()}
+    assert out[0].text == long and out[1].n_removed_lines > 100_000 and time.time() - began < 120
+
+
 def brute_passages(texts, ids):
     """Texts without the lines that stand in a chunk, or are a long line, that occurs before; units in order of id and first line."""
     white = " \t\n\x0b\x0c\r"
