@@ -79,9 +79,11 @@ def with_drift(scored: DataFrame, config: Thresholds = Thresholds(), subject: st
         (observable(config) & F.col("z").isNotNull()).alias("ruled"),
         (F.col("n_days") >= config.cusum_warmup).alias("warm"),
         F.array(*[F.get("z", i) for i in at]).alias("z"),
+        F.struct(*[F.col(f"`{c}`") for c in scored.columns]).alias("row"),
     )
+    # The whole row is folded along, so that what scored computes is neither joined nor computed again.
     folded = scored.groupBy(subject).agg(F.array_sort(F.collect_list(day)).alias("days"))
-    kind = "struct<day: date, reported: array<double>, carried: array<double>>"
+    kind = "struct<reported: array<double>, carried: array<double>>"
     zero = F.array(*[F.lit(0.0)] * len(names))
     start = F.struct(zero.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
 
@@ -89,10 +91,10 @@ def with_drift(scored: DataFrame, config: Thresholds = Thresholds(), subject: st
         stat = lambda s, z: F.when(~d["open"] | z.isNull(), s).when(~d["warm"], 0.0).otherwise(F.greatest(F.lit(0.0), config.cusum_decay * s - z - config.cusum_slack))
         reported = F.zip_with(state["s"], d["z"], stat)
         carried = F.transform(reported, lambda s, i: F.when(d["ruled"] & i.isin(*[names.index(n) for n in own]) & (s >= config.cusum_limit), 0.0).otherwise(s))
-        return F.struct(carried.alias("s"), F.concat(state["out"], F.array(F.struct(d["day"].alias("day"), reported.alias("reported"), carried.alias("carried")))).alias("out"))
+        return F.struct(carried.alias("s"), F.concat(state["out"], F.array(F.struct(reported.alias("reported"), carried.alias("carried")))).alias("out"))
 
-    days = folded.select(subject, F.inline(F.aggregate("days", start, step, lambda s: s["out"])))
-    return scored.join(days.select(subject, "day", "reported", "carried"), [subject, "day"])
+    found = folded.withColumn("_s", F.aggregate("days", start, step, lambda s: s["out"]))
+    return found.select(F.inline(F.zip_with("days", "_s", lambda d, s: F.struct(d["row"].alias("row"), s.alias("s"))))).select("row.*", "s.reported", "s.carried")
 
 
 def with_sustained(scored: DataFrame, config: Thresholds = Thresholds(), subject: str = "home_id") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayweave.functions.arrays import dot, normalised
+from dayweave.functions.arrays import dot, let, normalised
 from dayweave.operators.metrics import auroc
+from dayweave.sources.shared import staged
 
-#: Centroids of one block: what a broadcast row holds.
-BLOCK = 2000
+#: Bytes of centroids in one broadcast; a larger gallery is met in several passes.
+BLOCK_BYTES = 32 << 20
 
 
 def open_set_split(crops: DataFrame, n_enrolled: int, n_impostor_ids: int, enrol_per_id: int = 4, max_genuine: int = 10, max_impostor: int = 4, seed: str = "0") -> DataFrame:
@@ -33,6 +34,18 @@ def open_set_split(crops: DataFrame, n_enrolled: int, n_impostor_ids: int, enrol
     return c.filter(F.col("_k") <= most).drop("_k", "enrolled", "enrol_camera")
 
 
+def whole_protocol(crops: DataFrame, enrolled_share: float = 0.5, enrol_per_id: int = 4, seed: str = "0") -> DataFrame:
+    """All crops with part, as in open_set_split but without limits: a share of the eligible ids (by hash) is enrolled with every crop of
+    the chosen camera and probed with every other crop; every crop of the other ids is an impostor."""
+    h = lambda *cs: F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in cs]))
+    cams = crops.groupBy("pid", "camera").agg(F.count("*").alias("n"))
+    cams = cams.groupBy("pid").agg(F.count("*").alias("cams"), F.min_by("camera", F.when(F.col("n") >= enrol_per_id, h("pid", "camera"))).alias("enrol_camera"))
+    drawn = F.conv(F.substring(h("pid"), 1, 8), 16, 10).cast("double") / 4294967296.0 < enrolled_share
+    chosen = cams.select("pid", F.when((F.col("cams") >= 2) & drawn, F.col("enrol_camera")).alias("enrol_camera"))
+    kind = F.when(F.col("enrol_camera").isNull(), "impostor").when(F.col("camera") == F.col("enrol_camera"), "enrolment").otherwise("genuine")
+    return crops.join(chosen, "pid").withColumn("part", kind).drop("enrol_camera")
+
+
 def leaks(split: DataFrame) -> DataFrame:
     """What must be empty: ids both enrolled and impostor, crops both enrolled and probed, cameras both enrolled from and probed."""
     e, g, i = (split.filter(F.col("part") == p) for p in ("enrolment", "genuine", "impostor"))
@@ -46,33 +59,39 @@ def centroids(crops: DataFrame, vector: str = "vector") -> DataFrame:
     return x.groupBy("pid").agg(F.max("n").alias("n_updates"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("pid", "n_updates", normalised(F.transform("v", lambda s: s["x"])).alias("centroid"))
 
 
-def nearest_two(probes: DataFrame, gallery: DataFrame, vector: str = "vector", block: int = BLOCK) -> DataFrame:
+def nearest_two(probes: DataFrame, gallery: DataFrame, vector: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """probes with best (cosine distance), who and gap (to the second best; infinite in a gallery of one). Ties go to the smaller id.
 
-    The gallery is packed in blocks of centroids; a probe meets each block as one row and keeps its best two there, so that no pair is a
-    row. One block is broadcast; with more, blocks are joined in parts and the best two of all blocks are merged by probe.
+    Probes stay where they are: a block of the gallery is one broadcast row, and each probe folds its best two through it. A gallery of
+    more than block_bytes is dealt into blocks by hash, one pass each, which takes on the best two so far; passes are written out, so
+    that one block is in memory at a time. An empty gallery leaves best and who null.
     """
-    size = gallery.count()
-    n_blocks = max(1, -(-size // block))
+    size, wide = gallery.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    n_blocks = max(1, -(-size * (24 + 8 * max(0, wide or 0)) // block_bytes))
     packed = gallery.groupBy(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)).alias("_b")).agg(F.collect_list(F.struct("pid", "centroid")).alias("_g"))
-    p = probes.withColumn("_v", normalised(F.col(vector)))
-    ranked = F.array_sort(F.transform("_g", lambda g: F.struct((1 - dot(F.col("_v"), g["centroid"])).alias("d"), g["pid"].alias("pid"))))
-    if n_blocks == 1:
-        met = p.crossJoin(F.broadcast(packed)).withColumn("_t", F.slice(ranked, 1, 2)).drop("_g", "_v")
-    else:
-        p = p.withColumn("_id", F.monotonically_increasing_id())
-        each = p.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(packed, "_b").select("_id", F.explode(F.slice(ranked, 1, 2)).alias("t"))
-        two = each.groupBy("_id").agg(F.array_sort(F.collect_list("t")).alias("_t"))
-        met = p.join(two, "_id").drop("_id", "_v")
-    t = F.col("_t")
-    return met.select("*", F.get(t, 0)["d"].alias("best"), F.get(t, 0)["pid"].alias("who"), F.coalesce(F.get(t, 1)["d"] - F.get(t, 0)["d"], F.lit(float("inf"))).alias("gap")).drop("_t", "_b")
-
-
-def distances(split: DataFrame, vector: str = "vector") -> DataFrame:
+    pid = gallery.schema["pid"].dataType.simpleString()
+    pair, none = f"struct<d: double, pid: {pid}>", F.lit(None)
+    kind = f"struct<one: {pair}, two: {pair}>"
+
+    def keep(t, g):
+        mine = F.struct((1 - dot(F.col("_v"), g["centroid"])).alias("d"), g["pid"].alias("pid")).cast(pair)
+        first = lambda m: F.when(t["one"].isNull() | (m < t["one"]), F.struct(m.alias("one"), t["one"].alias("two")))
+        return let(mine, lambda m: first(m).when(t["two"].isNull() | (m < t["two"]), F.struct(t["one"].alias("one"), m.alias("two"))).otherwise(t)).cast(kind)
+
+    met = probes.withColumn("_v", normalised(F.col(vector))).withColumn("_t", F.struct(none.cast(pair).alias("one"), none.cast(pair).alias("two")).cast(kind))
+    for b in range(n_blocks):
+        met = met.join(F.broadcast(packed.filter(F.col("_b") == b).select("_g")), how="left")  # one row
+        met = met.withColumn("_t", F.aggregate(F.coalesce("_g", F.array().cast(packed.schema["_g"].dataType)), F.col("_t"), keep)).drop("_g")
+        met = met if b + 1 == n_blocks else staged(met, "nearest")
+    one, two = F.col("_t.one"), F.col("_t.two")
+    return met.select(*probes.columns, one["d"].alias("best"), one["pid"].alias("who"), F.coalesce(two["d"] - one["d"], F.lit(float("inf"))).alias("gap"))
+
+
+def distances(split: DataFrame, vector: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """pid, frame, part, best, who, gap, correct for genuine and impostor probes of a split."""
     gallery = centroids(split.filter("part = 'enrolment'"), vector)
     probes = split.filter("part <> 'enrolment'")
-    return nearest_two(probes, gallery, vector).select("pid", "frame", "part", "best", "who", "gap", (F.col("who") == F.col("pid")).alias("correct"))
+    return nearest_two(probes, gallery, vector, block_bytes).select("pid", "frame", "part", "best", "who", "gap", (F.col("who") == F.col("pid")).alias("correct"))
 
 
 def operating_point(d: DataFrame, threshold: float) -> DataFrame:

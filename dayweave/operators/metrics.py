@@ -132,6 +132,19 @@ def running_totals(rows: DataFrame, order: str, totals: list[str], by: list[str]
     return out.select(*by, *[c for c in rows.columns if c not in by], *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in totals])
 
 
+def auroc_by_rank(rows: DataFrame, score: str, target: str, order: str, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Area under the ROC curve without averaging ties: rows of one score are ranked by a column of distinct values instead."""
+    by = by or []
+    pos = F.when(F.col(target) == 1, 1).otherwise(0)
+    # Ranks within a score, and the sizes of the scores before it: no task sees more than the rows of one score in order.
+    own = rows.select(*by, F.col(score).alias("score"), pos.alias("pos"), F.row_number().over(Window.partitionBy(*by, score).orderBy(order)).alias("_i"))
+    s = own.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("pos").alias("pos"), F.sum(F.when(F.col("pos") == 1, F.col("_i"))).alias("inside"))
+    t = running_totals(s, "score", ["n"], by, descending=False, buckets=buckets)
+    g = t.groupBy(*by).agg(F.sum(F.coalesce("inside", F.lit(0)) + F.col("pos") * (F.col("cum_n") - F.col("n"))).alias("_ranks"), F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"))
+    area = (F.col("_ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
+    return g.select(*by, F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(float("nan"))).otherwise(area).alias("auroc"), "n_pos", "n_neg")
+
+
 def by_score(rows: DataFrame, score: str, target: str, by: list[str] | None = None) -> DataFrame:
     """pos and neg counts of each distinct score."""
     return rows.groupBy(*(by or []), F.col(score).alias("score")).agg(F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) != 1).alias("neg"))
@@ -173,12 +186,12 @@ def fall_operating_point(rows: DataFrame, score: str, target: str, window_s: flo
     return best.groupBy().agg(F.max_by("v", "k").alias("v")).select("v.*")
 
 
-def weighted_sample(rows: DataFrame, weight: str, n: int, key: Column) -> DataFrame:
-    """About n rows with replacement, each as often as its share of the weights: the whole part for certain, the rest by the hash of key."""
+def weighted_sample(rows: DataFrame, weight: str, n: int | None, key: Column) -> DataFrame:
+    """About n rows (as many as there are, without n) with replacement, each as often as its share of the weights: the whole part for certain, the rest by the hash of key."""
     from dayweave.functions.text import uniform
 
-    total = rows.agg(F.sum(weight).alias("_total"))
-    share = F.col(weight) * n / F.col("_total")
+    total = rows.agg((F.sum(weight) / (F.count("*") if n is None else F.lit(n))).alias("_total"))
+    share = F.col(weight) / F.col("_total")
     times = (F.floor(share) + F.when(uniform(key) < share - F.floor(share), 1).otherwise(0)).cast("int")
     r = rows.crossJoin(F.broadcast(total)).withColumn("_times", times).drop("_total")  # one row
     return r.filter("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")

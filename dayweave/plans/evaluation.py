@@ -36,6 +36,12 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.open_set_split(crops(spark, sf_dir), 5, 5, 4, 10, 8)
 
 
+def protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every crop of ids that grow with the table (a label within 200 vectors): half of the eligible ids enrolled, the others impostors."""
+    c = crops(spark, sf_dir)
+    return I.whole_protocol(c.withColumn("pid", F.col("pid") + 16 * F.floor(F.col("frame") / 200).cast("long")))
+
+
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """score (length share, in four decimals), target (quality) and dataset (language) of labelled documents."""
     d, lab = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf_dir, "labels")
@@ -70,7 +76,7 @@ def q_weighted_sample(s, d):
     """Windows drawn with replacement so that classes count alike."""
     w = M.effective_weights(val_logits(s, d), K).select(F.col("class").cast("int").alias("y"), F.round("sampler_weight", 9).alias("w"))
     rows = val_logits(s, d).select("window_id", "y").join(F.broadcast(w), "y")  # K rows
-    return M.weighted_sample(rows, "w", 400, F.concat(F.lit("draw|"), F.col("window_id").cast("string"))).groupBy("window_id", "y").agg(F.count("*").alias("n_copies"))
+    return M.weighted_sample(rows, "w", None, F.concat(F.lit("draw|"), F.col("window_id").cast("string"))).groupBy("window_id", "y").agg(F.count("*").alias("n_copies"))
 
 
 def q_prior(s, d):
@@ -111,40 +117,50 @@ def q_split(s, d):
 
 
 def q_leaks(s, d):
-    return I.leaks(split(s, d))
+    return I.leaks(protocol(s, d))
 
 
 def q_split_summary(s, d):
-    return split(s, d).groupBy("part").agg(F.count("*").alias("n_crops"), F.count_distinct("pid").alias("n_ids"), (F.count("*") / F.count_distinct("pid")).alias("per_id"))
+    return protocol(s, d).groupBy("part").agg(F.count("*").alias("n_crops"), F.count_distinct("pid").alias("n_ids"), (F.count("*") / F.count_distinct("pid")).alias("per_id"))
 
 
 def q_distances(s, d):
-    return _r(I.distances(split(s, d)))
+    return _r(I.distances(protocol(s, d)))
+
+
+def q_distances_blocks(s, d):
+    """As nearest_two, with a gallery in blocks of a few centroids, one pass each."""
+    return _r(I.distances(protocol(s, d), block_bytes=2000))
+
+
+def q_auroc_rank(s, d):
+    """One held-out corpus at a time, ties in the order of ids."""
+    return _r(M.auroc_by_rank(scored_documents(s, d), "score", "target", "doc_id", ["lang"]))
 
 
 def q_sweep(s, d):
-    return _r(I.sweep(I.distances(split(s, d))))
+    return _r(I.sweep(I.distances(protocol(s, d))))
 
 
 def q_threshold(s, d):
-    return _r(I.fit_threshold(I.sweep(I.distances(split(s, d))), 0.1))
+    return _r(I.fit_threshold(I.sweep(I.distances(protocol(s, d))), 0.1))
 
 
 def q_eer(s, d):
-    return _r(I.equal_error(I.sweep(I.distances(split(s, d)))))
+    return _r(I.equal_error(I.sweep(I.distances(protocol(s, d)))))
 
 
 def q_identity_profile(s, d):
-    return _r(I.profile(I.distances(split(s, d))))
+    return _r(I.profile(I.distances(protocol(s, d))))
 
 
 def q_identity_auroc(s, d):
-    return _r(I.separation(I.distances(split(s, d))))
+    return _r(I.separation(I.distances(protocol(s, d))))
 
 
 def q_operating_point(s, d):
     """Fit on one half of the identities, report on the other."""
-    halves = I.split_halves(split(s, d))
+    halves = I.split_halves(protocol(s, d))
     far = I.fit_threshold(I.sweep(I.distances(halves.filter("half = 'fit'"))), 0.1).select("threshold")
     test = I.distances(halves.filter("half = 'test'")).crossJoin(F.broadcast(far))  # one row
     return _r(I._rates(test.withColumn("_in", F.col("best") < F.col("threshold")), ("threshold",)))
@@ -161,7 +177,7 @@ def q_subject_split(s, d):
 QUERIES = {
     "classification_scores": q_scores, "per_class": q_per_class, "stream_subsets": q_subsets, "tau_sweep": q_taus, "class_weights": q_weights, "class_prior": q_prior, "weighted_sample": q_weighted_sample, "transition_matrix": q_transitions,
     "fragmentation": q_fragmentation, "temperature": q_temperature, "auroc": q_auroc, "auroc_by_dataset": q_auroc_by_dataset, "auprc": q_auprc, "fall_operating_point": q_fall_point,
-    "open_set_split": q_split, "split_leaks": q_leaks, "split_summary": q_split_summary, "nearest_two": q_distances, "threshold_sweep": q_sweep, "fit_threshold": q_threshold, "equal_error": q_eer,
+    "open_set_split": q_split, "split_leaks": q_leaks, "split_summary": q_split_summary, "nearest_two": q_distances, "nearest_two_blocks": q_distances_blocks, "auroc_by_rank": q_auroc_rank, "threshold_sweep": q_sweep, "fit_threshold": q_threshold, "equal_error": q_eer,
     "identity_profile": q_identity_profile, "identity_auroc": q_identity_auroc, "identity_operating_point": q_operating_point, "subject_split": q_subject_split,
 }
 
@@ -209,6 +225,12 @@ parts AS (SELECT c.*, CASE WHEN enrol_camera IS NULL THEN 'impostor' WHEN camera
 split AS (SELECT pid, camera, frame, vector, part FROM (SELECT *, row_number() OVER (PARTITION BY pid, part ORDER BY {_H('pid', 'frame')}) AS k FROM parts) WHERE k <= CASE part WHEN 'enrolment' THEN 4 WHEN 'genuine' THEN 10 ELSE 8 END)"""
 
 
+_PROTOCOL = f"""crops AS (SELECT label::BIGINT + 16 * (vec_id // 200) AS pid, vec_id % 4 AS camera, vec_id AS frame, list_transform(embedding, lambda x: x::DOUBLE) AS vector FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+cams AS (SELECT pid, camera, n FROM (SELECT pid, camera, count(*) AS n, count(*) OVER (PARTITION BY pid) AS cams FROM crops GROUP BY pid, camera) WHERE n >= 4 AND cams >= 2),
+chosen AS (SELECT pid, arg_min(camera, {_H('pid', 'camera')}) AS enrol_camera FROM cams WHERE ('0x' || substr({_H('pid')}, 1, 8))::BIGINT / 4294967296.0 < 0.5 GROUP BY pid),
+split AS (SELECT c.*, CASE WHEN enrol_camera IS NULL THEN 'impostor' WHEN camera = enrol_camera THEN 'enrolment' ELSE 'genuine' END AS part FROM crops c LEFT JOIN chosen USING (pid))"""
+
+
 def _distances(split: str, name: str) -> str:
     unit = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
     return f"""{name}_n AS (SELECT *, {unit.format('vector')} AS u FROM {split}),
@@ -225,9 +247,9 @@ def _sweep(source: str, name: str) -> str:
   (count(*) FILTER (WHERE part = 'genuine' AND correct AND best < t0 + k * dt)) / count(*) FILTER (WHERE part = 'genuine') AS dir_rank1 FROM {source}, {name}_e, range(512) r(k) GROUP BY k, t0, dt)"""
 
 
-_D = f"{_SPLIT}, {_distances('split', 'd')}"
+_D = f"{_PROTOCOL}, {_distances('split', 'd')}"
 _PICK = "SELECT threshold, far, tar, 1 - tar AS frr, dir_rank1, far <= 0.1 AS feasible FROM {} ORDER BY far <= 0.1 DESC, CASE WHEN far <= 0.1 THEN -tar ELSE far END, threshold LIMIT 1"
-_HALF = f"""{_SPLIT},
+_HALF = f"""{_PROTOCOL},
 sides AS (SELECT DISTINCT pid, CASE WHEN part = 'impostor' THEN 'impostor' ELSE 'enrolled' END AS side FROM split),
 half AS (SELECT pid, CASE WHEN row_number() OVER (PARTITION BY side ORDER BY md5('half|' || pid)) <= greatest(1, floor(count(*) OVER (PARTITION BY side) / 2)) THEN 'fit' ELSE 'test' END AS half FROM sides),
 fit_s AS (SELECT s.* FROM split s JOIN half USING (pid) WHERE half = 'fit'), test_s AS (SELECT s.* FROM split s JOIN half USING (pid) WHERE half = 'test'),
@@ -240,7 +262,7 @@ ORACLES = {
     "tau_sweep": f"WITH {_PRED}, {_PRIOR}, lp AS (SELECT list(ln(prior) ORDER BY c) AS l FROM prior), o AS (SELECT y, tau, temperature, {_ARG.format('z')} AS pred FROM (SELECT y, tau, temperature, list_transform(range(1, 11), lambda i: fused[i] / temperature - tau * l[i]) AS z FROM p, lp, (SELECT unnest({TAUS}::DOUBLE[]) AS tau), (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS temperature))), {_scores('o', 'tau, temperature')} SELECT * FROM sc",
     "class_weights": f"WITH {_VAL}, {_PRIOR}, w AS (SELECT c, seen, (1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, n)) AS raw FROM prior) SELECT c AS class, seen AS n, round(raw / avg(raw) OVER (), 6) AS weight, round(CASE WHEN seen > 0 THEN raw / sum(CASE WHEN seen > 0 THEN raw END) OVER () * sum((seen > 0)::INT) OVER () ELSE 0 END, 6) AS sampler_weight FROM w",
     "weighted_sample": f"""WITH {_VAL}, {_PRIOR}, e AS (SELECT c, seen, (1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, n)) AS raw FROM prior),
-w AS (SELECT c, round(raw / sum(CASE WHEN seen > 0 THEN raw END) OVER () * sum((seen > 0)::INT) OVER (), 9) AS w FROM e), s AS (SELECT window_id, y, w * 400 / sum(w) OVER () AS share FROM val JOIN w ON y = c),
+w AS (SELECT c, round(raw / sum(CASE WHEN seen > 0 THEN raw END) OVER () * sum((seen > 0)::INT) OVER (), 9) AS w FROM e), s AS (SELECT window_id, y, w * count(*) OVER () / sum(w) OVER () AS share FROM val JOIN w ON y = c),
 t AS (SELECT window_id, y, (floor(share) + (('0x' || substr(md5('draw|' || window_id), 1, 8))::BIGINT / 4294967296.0 < share - floor(share))::INT)::BIGINT AS n_copies FROM s)
 SELECT * FROM t WHERE n_copies > 0""",
     "class_prior": f"WITH {_VAL}, {_PRIOR} SELECT c AS class, n, round(prior, 6) AS prior FROM prior",
@@ -252,9 +274,11 @@ SELECT * FROM t WHERE n_copies > 0""",
     "auprc": f"WITH {_CURVE} SELECT round(sum(pos * (cp / (cp + cn) + CASE WHEN cp - pos + cn - neg > 0 THEN (cp - pos) / (cp - pos + cn - neg) ELSE cp / (cp + cn) END) / 2) / max(np), 6) AS auprc, round(sum(neg * (2 * cp - pos) / 2) / max(np * nn), 6) AS auroc, round(max(np) / max(np + nn), 6) AS positive_rate FROM c",
     "fall_operating_point": f"WITH {_CURVE} SELECT score AS threshold, round(cp / np, 6) AS sensitivity, round(cn / (nn * 60 / 3600), 6) AS false_alarms_per_hour, round(1 - cn / nn, 6) AS specificity, round(nn * 60 / 3600, 6) AS monitored_hours, cn / (nn * 60 / 3600) <= 6 AS feasible FROM c ORDER BY cn / (nn * 60 / 3600) <= 6 DESC, CASE WHEN cn / (nn * 60 / 3600) <= 6 THEN -cp ELSE cn END, score LIMIT 1",
     "open_set_split": f"WITH {_SPLIT} SELECT pid, camera, frame, part FROM split",
-    "split_leaks": f"WITH {_SPLIT} SELECT 'enrolled_impostor' AS leak, a.pid || '' AS key FROM split a JOIN split b USING (pid) WHERE a.part = 'enrolment' AND b.part = 'impostor' UNION SELECT 'camera', a.pid || '|' || a.camera FROM split a JOIN split b USING (pid, camera) WHERE a.part = 'enrolment' AND b.part = 'genuine'",
-    "split_summary": f"WITH {_SPLIT} SELECT part, count(*) AS n_crops, count(DISTINCT pid) AS n_ids, count(*) / count(DISTINCT pid) AS per_id FROM split GROUP BY part",
+    "split_leaks": f"WITH {_PROTOCOL} SELECT 'enrolled_impostor' AS leak, a.pid || '' AS key FROM split a JOIN split b USING (pid) WHERE a.part = 'enrolment' AND b.part = 'impostor' UNION SELECT 'camera', a.pid || '|' || a.camera FROM split a JOIN split b USING (pid, camera) WHERE a.part = 'enrolment' AND b.part = 'genuine'",
+    "split_summary": f"WITH {_PROTOCOL} SELECT part, count(*) AS n_crops, count(DISTINCT pid) AS n_ids, count(*) / count(DISTINCT pid) AS per_id FROM split GROUP BY part",
     "nearest_two": f"WITH {_D} SELECT pid, frame, part, round(best, 6) AS best, who, round(gap, 6) AS gap, correct FROM d",
+    "nearest_two_blocks": f"WITH {_D} SELECT pid, frame, part, round(best, 6) AS best, who, round(gap, 6) AS gap, correct FROM d",
+    "auroc_by_rank": f"WITH {_DOCS}, r AS (SELECT lang, target, row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) AS k FROM docs), g AS (SELECT lang, coalesce(sum(k) FILTER (WHERE target = 1), 0) AS ranks, count(*) FILTER (WHERE target = 1) AS n_pos, count(*) FILTER (WHERE target <> 1) AS n_neg FROM r GROUP BY lang) SELECT lang, CASE WHEN n_pos * n_neg = 0 THEN 'nan'::DOUBLE ELSE round((ranks - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg), 6) END AS auroc, n_pos, n_neg FROM g",
     "threshold_sweep": f"WITH {_D}, {_sweep('d', 's')} SELECT k, round(threshold, 6) AS threshold, round(far, 6) AS far, round(tar, 6) AS tar, round(dir_rank1, 6) AS dir_rank1, round(1 - tar, 6) AS frr FROM s",
     "fit_threshold": f"WITH {_D}, {_sweep('d', 's')}, pick AS ({_PICK.format('s')}) SELECT round(threshold, 6) AS threshold, round(far, 6) AS far, round(tar, 6) AS tar, round(frr, 6) AS frr, round(dir_rank1, 6) AS dir_rank1, feasible FROM pick",
     "equal_error": f"WITH {_D}, {_sweep('d', 's')} SELECT round((far + 1 - tar) / 2, 6) AS eer, round(threshold, 6) AS threshold FROM s ORDER BY round(abs(far - (1 - tar)), 12), s.threshold LIMIT 1",
