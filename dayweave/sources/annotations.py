@@ -88,3 +88,47 @@ def gallery_from_json(rows: DataFrame, json_col: str = "payload") -> DataFrame:
     """{"residents": [{name, role, centroid}]} to name, role, centroid, reject_reason."""
     r = rows.select(F.explode(F.from_json(json_col, "residents array<struct<name: string, role: string, centroid: array<double>>>")["residents"]).alias("r")).select("r.*")
     return r.withColumn("reject_reason", F.when(F.coalesce("name", F.lit("")) == "", "no name").when(F.col("centroid").isNull() | (F.size("centroid") == 0), "no centroid").when(~F.col("role").isin("resident", "carer", "visitor"), "unknown role"))
+
+
+TRACKS = "array<struct<track_id: long, role: string, segments: array<struct<label: int, name: string, t0: double, t1: double, confidence: double, room: string>>>>"
+
+
+def segments_from_wire(payloads: DataFrame, json_col: str = "tracks", base_us: str = "base_us") -> DataFrame:
+    """Per-track segment arrays to one row per segment, with absolute times; a segment without length lasts a millisecond."""
+    keep = [F.col(f"`{c}`") for c in payloads.columns if c not in (json_col, base_us)]
+    t = payloads.select(*keep, F.col(base_us).alias("_base"), F.explode(F.from_json(json_col, TRACKS)).alias("t"))
+    s = t.select(*keep, "_base", "t.track_id", F.coalesce("t.role", F.lit("unknown")).alias("role"), F.explode("t.segments").alias("s"))
+    t1 = F.when(F.col("s.t1") <= F.col("s.t0"), F.col("s.t0") + 0.001).otherwise(F.col("s.t1"))
+    micro = lambda c: F.col("_base") + F.round(c * 1_000_000).cast("long")
+    return s.select(*keep, F.concat(F.lit("t"), "track_id", F.lit("-"), "s.label", F.lit("-"), F.format_string("%.2f", "s.t0")).alias("segment_id"), "track_id", "role", F.col("s.label").alias("activity_id"), F.col("s.name").alias("activity_name"), micro(F.col("s.t0")).alias("start_us"), micro(t1).alias("end_us"), F.coalesce("s.confidence", F.lit(0.5)).alias("confidence"), "s.room")
+
+
+def segments_to_wire(timelines: DataFrame, keys: list[str]) -> DataFrame:
+    """The inverse, from timelines (keys, track_id, role, segments of t0, t1, label, name, confidence, room): one JSON text per key."""
+    return timelines.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(F.struct("track_id", "role", "segments"))), {"ignoreNullFields": "false"}).alias("tracks"))
+
+
+def subject_map(spark: SparkSession, path: str, id_col: str = "id", subject_col: str = "subject") -> DataFrame:
+    """A CSV with a header to id_col, subject; ValueError without the two columns or without rows."""
+    raw = spark.read.csv(path, header=True)
+    if id_col not in raw.columns or subject_col not in raw.columns:
+        raise ValueError(f"{path} lacks {id_col} or {subject_col}; it has {raw.columns}")
+    found = raw.filter(F.coalesce(F.col(id_col), F.lit("")) != "").select(F.col(id_col), F.col(subject_col).alias("subject"))
+    if found.isEmpty():
+        raise ValueError(f"{path} has no subjects")
+    return found
+
+
+def split_names(spark: SparkSession, path: str) -> DataFrame:
+    """Clip names listed one a line to file, name, subject, take, camera, reject_reason."""
+    from dayweave.operators.labels import video_id
+
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("name")).filter("name <> ''")
+    v = t.withColumn("_v", video_id(F.col("name")))
+    return v.select("file", "name", "_v.subject", "_v.take", "_v.camera", F.when(F.col("_v").isNull(), "no single id in the name").alias("reject_reason"))
+
+
+def class_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines like "c093 Walking through a doorway" to label, text."""
+    t = spark.read.text(path).select(F.regexp_extract("value", r"^(c\d{3})\s+(.+?)\s*$", 1).alias("label"), F.regexp_extract("value", r"^(c\d{3})\s+(.+?)\s*$", 2).alias("text"))
+    return t.filter("label <> ''")
