@@ -10,6 +10,7 @@ from dayweave.functions.text import same_numbers, slug
 from dayweave.operators import labels as L
 from dayweave.plans.behaviour import features, q_alerts
 from dayweave.plans.behaviour_sql import ALERTS, SEGMENTS
+from dayweave.plans.observations import _keyword_sql
 from dayweave.sources import domain, sinks
 
 UNMAPPED, DROPPED = ("personal_hygiene", "reading"), ("cooking_food_prep",)
@@ -199,6 +200,7 @@ SELECT clip, "start", CASE WHEN lo IS NOT NULL THEN CASE WHEN lo <= 0 AND hi <=
     "annotated_union": f'WITH {_VID}, u AS (SELECT *, max("end") OVER (PARTITION BY clip ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM vid) SELECT clip, sum(greatest(0, "end" - greatest("start", coalesce(before, "start"))))::BIGINT AS covered FROM u GROUP BY clip',
     "class_frames": f'WITH {_VID}, c AS (SELECT class, sum("end" - "start")::BIGINT AS frames, count(*) AS instances FROM vid GROUP BY class) SELECT class, frames, instances, round(frames / sum(frames) OVER (), 6) AS share, round(max(frames) OVER () / greatest(frames, 1), 6) AS imbalance FROM c',
     "annotation_cross_check": f'WITH {_VID}, a AS (SELECT DISTINCT clip, class, "start", "end" FROM vid WHERE clip % 10 <> 1), b AS (SELECT DISTINCT clip, class, "start", "end" FROM vid WHERE clip % 9 <> 0 AND segment_id % 10 <> 0), k AS (SELECT clip FROM a UNION SELECT clip FROM b) SELECT clip, clip IN (SELECT clip FROM a) AS in_a, clip IN (SELECT clip FROM b) AS in_b, (SELECT count(*) FROM (SELECT * FROM a WHERE a.clip = k.clip EXCEPT SELECT * FROM b WHERE b.clip = k.clip)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b WHERE b.clip = k.clip EXCEPT SELECT * FROM a WHERE a.clip = k.clip)) AS only_b FROM k',
+    "keyword_classes": f"WITH {SEGMENTS}, t AS (SELECT activity_name AS label, lower('Someone is ' || replace(activity_name, '_', ' ')) AS text FROM segments), k AS (SELECT label, text, {_keyword_sql('text')} AS rule FROM t) SELECT label, regexp_replace(text, '[^a-z0-9]+', '_', 'g') AS slug, CASE WHEN rule < 0 THEN 'other_idle' ELSE ({[n or '' for _, n in L.KEYWORDS]})[rule + 1] END AS class, rule >= 0 AND ({[n is None for _, n in L.KEYWORDS]})[rule + 1] AS dropped, count(*) AS n FROM k GROUP BY ALL",
     "parsed_names": f"WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id AS clip FROM segments) SELECT clip, CASE WHEN clip % 5 <> 0 THEN (clip % 90)::INT END AS subject, CASE WHEN clip % 5 <> 0 THEN (clip % 7)::INT END AS take, CASE WHEN clip % 5 <> 0 THEN (clip % 3)::INT END AS camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN lpad(clip::VARCHAR, 4, '0') END AS pid, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN 'c' || clip % 15 END AS crop_camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN (clip % 33)::INT END AS frame FROM v",
     "number_preservation": r"SELECT a.conv_id, a.turn, list_sort(regexp_extract_all(a.text, '\d+(?:[.,]\d+)*')) = list_sort(regexp_extract_all(b.text, '\d+(?:[.,]\d+)*')) AS same_numbers FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
     "segment_upsert": f"WITH {SEGMENTS} SELECT CASE WHEN segment_id % 3 = 0 THEN 'corrected' ELSE room END AS room, count(*) AS n, max(CASE WHEN segment_id % 3 = 0 THEN 2 ELSE 1 END) AS seq FROM segments GROUP BY 1",

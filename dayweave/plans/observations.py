@@ -216,10 +216,78 @@ room AS (SELECT home_id, track_id, run, k, arg_min(room, (-c, room)) AS room FRO
 _FRAG = f"""{_OBS},
 frag AS (SELECT track_id AS clip, frame_idx // 50 AS t, min(frame_idx) AS a, max(frame_idx) AS z, arg_min(x1, frame_idx) AS fx1, arg_min(x2, frame_idx) AS fx2, arg_max(x1, frame_idx) AS lx1, arg_max(x2, frame_idx) AS lx2, max(y2) AS y2 FROM obs GROUP BY ALL)"""
 _P20 = "list_concat(bone, joint)"
+_ROLES = "(" + str(list(ROLES)) + ")[segment_id % 5 + 1]"
+_VOTED = f"""{_OBS.replace("segments AS (", "RECURSIVE segments AS (", 1)},
+ballot AS (SELECT *, row_number() OVER w AS rn, least(15, row_number() OVER w) AS seen FROM (SELECT home_id, track_id, frame_idx, {_ROLES} AS observed FROM obs) WINDOW w AS (PARTITION BY home_id, track_id ORDER BY frame_idx)),
+tally AS (SELECT *, count(*) FILTER (WHERE observed = 'resident') OVER w AS cr, count(*) FILTER (WHERE observed = 'visitor') OVER w AS cv, min(rn) FILTER (WHERE observed = 'resident') OVER w AS fr, min(rn) FILTER (WHERE observed = 'visitor') OVER w AS fv
+  FROM ballot WINDOW w AS (PARTITION BY home_id, track_id ORDER BY frame_idx ROWS 14 PRECEDING)),
+lead_ AS (SELECT *, greatest(cr, cv) AS best, CASE WHEN cr > cv OR (cr = cv AND fr < fv) THEN 'resident' ELSE 'visitor' END AS leader FROM tally),
+vote AS (
+  SELECT home_id, track_id, frame_idx, rn, CASE WHEN best < 5 THEN 'unknown' ELSE leader END AS role, CASE WHEN best < 5 THEN 0::DOUBLE ELSE least(1::DOUBLE, best / seen) END AS sure FROM lead_ WHERE rn = 1
+  UNION ALL
+  SELECT l.home_id, l.track_id, l.frame_idx, l.rn, CASE WHEN best < 5 THEN 'unknown' WHEN v.role IN ('unknown', leader) OR best - CASE v.role WHEN 'resident' THEN cr ELSE cv END >= 3 THEN leader ELSE v.role END,
+    CASE WHEN best < 5 THEN 0 WHEN v.role IN ('unknown', leader) OR best - CASE v.role WHEN 'resident' THEN cr ELSE cv END >= 3 THEN least(1::DOUBLE, best / seen) ELSE v.sure END
+  FROM lead_ l JOIN vote v ON v.home_id = l.home_id AND v.track_id = l.track_id AND l.rn = v.rn + 1)"""
+
+
+def _chains(source: str) -> str:
+    """The heaviest chain of each clip of source (clip, t, a, z, fx1, fx2, lx1, lx2, y2, n), by following every chain."""
+    return f"""seq AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY z, a, t) AS i FROM {source}),
+chain AS (
+  SELECT clip, i, n AS total, [i] AS way FROM seq
+  UNION ALL
+  SELECT q.clip, q.i, c.total + q.n, list_concat(c.way, [q.i]) FROM chain c JOIN seq p ON p.clip = c.clip AND p.i = c.i JOIN seq q ON q.clip = p.clip AND p.z < q.a AND abs((q.fx1 + q.fx2) / 2 - (p.lx1 + p.lx2) / 2) <= (1.5 * (q.a - p.z) / 15 + 1) * (p.y2 - 50) AND abs(q.y2 - p.y2) < 1e9),
+best AS (SELECT clip, arg_min(way, (-total, list_reverse(way))) AS way FROM chain GROUP BY clip),
+picked AS (SELECT b.clip, s.t FROM (SELECT clip, unnest(way) AS i FROM best) b JOIN seq s ON s.clip = b.clip AND s.i = b.i)"""
+
+
+def _keyword_sql(text: str) -> str:
+    from dayweave.operators.labels import KEYWORDS
+
+    def one(alternative: str) -> str:
+        base, _, rest = alternative.partition("(?!")
+        if not rest:
+            return f"regexp_matches({text}, '{base}')"
+        return f"(regexp_matches({text}, '{base}') AND NOT regexp_matches({text}, '{base}{rest[:-1]}'))"
+
+    def parts(pattern: str) -> list[str]:
+        out, depth = [""], 0
+        for c in pattern:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                out.append("")
+            else:
+                out[-1] += c
+        return out
+
+    return "CASE " + " ".join(f"WHEN {' OR '.join(map(one, parts(p)))} THEN {i}" for i, (p, _) in enumerate(KEYWORDS)) + " ELSE -1 END"
+
+
+_SK_NORM = """sk AS (SELECT vec_id, t, k, embedding[k + 1]::DOUBLE * 100 + t * 3 + k AS x, embedding[k + 18]::DOUBLE * 100 + t * t AS y, CASE WHEN (vec_id + k + t) % 6 = 0 THEN 0::DOUBLE ELSE least(1::DOUBLE, abs(embedding[k + 35]::DOUBLE) + 0.3) END AS s FROM embeddings, range(6) a(t), range(17) b(k) WHERE embedding IS NOT NULL),
+body AS (SELECT vec_id, t, count(*) FILTER (WHERE s > 0) AS seen, count(*) FILTER (WHERE s >= 0.3) AS visible, min(s) FILTER (WHERE k IN (5, 6, 11, 12)) >= 0.3 AS whole,
+  avg(x) FILTER (WHERE k IN (5, 6)) AS sx, avg(y) FILTER (WHERE k IN (5, 6)) AS sy, avg(x) FILTER (WHERE k IN (11, 12)) AS hx, avg(y) FILTER (WHERE k IN (11, 12)) AS hy,
+  min(x) FILTER (WHERE s >= 0.3) AS x1, max(x) FILTER (WHERE s >= 0.3) AS x2, min(y) FILTER (WHERE s >= 0.3) AS y1, max(y) FILTER (WHERE s >= 0.3) AS y2 FROM sk GROUP BY ALL),
+unit AS (SELECT vec_id, arg_min(hx, t) AS ox, arg_min(hy, t) AS oy, avg(sqrt((sx - hx) ** 2 + (sy - hy) ** 2)) AS m FROM body WHERE seen > 0 GROUP BY vec_id),
+n AS (SELECT sk.vec_id, t, k, CASE WHEN s > 0 THEN (x - ox) / CASE WHEN m > 1e-3 THEN m ELSE 1 END ELSE 0 END AS a, CASE WHEN s > 0 THEN (y - oy) / CASE WHEN m > 1e-3 THEN m ELSE 1 END ELSE 0 END AS b, s AS c FROM sk JOIN unit USING (vec_id)),
+s_n AS (SELECT vec_id, sum(abs(a) + abs(b) + abs(c)) AS v FROM n GROUP BY 1),
+s_b AS (SELECT n.vec_id, sum(abs(n.a - u.a) + abs(n.b - u.b) + abs(n.c - u.c)) AS v FROM n JOIN n u ON u.vec_id = n.vec_id AND u.t = n.t AND u.k = ([0, 0, 0, 1, 2, 0, 0, 5, 6, 7, 8, 5, 6, 11, 12, 13, 14])[n.k + 1] GROUP BY 1),
+s_m AS (SELECT n.vec_id, sum(abs(u.a - n.a) + abs(u.b - n.b) + abs(u.c - n.c)) AS v FROM n JOIN n u ON u.vec_id = n.vec_id AND u.k = n.k AND u.t = n.t + 1 GROUP BY 1),
+s_r AS (SELECT p.vec_id, sum(abs(p.a * (1 - w) + q.a * w) + abs(p.b * (1 - w) + q.b * w) + abs(p.c * (1 - w) + q.c * w)) AS v FROM (SELECT floor(g * 5 / 9)::INT AS lo, g * 5 / 9 - floor(g * 5 / 9) AS w FROM range(10) r(g)) r JOIN n p ON p.t = lo JOIN n q ON q.vec_id = p.vec_id AND q.k = p.k AND q.t = least(lo + 1, 5) GROUP BY 1)"""
 ORACLES = {
     "track_windows": f"WITH {_WIN} SELECT home_id, track_id, run, k, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame, arg_max(role, frame_idx) AS role, count(*) AS n_rows, any_value(r.room) AS room FROM member m LEFT JOIN room r USING (home_id, track_id, run, k) GROUP BY ALL",
     "window_statistics": f"WITH {_OBS}, g AS (SELECT home_id, track_id, run, count(*) AS n, count(*) FILTER (WHERE usable) AS u FROM runs GROUP BY ALL) SELECT sum(n)::BIGINT AS rows_seen, count(DISTINCT (home_id, track_id)) AS tracks_seen, sum(CASE WHEN u >= 30 THEN (u - 30) // 15 + 1 ELSE 0 END)::BIGINT AS windows_built, sum(n - u)::BIGINT AS dropped_no_pose, count(*) FILTER (WHERE u > 0 AND u < 30) AS dropped_short_track, count(*) FILTER (WHERE run > 0) AS gaps_broken FROM g",
     "track_spans": f"WITH {_OBS} SELECT home_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n_frames, arg_min(x1, frame_idx) AS first_x, arg_max(x1, frame_idx) AS last_x FROM obs GROUP BY ALL",
+    "voted_roles": f"WITH {_VOTED} SELECT home_id, track_id, frame_idx, role, round(sure, 6) AS role_confidence FROM vote",
+    "heaviest_chain": f"WITH {_FRAG.replace('segments AS (', 'RECURSIVE segments AS (', 1)}, src AS (SELECT f.*, n FROM frag f JOIN (SELECT track_id AS clip, frame_idx // 50 AS t, count(*) AS n FROM obs GROUP BY ALL) USING (clip, t)), {_chains('src')} SELECT clip, t AS track_id FROM picked",
+    "asserted_subject": f"""WITH {_OBS.replace('segments AS (', 'RECURSIVE segments AS (', 1)},
+o AS (SELECT home_id || '|' || track_id // 100 || '|' || frame_idx // {CLIP_FRAMES} AS clip, home_id, track_id // 100 AS party, frame_idx // {CLIP_FRAMES} AS span, track_id AS t, frame_idx, x1, x2, y2, CASE WHEN home_id % 2 = 0 THEN role ELSE 'unknown' END AS role FROM obs),
+known AS (SELECT clip FROM o GROUP BY clip HAVING NOT bool_or(role = 'resident')),
+src AS (SELECT clip, t, min(frame_idx) AS a, max(frame_idx) AS z, arg_min(x1, frame_idx) AS fx1, arg_min(x2, frame_idx) AS fx2, arg_max(x1, frame_idx) AS lx1, arg_max(x2, frame_idx) AS lx2, any_value(y2) AS y2, count(*) AS n FROM o WHERE clip IN (SELECT clip FROM known) GROUP BY ALL),
+{_chains('src')}, long AS (SELECT clip, count(*) AS len FROM picked GROUP BY clip), most AS (SELECT clip, arg_max(t, (n, -t)) AS t FROM src GROUP BY clip),
+chosen AS (SELECT p.clip, p.t, 'asserted_disjoint_track_chain' AS why FROM picked p JOIN long USING (clip) WHERE len > 1 UNION ALL SELECT m.clip, m.t, 'asserted_most_present_track' FROM most m JOIN long USING (clip) WHERE len <= 1)
+SELECT r.home_id, r.party, r.span, r.t AS track_id, CASE WHEN c.why IS NOT NULL THEN 'resident' ELSE r.role END AS role, coalesce((SELECT any_value(why) FROM chosen x WHERE x.clip = r.clip), 'reid_matched') AS provenance
+FROM (SELECT DISTINCT clip, home_id, party, span, t, role FROM o) r LEFT JOIN chosen c ON c.clip = r.clip AND c.t = r.t""",
+    "skeleton_streams": f"WITH {_SK_NORM} SELECT vec_id, round(s_n.v, 4) AS normalised, round(s_r.v, 4) AS resampled, round(s_b.v, 4) AS bones, round(s_m.v, 4) AS motion, round(s_n.v, 4) AS mirrored, visible::INT AS visible, visible >= 8 AS usable, round(CASE WHEN whole AND sqrt((sx - hx) ** 2 + (sy - hy) ** 2) >= 1e-6 THEN abs(sy - hy) / sqrt((sx - hx) ** 2 + (sy - hy) ** 2) END, 6) AS upright, round(CASE WHEN visible >= 2 AND x2 - x1 >= 2 AND y2 - y1 >= 2 THEN x1 - 0.12 * (x2 - x1) END, 4) AS box_x1 FROM s_n JOIN s_r USING (vec_id) JOIN s_b USING (vec_id) JOIN s_m USING (vec_id) JOIN body USING (vec_id) WHERE t = 0",
     "reachable_fragments": f"WITH {_FRAG} SELECT p.clip, p.t AS a, q.t AS b, round((q.a - p.z) / 15, 6) AS gap_s FROM frag p JOIN frag q ON p.clip = q.clip AND p.z < q.a AND abs((q.fx1 + q.fx2) / 2 - (p.lx1 + p.lx2) / 2) <= (1.5 * (q.a - p.z) / 15 + 1) * (p.y2 - 50)",
     "carried_objects": f"WITH {_OBS} SELECT home_id, track_id, frame_idx, last_value(CASE WHEN frame_idx % 15 = 0 THEN room END IGNORE NULLS) OVER (PARTITION BY home_id, track_id ORDER BY frame_idx) AS object FROM obs",
     "embedding_schedule": f"WITH {_OBS}, n AS (SELECT home_id, track_id, row_number() OVER (PARTITION BY home_id, track_id ORDER BY frame_idx) AS n FROM obs) SELECT home_id, track_id, count(*) FILTER (WHERE n <= 5 OR (n - 5) % 15 = 0) AS n_due FROM n GROUP BY ALL",

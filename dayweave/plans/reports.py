@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dayweave.config import TRACKED
 from dayweave.operators import claims as C
 from dayweave.operators import reports as R
 from dayweave.operators.alerts import alerts
 from dayweave.operators.baseline import with_baselines
 from dayweave.operators.metrics import scores
 from dayweave.plans.behaviour import features, scored
-from dayweave.plans.behaviour_sql import ALERTS, BASELINES, FEATURES
-from dayweave.plans.claims import _all_verified, _state
-from dayweave.plans.claims import ORACLES as CLAIM_SQL
+from dayweave.plans.behaviour_sql import ALERTS, BASELINES
+from dayweave.plans.claims import _STATE, _VERIFIED, _all_verified, _state
 from dayweave.plans.evaluation import _ARG, _FUSED, _PRIOR, _VAL, K, _scores, predicted
 from dayweave.plans.observations import COARSE
 from dayweave.sources import sinks
+from dayweave.sources.shared import staged
 
 TAUS, TEMPERATURES = [0.0, 0.25, 0.5, 0.75, 1.0], [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
@@ -44,7 +43,7 @@ def q_cohort(s, d):
 
 
 def q_alerting(s, d):
-    st = scored(s, d)
+    st = staged(scored(s, d), "state")  # states and alerts both read it
     return R.alerting_states(st.filter("z is not null"), alerts(st))
 
 
@@ -107,8 +106,6 @@ QUERIES = {
 
 # ---- SQL ------------------------------------------------------------------------------------------------------
 
-_PAYLOAD = CLAIM_SQL["report_payload"] if "report_payload" in CLAIM_SQL else None
-_RAT = "f.observed_hours >= 8 AND f.tracking_coverage >= 0.6"
 _OF = "([0, 0, 0, 1, 1, 2, 2, 2, 3, 3])"
 _GRID = f"""{_VAL}, p AS (SELECT *, {_FUSED} AS fused FROM val), {_PRIOR}, lp AS (SELECT list(ln(prior) ORDER BY c) AS l FROM prior),
 cell AS (SELECT y, tau, temperature, list_transform(range(1, 11), lambda i: (fused[i] - tau * l[i]) / temperature) AS z FROM p, lp, (SELECT unnest({TAUS}::DOUBLE[]) AS tau), (SELECT unnest({TEMPERATURES}::DOUBLE[]) AS temperature)),
@@ -132,6 +129,10 @@ ORACLES = {
     "deviations_withheld": f"WITH {BASELINES}, g AS (SELECT home_id, day, any_value(observed_hours >= 8 AND tracking_coverage >= 0.6) AS ok, bool_or(z IS NOT NULL) AS based FROM scored GROUP BY ALL) SELECT CASE WHEN NOT ok THEN 'withheld' WHEN NOT based THEN 'no baseline' ELSE 'shown' END AS deviations, count(*) AS n FROM g GROUP BY 1",
     "reference_cohort": f"WITH {_LAST} SELECT home_id, cohort_id, day, reference_day, baseline_days, feature, round(value, 6) AS value, round(median, 6) AS median, round(z, 6) AS z, round(pct_change, 6) AS pct_change, 'reference_cohort' AS baseline_provenance, 'measured' AS subject_provenance FROM c",
     "alerting_states": f"WITH {ALERTS}, n AS (SELECT home_id, day, count(*) AS n_alerts FROM alerts GROUP BY ALL), st AS (SELECT DISTINCT home_id, day FROM scored WHERE z IS NOT NULL), s AS (SELECT home_id, day, coalesce(n_alerts, 0) AS n_alerts FROM st LEFT JOIN n USING (home_id, day)), q AS (SELECT *, row_number() OVER (ORDER BY day, home_id) AS r FROM s WHERE n_alerts = 0) SELECT * FROM s WHERE n_alerts > 0 UNION ALL SELECT home_id, day, n_alerts FROM q WHERE r <= (SELECT greatest(1, count(*)) FROM s WHERE n_alerts > 0)",
+    "prompt_rows": f"WITH {_STATE} SELECT home_id, day, count(*) OVER (PARTITION BY home_id, day) AS n_rows, evidence_ref, feature, observed_value AS value, pct_change AS pct, direction, observed_in_window, baseline_comparable FROM payload",
+    "prompts": f"WITH {_STATE} SELECT home_id, day, count(*)::INT AS n_rows, true AS begins FROM payload GROUP BY ALL",
+    "report_heads": f"WITH {_STATE}, v AS (SELECT home_id, day, bool_or(severity IN ('urgent', 'emergency')) AS severe FROM alerts GROUP BY ALL), n AS (SELECT home_id, day, count(*) AS n FROM ranked GROUP BY ALL) SELECT home_id, day, n || ' features reviewed for ' || strftime(day, '%Y-%m-%d') || '.' AS summary, coalesce(severe, false) AS escalate, CASE WHEN coalesce(severe, false) THEN 'Contact the resident and review recent alerts.' ELSE 'Continue routine monitoring.' END AS recommendation FROM n LEFT JOIN v USING (home_id, day)",
+    "agreed_claims": f"WITH {_VERIFIED}, cv AS (SELECT arm, home_id, day, claim_id, claimed_value FROM claims UNION ALL SELECT arm, home_id, day, claim_id, claimed_value FROM corrupted) SELECT arm, home_id, day, claim_id, faithful, faithful AND (substr(claim_id, 2)::INT % 3 = 0 OR (ref_exists AND value_matches AND coalesce(claimed_value, 0) < 500)) AS accepted FROM judged JOIN cv USING (arm, home_id, day, claim_id)",
     "state_sink": f"WITH {ALERTS} SELECT CASE WHEN day >= DATE '2024-01-15' THEN 2 ELSE 1 END AS run, count(*) AS n, 'daily_features' AS \"table\" FROM features GROUP BY 1 UNION ALL SELECT CASE WHEN day >= DATE '2024-01-15' THEN 2 ELSE 1 END, count(*), 'alerts' FROM alerts GROUP BY 1",
     "rescoring_grid": f"WITH {_GRIDS} SELECT * FROM grid",
     "rescoring_check": f"WITH {_GRIDS} SELECT tau, count(DISTINCT (fine_mean_class, fine_top1)) > 1 AS moved FROM grid GROUP BY tau",
