@@ -40,7 +40,9 @@ def _found(raw: str | None, strict: bool) -> dict:
     try:
         value, end = decoder.raw_decode(text, start)
     except (ValueError, RecursionError) as e:
-        return {"object": None, "error": "unterminated or invalid JSON" if not strict else str(e)[:80]}
+        # A response cut off by a length limit ends inside a string or where more was due; anything else is malformed.
+        cut = isinstance(e, json.JSONDecodeError) and (e.pos >= len(text) or e.msg.startswith("Unterminated string"))
+        return {"object": None, "error": str(e)[:80] if strict else "truncated JSON" if cut else "malformed JSON"}
     if strict and end < len(text):
         return {"object": None, "error": "text after the object"}
     if not isinstance(value, dict):

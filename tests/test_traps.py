@@ -310,13 +310,13 @@ def test_responses_are_repaired_but_never_filled_in(spark):
     raw = [
         'Sure:\n```json\n{"claims": [{"claim_id": "", "text": " a } b ", "evidence_ref": "\'feat:meal_events:2024/01/01\'", "claimed_value": "1,800.0", "claimed_pct_change": "-12.5 %", "direction": "Decreased"}]}\n``` bye }',
         '{"claims": [{"claim_id": 7, "text": "t", "evidence_ref": "meals", "claimed_value": "many", "direction": "sideways"}]}',
-        '{"claims": "none"}', '{"claims": [', "no json", None, '{"claims": []}',
+        '{"claims": "none"}', '{"claims": [', "no json", None, '{"claims": []}', '{"claims": [{"text": "cut of', '{"claims": nothing}',
     ]
     got = responses.claims_of(spark.createDataFrame(list(enumerate(raw)), "k long, raw_response string")).orderBy("k").collect()
     a, b = got[0], got[1]
     assert (a.claim_id, a.text, a.evidence_ref, a.claimed_value, a.claimed_pct_change, a.direction, a.reject_reasons) == ("c1", "a } b", "feat:meal_events:2024-01-01", 1800.0, -12.5, "decrease", [])
     assert b.claim_id == "7" and b.claimed_value is None and len(b.reject_reasons) == 3
-    assert [g.response_error for g in got[2:]] == ["claims are not a list", "unterminated or invalid JSON", "no JSON object", "no JSON object", None]
+    assert [g.response_error for g in got[2:]] == ["claims are not a list", "truncated JSON", "no JSON object", "no JSON object", None, "truncated JSON", "malformed JSON"]
     strict = [r.s.error for r in spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "a": 2}',), ('{"a": NaN}',), ('{"a": 1} x',), ("[1]",)], "t string").coalesce(1).select(responses.strict_object(F.col("t")).alias("s")).collect()]
     assert strict[0] is None and all(strict[1:])
 
