@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a written table's shuffle files go when its write ends: nothing reads them again, and the disk of a job is then its
+    largest write and not the sum of all."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,7 +55,8 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """Like staged, as a table bucketed by a column, which later joins on that column read without an exchange."""
     unique = uuid.uuid4().hex
     saved = f"{name.replace('-', '_')}_{unique}"
-    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(df.sparkSession)}/{name}-{unique}").saveAsTable(saved)
+    with shuffles_freed(df.sparkSession):
+        df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(df.sparkSession)}/{name}-{unique}").saveAsTable(saved)
     return df.sparkSession.table(saved)
 
 
