@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,22 +11,32 @@ from dayweave.config import DRIFT
 from dayweave.plans.behaviour import features
 from dayweave.plans.behaviour_sql import ORACLES as BATCH
 from dayweave.sources.shared import scratch
-from dayweave.streaming.daily import score_days
+from dayweave.streaming.daily import alert_stream, score_days
 
 
-def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replayed(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming step gives of the daily features, which arrive in two parts; the state goes from one run to the next."""
     at = scratch(spark, "stream")
     f = features(spark, sf_dir).withColumn("home_id", F.col("home_id").cast("long"))
     for k, (a, b) in enumerate((("2000-01-01", "2024-01-16"), ("2024-01-16", "2100-01-01"))):  # two arrivals, each taken by a run of the stream
         f.filter((F.col("day") >= a) & (F.col("day") < b)).write.parquet(f"{at}/days/{k}")
         days = spark.readStream.schema(f.schema).parquet(f"{at}/days/*")
-        q = score_days(days).writeStream.format("parquet").option("path", f"{at}/scored").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q = step(days).writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
-    d = spark.read.parquet(f"{at}/scored").filter("not late")
+    return spark.read.parquet(f"{at}/found")
+
+
+def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = replayed(spark, sf_dir, score_days).filter("not late")
     names = F.array(*[F.lit(n) for n in DRIFT]).alias("feature")
     d = d.select("home_id", "day", F.explode(F.arrays_zip(names, F.col("reported"), F.col("carried"))).alias("r"))
     return d.select("home_id", "day", "r.feature", F.round("r.reported", 6).alias("reported"), F.round("r.carried", 6).alias("carried"))
 
 
-QUERIES = {"streaming_drift": q_stream}
-ORACLES = {"streaming_drift": BATCH["drift"]}
+def q_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = replayed(spark, sf_dir, alert_stream)
+    return a.select("home_id", "day", "kind", "severity", "rule_name", "rule_expression", F.size("evidence").alias("n_evidence"), "alert_id")
+
+
+QUERIES = {"streaming_drift": q_stream, "streaming_alerts": q_alerts}
+ORACLES = {"streaming_drift": BATCH["drift"], "streaming_alerts": BATCH["alerts"]}

@@ -2,7 +2,7 @@
 
 First query: deduplicated segments are gathered by home and event-time day and leave when the watermark (two days) has passed; the same
 batch operators then compute the day's features. Second query: one state per home holds the history that baselines need, the drift
-statistics and the last deviations, so that a day is scored as in batch. Late days are reported, not folded in.
+statistics and the last deviations, so that a day is scored and raises alerts as in batch. Late days are reported, not folded in.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dayweave.config import DRIFT, TRACKED, Thresholds
+from dayweave.config import DRIFT, TRACKED, UNTRACKED, Thresholds
+from dayweave.operators.alerts import alerts
 from dayweave.operators.features import daily_features
 
 SEGMENT = "segment_id long, home_id long, track_id long, role string, activity_id int, activity_name string, day date, start_us long, end_us long, duration_s double, room string, confidence double"
-SCORED = "home_id long, day date, late boolean, n_days int, z array<double>, reported array<double>, carried array<double>, declined boolean"
+SCORED = (
+    "home_id long, day date, late boolean, n_days int, z array<double>, baseline array<struct<median: double, mad: double>>, reported array<double>, carried array<double>, "
+    "declined boolean, shifted array<boolean>, observed_hours double, tracking_coverage double, " + ", ".join(f"{c} double" for c in [*TRACKED, *UNTRACKED])
+)
 
 
 def segment_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -52,14 +56,16 @@ def write_daily_features(segments: DataFrame, out: str, checkpoint: str, config:
 
 
 class Home:
-    """The state of one home: history of (day, reliable, values), drift statistics, last deviations, the last day taken."""
+    """The state of one home: history of (day, reliable, values), drift statistics, last deviations of mobility (recent) and of all
+    features (past, null where there was no baseline), the last day taken."""
 
     def __init__(self, config: Thresholds, saved: str | None = None):
         s = json.loads(saved) if saved else {}
         self.c, self.history, self.drift, self.recent, self.last = config, s.get("history", []), s.get("drift", [0.0] * len(DRIFT)), s.get("recent", []), s.get("last")
+        self.past = s.get("past", [])
 
     def save(self) -> str:
-        return json.dumps({"history": self.history, "drift": self.drift, "recent": self.recent, "last": self.last})
+        return json.dumps({"history": self.history, "drift": self.drift, "recent": self.recent, "last": self.last, "past": self.past})
 
     def baseline(self, day: int, weekend: bool) -> np.ndarray | None:
         c = self.c
@@ -69,14 +75,26 @@ class Home:
             rows = within(c.window_days, None)
         return np.array(rows) if len(rows) >= c.least_days else None
 
-    def take(self, day: int, hours: float, cover: float, values: list[float], row: pd.Series) -> dict:
+    def shifted(self, is_open: bool) -> list[bool]:
+        """For each feature: whether the last routine_days observable days were all beyond the limit on the same side."""
+        c = self.c
+        if c.routine_days <= 1:
+            return [True] * len(TRACKED)
+        if not is_open or len(self.past) < c.routine_days or any(z is None for z in self.past):
+            return [False] * len(TRACKED)
+        z = np.array(self.past)
+        return ((z > c.z_limit).all(0) | (z < -c.z_limit).all(0)).tolist()
+
+    def take(self, day: int, hours: float, cover: float, values: list[float]) -> dict:
         c = self.c
         if self.last is not None and day <= self.last:
-            return {"late": True, "n_days": 0, "z": None, "reported": list(self.drift), "carried": list(self.drift), "declined": False}
-        base, z = self.baseline(day, _weekend(day)), None
+            return {"late": True, "n_days": 0, "z": None, "baseline": None, "reported": list(self.drift), "carried": list(self.drift), "declined": False, "shifted": [False] * len(TRACKED)}
+        base, z, usual = self.baseline(day, _weekend(day)), None, None
         if base is not None:
             m = np.median(base, 0)
-            spread = np.maximum(np.maximum(np.median(np.abs(base - m), 0), c.mad_floor * np.abs(m)), 1e-9)
+            mad = np.median(np.abs(base - m), 0)
+            spread = np.maximum(np.maximum(mad, c.mad_floor * np.abs(m)), 1e-9)
+            usual = [{"median": a, "mad": b} for a, b in zip(m.tolist(), mad.tolist())]
             x = np.array(values)
             z = np.where(np.abs(x - m) < 1e-12, 0.0, np.clip(0.6745 * (x - m) / spread, -c.z_clamp, c.z_clamp)).tolist()
         n, is_open = 0 if base is None else len(base), not c.gate_absence or hours >= c.least_hours
@@ -85,6 +103,7 @@ class Home:
                 if z is not None:
                     self.drift[k] = 0.0 if n < c.cusum_warmup else max(0.0, c.cusum_decay * self.drift[k] - z[TRACKED.index(name)] - c.cusum_slack)
             self.recent = [*self.recent, z[TRACKED.index("mobility_index")] if z is not None else 0.0][-c.sustained_days :]
+            self.past = [*self.past, z][-c.routine_days :]
         reported = list(self.drift)
         if is_open and z is not None:
             for name in ("mobility_index", "social_interaction_duration_s"):
@@ -93,7 +112,7 @@ class Home:
         declined = is_open and len(self.recent) == c.sustained_days and all(v < -c.z_limit for v in self.recent)
         self.history = [*self.history, [day, bool(hours >= c.least_hours and cover >= c.least_coverage), values]][-(c.weekend_span + c.window_days) :]
         self.last = day
-        return {"late": False, "n_days": n, "z": z, "reported": reported, "carried": list(self.drift), "declined": declined}
+        return {"late": False, "n_days": n, "z": z, "baseline": usual, "reported": reported, "carried": list(self.drift), "declined": declined, "shifted": self.shifted(is_open)}
 
 
 def _weekend(day: int) -> bool:
@@ -102,6 +121,7 @@ def _weekend(day: int) -> bool:
 
 def score_days(days: DataFrame, config: Thresholds = Thresholds()) -> DataFrame:
     """The second query: daily features (a stream, or a batch in a test) to SCORED, by keyed state. Days of one trigger are taken in order."""
+    names = T._parse_datatype_string(SCORED).names
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         home = Home(config, state.get[0] if state.exists else None)
@@ -109,9 +129,16 @@ def score_days(days: DataFrame, config: Thresholds = Thresholds()) -> DataFrame:
         out = []
         for _, r in pdf.iterrows():
             number = (r["day"] - datetime.date(1970, 1, 1)).days
-            found = home.take(number, float(r["observed_hours"]), float(r["tracking_coverage"]), [float(r[c]) for c in TRACKED], r)
-            out.append({"home_id": key[0], "day": r["day"], **found})
+            own = {c: float(r[c]) for c in ("observed_hours", "tracking_coverage", *TRACKED, *UNTRACKED)}
+            found = home.take(number, own["observed_hours"], own["tracking_coverage"], [own[c] for c in TRACKED])
+            out.append({"home_id": key[0], "day": r["day"], **found, **own})
         state.update((home.save(),))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in SCORED.split(", ")])
+        yield pd.DataFrame(out, columns=names)
 
     return days.groupBy("home_id").applyInPandasWithState(run, SCORED, "saved string", "append", GroupStateTimeout.NoTimeout)
+
+
+def alert_stream(days: DataFrame, config: Thresholds = Thresholds()) -> DataFrame:
+    """Alerts of a stream of daily features, as the batch rules give them; a late day raises none. The rules look at one scored day, so
+    nothing is held beyond the state of score_days."""
+    return alerts(score_days(days, config).filter("not late"), config)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dayweave.operators.tracks import BOX, Tracker
@@ -16,6 +17,20 @@ TRACKED_BOX = "camera long, frame_idx long, x1 double, y1 double, x2 double, y2
 WINDOW = "track_id long, start_frame long, end_frame long, n_rows int"
 
 
+def timed(rows: DataFrame) -> tuple[DataFrame, str]:
+    """rows with _at (milliseconds) where they have an event_time, which carries a watermark, and the timeout that state then has. By
+    event time, so that a replay expires the same state; without a watermark nothing can."""
+    if "event_time" in rows.columns:
+        return rows.withColumn("_at", F.unix_millis(F.col("event_time").cast("timestamp"))), GroupStateTimeout.EventTimeTimeout
+    return rows, GroupStateTimeout.NoTimeout
+
+
+def expire(state: GroupState, pdf: pd.DataFrame, idle_ms: int) -> None:
+    """Has the state time out once the watermark is idle_ms beyond the latest row."""
+    if "_at" in pdf:
+        state.setTimeoutTimestamp(max(int(pdf["_at"].max()), state.getCurrentWatermarkMs()) + idle_ms)
+
+
 def track_stream(detections: DataFrame, **settings) -> DataFrame:
     """detections (camera, frame_idx, box, confidence) with track ids; a camera's tracker is its state, ages count frames without boxes.
 
@@ -42,13 +57,18 @@ def track_stream(detections: DataFrame, **settings) -> DataFrame:
     return detections.groupBy("camera").applyInPandasWithState(run, TRACKED_BOX, "saved binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def window_stream(rows: DataFrame, length: int = 30, stride: int = 15, most_gap: int = 5) -> DataFrame:
-    """Windows over usable rows (track_id, frame_idx, usable) as they fill up; a gap of frames starts over. State: at most `length` frames."""
+def window_stream(rows: DataFrame, length: int = 30, stride: int = 15, most_gap: int = 5, idle_ms: int = 3_600_000) -> DataFrame:
+    """Windows over usable rows (track_id, frame_idx, usable) as they fill up; a gap of frames starts over. State: at most `length` frames,
+    which go once the watermark of event_time, if rows have it, is idle_ms beyond the track's latest row."""
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, last = json.loads(state.get[0]) if state.exists else ([], None)
         out = []
-        for frame, usable in pd.concat(list(pdfs)).sort_values("frame_idx")[["frame_idx", "usable"]].itertuples(index=False):
+        pdf = pd.concat(list(pdfs))
+        for frame, usable in pdf.sort_values("frame_idx")[["frame_idx", "usable"]].itertuples(index=False):
             if last is not None and frame <= last:
                 continue
             if last is not None and frame - last > most_gap:
@@ -60,7 +80,9 @@ def window_stream(rows: DataFrame, length: int = 30, stride: int = 15, most_gap:
                 out.append((key[0], held[0], held[-1], length))
                 held = held[stride:]
         state.update((json.dumps([held, last]),))
+        expire(state, pdf, idle_ms)
         if out:
             yield pd.DataFrame(out, columns=[f.split()[0] for f in WINDOW.split(", ")])
 
-    return rows.groupBy("track_id").applyInPandasWithState(run, WINDOW, "saved string", "append", GroupStateTimeout.NoTimeout)
+    rows, timeout = timed(rows)
+    return rows.groupBy("track_id").applyInPandasWithState(run, WINDOW, "saved string", "append", timeout)

@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 QUICK = (
-    "daily_features alerts verified_claims prose_numbers classification_scores tau_sweep transition_matrix auroc_by_dataset fall_operating_point nearest_two identity_operating_point "
+    "daily_features alerts streaming_alerts verified_claims prose_numbers classification_scores tau_sweep transition_matrix auroc_by_dataset fall_operating_point nearest_two identity_operating_point "
     "track_windows reachable_fragments voted_roles decoded_segments fused_posteriors skeleton_streams window_labels step_labels annotation_cross_check parsed_names segment_upsert "
     "nearest_two_blocks auroc_by_rank protocol_counts stray_subjects remapped_subjects masked_loss layout_votes pose_archive_check built_clips shard_audit dataset_profile path_classes observation_faults segment_wire top_deviations heaviest_chain keyword_classes"
 ).split()

@@ -1,14 +1,19 @@
 """The streaming path gives what the batch path gives."""
 
+import datetime
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dayweave.operators.alerts import alerts
 from dayweave.operators.baseline import with_baselines, with_drift, with_sustained
+from dayweave.operators.decode import marginals, structured_prior
 from dayweave.operators.features import daily_features
 from dayweave.operators.tracks import windows
 from dayweave.plans.behaviour import features
 from dayweave.sources import domain
-from dayweave.streaming import daily, tracking
+from dayweave.streaming import daily, decoding, tracking
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,6 +33,9 @@ def test_scored_days_equal_batch(spark, tmp_path):
     got = {(r.home_id, r.day): r for r in drain(daily.score_days(stream), "scored").collect()}
     want = with_sustained(with_drift(with_baselines(f))).collect()
     assert len(got) == len(want) == 90 and not any(r.late for r in got.values())
+    kept = lambda df: sorted((a.home_id, a.day, a.rule_name, a.severity, a.rule_expression, [(e.ref, round(e.robust_z, 6), round(e.delta, 6), e.baseline_n_days) for e in a.evidence]) for a in df.collect())
+    raised = kept(alerts(spark.table("scored").filter("not late")))
+    assert raised == kept(alerts(with_sustained(with_drift(with_baselines(f))))) and raised
     for w in want:
         g = got[(w.home_id, w.day)]
         assert g.n_days == w.n_days and g.declined == w.declined and (g.z is None) == (w.z is None)
@@ -72,3 +80,50 @@ def test_tracker_keeps_ids_over_triggers(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "t"))
     got = drain(tracking.track_stream(stream), "tracks").groupBy("track_id").count().collect()
     assert sorted((r.track_id, r["count"]) for r in got) == [(0, 20), (1, 20)]
+
+
+def test_late_days_raise_no_alert(spark, tmp_path):
+    f = features(spark, SF).filter("home_id = 1").withColumn("home_id", F.col("home_id").cast("long")).withColumn("fall_events", F.lit(1.0))
+    f.filter("day >= '2024-01-16'").coalesce(1).write.parquet(str(tmp_path / "days/part=1"))
+    f.filter("day < '2024-01-16'").coalesce(1).write.parquet(str(tmp_path / "days/part=2"))
+    read = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    found = drain(daily.alert_stream(read.parquet(str(tmp_path / "days"))), "late_alerts")
+    first = f.agg(F.min("day")).first()[0]
+    days = {r.day for r in found.filter("kind = 'fall_detected'").collect()}
+    assert days and (min(days).isoformat() >= "2024-01-16" or min(days) == first)
+
+
+def test_lagged_labels_are_the_marginals_of_what_is_known(spark, tmp_path):
+    rng, lag, n = np.random.default_rng(5), 3, 23
+    steps = [*range(12), *range(20, 31)]  # a gap after the twelfth
+    post = {t: rng.dirichlet(np.ones(20) * 0.3, n) for t in range(3)}
+    df = spark.createDataFrame([(t, s, post[t][i].tolist()) for t in post for i, s in enumerate(steps)], "track_id long, step long, posterior array<double>")
+    df.filter("step < 7").coalesce(1).write.parquet(str(tmp_path / "l/1"))
+    df.filter("step >= 7").coalesce(1).write.parquet(str(tmp_path / "l/2"))
+    prior = structured_prior(20)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "l"))
+    got = {(r.track_id, r.step): r for r in drain(decoding.lagged_labels(stream, prior, lag), "lagged").collect()}
+    move, start = np.log(np.maximum(prior, 1e-12)), np.full(20, -np.log(20))
+    want = {}
+    for t, p in post.items():
+        e = np.log(np.maximum(p, 1e-12))
+        for a, b in ((0, 12), (12, n)):
+            for i in range(a, b if b == 12 else b - lag):  # the last windows are still held
+                want[t, steps[i]] = marginals(e[a : min(b, i + lag + 1)], move, start)[i - a]
+    assert set(got) == set(want)
+    for k, m in want.items():
+        assert got[k].state == m.argmax() and got[k].marginal == pytest.approx(m.max(), abs=1e-9)
+        assert got[k].abstained == (m.max() < 0.4 and m.argmax() not in (7, 8)) and got[k].label == (19 if got[k].abstained else got[k].state)
+
+
+def test_state_of_silent_tracks_expires(spark, tmp_path):
+    prior = structured_prior(20)
+    post = np.full(20, 0.02)
+    post[3] = 0.62
+    at = lambda t, s: (t, s, post.tolist(), datetime.datetime(2024, 1, 1, t) + datetime.timedelta(seconds=s))
+    for k, rows in enumerate(([at(0, 0), at(0, 1)], [at(9, 0)], [at(9, 1)])):  # the second part moves the watermark past the first track
+        spark.createDataFrame(rows, "track_id long, step long, posterior array<double>, event_time timestamp").coalesce(1).write.parquet(str(tmp_path / f"e/{k}"))
+    schema = spark.read.parquet(str(tmp_path / "e/0")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "e")).withWatermark("event_time", "1 minute")
+    got = drain(decoding.lagged_labels(stream, prior, 3), "expired").collect()
+    assert sorted((r.track_id, r.step, r.label) for r in got) == [(0, 0, 3), (0, 1, 3)]
