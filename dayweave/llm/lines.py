@@ -2,8 +2,9 @@
 
 A rolling hash over the hashes of the last two lines chooses chunk ends, so that the same lines are cut alike wherever they stand in a
 document. Chunks of several lines that occur again anywhere are compared byte by byte, and all but the first occurrence are removed.
-`without_repeated_chunks` cuts at multiples, as its SQL twin says, and leaves chunks of one line alone; `without_repeated_passages` cuts
-at local minima, so that no chunk of a longer text has one line, and compares long lines by themselves too. Built-in functions throughout.
+The query and the pipeline use `without_repeated_passages`, which cuts at local minima, so that no chunk of a longer text has one line, and
+compares long lines by themselves too; `without_repeated_chunks` cuts at multiples and leaves chunks of one line alone. Built-in functions
+throughout.
 """
 
 from __future__ import annotations
@@ -139,11 +140,27 @@ def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document."""
-    return without_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "text")
+    return without_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM d WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
+x AS (SELECT *, (h + {WEIGHT} * coalesce(lag(h) OVER w, 0)) % 2147483647 * 1103515245 % 2147483647 AS x FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),
+b AS (SELECT *, i = n OR (i > 1 AND i < n - 1 AND x < lag(x) OVER w AND x <= lead(x) OVER w) AS ends FROM x WINDOW w AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+u AS (SELECT r, doc_id, min(i) AS a, max(i) AS z, string_agg(line, chr(10) ORDER BY i) AS unit FROM c GROUP BY r, doc_id, k HAVING count(*) > 1
+  UNION ALL SELECT r, doc_id, i, i, line FROM l WHERE len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\x0C\\r]+')) >= {LONG_LINE}),
+o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS FIRST, a) > 1 AS again FROM u WHERE regexp_matches(unit, '[^ \\t\\n\\x0B\\x0C\\r]')),
+g AS (SELECT DISTINCT r, unnest(range(a, z + 1)) AS i, true AS gone FROM o WHERE again)
+SELECT d.doc_id, count(l.i) AS n_lines, count(g.gone) AS n_removed_lines,
+  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone IS NULL), '') END AS text
+FROM d LEFT JOIN l USING (r) LEFT JOIN g ON g.r = l.r AND g.i = l.i GROUP BY d.r, d.doc_id
+"""
+#: SQL of without_repeated_chunks.
+CHUNKS_ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
 b AS (SELECT *, (h + {WEIGHT} * coalesce(lag(h) OVER w, 0)) % {MEAN_LINES} = 0 OR lead(i) OVER w IS NULL AS ends FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),

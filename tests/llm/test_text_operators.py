@@ -244,7 +244,7 @@ def test_quality_equals_brute_force(spark):
 
 def test_quality_and_lines_stay_native(spark):
     df = docs_df(spark, ["a\nb", "a\nb\nc"])
-    for out in (quality.assessed(df), lines.without_repeated_chunks(df)):
+    for out in (quality.assessed(df), lines.without_repeated_chunks(df), lines.without_repeated_passages(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow(?!U)", plan)
 
@@ -256,7 +256,7 @@ def test_lines_equal_sql(spark):
     ids = list(range(len(texts)))
     df = docs_df(spark, texts, ids)
     documents = df.toPandas()  # noqa: F841  the SQL's table
-    want = sorted(map(tuple, duckdb.sql(lines.ORACLE).fetchall()), key=str)
+    want = sorted(map(tuple, duckdb.sql(lines.CHUNKS_ORACLE).fetchall()), key=str)
     got = [tuple(r) for r in lines.without_repeated_chunks(df.withColumn("k", F.lit(1)).withColumn("n_lines", F.lit("mine"))).select("doc_id", "n_lines", "n_removed_lines", "text").collect()]
     assert sorted(got, key=str) == want and any(r[2] for r in got)
     # repeated rows are one document, rows without an id are not lost
@@ -307,7 +307,10 @@ def test_passages_equal_brute_force(spark):
     ids = list(range(len(texts)))
     df = docs_df(spark, texts, ids)
     out = lines.without_repeated_passages(df.withColumn("k", F.lit(1)).withColumn("n_lines", F.lit("mine"))).select("doc_id", "n_lines", "n_removed_lines", "text")
-    assert sorted(map(tuple, out.collect())) == brute_passages(texts, ids)
+    want = brute_passages(texts, ids)
+    assert sorted(map(tuple, out.collect())) == want
+    documents = df.toPandas()  # noqa: F841  the SQL's table
+    assert sorted(map(tuple, duckdb.sql(lines.ORACLE).fetchall())) == want
     assert lines.without_repeated_passages(df.limit(0)).count() == 0
     twice = docs_df(spark, ["p\nq\nr\ns\nt\nu"] * 2 + [None, "p\nq\nr\ns\nt\nu"], [1, 1, None, 2])
     assert sorted((str(r.doc_id), r.n_removed_lines, r.text) for r in lines.without_repeated_passages(twice).collect()) == [("1", 0, "p\nq\nr\ns\nt\nu")] * 2 + [("2", 6, ""), ("None", 0, None)]
