@@ -9,9 +9,12 @@ throughout.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayweave.functions.arrays import let
 from dayweave.llm.common import staged, table
 
 #: A chunk ends where the rolling hash is a multiple of this: the mean number of lines of a chunk.
@@ -28,74 +31,38 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def _cut(df: DataFrame, text: Column, mean_lines: int) -> DataFrame:
-    """df with _lines and _ends (index of each chunk's last line)."""
-    df = df.withColumn("_lines", F.split(text, "\n", -1))
-    df = df.withColumn("_hashes", F.transform("_lines", line_hash))
-    h, last = F.col("_hashes"), F.size("_lines") - 1
-    rolled = F.transform(h, lambda x, i: F.when((i == last) | ((x + WEIGHT * F.coalesce(F.get(h, i - 1), F.lit(0))) % mean_lines == 0), i))
-    return df.withColumn("_ends", F.array_compact(rolled)).drop("_hashes")
-
-
-def _chunks() -> Column:
-    """Chunks with their place: struct of k, n_lines and chunk (the lines joined)."""
-    ends, lines = F.col("_ends"), F.col("_lines")
-
-    def one(end, k):
-        before = F.coalesce(F.get(ends, k - 1), F.lit(-1))
-        return F.struct(k.alias("k"), (end - before).alias("n_lines"), F.array_join(F.slice(lines, before + 2, end - before), "\n").alias("chunk"))
+def _unit(lines: Column, begin: Column, n: Column) -> Column:
+    """Struct of k (first line), n_lines and chunk (the lines joined)."""
+    return F.struct(begin.alias("k"), n.alias("n_lines"), F.array_join(F.slice(lines, begin + 1, n), "\n").alias("chunk"))
 
-    return F.transform(ends, one)
 
+def _chunks(lines: Column, ends: Column) -> Column:
+    """The chunks of two lines or more that are not blank; ends has the index of each chunk's last line."""
 
-def _repeats(chunks: DataFrame) -> DataFrame:
-    """Of chunks (_id, _row, k, chunk, h, ...) those that occur before; k has the place in the document."""
-    # Written tables on the other side of a join leave Spark free to split a frequent chunk's rows; an aggregation there would not. The hints
-    # keep one plan at every size.
-    often = staged(chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "line-often")
-    met = staged(chunks.join(often.hint("merge"), "h", "left_semi"), "line-chunks")
-    first = staged(met.groupBy("h", "chunk").agg(F.min(F.struct("_id", "_row", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "chunk", "first.*").toDF("h", "chunk", "f_id", "f_row", "f_k"), "line-first")
-    return met.join(first.hint("merge"), ["h", "chunk"]).filter(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_row") == F.col("f_row")) & (F.col("k") == F.col("f_k"))))
-
-
-def _keyed(docs: DataFrame, id_col: str, raw: Column) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"), raw.alias("_text")).filter("_text is not null")
+    def one(end, j):
+        before = F.coalesce(F.get(ends, j - 1), F.lit(-1))
+        return _unit(lines, before + 1, end - before)
 
+    return F.filter(F.transform(ends, one), lambda c: (c["n_lines"] > 1) & (F.btrim(c["chunk"], F.lit(SPACE)) != ""))
 
-def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
-    """docs with text_col shortened, and n_lines, n_removed_lines (long; columns of these names are replaced).
 
-    The occurrence with the smallest id, then the earliest in its document, stays (null ids come first). Only chunks of two lines or
-    more with a character other than white space are compared. Rows that agree in id and text (by 64 bits of hash) are one document and treated alike. Null
-    text stays null, with no lines; a text whose chunks all go becomes empty. Hashes are aggregated before anything is moved; texts are
-    moved once to find repeated chunks and once to apply the result, by keys that Spark can split when skewed.
-    """
-    raw = F.col(f"`{text_col}`")
-    keyed = _keyed(docs, id_col, raw)
-    many = _cut(keyed, F.col("_text"), mean_lines).select("_id", "_row", F.filter(_chunks(), lambda c: (c["n_lines"] > 1) & (F.btrim(c["chunk"], F.lit(SPACE)) != "")).alias("_chunks"))
-    # An outer explode: for an inner one Spark infers a filter on the array, pushes it to the scan and so cuts the text anew for every line.
-    chunks = many.select("_id", "_row", F.explode_outer("_chunks").alias("c")).filter("c is not null").select("_id", "_row", "c.k", "c.chunk", F.xxhash64("c.chunk").alias("h"))
-    gone = _repeats(chunks).groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set("k").alias("_gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"))
-    joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
-    some = F.col("_gone").isNotNull()
-    cut = _cut(joined, raw, mean_lines)
-    # array_except hashes: linear in the chunks of a text.
-    cut = cut.withColumn("_all", F.when(some, _chunks())).withColumn("_stay", F.when(some, F.array_except(F.sequence(F.lit(0), F.size("_ends") - 1), "_gone")))
-    text = F.when(some, F.array_join(F.transform("_stay", lambda k: F.get("_all", k)["chunk"]), "\n")).otherwise(raw)
-    removed = F.size("_lines") - F.aggregate("_stay", F.lit(0), lambda n, k: n + F.get("_all", k)["n_lines"])
-    columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
-    return cut.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.when(some, removed).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
+def _at_multiples(df: DataFrame, mean_lines: int) -> DataFrame:
+    """df with _units: the chunks that end where the rolling hash is a multiple of mean_lines."""
+    df = df.withColumn("_lines", F.split("_text", "\n", -1))
+    df = df.withColumn("_hashes", F.transform("_lines", line_hash))
+    h, last = F.col("_hashes"), F.size("_lines") - 1
+    rolled = F.transform(h, lambda x, i: F.when((i == last) | ((x + WEIGHT * F.coalesce(F.get(h, i - 1), F.lit(0))) % mean_lines == 0), i))
+    df = df.withColumn("_ends", F.array_compact(rolled))
+    return df.withColumn("_units", _chunks(F.col("_lines"), F.col("_ends")))
 
 
-def _passages(df: DataFrame, text: Column) -> DataFrame:
-    """df with _lines and _units: struct of k (first line), n_lines and chunk of each chunk of two lines or more and of each long line.
+def _at_minima(df: DataFrame) -> DataFrame:
+    """df with _units: chunks of two lines or more, and each long line.
 
     A chunk ends where the rolling hash is less than at the line before and no greater than at the next one, neither at the first line nor
     at the last but one: two neighbours cannot both be ends, so a text of two lines or more has no chunk of one line.
     """
-    df = df.withColumn("_lines", F.split(text, "\n", -1))
+    df = df.withColumn("_lines", F.split("_text", "\n", -1))
     df = df.withColumn("_hashes", F.transform("_lines", line_hash))
     # A large odd factor and a prime spread the sum, whose order would otherwise be that of the line before.
     h = F.col("_hashes")
@@ -103,29 +70,38 @@ def _passages(df: DataFrame, text: Column) -> DataFrame:
     r, lines, last = F.col("_rolled"), F.col("_lines"), F.size("_lines") - 1
     valley = lambda x, i: (i > 0) & (i < last - 1) & (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))
     df = df.withColumn("_ends", F.array_compact(F.transform(r, lambda x, i: F.when((i == last) | F.coalesce(valley(x, i), F.lit(False)), i))))
-    ends = F.col("_ends")
-
-    def chunk(end, j):
-        before = F.coalesce(F.get(ends, j - 1), F.lit(-1))
-        return F.struct((before + 1).alias("k"), (end - before).alias("n_lines"), F.array_join(F.slice(lines, before + 2, end - before), "\n").alias("chunk"))
-
     long = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("k"), F.lit(1).alias("n_lines"), x.alias("chunk"))), lambda c: (F.length(c["chunk"]) >= 2 * LONG_LINE - 1) & (F.size(F.split(F.btrim(c["chunk"], F.lit(SPACE)), f"[{SPACE}]+")) >= LONG_LINE))
-    many = F.filter(F.transform(ends, chunk), lambda c: (c["n_lines"] > 1) & (F.btrim(c["chunk"], F.lit(SPACE)) != ""))
-    return df.withColumn("_units", F.concat(many, long)).drop("_hashes", "_rolled", "_ends")
+    return df.withColumn("_units", F.concat(_chunks(lines, F.col("_ends")), long))
 
 
-def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs like without_repeated_chunks, but nothing is left alone for standing in a chunk of one line or at the edge of a chunk.
+def _repeats(keyed: DataFrame, units: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """_id, _row, k and n_lines of the units of keyed (_id, _row, _text) that occur before.
 
-    A line goes if its chunk (two lines or more) or, from LONG_LINE words on, the line itself occurs before. Every distinct line stays
-    where it first occurs. Shorter repeated lines stay unless all of their chunk repeats.
+    Hashes find the units worth comparing; the texts that hold one are then moved once to cut those units out, and these are compared byte
+    by byte.
     """
+    # Written tables on the other side of a join leave Spark free to split a frequent key's rows; an aggregation there would not. The hints
+    # keep one plan at every size. Outer explodes: for an inner one Spark infers a filter on the array and so cuts the text anew.
+    hashed = F.transform("_units", lambda u: F.struct(u["k"].alias("k"), u["n_lines"].alias("n_lines"), F.xxhash64(u["chunk"]).alias("h")))
+    all_units = staged(units(keyed).select("_id", "_row", F.explode_outer(hashed).alias("u")).filter("u is not null").select("_id", "_row", "u.*"), "line-units")
+    often = staged(all_units.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "line-often")
+    asked = all_units.join(often.hint("merge"), "h", "left_semi").groupBy(F.col("_id").alias("a_id"), F.col("_row").alias("a_row")).agg(F.collect_set(F.struct("k", "n_lines", "h")).alias("_asked"))
+    asked = staged(asked, "line-asked")
+    found = keyed.join(asked.hint("merge"), keyed["_id"].eqNullSafe(asked["a_id"]) & (keyed["_row"] == asked["a_row"]))
+    cut = let(F.split("_text", "\n", -1), lambda lines: F.transform("_asked", lambda u: F.struct(u["h"].alias("h"), _unit(lines, u["k"], u["n_lines"]).alias("u"))))
+    met = staged(found.select("_id", "_row", F.explode_outer(cut).alias("c")).select("_id", "_row", "c.h", "c.u.*"), "line-chunks")
+    first = met.groupBy("h", "chunk").agg(F.min(F.struct("_id", "_row", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = staged(first.select("h", "chunk", "first.*").toDF("h", "chunk", "f_id", "f_row", "f_k"), "line-first")
+    return met.join(first.hint("merge"), ["h", "chunk"]).filter(~(F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_row") == F.col("f_row")) & (F.col("k") == F.col("f_k"))))
+
+
+def _without(docs: DataFrame, id_col: str, text_col: str, units: Callable[[DataFrame], DataFrame]) -> DataFrame:
     raw = F.col(f"`{text_col}`")
-    units = _passages(_keyed(docs, id_col, raw), F.col("_text")).select("_id", "_row", F.explode_outer("_units").alias("c")).filter("c is not null")
-    again = _repeats(units.select("_id", "_row", "c.*", F.xxhash64("c.chunk").alias("h")))
-    gone = again.groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set(F.struct("k", "n_lines")).alias("_gone"))
+    row = F.xxhash64(F.col(f"`{id_col}`"), raw)
+    keyed = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("_row"), raw.alias("_text")).filter("_text is not null")
+    gone = _repeats(keyed, units).groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set(F.struct("k", "n_lines")).alias("_gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{id_col}`"), raw).alias("_row"))
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], row.alias("_row"))
     joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
     cut = joined.withColumn("_lines", F.split(raw, "\n", -1))
     lines, some = F.col("_lines"), F.col("_gone").isNotNull()
@@ -138,6 +114,26 @@ def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     return cut.select(*columns, n.alias("n_lines"), F.when(some, n - F.size("_stay")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
 
 
+def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
+    """docs with text_col shortened, and n_lines, n_removed_lines (long; columns of these names are replaced).
+
+    The occurrence with the smallest id, then the earliest in its document, stays (null ids come first). Only chunks of two lines or
+    more with a character other than white space are compared. Rows that agree in id and text (by 64 bits of hash) are one document and treated alike. Null
+    text stays null, with no lines; a text whose chunks all go becomes empty. Only hashes are moved to find repeats; texts are moved once
+    to compare them and once to apply the result, by keys that Spark can split when skewed.
+    """
+    return _without(docs, id_col, text_col, lambda df: _at_multiples(df, mean_lines))
+
+
+def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs like without_repeated_chunks, but nothing is left alone for standing in a chunk of one line or at the edge of a chunk.
+
+    A line goes if its chunk (two lines or more) or, from LONG_LINE words on, the line itself occurs before. Every distinct line stays
+    where it first occurs. Shorter repeated lines stay unless all of their chunk repeats.
+    """
+    return _without(docs, id_col, text_col, _at_minima)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document."""
     return without_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "text")
