@@ -149,3 +149,43 @@ def crop_name(name: Column, reserved: tuple[str, ...] = ()) -> Column:
     frame = F.coalesce(F.get(parts, 2).try_cast("int"), F.lit(0))
     kept = ok & (F.size(parts) >= 3) & ~F.get(parts, 0).isin(*reserved) if reserved else ok & (F.size(parts) >= 3)
     return F.when(kept, F.struct(F.get(parts, 0).alias("pid"), F.get(parts, 1).alias("camera"), frame.alias("frame")))
+
+
+def agreement(a: DataFrame, b: DataFrame, videos: DataFrame, key: str, n_classes: int, most_steps: int = 20_000) -> DataFrame:
+    """Step-level agreement of two sources of spans (key, class, start, end): key, n_steps, cells_differing and agreement, a row for each
+    video of videos (key, duration) that both sources have.
+
+    A step stands at step * duration / n_steps, with n_steps the duration in whole frames, at most most_steps; a class holds at a step
+    that lies within one of its spans, bounds included, and a cell is a step of a class. No step is expanded: each span becomes a rise at
+    its first step and a fall after its last one, a running sum over the places where anything changes tells which source holds between
+    two of them, and the stretches where only one does are added up. Rises and falls at one place are summed before they are ordered.
+    Classes out of range and spans without a step count for nothing; spans that overlap, touch or repeat count once.
+    """
+    both = a.select(key).distinct().join(b.select(key).distinct(), key)
+    clips = videos.join(both, key).withColumn("n_steps", F.least(F.greatest(F.floor("duration").cast("long"), F.lit(1)), F.lit(most_steps).cast("long")))
+    size = F.col("duration") / F.col("n_steps")
+    at = lambda step: step * size
+
+    def edges(spans: DataFrame, name: str, other: str) -> DataFrame:
+        j = spans.join(clips, key).filter(F.col("class").between(0, n_classes - 1))
+        guess_lo, guess_hi = F.ceil(F.col("start") / size).cast("long"), F.floor(F.col("end") / size).cast("long")
+        # Quotients may round across a bound; the products decide.
+        lo = F.when(at(guess_lo - 1) >= F.col("start"), guess_lo - 1).when(at(guess_lo) < F.col("start"), guess_lo + 1).otherwise(guess_lo)
+        hi = F.when(at(guess_hi + 1) <= F.col("end"), guess_hi + 1).when(at(guess_hi) > F.col("end"), guess_hi - 1).otherwise(guess_hi)
+        j = j.select(key, "class", F.greatest(lo, F.lit(0).cast("long")).alias("lo"), F.least(hi, F.col("n_steps") - 1).alias("hi")).filter("lo <= hi")
+        move = lambda place, by: F.struct(place.alias("place"), F.lit(by).alias(name), F.lit(0).alias(other))
+        return j.select(key, "class", F.explode(F.array(move(F.col("lo"), 1), move(F.col("hi") + 1, -1))).alias("e")).select(key, "class", "e.place", f"e.{name}", f"e.{other}")
+
+    moves = edges(a, "_a", "_b").unionByName(edges(b, "_b", "_a")).groupBy(key, "class", "place").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    w = Window.partitionBy(key, "class").orderBy("place")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    apart = (F.sum("_a").over(so_far) > 0) != (F.sum("_b").over(so_far) > 0)
+    stretch = moves.select(key, F.when(apart, F.lead("place").over(w) - F.col("place")).otherwise(0).alias("_n"))  # nothing holds after the last place
+    differ = stretch.groupBy(key).agg(F.sum("_n").alias("_n"))
+    out = clips.join(differ, key, "left").select(key, "n_steps", F.coalesce("_n", F.lit(0)).cast("long").alias("cells_differing"))
+    return out.withColumn("agreement", 1 - F.col("cells_differing") / (F.col("n_steps") * n_classes))
+
+
+def agreement_summary(videos: DataFrame, least: float = 0.999) -> DataFrame:
+    """Of the rows of agreement: how many, their mean and least agreement, how many lie below least."""
+    return videos.agg(F.count("*").alias("compared"), F.coalesce(F.avg("agreement"), F.lit(0.0)).alias("mean_agreement"), F.coalesce(F.min("agreement"), F.lit(0.0)).alias("least_agreement"), F.count_if(F.col("agreement") < least).alias("below"))

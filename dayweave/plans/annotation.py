@@ -99,6 +99,28 @@ def q_cross_check(s, d):
     return L.cross_check(a, b, "clip")
 
 
+def _sources(s, d):
+    """Two annotation sources: the second lacks some spans, has others split in two, and ends some a few frames early."""
+    v = videos(s, d)
+    a = v.filter("clip % 10 <> 1").select("clip", "class", "start", "end")
+    b = v.filter("clip % 9 <> 0 and segment_id % 10 <> 0").withColumn("cut", F.when(F.col("segment_id") % 3 == 0, F.col("start") + 12))
+    whole = b.filter("cut is null").select("clip", "class", "start", (F.col("end") - F.when(F.col("segment_id") % 7 == 0, 5).otherwise(0)).alias("end"))
+    parts = b.filter("cut is not null")
+    return a, whole.unionByName(parts.select("clip", "class", "start", F.col("cut").alias("end"))).unionByName(parts.select("clip", "class", F.col("cut").alias("start"), "end"))
+
+
+def q_agreement(s, d):
+    a, b = _sources(s, d)
+    r = L.agreement(a, b, lengths(s, d).select("clip", "duration"), "clip", 20)
+    return r.select("clip", "n_steps", "cells_differing", F.round("agreement", 9).alias("agreement"))
+
+
+def q_agreement_summary(s, d):
+    a, b = _sources(s, d)
+    r = L.agreement_summary(L.agreement(a, b, lengths(s, d).select("clip", "duration"), "clip", 20))
+    return r.select("compared", F.round("mean_agreement", 9).alias("mean_agreement"), F.round("least_agreement", 9).alias("least_agreement"), "below")
+
+
 def q_keywords(s, d):
     """Activity names described in words, mapped back by keyword rules."""
     t = actions(s, d).select("action_id", F.concat(F.lit("Someone is "), F.replace("label", F.lit("_"), F.lit(" "))).alias("text"), "label")
@@ -165,7 +187,7 @@ def q_scenario_summary(s, d):
 
 QUERIES = {
     "window_labels": q_window_labels, "interval_overlaps": q_overlaps, "mapped_labels": q_mapped, "fall_windows": q_fall_windows, "step_labels": q_steps, "annotated_windows": q_annotated, "coarse_steps": q_coarse_steps,
-    "annotated_union": q_union, "class_frames": q_class_frames, "annotation_cross_check": q_cross_check, "keyword_classes": q_keywords, "parsed_names": q_names, "number_preservation": q_token_match,
+    "annotated_union": q_union, "class_frames": q_class_frames, "annotation_cross_check": q_cross_check, "annotation_agreement": q_agreement, "agreement_summary": q_agreement_summary, "keyword_classes": q_keywords, "parsed_names": q_names, "number_preservation": q_token_match,
     "segment_upsert": q_upsert, "alert_listing": q_listing, "table_counts": q_counts, "segment_lookup": q_lookup, "scenario_latency": q_scenarios, "scenario_summary": q_scenario_summary,
 }
 
@@ -179,6 +201,17 @@ _VID = f"""{SEGMENTS},
 vid AS (SELECT track_id AS clip, activity_id::BIGINT AS class, (start_us - t0) // 60000000 AS "start", (end_us - t0) // 60000000 + 30 AS "end", segment_id FROM segments JOIN (SELECT track_id, min(start_us) AS t0 FROM segments GROUP BY track_id) USING (track_id)),
 len AS (SELECT clip, max("end")::DOUBLE AS duration FROM vid GROUP BY clip)"""
 _STEP = lambda strict: f"""{_VID}, step AS (SELECT DISTINCT v.clip, i AS step, class FROM vid v JOIN len USING (clip), range(2000) r(i) WHERE i * (duration / 2000) {'>' if strict else '>='} "start" AND i * (duration / 2000) {'<' if strict else '<='} "end")"""
+#: The cells themselves, step by step; the sweep never makes them.
+_AGREE = f"""{_VID},
+one AS (SELECT DISTINCT clip, class, "start", "end" FROM vid WHERE clip % 10 <> 1),
+raw AS (SELECT *, segment_id % 3 = 0 AS split FROM vid WHERE clip % 9 <> 0 AND segment_id % 10 <> 0),
+two AS (SELECT clip, class, "start", "end" - CASE WHEN segment_id % 7 = 0 THEN 5 ELSE 0 END AS "end" FROM raw WHERE NOT split
+  UNION ALL SELECT clip, class, "start", "start" + 12 FROM raw WHERE split UNION ALL SELECT clip, class, "start" + 12, "end" FROM raw WHERE split),
+st AS (SELECT clip, duration, least(greatest(floor(duration)::BIGINT, 1), 20000) AS n_steps FROM len WHERE clip IN (SELECT clip FROM one) AND clip IN (SELECT clip FROM two)),
+near AS (SELECT clip, duration, n_steps, src, class, "start", "end", greatest(0, floor("start" / (duration / n_steps))::BIGINT - 1) AS lo, least(n_steps - 1, ceil("end" / (duration / n_steps))::BIGINT + 1) AS hi FROM (SELECT 1 AS src, * FROM one UNION ALL SELECT 2, * FROM two) JOIN st USING (clip) WHERE class BETWEEN 0 AND 19),
+cell AS (SELECT DISTINCT clip, src, class, i FROM (SELECT *, unnest(range(lo, hi + 1)) AS i FROM near) WHERE i * (duration / n_steps) >= "start" AND i * (duration / n_steps) <= "end"),
+alone AS (SELECT clip, count(*) AS n FROM (SELECT clip, class, i FROM cell GROUP BY ALL HAVING count(*) = 1) GROUP BY clip),
+agree AS (SELECT clip, n_steps, coalesce(n, 0) AS cells_differing, 1 - coalesce(n, 0) / (n_steps * 20) AS agreement FROM st LEFT JOIN alone USING (clip))"""
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _SCEN = f"""{ALERTS},
 n AS (SELECT home_id, count(*) AS n_days FROM days GROUP BY home_id),
@@ -200,6 +233,8 @@ SELECT clip, "start", CASE WHEN lo IS NOT NULL THEN CASE WHEN lo <= 0 AND hi <=
     "annotated_union": f'WITH {_VID}, u AS (SELECT *, max("end") OVER (PARTITION BY clip ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM vid) SELECT clip, sum(greatest(0, "end" - greatest("start", coalesce(before, "start"))))::BIGINT AS covered FROM u GROUP BY clip',
     "class_frames": f'WITH {_VID}, c AS (SELECT class, sum("end" - "start")::BIGINT AS frames, count(*) AS instances FROM vid GROUP BY class) SELECT class, frames, instances, round(frames / sum(frames) OVER (), 6) AS share, round(max(frames) OVER () / greatest(frames, 1), 6) AS imbalance FROM c',
     "annotation_cross_check": f'WITH {_VID}, a AS (SELECT DISTINCT clip, class, "start", "end" FROM vid WHERE clip % 10 <> 1), b AS (SELECT DISTINCT clip, class, "start", "end" FROM vid WHERE clip % 9 <> 0 AND segment_id % 10 <> 0), k AS (SELECT clip FROM a UNION SELECT clip FROM b) SELECT clip, clip IN (SELECT clip FROM a) AS in_a, clip IN (SELECT clip FROM b) AS in_b, (SELECT count(*) FROM (SELECT * FROM a WHERE a.clip = k.clip EXCEPT SELECT * FROM b WHERE b.clip = k.clip)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b WHERE b.clip = k.clip EXCEPT SELECT * FROM a WHERE a.clip = k.clip)) AS only_b FROM k',
+    "annotation_agreement": f"WITH {_AGREE} SELECT clip, n_steps, cells_differing, round(agreement, 9) AS agreement FROM agree",
+    "agreement_summary": f"WITH {_AGREE} SELECT count(*) AS compared, round(avg(agreement), 9) AS mean_agreement, round(min(agreement), 9) AS least_agreement, count(*) FILTER (WHERE agreement < 0.999) AS below FROM agree",
     "keyword_classes": f"WITH {SEGMENTS}, t AS (SELECT activity_name AS label, lower('Someone is ' || replace(activity_name, '_', ' ')) AS text FROM segments), k AS (SELECT label, text, {_keyword_sql('text')} AS rule FROM t) SELECT label, regexp_replace(text, '[^a-z0-9]+', '_', 'g') AS slug, CASE WHEN rule < 0 THEN 'other_idle' ELSE ({[n or '' for _, n in L.KEYWORDS]})[rule + 1] END AS class, rule >= 0 AND ({[n is None for _, n in L.KEYWORDS]})[rule + 1] AS dropped, count(*) AS n FROM k GROUP BY ALL",
     "parsed_names": f"WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id AS clip FROM segments) SELECT clip, CASE WHEN clip % 5 <> 0 THEN (clip % 90)::INT END AS subject, CASE WHEN clip % 5 <> 0 THEN (clip % 7)::INT END AS take, CASE WHEN clip % 5 <> 0 THEN (clip % 3)::INT END AS camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN lpad(clip::VARCHAR, 4, '0') END AS pid, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN 'c' || clip % 15 END AS crop_camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN (clip % 33)::INT END AS frame FROM v",
     "number_preservation": r"SELECT a.conv_id, a.turn, list_sort(regexp_extract_all(a.text, '\d+(?:[.,]\d+)*')) = list_sort(regexp_extract_all(b.text, '\d+(?:[.,]\d+)*')) AS same_numbers FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
