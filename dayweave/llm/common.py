@@ -68,6 +68,13 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """stem, with underscores added until no column of df begins with it: a prefix for columns of an operator's own."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def keyed_by(df: DataFrame, *names: str) -> list[Column]:
     """The named columns, quoted, whatever other columns df has."""
     return [F.col(f"`{n}`") for n in names]
