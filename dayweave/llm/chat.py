@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayweave.llm.common import table
+from dayweave.llm.common import table, unused
 
 TURNS = "array<struct<role: string, text: string>>"
 #: Declarative mappings by layout: the paths a record has, the list of turns with its role and text fields, or fixed (role, path) pairs.
@@ -53,11 +53,16 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 def value_paths(value, at: str = "") -> set[str]:
     """Leaf paths of a parsed JSON record; empty lists count as lists of nothing, empty objects as a leaf of their own kind."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)} or {f"{at}{{}}"}
-    if isinstance(value, list):
-        return {p for v in value for p in value_paths(v, f"{at}[]")} or {f"{at}[]"}
-    return {at}
+    found, left = set(), [(value, at)]
+    while left:  # a record may be nested deeper than Python calls may
+        value, at = left.pop()
+        if isinstance(value, dict) and value:
+            left += [(v, f"{at}.{k}" if at else k) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            left += [(v, f"{at}[]") for v in value]
+        else:
+            found.add(f"{at}{{}}" if isinstance(value, dict) else f"{at}[]" if isinstance(value, list) else at)
+    return found
 
 
 def from_struct(df: DataFrame, columns: list[str], into: str = "turns") -> DataFrame:
@@ -159,7 +164,10 @@ def _from_json_records(records: pa.Array) -> pa.Array:
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 _SPECIAL = r"([\\<\[])"
-_TURN = re.compile(r"<\|turn\|>((?:[^\\<\n]|\\.)*)\n((?:[^\\<]|\\.)*)<\|end\|>\n", re.S)
+# Stretches without an escape are taken at once and nothing is given back, so that memory doesn't grow with a turn's characters.
+_TURN = re.compile(r"<\|turn\|>((?>[^\\<\n]++|\\.)*+)\n((?>[^\\<]++|\\.)*+)<\|end\|>\n", re.S)
+#: Characters that are unescaped at a time.
+_PIECE = 1 << 20
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -168,7 +176,13 @@ def escaped(text: Column, role: bool = False) -> Column:
 
 
 def unescape(text: str, role: bool = False) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if role and m[1] == "n" else m[1], text, flags=re.S)
+    parts, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + _PIECE)
+        end += (end - len(text[at:end].rstrip("\\")) - at) % 2  # not between a backslash and what it escapes
+        parts.append(re.sub(r"\\(.)", lambda m: "\n" if role and m[1] == "n" else m[1], text[at:end], flags=re.S))
+        at = end
+    return "".join(parts)
 
 
 def formatted(df: DataFrame, turns: str = "turns", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -182,8 +196,9 @@ def formatted(df: DataFrame, turns: str = "turns", trained: tuple[str, ...] = ("
         F.when(t["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(t["head"])).alias("first"), (s["at"] + F.length(t["head"]) + F.length(t["body"])).alias("end"))))).otherwise(s["spans"]).alias("spans"),
     )
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first: int, end: int>>").alias("spans"))
-    df = df.withColumn("_cut", cut)
-    return df.withColumn("formatted", F.array_join(F.transform("_cut", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")).withColumn("loss_spans", F.aggregate("_cut", none, step, lambda s: s["spans"])).drop("_cut")
+    own = f"{unused(df, '_own')}cut"
+    df = df.withColumn(own, cut)
+    return df.withColumn("formatted", F.array_join(F.transform(own, lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")).withColumn("loss_spans", F.aggregate(own, none, step, lambda s: s["spans"])).drop(own)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
