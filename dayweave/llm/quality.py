@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm.common import table
+from dayweave.llm.common import table, unused
 
 #: Frequent function words of English, French, German and Spanish, as written within a sentence.
 STOP_WORDS = (
@@ -36,28 +36,29 @@ def counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
     others = [F.col(f"`{c}`") for c in df.columns if c not in names]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    words = F.array_remove(F.split(text, SPACES), "").alias("_words")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("_lines")
+    own = unused(df, "_own")
+    words = F.array_remove(F.split(text, SPACES), "").alias(f"{own}words")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias(f"{own}lines")
     one = df.select(*others, words, lines, (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"))
-    w = F.col("_words")
-    grams = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))).alias("_grams")
+    w, held = F.col(f"{own}words"), F.col(f"{own}lines")
+    grams = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))).alias(f"{own}grams")
     two = one.select(
         *others,
         "n_symbols",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size(held).cast("long").alias("n_lines"),
+        (F.size(held) - F.size(F.array_distinct(held))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         grams,
     )
-    g = F.col("_grams")
-    placed = F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_placed")
+    g = F.col(f"{own}grams")
+    placed = F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias(f"{own}placed")
     three = two.select("*", placed)
-    p = F.col("_placed")
+    p = F.col(f"{own}placed")
     again = F.sort_array(F.filter(F.transform(p, lambda x, k: F.when((x["h"] == F.get(p, k - 1)["h"]) | (x["h"] == F.get(p, k + 1)["h"]), x["i"])), lambda i: i.isNotNull()))
-    four = three.select("*", again.alias("_again"))
-    r = F.col("_again")
+    four = three.select("*", again.alias(f"{own}again"))
+    r = F.col(f"{own}again")
     covered = F.aggregate(F.transform(r, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(r, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     return four.select(*others, *names[:6], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
