@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayweave.functions.arrays import let
-from dayweave.llm.common import staged, table
+from dayweave.llm.common import staged, table, unused
 
 #: A chunk ends where the rolling hash is a multiple of this: the mean number of lines of a chunk.
 MEAN_LINES = 3
@@ -101,17 +101,20 @@ def _without(docs: DataFrame, id_col: str, text_col: str, units: Callable[[DataF
     keyed = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("_row"), raw.alias("_text")).filter("_text is not null")
     gone = _repeats(keyed, units).groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set(F.struct("k", "n_lines")).alias("_gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], row.alias("_row"))
-    joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone.g_id) & (marked["_row"] == gone.g_row), "left").drop("g_id", "g_row", "_row")
-    cut = joined.withColumn("_lines", F.split(raw, "\n", -1))
-    lines, some = F.col("_lines"), F.col("_gone").isNotNull()
+    own = unused(docs, "_cut")
+    my_row, my_lines, my_stay, g_id, g_row, my_gone = (f"{own}{c}" for c in ("row", "lines", "stay", "g_id", "g_row", "gone"))
+    gone = gone.toDF(g_id, g_row, my_gone)
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], row.alias(my_row))
+    joined = marked.join(gone.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(gone[g_id]) & (marked[my_row] == gone[g_row]), "left").drop(g_id, g_row, my_row)
+    cut = joined.withColumn(my_lines, F.split(raw, "\n", -1))
+    lines, some = F.col(my_lines), F.col(my_gone).isNotNull()
     # array_except hashes: linear in the lines of a text.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.flatten(F.transform("_gone", lambda g: F.sequence(g["k"], g["k"] + g["n_lines"] - 1))))
-    cut = cut.withColumn("_stay", F.when(some, stay))
-    text = F.when(some, F.array_join(F.transform("_stay", lambda i: F.get(lines, i)), "\n")).otherwise(raw)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.flatten(F.transform(my_gone, lambda g: F.sequence(g["k"], g["k"] + g["n_lines"] - 1))))
+    cut = cut.withColumn(my_stay, F.when(some, stay))
+    text = F.when(some, F.array_join(F.transform(my_stay, lambda i: F.get(lines, i)), "\n")).otherwise(raw)
     columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
-    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    return cut.select(*columns, n.alias("n_lines"), F.when(some, n - F.size("_stay")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
+    n = F.coalesce(F.size(my_lines), F.lit(0)).cast("long")
+    return cut.select(*columns, n.alias("n_lines"), F.when(some, n - F.size(my_stay)).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
 
 
 def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
