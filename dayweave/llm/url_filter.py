@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm.common import table
+from dayweave.llm.common import table, unused
 
 #: Rule list: (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -110,10 +110,12 @@ def judged(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     url = F.col(f"`{url_col}`")
     df = pages.withColumn("host", host(url)).withColumn("path", path(url))
     name, says = rule(F.col("host"), F.col("path"), rules)
-    df = df.withColumn("rule", name).withColumn("_says", says)
+    df = df.withColumn("rule", name)
+    rules_say = f"{unused(df, '_rules')}say"
+    df = df.withColumn(rules_say, says)
     spark = pages.sparkSession
     fold = F.pmod(F.xxhash64(url), F.lit(FOLDS))
-    known = df.filter("_says is not null").select(url.alias("url"), F.col("_says").alias("says"), fold.alias("fold"))
+    known = df.filter(F.col(rules_say).isNotNull()).select(url.alias("url"), F.col(rules_say).alias("says"), fold.alias("fold"))
     rows = known.filter("fold <> 0").select("url", "says").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(2 * SIZE ** (ORDER + 1))
     counts[rows["code"].to_numpy()] = rows["n"].to_numpy()
@@ -122,7 +124,7 @@ def judged(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     ratio = (log_probabilities(counts[:, 1].reshape(*[SIZE] * (ORDER + 1))) - log_probabilities(counts[:, 0].reshape(*[SIZE] * (ORDER + 1)))).astype(np.float32).ravel() if both else np.zeros(SIZE ** (ORDER + 1), np.float32)
     score = score_with(spark.sparkContext.broadcast(ratio))
     threshold = calibrated(known.filter("fold = 0").select("says", score("url").alias("score"))) if both else -BOUND
-    return df.withColumn("score", score(url)).withColumn("verdict", F.coalesce("_says", F.when(F.col("score") >= threshold, "allow").otherwise("block"))).drop("_says")
+    return df.withColumn("score", score(url)).withColumn("verdict", F.coalesce(rules_say, F.when(F.col("score") >= threshold, "allow").otherwise("block"))).drop(rules_say)
 
 
 def calibrated(scored: DataFrame) -> float:
