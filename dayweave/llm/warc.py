@@ -24,6 +24,8 @@ _INDEX = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in
 #: Ranges of one file that lie this close are read as one; one read holds at most RUN_BYTES unless a single record is longer.
 GAP_BYTES, RUN_BYTES = 64 << 10, 8 << 20
 FILE_BYTES = 1 << 30
+#: Tasks that runs are dealt to at most; beyond, a task reads several runs, one after another.
+MOST_READERS = 20_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -158,7 +160,7 @@ def read(index: DataFrame, with_payload: bool = True, verify: bool = True) -> Da
             yield flush()
 
     held = runs.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # the index is small but its reads aren't: a fixed count keeps them apart
-    dealt = runs.repartition(max(1, -(-held // RUN_BYTES)), "file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    dealt = runs.repartition(min(MOST_READERS, max(1, -(-held // RUN_BYTES))), "file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     out = dealt.mapInArrow(get, "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
     return out if with_payload else out.drop("payload")
 
