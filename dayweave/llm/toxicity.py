@@ -29,8 +29,6 @@ LONG_BYTES = SAMPLE_BYTES // 64
 #: in every epoch for the worst-scoring ones, one for every HARD_SHARE toxic ones, which are trained on too; the other half calibrates, and
 #: CHOOSE of those kept choose between epochs.
 TRAIN_CLEAN, LEAST_CLEAN, CHOOSE, HARD_SHARE = 1.5, 400, 400, 3
-#: Windows of one document that training looks at.
-TRAIN_WINDOWS = 96
 EPOCHS, RATE, SEED = 6, 0.01, 7
 #: Small samples are gone through more often, until so many steps are made.
 LEAST_STEPS = 240
@@ -266,14 +264,6 @@ def train(texts: list[bytes], toxic: np.ndarray, share: float | None = None) ->
     net.p["char"][:, 0] += 0.3 * _log_odds(bad, seen, toxic)
 
     doc, first, size = words.windows()
-    if len(doc) > TRAIN_WINDOWS * 10:
-        pick = rng.random(len(doc)).argsort(kind="stable")
-        rank = np.empty(len(doc), np.int64)
-        order = pick[np.argsort(doc[pick], kind="stable")]
-        begin = np.flatnonzero(np.diff(doc[order], prepend=-1))
-        rank[order] = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
-        some = np.flatnonzero(rank < TRAIN_WINDOWS)
-        doc, first, size = doc[some], first[some], size[some]
     row = net.rows(words)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, best, best_loss = 0, None, np.inf
