@@ -100,7 +100,7 @@ def _without(docs: DataFrame, id_col: str, text_col: str, units: Callable[[DataF
     row = F.xxhash64(F.col(f"`{id_col}`"), raw)
     keyed = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("_row"), raw.alias("_text")).filter("_text is not null")
     gone = _repeats(keyed, units).groupBy(F.col("_id").alias("g_id"), F.col("_row").alias("g_row")).agg(F.collect_set(F.struct("k", "n_lines")).alias("_gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_long_lines")]
     own = unused(docs, "_cut")
     my_row, my_lines, my_stay, g_id, g_row, my_gone = (f"{own}{c}" for c in ("row", "lines", "stay", "g_id", "g_row", "gone"))
     gone = gone.toDF(g_id, g_row, my_gone)
@@ -114,11 +114,16 @@ def _without(docs: DataFrame, id_col: str, text_col: str, units: Callable[[DataF
     text = F.when(some, F.array_join(F.transform(my_stay, lambda i: F.get(lines, i)), "\n")).otherwise(raw)
     columns = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in names]
     n = F.coalesce(F.size(my_lines), F.lit(0)).cast("long")
-    return cut.select(*columns, n.alias("n_lines"), F.when(some, n - F.size(my_stay)).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
+    removed = F.when(some, n - F.size(my_stay)).otherwise(F.lit(0)).cast("long")
+    chunks = F.filter(my_gone, lambda g: g["n_lines"] > 1)
+    by_chunk = F.size(F.array_distinct(F.flatten(F.transform(chunks, lambda g: F.sequence(g["k"], g["k"] + g["n_lines"] - 1)))))
+    alone = F.when(some, removed - by_chunk).otherwise(F.lit(0)).cast("long")
+    return cut.select(*columns, n.alias("n_lines"), removed.alias("n_removed_lines"), alone.alias("n_removed_long_lines"))
 
 
 def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
-    """docs with text_col shortened, and n_lines, n_removed_lines (long; columns of these names are replaced).
+    """docs with text_col shortened, and n_lines, n_removed_lines and n_removed_long_lines (long; columns of these names are replaced); the
+    last is 0 here.
 
     The occurrence with the smallest id, then the earliest in its document, stays (null ids come first). Only chunks of two lines or
     more with a character other than white space are compared. Rows that agree in id and text (by 64 bits of hash) are one document and treated alike. Null
@@ -132,14 +137,15 @@ def without_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     """docs like without_repeated_chunks, but nothing is left alone for standing in a chunk of one line or at the edge of a chunk.
 
     A line goes if its chunk (two lines or more) or, from LONG_LINE words on, the line itself occurs before. Every distinct line stays
-    where it first occurs. Shorter repeated lines stay unless all of their chunk repeats.
+    where it first occurs. Shorter repeated lines stay unless all of their chunk repeats. n_removed_long_lines counts the removed lines that
+    no repeated chunk holds: those that only the comparison of single lines found.
     """
     return _without(docs, id_col, text_col, _at_minima)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: every document."""
-    return without_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "text")
+    return without_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed_lines", "n_removed_long_lines", "text")
 
 
 ORACLE = f"""
@@ -152,8 +158,8 @@ c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BET
 u AS (SELECT r, doc_id, min(i) AS a, max(i) AS z, string_agg(line, chr(10) ORDER BY i) AS unit FROM c GROUP BY r, doc_id, k HAVING count(*) > 1
   UNION ALL SELECT r, doc_id, i, i, line FROM l WHERE len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\x0C\\r]+')) >= {LONG_LINE}),
 o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS FIRST, a) > 1 AS again FROM u WHERE regexp_matches(unit, '[^ \\t\\n\\x0B\\x0C\\r]')),
-g AS (SELECT DISTINCT r, unnest(range(a, z + 1)) AS i, true AS gone FROM o WHERE again)
-SELECT d.doc_id, count(l.i) AS n_lines, count(g.gone) AS n_removed_lines,
+g AS (SELECT r, i, true AS gone, bool_or(chunk) AS chunk FROM (SELECT r, unnest(range(a, z + 1)) AS i, z > a AS chunk FROM o WHERE again) GROUP BY r, i)
+SELECT d.doc_id, count(l.i) AS n_lines, count(g.gone) AS n_removed_lines, count(g.gone) FILTER (WHERE NOT g.chunk) AS n_removed_long_lines,
   CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone IS NULL), '') END AS text
 FROM d LEFT JOIN l USING (r) LEFT JOIN g ON g.r = l.r AND g.i = l.i GROUP BY d.r, d.doc_id
 """
@@ -166,7 +172,7 @@ b AS (SELECT *, (h + {WEIGHT} * coalesce(lag(h) OVER w, 0)) % {MEAN_LINES} = 0 O
 c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
 g AS (SELECT r, doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY r, doc_id, k),
 m AS (SELECT *, n > 1 AND regexp_matches(chunk, '[^ \\t\\n\\x0B\\x0C\\r]') AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, k) > 1 AS gone FROM g)
-SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
+SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines, 0 AS n_removed_long_lines,
   CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') END AS text
 FROM d LEFT JOIN m USING (r) GROUP BY r, d.doc_id
 """
