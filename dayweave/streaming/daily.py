@@ -2,13 +2,15 @@
 
 First query: deduplicated segments are gathered by home and event-time day and leave when the watermark (two days) has passed; the same
 batch operators then compute the day's features. Second query: one state per home holds the history that baselines need, the drift
-statistics and the last deviations, so that a day is scored and raises alerts as in batch. Late days are reported, not folded in.
+statistics and the last deviations, so that a day is scored and raises alerts as in batch. A day that arrives behind its home's last one
+is marked late: it is scored against the days before it and takes its place in the history, so later days have the baselines of batch,
+but the drift statistics, which follow the order of arrival, stay as they are.
 """
 
 from __future__ import annotations
 
-import datetime
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +58,7 @@ def write_daily_features(segments: DataFrame, out: str, checkpoint: str, config:
 
 
 class Home:
-    """The state of one home: history of (day, reliable, values), drift statistics, last deviations of mobility (recent) and of all
+    """The state of one home: history of (day, reliable, values) in order of days, each day once, drift statistics, last deviations of mobility (recent) and of all
     features (past, null where there was no baseline), the last day taken."""
 
     def __init__(self, config: Thresholds, saved: str | None = None):
@@ -75,6 +77,12 @@ class Home:
             rows = within(c.window_days, None)
         return np.array(rows) if len(rows) >= c.least_days else None
 
+    def keep(self, entry: list) -> None:
+        """Puts a day at its place in the history, over one of the same day; the oldest beyond any baseline's reach go."""
+        at = bisect_left(self.history, entry[0], key=lambda h: h[0])
+        self.history[at : at + (at < len(self.history) and self.history[at][0] == entry[0])] = [entry]
+        self.history = self.history[-(self.c.weekend_span + self.c.window_days) :]
+
     def shifted(self, is_open: bool) -> list[bool]:
         """For each feature: whether the last routine_days observable days were all beyond the limit on the same side."""
         c = self.c
@@ -87,8 +95,6 @@ class Home:
 
     def take(self, day: int, hours: float, cover: float, values: list[float]) -> dict:
         c = self.c
-        if self.last is not None and day <= self.last:
-            return {"late": True, "n_days": 0, "z": None, "baseline": None, "reported": list(self.drift), "carried": list(self.drift), "declined": False, "shifted": [False] * len(TRACKED)}
         base, z, usual = self.baseline(day, _weekend(day)), None, None
         if base is not None:
             m = np.median(base, 0)
@@ -98,6 +104,10 @@ class Home:
             x = np.array(values)
             z = np.where(np.abs(x - m) < 1e-12, 0.0, np.clip(0.6745 * (x - m) / spread, -c.z_clamp, c.z_clamp)).tolist()
         n, is_open = 0 if base is None else len(base), not c.gate_absence or hours >= c.least_hours
+        entry = [day, bool(hours >= c.least_hours and cover >= c.least_coverage), values]
+        if self.last is not None and day <= self.last:
+            self.keep(entry)
+            return {"late": True, "n_days": n, "z": z, "baseline": usual, "reported": [0.0] * len(DRIFT), "carried": list(self.drift), "declined": False, "shifted": [False] * len(TRACKED)}
         if is_open:
             for k, name in enumerate(DRIFT):
                 if z is not None:
@@ -110,7 +120,7 @@ class Home:
                 k = DRIFT.index(name)
                 self.drift[k] = 0.0 if self.drift[k] >= c.cusum_limit else self.drift[k]
         declined = is_open and len(self.recent) == c.sustained_days and all(v < -c.z_limit for v in self.recent)
-        self.history = [*self.history, [day, bool(hours >= c.least_hours and cover >= c.least_coverage), values]][-(c.weekend_span + c.window_days) :]
+        self.keep(entry)
         self.last = day
         return {"late": False, "n_days": n, "z": z, "baseline": usual, "reported": reported, "carried": list(self.drift), "declined": declined, "shifted": self.shifted(is_open)}
 
@@ -120,24 +130,37 @@ def _weekend(day: int) -> bool:
 
 
 def score_days(days: DataFrame, config: Thresholds = Thresholds()) -> DataFrame:
-    """The second query: daily features (a stream, or a batch in a test) to SCORED, by keyed state. Days of one trigger are taken in order."""
+    """The second query: daily features (a stream, or a batch in a test) to SCORED, by keyed state. Days of one trigger are taken in order;
+    a late day's reported drift is zero, and a day that comes again is late and replaces its values in the history."""
     names = T._parse_datatype_string(SCORED).names
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         home = Home(config, state.get[0] if state.exists else None)
         pdf = pd.concat(list(pdfs)).sort_values("day", kind="stable")
-        out = []
-        for _, r in pdf.iterrows():
-            number = (r["day"] - datetime.date(1970, 1, 1)).days
-            own = {c: float(r[c]) for c in ("observed_hours", "tracking_coverage", *TRACKED, *UNTRACKED)}
-            found = home.take(number, own["observed_hours"], own["tracking_coverage"], [own[c] for c in TRACKED])
-            out.append({"home_id": key[0], "day": r["day"], **found, **own})
+        numbers = pd.to_datetime(pdf["day"]).to_numpy().astype("datetime64[D]").astype(int).tolist()
+        own = pdf[["observed_hours", "tracking_coverage", *TRACKED, *UNTRACKED]].astype(float)
+        values = own[list(TRACKED)].to_numpy().tolist()
+        found = [home.take(*row) for row in zip(numbers, own["observed_hours"].tolist(), own["tracking_coverage"].tolist(), values, strict=True)]
         state.update((home.save(),))
-        yield pd.DataFrame(out, columns=names)
+        taken = pd.DataFrame(found, index=own.index)
+        yield pd.concat([pd.DataFrame({"home_id": key[0], "day": pdf["day"]}), taken, own], axis=1)[names]
 
     return days.groupBy("home_id").applyInPandasWithState(run, SCORED, "saved string", "append", GroupStateTimeout.NoTimeout)
 
 
+def write_scored(days: DataFrame, out: str, checkpoint: str, config: Thresholds = Thresholds()):
+    """Starts the second query with two tables: out/scored holds days taken in order, out/late the late ones; each batch is written once
+    under batch=<id>, so that a replayed batch overwrites itself."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        for name, rows in (("scored", batch.filter("not late")), ("late", batch.filter("late"))):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        batch.unpersist()
+
+    return score_days(days, config).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+
+
 def alert_stream(days: DataFrame, config: Thresholds = Thresholds()) -> DataFrame:
     """Alerts of a stream of daily features, as the batch rules give them; a late day raises none. The rules look at one scored day, so
     nothing is held beyond the state of score_days."""

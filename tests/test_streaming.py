@@ -10,7 +10,7 @@ from dayweave.operators.alerts import alerts
 from dayweave.operators.baseline import with_baselines, with_drift, with_sustained
 from dayweave.operators.decode import marginals, structured_prior
 from dayweave.operators.features import daily_features
-from dayweave.operators.tracks import windows
+from dayweave.operators.tracks import tracked, windows
 from dayweave.plans.behaviour import features
 from dayweave.sources import domain
 from dayweave.streaming import daily, decoding, tracking
@@ -78,7 +78,8 @@ def test_tracker_keeps_ids_over_triggers(spark, tmp_path):
     df.filter("frame_idx < 9").coalesce(1).write.parquet(str(tmp_path / "t/1"))
     df.filter("frame_idx >= 9").coalesce(1).write.parquet(str(tmp_path / "t/2"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "t"))
-    got = drain(tracking.track_stream(stream), "tracks").groupBy("track_id").count().collect()
+    with tracking.typed_state(spark):
+        got = drain(tracking.track_stream(stream), "tracks").groupBy("track_id").count().collect()
     assert sorted((r.track_id, r["count"]) for r in got) == [(0, 20), (1, 20)]
 
 
@@ -127,3 +128,95 @@ def test_state_of_silent_tracks_expires(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "e")).withWatermark("event_time", "1 minute")
     got = drain(decoding.lagged_labels(stream, prior, 3), "expired").collect()
     assert sorted((r.track_id, r.step, r.label) for r in got) == [(0, 0, 3), (0, 1, 3)]
+
+
+BOXES = "camera long, frame_idx long, x1 double, y1 double, x2 double, y2 double, confidence double"
+
+
+def walking(camera, frames, x=10.0):
+    return [(camera, i, x + 2 * i, 10.0, x + 40 + 2 * i, 90.0, 0.9) for i in frames]
+
+
+def test_tracks_of_the_stream_equal_batch(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for camera in range(3):
+        for person in range(4):
+            seen = [i for i in range(60) if rng.random() < 0.8 and not 20 + person <= i < 34]
+            rows += [(camera, i, *(np.array([90.0 * person + i, 5.0, 90.0 * person + 50 + i, 90.0]) + rng.normal(0, 1.5, 4)).tolist(), float(rng.choice([0.2, 0.9]))) for i in seen]
+    df = spark.createDataFrame(rows, BOXES)
+    for k, (a, b) in enumerate(((0, 7), (7, 30), (30, 60))):
+        df.filter(f"frame_idx >= {a} and frame_idx < {b}").coalesce(1).write.parquet(str(tmp_path / f"b/{k}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "b"))
+    with tracking.typed_state(spark):
+        got = drain(tracking.track_stream(stream), "batch_tracks")
+    cols = [f.split()[0] for f in tracking.TRACKED_BOX.split(", ")]
+    want = tracked(df, ["camera"]).select(*cols)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect())) and want.count() > 300
+
+
+def test_state_of_silent_cameras_is_cleared_by_timers(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    timed = lambda rows, hour: [(*r, start + datetime.timedelta(hours=hour, seconds=r[1])) for r in rows]
+    arrivals = [timed(walking(0, range(5)) + walking(1, range(5)), 0), timed(walking(1, range(5, 9)), 5), timed(walking(1, range(9, 12)), 5), timed(walking(0, range(20, 24)), 5) + timed(walking(1, range(12, 15)), 5)]
+    stream_of = lambda n: spark.readStream.schema(f"{BOXES}, event_time timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "e")).withWatermark("event_time", "1 minute")
+    def run(k, processor=None):
+        spark.createDataFrame(arrivals[k], f"{BOXES}, event_time timestamp").coalesce(1).write.parquet(str(tmp_path / f"e/{k}"))
+        with tracking.typed_state(spark):
+            q = tracking.track_stream(stream_of(k)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    held = lambda: sorted(r.key.camera for r in spark.read.format("statestore").option("stateVarName", "camera").load(str(tmp_path / "ck")).collect())
+    run(0)
+    assert held() == [0, 1]
+    run(1)
+    run(2)
+    assert held() == [1]  # camera 0 was silent for five hours
+    run(3)
+    ids = {(r.camera, r.frame_idx): r.track_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {ids[1, i] for i in range(15)} == {0}  # one id over four runs
+    assert ids[0, 0] == ids[0, 20] == 0 and held() == [0, 1]
+
+
+class OtherTracker(tracking.CameraTracker):
+    """As after a release: other attributes, more methods; the state's variables are the same."""
+
+    def __init__(self, idle_ms, ttl_ms, settings):
+        super().__init__(idle_ms, ttl_ms, settings)
+        self.release = 2
+
+
+def test_checkpoints_survive_a_changed_class(spark, tmp_path, monkeypatch):
+    for k, frames in enumerate((range(6), range(6, 12))):
+        spark.createDataFrame(walking(0, frames), BOXES).coalesce(1).write.parquet(str(tmp_path / f"c/{k}"))
+        if k:
+            monkeypatch.setattr(tracking, "CameraTracker", OtherTracker)
+        stream = spark.readStream.schema(BOXES).option("recursiveFileLookup", "true").parquet(str(tmp_path / "c"))
+        with tracking.typed_state(spark):
+            q = tracking.track_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 12 and {r.track_id for r in rows} == {0} and sum(r.confirmed for r in rows) == 10
+    with pytest.raises(ValueError):
+        tracking.track_stream(stream.withColumn("event_time", F.current_timestamp()), ttl_ms=5)
+
+
+def test_late_days_join_the_history(spark, tmp_path):
+    f = features(spark, SF).filter("home_id < 4").withColumn("home_id", F.col("home_id").cast("long"))
+    gone = (F.dayofmonth("day") + F.col("home_id")) % 3 == 0
+    early = f.filter("day < '2024-01-20'")
+    for k, part in enumerate((early.filter(~gone), early.filter(gone), early.filter(gone).filter("home_id = 2"), f.filter("day >= '2024-01-20'"))):  # the third comes again
+        part.coalesce(1).write.parquet(str(tmp_path / f"days/{k}"))
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "days"))
+    q = daily.write_scored(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    late = spark.read.parquet(str(tmp_path / "out/late")).collect()
+    n = early.filter(gone).count() + early.filter(gone).filter("home_id = 2").count()
+    first = {r.home_id: r[1] for r in early.filter(~gone).groupBy("home_id").agg(F.max("day")).collect()}
+    assert len(late) == n - sum(r.day > first[r.home_id] for r in early.filter(gone).collect()) and all(set(r.reported) == {0.0} for r in late)
+    want = {(r.home_id, r.day): r for r in with_baselines(f).collect()}
+    got = spark.read.parquet(str(tmp_path / "out/scored")).filter("day >= '2024-01-20'").collect()
+    assert len(got) == f.filter("day >= '2024-01-20'").count() > 0
+    for r in got:
+        w = want[r.home_id, r.day]
+        assert r.n_days == w.n_days and (r.z is None) == (w.z is None) and (r.z is None or r.z == pytest.approx(w.z, abs=1e-9))
