@@ -12,6 +12,8 @@ from dayweave.plans.behaviour import features, q_alerts
 from dayweave.plans.behaviour_sql import ALERTS, SEGMENTS
 from dayweave.plans.observations import _keyword_sql
 from dayweave.sources import domain, sinks
+from dayweave.sources.shared import scratch, staged
+from dayweave.sources.state import KeyedTable
 
 UNMAPPED, DROPPED = ("personal_hygiene", "reading"), ("cooking_food_prep",)
 EXPECTED = ("fall_detected", "mobility_decline", "social_isolation", "meal_skipped", "hydration_low", "medication_missed")
@@ -152,6 +154,33 @@ def q_upsert(s, d):
     return sinks.upsert(one, two, ["segment_id"], "seq").groupBy("room").agg(F.count("*").alias("n"), F.max("seq").alias("seq"))
 
 
+def q_keyed_segments(s, d):
+    """Segments kept by id: ingested, corrected, the correction sent again with other rows, and older rows sent late; what the table holds."""
+    t = KeyedTable(s, scratch(s, "segments"), ["segment_id"], "seq", 8)
+    one = domain.segments(s, d).select("segment_id", "home_id", "room").withColumn("seq", F.lit(1))
+    changed = lambda every, room, seq: one.filter(F.col("segment_id") % every == 0).withColumn("room", F.lit(room)).withColumn("seq", F.lit(seq))
+    t.merge(one, 0)
+    t.merge(changed(3, "corrected", 2), 1)
+    t.merge(changed(2, "sent again", 9), 1)
+    t.merge(changed(5, "stale", 0), 2)
+    return t.read().groupBy("home_id", "room", "seq").agg(F.count("*").alias("n"), F.sum("segment_id").alias("ids"))
+
+
+def q_day_states(s, d):
+    """Daily features and alerts kept by key, day by day in two overlapping batches and a replay."""
+    root = scratch(s, "state")
+    f = KeyedTable(s, f"{root}/features", ["home_id", "day"], "day", 4)
+    a = KeyedTable(s, f"{root}/alerts", ["alert_id"], "day", 4)
+    both = ((f, features(s, d).select("home_id", "day", "fall_events", "mobility_index")), (a, q_alerts(s, d).select("alert_id", "home_id", "day", "severity")))
+    for t, rows in both:
+        rows = staged(rows, "day-state")
+        t.merge(rows.filter("day < '2024-01-20'"), 0)
+        t.merge(rows.filter("day >= '2024-01-15'"), 1)
+        t.merge(rows.limit(0), 1)
+    n = a.read().groupBy("home_id", "day").agg(F.count("*").alias("n_alerts"), F.count_if(F.col("severity") == "emergency").alias("n_emergencies"))
+    return f.read().join(n, ["home_id", "day"], "left").select("home_id", "day", "fall_events", F.round("mobility_index", 6).alias("mobility_index"), F.coalesce("n_alerts", F.lit(0)).cast("long").alias("n_alerts"), F.coalesce("n_emergencies", F.lit(0)).cast("long").alias("n_emergencies"))
+
+
 def q_listing(s, d):
     return sinks.alerts_since(q_alerts(s, d), "2024-01-15", 50).select("home_id", "day", "alert_id", "kind")
 
@@ -188,7 +217,7 @@ def q_scenario_summary(s, d):
 QUERIES = {
     "window_labels": q_window_labels, "interval_overlaps": q_overlaps, "mapped_labels": q_mapped, "fall_windows": q_fall_windows, "step_labels": q_steps, "annotated_windows": q_annotated, "coarse_steps": q_coarse_steps,
     "annotated_union": q_union, "class_frames": q_class_frames, "annotation_cross_check": q_cross_check, "annotation_agreement": q_agreement, "agreement_summary": q_agreement_summary, "keyword_classes": q_keywords, "parsed_names": q_names, "number_preservation": q_token_match,
-    "segment_upsert": q_upsert, "alert_listing": q_listing, "table_counts": q_counts, "segment_lookup": q_lookup, "scenario_latency": q_scenarios, "scenario_summary": q_scenario_summary,
+    "segment_upsert": q_upsert, "keyed_segments": q_keyed_segments, "day_states": q_day_states, "alert_listing": q_listing, "table_counts": q_counts, "segment_lookup": q_lookup, "scenario_latency": q_scenarios, "scenario_summary": q_scenario_summary,
 }
 
 # ---- SQL ------------------------------------------------------------------------------------------------------
@@ -239,6 +268,8 @@ SELECT clip, "start", CASE WHEN lo IS NOT NULL THEN CASE WHEN lo <= 0 AND hi <=
     "parsed_names": f"WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id AS clip FROM segments) SELECT clip, CASE WHEN clip % 5 <> 0 THEN (clip % 90)::INT END AS subject, CASE WHEN clip % 5 <> 0 THEN (clip % 7)::INT END AS take, CASE WHEN clip % 5 <> 0 THEN (clip % 3)::INT END AS camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN lpad(clip::VARCHAR, 4, '0') END AS pid, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN 'c' || clip % 15 END AS crop_camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN (clip % 33)::INT END AS frame FROM v",
     "number_preservation": r"SELECT a.conv_id, a.turn, list_sort(regexp_extract_all(a.text, '\d+(?:[.,]\d+)*')) = list_sort(regexp_extract_all(b.text, '\d+(?:[.,]\d+)*')) AS same_numbers FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
     "segment_upsert": f"WITH {SEGMENTS} SELECT CASE WHEN segment_id % 3 = 0 THEN 'corrected' ELSE room END AS room, count(*) AS n, max(CASE WHEN segment_id % 3 = 0 THEN 2 ELSE 1 END) AS seq FROM segments GROUP BY 1",
+    "keyed_segments": f"WITH {SEGMENTS} SELECT home_id, CASE WHEN segment_id % 3 = 0 THEN 'corrected' ELSE room END AS room, CASE WHEN segment_id % 3 = 0 THEN 2 ELSE 1 END AS seq, count(*) AS n, sum(segment_id)::BIGINT AS ids FROM segments GROUP BY ALL",
+    "day_states": f"WITH {ALERTS}, n AS (SELECT home_id, day, count(*) AS n_alerts, count(*) FILTER (WHERE severity = 'emergency') AS n_emergencies FROM alerts GROUP BY ALL) SELECT home_id, day, fall_events, round(mobility_index, 6) AS mobility_index, coalesce(n_alerts, 0) AS n_alerts, coalesce(n_emergencies, 0) AS n_emergencies FROM features LEFT JOIN n USING (home_id, day)",
     "alert_listing": f"WITH {ALERTS} SELECT home_id, day, sha256(home_id || '|' || strftime(day, '%Y-%m-%d') || '|' || rule_name) AS alert_id, kind FROM alerts WHERE day >= DATE '2024-01-15' ORDER BY day DESC, alert_id LIMIT 50",
     "table_counts": f"""WITH {ALERTS} SELECT 'segments' AS "table", count(*) AS n_rows FROM segments UNION ALL SELECT 'days', count(*) FROM days UNION ALL SELECT 'features', count(*) FROM features UNION ALL SELECT 'alerts', count(*) FROM alerts""",
     "segment_lookup": f"WITH {SEGMENTS} SELECT segment_id, home_id, activity_name FROM segments WHERE day = DATE '2024-01-10' AND role = 'resident'",
