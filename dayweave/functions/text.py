@@ -72,7 +72,39 @@ def coerced_number(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "[,%]", "").try_cast("double")
 
 
+#: A number as it is written: sign, digits of any script with separators, exponent, a percent or permille sign after white space.
+TOKEN = r"(?U)([+\-\u2212]?\d+(?:[,.]\d+)*(?:[eE][+\-]?\d+)?(?:\s*[%\u2030])?)"
+
+
+def number_tokens(text: Column) -> Column:
+    """All numbers of a text exactly as spelled but for white space within, sorted: 5 is not 5%, -5 not 5, 1,000 not 1000, 1e5 not 1 5."""
+    return F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 1), lambda t: F.regexp_replace(t, r"(?U)\s+", "")))
+
+
 def same_numbers(a: Column, b: Column) -> Column:
     """Whether two texts hold the same number tokens, as often."""
-    tokens = lambda t: F.array_sort(F.regexp_extract_all(t, F.lit(r"(\d+(?:[.,]\d+)*)"), 1))
-    return tokens(a) == tokens(b)
+    return number_tokens(a) == number_tokens(b)
+
+
+#: Characters that no report may hold, and the letters that a text in Devanagari must have.
+CONTROL, DEVANAGARI = r"[\x00-\x08\x0B\x0C\x0E-\x1F]", r"[\u0904-\u0939\u0958-\u0961]"
+#: Longest texts asked for and given back.
+ASKED = {"summary": 2000, "recommendation": 1000}
+ANSWERED = {"summary": 6000, "recommendation": 3000}
+
+
+def request_fault(text: Column, field: str) -> Column:
+    """Why a text cannot be sent to be translated; null if it can."""
+    return F.when(text.isNull(), "not a text").when(F.length(text) > ASKED[field], "too long").when(text.rlike(CONTROL), "control characters")
+
+
+def translation_fault(original: Column, translated: Column, field: str, script: str = DEVANAGARI) -> Column:
+    """Why a translated field cannot be shown, the first reason that holds; null if it can.
+
+    Prose may be neither missing nor invented, every number stays as spelled and as often, and prose must have a letter of the script.
+    """
+    some = lambda t: t.rlike(r"(?U)\S")
+    return (
+        F.when(translated.isNull(), "not a text").when(F.length(translated) > ANSWERED[field], "too long").when(translated.rlike(CONTROL), "control characters").when(some(translated) != some(original), "missing or invented prose")
+        .when(~same_numbers(original, translated), "changed numbers").when(some(original) & ~translated.rlike(script), "not in the script asked for")
+    )

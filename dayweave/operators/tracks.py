@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from dayweave.operators.counted import Counters
 
 BOX = ("x1", "y1", "x2", "y2")
 UNKNOWN = "unknown"
@@ -26,18 +30,27 @@ def runs(rows: DataFrame, keys: list[str], order: str = "frame_idx", most_gap: i
     return rows.withColumn("_c", cut).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
-def windows(rows: DataFrame, keys: list[str], length: int = 30, stride: int = 15, most_gap: int = 5) -> DataFrame:
+def windows(rows: DataFrame, keys: list[str], length: int = 30, stride: int = 15, most_gap: int = 5, counters: Counters | None = None) -> DataFrame:
     """Windows of `length` usable rows, every `stride` of them, within runs: keys, run, k, start and end frame, role (the last row's),
-    room (the most frequent, the first by name of equals), n_rows. Runs break on all rows, windows count usable ones only."""
-    u = runs(rows, keys, most_gap=most_gap).filter("usable")
+    room (the most frequent, the first by name of equals), n_rows. Runs break on all rows, windows count usable ones only.
+
+    With counters, the pass that builds the windows also counts what window_statistics counts by a scan of its own."""
+    counted = counters.on if counters else lambda df, **_: df
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    steps = counted(
+        runs(rows, keys, most_gap=most_gap).withColumn("_first", F.lag("frame_idx").over(w).isNull()).withColumn("_broken", F.col("frame_idx") - F.lag("frame_idx").over(w) > most_gap),
+        rows_seen=F.count("*"), dropped_no_pose=F.count_if(~F.col("usable")), tracks_seen=F.count_if("_first"), gaps_broken=F.count_if("_broken"),
+    )
+    u = steps.filter("usable").drop("_first", "_broken")
     w = Window.partitionBy(*keys, "run").orderBy("frame_idx")
     u = u.withColumn("_n", F.row_number().over(w) - 1).withColumn("_all", F.count("*").over(Window.partitionBy(*keys, "run")))
+    u = counted(u, dropped_short_track=F.count_if((F.col("_n") == 0) & (F.col("_all") < length)))
     last = F.least(F.floor(F.col("_n") / stride), F.floor((F.col("_all") - length) / stride))
     first = F.greatest(F.lit(0), F.floor((F.col("_n") - length) / stride) + 1)
     member = u.filter(F.col("_all") >= length).filter(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
-    room = member.filter("room is not null and room <> ''").groupBy(*keys, "run", "k", "room").agg(F.count("*").alias("n")).groupBy(*keys, "run", "k").agg(F.min_by("room", F.struct((-F.col("n")).alias("n"), F.col("room").alias("r"))).alias("room"))
-    out = member.groupBy(*keys, "run", "k").agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.max_by("role", "frame_idx").alias("role"), F.count("*").alias("n_rows"))
-    return out.join(room, [*keys, "run", "k"], "left")
+    room = F.mode(F.when(F.col("room") != "", F.col("room")), deterministic=True)
+    out = member.groupBy(*keys, "run", "k").agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.max_by("role", "frame_idx").alias("role"), F.count("*").alias("n_rows"), room.alias("room"))
+    return counted(out, windows_built=F.count("*"))
 
 
 def window_statistics(rows: DataFrame, keys: list[str], length: int = 30, stride: int = 15, most_gap: int = 5) -> DataFrame:
@@ -237,14 +250,55 @@ def slots(detections: DataFrame, keys: list[str], n_slots: int = 2) -> DataFrame
     return detections.groupBy(*keys).applyInPandas(run, kind)
 
 
-def adapted_centroids(observations: DataFrame, gallery: DataFrame, momentum: float = 0.9) -> DataFrame:
-    """pid, centroid, n_updates after folding in the confident observations (pid, order, vector) of each identity, in order."""
-    from dayweave.functions.arrays import normalised_or_same
+def adapted_centroids(observations: DataFrame, gallery: DataFrame, momentum: float = 0.9, threshold: float = 0.35, comfortable: float = 0.6) -> DataFrame:
+    """gallery (pid, centroid, n_updates) after folding in the observations (pid, order, vector) of each identity, in order, with n_refused.
 
-    seen = observations.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("order", normalised_or_same(F.col("vector")).alias("v")))).alias("seen"))
-    g = gallery.join(seen, "pid", "left").withColumn("seen", F.coalesce("seen", F.array().cast(seen.schema["seen"].dataType)))
-    folded = F.aggregate("seen", F.col("centroid"), lambda c, s: normalised_or_same(F.zip_with(c, s["v"], lambda a, b: momentum * a + (1 - momentum) * b)))
-    return g.select("pid", folded.alias("centroid"), (F.col("n_updates") + F.size("seen")).alias("n_updates"))
+    Each observation is held against the centroid as it then is: only a comfortable match, at less than `comfortable` of the matching
+    threshold in cosine distance, moves it (momentum of the old, the rest of the new, normalised); others are refused, as they would let
+    a gallery drift onto another person. The fold needs an identity's rows in order, so they are sorted by one task; it holds one centroid
+    and one Arrow batch at a time, however many there are. Observations of unknown identities and null vectors are left out; of equal
+    orders the smaller vector comes first. One row an identity of the gallery.
+    """
+    kind = gallery.schema["pid"].dataType.simpleString()
+    out = f"pid {kind}, centroid array<double>, n_updates long, n_refused long"
+    first = gallery.select("pid", F.lit(0).alias("_step"), F.lit(None).cast(observations.schema["order"].dataType).alias("order"), F.col("centroid").cast("array<double>").alias("v"), F.col("n_updates").cast("long").alias("n"))
+    rest = observations.filter("vector is not null").select("pid", F.lit(1).alias("_step"), "order", F.col("vector").cast("array<double>").alias("v"), F.lit(0).cast("long").alias("n"))
+    rows = first.unionByName(rest).repartition("pid").sortWithinPartitions("pid", "_step", "order", "v").select("pid", "_step", "v", "n")
+
+    pid_type = to_arrow_type(gallery.schema["pid"].dataType)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((x * x).sum())
+        return x if size < 1e-9 else x / size
+
+    def fold(batches):
+        pid = centroid = None
+        n = refused = 0
+        for rb in batches:
+            found = []
+            for who, step, v, before in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), (x.values for x in rb.column(2)), rb.column(3).to_pylist(), strict=True):
+                x = v.to_numpy(zero_copy_only=False)
+                if step == 0:
+                    if centroid is not None:
+                        found.append((pid, centroid, n, refused))
+                    pid, centroid, n, refused = who, x, before, 0
+                elif centroid is not None and who == pid:
+                    x = unit(x)
+                    size = np.sqrt((centroid * centroid).sum())
+                    if 1 - float(centroid @ x) / max(size, 1e-12) < comfortable * threshold:
+                        centroid, n = unit(momentum * centroid + (1 - momentum) * x), n + 1
+                    else:
+                        refused += 1
+            if found:
+                yield _identities(found, pid_type)
+        if centroid is not None:
+            yield _identities([(pid, centroid, n, refused)], pid_type)
+
+    return rows.mapInArrow(fold, out)
+
+
+def _identities(found: list[tuple], pid_type: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"pid": pa.array([f[0] for f in found], pid_type), "centroid": [f[1].tolist() for f in found], "n_updates": [f[2] for f in found], "n_refused": [f[3] for f in found]})
 
 
 def embedding_due(rows: DataFrame, keys: list[str], votes: int = 5, every: int = 15) -> DataFrame:

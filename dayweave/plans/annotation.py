@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayweave.config import ACTIVITIES, SEVERITY
-from dayweave.functions.text import same_numbers, slug
+from dayweave.functions.text import number_tokens, request_fault, same_numbers, slug, translation_fault
 from dayweave.operators import labels as L
 from dayweave.plans.behaviour import features, q_alerts
 from dayweave.plans.behaviour_sql import ALERTS, SEGMENTS
@@ -144,7 +144,26 @@ def q_token_match(s, d):
     """Whether neighbouring turns of a conversation hold the same numbers."""
     t = domain.table(s, d, "conversations").select("conv_id", "turn", "text")
     j = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")), ["conv_id", "turn"])
-    return j.select("conv_id", "turn", same_numbers(F.col("text"), F.col("reply")).alias("same_numbers"))
+    return j.select("conv_id", "turn", F.size(number_tokens(F.col("text"))).alias("n_numbers"), same_numbers(F.col("text"), F.col("reply")).alias("same_numbers"))
+
+
+def q_translations(s, d):
+    """A line of figures for each line item, and what a careless translator makes of it: every line number another kind of change."""
+    i = domain.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity")
+    amount = F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2)
+    share = F.format_string("-%d.5 %%", F.round(F.col("l_discount") * 100).cast("int"))
+    count = F.col("l_quantity").cast("int").cast("string")
+    original = F.concat(F.lit("Walking fell "), share, F.lit(" to "), amount, F.lit(" s, +"), count, F.lit(" steps"))
+    told = lambda *parts: F.concat(F.lit("चलना "), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    bare = lambda c, what: F.replace(c, F.lit(what), F.lit(""))
+    kind = F.pmod(F.col("l_linenumber") + F.col("l_orderkey"), F.lit(9))
+    text = (
+        F.when(kind == 0, told(share, " ", amount, " +", count)).when(kind == 1, told("+", count, " ; ", bare(share, " "), " ; ", amount)).when(kind == 2, told(bare(share, "-"), " ", amount, " +", count))
+        .when(kind == 3, told(bare(share, " %"), " ", amount, " +", count)).when(kind == 4, told(share, " ", bare(amount, ","), " +", count)).when(kind == 5, told(share, " ", amount, " +", F.translate(count, "0123456789", "०१२३४५६७८९")))
+        .when(kind == 6, F.concat(share, F.lit(" "), amount, F.lit(" +"), count)).when(kind == 7, F.lit(" \t")).otherwise(told(share, " ", amount, " +", count, "e", count, "\u0001"))
+    )
+    t = i.select("l_orderkey", "l_linenumber", translation_fault(original, text, "summary").alias("fault"), request_fault(text, "summary").alias("unsent"))
+    return t.groupBy("l_linenumber", "fault", "unsent").agg(F.count("*").alias("n"), F.sum("l_orderkey").cast("long").alias("orders"))
 
 
 def q_upsert(s, d):
@@ -216,7 +235,7 @@ def q_scenario_summary(s, d):
 
 QUERIES = {
     "window_labels": q_window_labels, "interval_overlaps": q_overlaps, "mapped_labels": q_mapped, "fall_windows": q_fall_windows, "step_labels": q_steps, "annotated_windows": q_annotated, "coarse_steps": q_coarse_steps,
-    "annotated_union": q_union, "class_frames": q_class_frames, "annotation_cross_check": q_cross_check, "annotation_agreement": q_agreement, "agreement_summary": q_agreement_summary, "keyword_classes": q_keywords, "parsed_names": q_names, "number_preservation": q_token_match,
+    "annotated_union": q_union, "class_frames": q_class_frames, "annotation_cross_check": q_cross_check, "annotation_agreement": q_agreement, "agreement_summary": q_agreement_summary, "keyword_classes": q_keywords, "parsed_names": q_names, "number_preservation": q_token_match, "translation_faults": q_translations,
     "segment_upsert": q_upsert, "keyed_segments": q_keyed_segments, "day_states": q_day_states, "alert_listing": q_listing, "table_counts": q_counts, "segment_lookup": q_lookup, "scenario_latency": q_scenarios, "scenario_summary": q_scenario_summary,
 }
 
@@ -241,6 +260,8 @@ near AS (SELECT clip, duration, n_steps, src, class, "start", "end", greatest(0,
 cell AS (SELECT DISTINCT clip, src, class, i FROM (SELECT *, unnest(range(lo, hi + 1)) AS i FROM near) WHERE i * (duration / n_steps) >= "start" AND i * (duration / n_steps) <= "end"),
 alone AS (SELECT clip, count(*) AS n FROM (SELECT clip, class, i FROM cell GROUP BY ALL HAVING count(*) = 1) GROUP BY clip),
 agree AS (SELECT clip, n_steps, coalesce(n, 0) AS cells_differing, 1 - coalesce(n, 0) / (n_steps * 20) AS agreement FROM st LEFT JOIN alone USING (clip))"""
+#: Tokens by hand: the sign, the digits with their separators, the exponent, the percent sign, each looked at on its own.
+_TOKENS = lambda t: rf"list_sort(list_transform(regexp_extract_all({t}, '[+\-\x{{2212}}]?\p{{Nd}}+([,.]\p{{Nd}}+)*([eE][+\-]?\p{{Nd}}+)?([\s\p{{Z}}]*[%\x{{2030}}])?'), lambda x: regexp_replace(x, '[\s\p{{Z}}]', '', 'g')))"
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _SCEN = f"""{ALERTS},
 n AS (SELECT home_id, count(*) AS n_days FROM days GROUP BY home_id),
@@ -266,7 +287,11 @@ SELECT clip, "start", CASE WHEN lo IS NOT NULL THEN CASE WHEN lo <= 0 AND hi <=
     "agreement_summary": f"WITH {_AGREE} SELECT count(*) AS compared, round(avg(agreement), 9) AS mean_agreement, round(min(agreement), 9) AS least_agreement, count(*) FILTER (WHERE agreement < 0.999) AS below FROM agree",
     "keyword_classes": f"WITH {SEGMENTS}, t AS (SELECT activity_name AS label, lower('Someone is ' || replace(activity_name, '_', ' ')) AS text FROM segments), k AS (SELECT label, text, {_keyword_sql('text')} AS rule FROM t) SELECT label, regexp_replace(text, '[^a-z0-9]+', '_', 'g') AS slug, CASE WHEN rule < 0 THEN 'other_idle' ELSE ({[n or '' for _, n in L.KEYWORDS]})[rule + 1] END AS class, rule >= 0 AND ({[n is None for _, n in L.KEYWORDS]})[rule + 1] AS dropped, count(*) AS n FROM k GROUP BY ALL",
     "parsed_names": f"WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id AS clip FROM segments) SELECT clip, CASE WHEN clip % 5 <> 0 THEN (clip % 90)::INT END AS subject, CASE WHEN clip % 5 <> 0 THEN (clip % 7)::INT END AS take, CASE WHEN clip % 5 <> 0 THEN (clip % 3)::INT END AS camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN lpad(clip::VARCHAR, 4, '0') END AS pid, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN 'c' || clip % 15 END AS crop_camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN (clip % 33)::INT END AS frame FROM v",
-    "number_preservation": r"SELECT a.conv_id, a.turn, list_sort(regexp_extract_all(a.text, '\d+(?:[.,]\d+)*')) = list_sort(regexp_extract_all(b.text, '\d+(?:[.,]\d+)*')) AS same_numbers FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+    "number_preservation": rf"SELECT a.conv_id, a.turn, len({_TOKENS('a.text')})::INT AS n_numbers, {_TOKENS('a.text')} = {_TOKENS('b.text')} AS same_numbers FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+    # By the kind of change: what the rule says of it, for any figures.
+    "translation_faults": """WITH t AS (SELECT l_orderkey, l_linenumber, (l_linenumber + l_orderkey) % 9 AS kind, l_extendedprice::DECIMAL(12,2) >= 1000 AS grouped FROM lineitem),
+f AS (SELECT *, CASE WHEN kind IN (2, 3, 5) OR kind = 4 AND grouped THEN 'changed numbers' WHEN kind = 6 THEN 'not in the script asked for' WHEN kind = 7 THEN 'missing or invented prose' WHEN kind = 8 THEN 'control characters' END AS fault FROM t)
+SELECT l_linenumber, fault, CASE WHEN kind = 8 THEN 'control characters' END AS unsent, count(*) AS n, sum(l_orderkey)::BIGINT AS orders FROM f GROUP BY ALL""",
     "segment_upsert": f"WITH {SEGMENTS} SELECT CASE WHEN segment_id % 3 = 0 THEN 'corrected' ELSE room END AS room, count(*) AS n, max(CASE WHEN segment_id % 3 = 0 THEN 2 ELSE 1 END) AS seq FROM segments GROUP BY 1",
     "keyed_segments": f"WITH {SEGMENTS} SELECT home_id, CASE WHEN segment_id % 3 = 0 THEN 'corrected' ELSE room END AS room, CASE WHEN segment_id % 3 = 0 THEN 2 ELSE 1 END AS seq, count(*) AS n, sum(segment_id)::BIGINT AS ids FROM segments GROUP BY ALL",
     "day_states": f"WITH {ALERTS}, n AS (SELECT home_id, day, count(*) AS n_alerts, count(*) FILTER (WHERE severity = 'emergency') AS n_emergencies FROM alerts GROUP BY ALL) SELECT home_id, day, fall_events, round(mobility_index, 6) AS mobility_index, coalesce(n_alerts, 0) AS n_alerts, coalesce(n_emergencies, 0) AS n_emergencies FROM features LEFT JOIN n USING (home_id, day)",

@@ -7,19 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.config import DRIFT
+from dayweave.config import DRIFT, TRACKED
 from dayweave.plans.behaviour import features
 from dayweave.plans.behaviour_sql import ORACLES as BATCH
 from dayweave.sources.shared import scratch
 from dayweave.streaming.daily import alert_stream, score_days
 
 
-def replayed(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a streaming step gives of the daily features, which arrive in two parts; the state goes from one run to the next."""
+IN_ORDER = ("day < '2024-01-16'", "day >= '2024-01-16'")
+#: A third of the days before the last stretch arrives behind the others.
+SHUFFLED = ("day < '2024-01-20' and (dayofmonth(day) + home_id) % 3 <> 0", "day < '2024-01-20' and (dayofmonth(day) + home_id) % 3 = 0", "day >= '2024-01-20'")
+
+
+def replayed(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame], arrivals: tuple[str, ...] = IN_ORDER) -> DataFrame:
+    """What a streaming step gives of the daily features, which arrive in parts; the state goes from one run to the next."""
     at = scratch(spark, "stream")
     f = features(spark, sf_dir).withColumn("home_id", F.col("home_id").cast("long"))
-    for k, (a, b) in enumerate((("2000-01-01", "2024-01-16"), ("2024-01-16", "2100-01-01"))):  # two arrivals, each taken by a run of the stream
-        f.filter((F.col("day") >= a) & (F.col("day") < b)).write.parquet(f"{at}/days/{k}")
+    for k, part in enumerate(arrivals):  # each is taken by a run of the stream
+        f.filter(part).write.parquet(f"{at}/days/{k}")
         days = spark.readStream.schema(f.schema).parquet(f"{at}/days/*")
         q = step(days).writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
@@ -38,5 +43,18 @@ def q_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("home_id", "day", "kind", "severity", "rule_name", "rule_expression", F.size("evidence").alias("n_evidence"), "alert_id")
 
 
-QUERIES = {"streaming_drift": q_stream, "streaming_alerts": q_alerts}
-ORACLES = {"streaming_drift": BATCH["drift"], "streaming_alerts": BATCH["alerts"]}
+def q_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines of the last stretch, scored after earlier days had come in another order: those of batch."""
+    d = replayed(spark, sf_dir, score_days, SHUFFLED).filter("day >= '2024-01-20' and z is not null")
+    names, r = F.array(*[F.lit(n) for n in TRACKED]).alias("feature"), lambda c: F.round(c, 6).alias(c.split(".")[-1])
+    values = F.array(*[F.col(n) for n in TRACKED]).alias("value")
+    d = d.select("home_id", "day", F.col("n_days").cast("long").alias("n_days"), F.explode(F.arrays_zip(names, F.col("baseline"), values, F.col("z"))).alias("r"))
+    return d.select("home_id", "day", "n_days", "r.feature", r("r.baseline.median"), r("r.baseline.mad"), r("r.value"), r("r.z"))
+
+
+QUERIES = {"streaming_drift": q_stream, "streaming_alerts": q_alerts, "streaming_baselines": q_shuffled}
+ORACLES = {
+    "streaming_drift": BATCH["drift"],
+    "streaming_alerts": BATCH["alerts"],
+    "streaming_baselines": f"SELECT home_id, day, n_days, feature, median, mad, value, z FROM ({BATCH['baselines']}) WHERE day >= DATE '2024-01-20'",
+}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayweave.operators.order import placed
+
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by order: what repeated upserts leave."""
@@ -24,6 +26,27 @@ def write_shards(df: DataFrame, path: str, partition_by: list[str], rows_per_fil
     df.write.mode(mode).partitionBy(*partition_by).option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def byte_shards(df: DataFrame, budget: int, size: Column, *order: Column) -> DataFrame:
+    """df with shard (long), so that no shard's sizes sum to more than budget bytes: known before anything is written, equal in every run.
+
+    A shard is a stretch of the order, cut where the running sum passes a multiple of the budget less the largest row. Rows of over half
+    the budget have shards of their own, numbered -1, -2, ... by the order; only such a shard can exceed the budget.
+    """
+    rows = df.withColumn("_bytes", size.cast("long"))
+    wide = F.col("_bytes") > budget // 2
+    most = rows.filter(~wide).agg(F.max("_bytes")).first()[0] or 0
+    usual = placed(rows.filter(~wide), *order, place="_place", size=F.col("_bytes"), before="_before")
+    usual = usual.withColumn("shard", F.floor(F.col("_before") / (budget - most)).cast("long")).drop("_place", "_before", "_bytes")
+    alone = placed(rows.filter(wide), *order, place="_place").withColumn("shard", -1 - F.col("_place")).drop("_place", "_bytes")
+    return usual.unionByName(alone)
+
+
+def write_byte_shards(df: DataFrame, path: str, budget: int, size: Column, *order: Column, mode: str = "errorifexists") -> None:
+    """Parquet below path, a folder shard=<n> with one file for each of byte_shards."""
+    shards = byte_shards(df, budget, size, *order)
+    shards.repartition("shard").write.mode(mode).partitionBy("shard").parquet(path)
+
+
 def carry_forward(candidates: DataFrame, written: DataFrame, key: str, start: int | None = None, end: int | None = None, order: str | None = None) -> DataFrame:
     """Candidates that were not written before; with start and end, those whose order lies in that slice."""
     c = candidates if start is None else candidates.filter(F.col(order).between(start, end))
