@@ -132,3 +132,17 @@ def class_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines like "c093 Walking through a doorway" to label, text."""
     t = spark.read.text(path).select(F.regexp_extract("value", r"^(c\d{3})\s+(.+?)\s*$", 1).alias("label"), F.regexp_extract("value", r"^(c\d{3})\s+(.+?)\s*$", 2).alias("text"))
     return t.filter("label <> ''")
+
+
+def gallery_to_json(gallery: DataFrame, json_col: str = "payload") -> DataFrame:
+    """The inverse: name, role, centroid to one row with the text of all residents, by name. A gallery is the people of one home."""
+    r = F.array_sort(F.collect_list(F.struct("name", "role", "centroid")))
+    return gallery.groupBy().agg(F.to_json(F.struct(r.alias("residents")), {"ignoreNullFields": "false"}).alias(json_col))
+
+
+def label_map(spark: SparkSession, path: str, classes: tuple[str, ...]) -> DataFrame:
+    """A taxonomy's map, a CSV of label, class, drop, to label, class, drop (boolean), reject_reason: a label is dropped or has a known
+    class. The rows without a reason are what mapped() takes."""
+    raw = spark.read.csv(path, header=True).select(F.trim("label").alias("label"), F.nullif(F.trim("class"), F.lit("")).alias("class"), F.coalesce(F.lower(F.trim("drop")).isin("1", "true", "yes"), F.lit(False)).alias("drop"))
+    why = F.when(F.coalesce("label", F.lit("")) == "", "no label").when(~F.col("drop") & F.col("class").isNull(), "no class").when(~F.col("drop") & ~F.col("class").isin(*classes), "unknown class")
+    return raw.withColumn("reject_reason", why)
