@@ -79,6 +79,25 @@ def q_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("home_id", "day", "n_claims", "n_rejected", "n_withheld", "summary")
 
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both arms written as responses, some cut off, some with references or directions that no repair mends, read back."""
+    s, a, r = _ranked(spark, sf_dir)
+    both = C.faithful_claims(r).withColumn("arm", F.lit("faithful")).unionByName(C.corrupted_claims(r, 0.5).drop("injected").withColumn("arm", F.lit("corrupted")))
+    raw, kind = R.response_text(both, "home_id", "day", "arm"), (F.col("home_id") + F.dayofmonth("day")) % 5
+    told = F.when(kind == 0, F.substring("raw_response", 1, 40)).when(kind == 1, F.replace("raw_response", F.lit("`feat:"), F.lit("`fact:"))).when(kind == 2, F.regexp_replace("raw_response", '"direction":"[A-Za-z]+"', '"direction":"sideways"')).otherwise(F.col("raw_response"))
+    return R.outcomes(raw.withColumn("raw_response", told), C.evidence_index(s, a), "home_id", "day", "arm")
+
+
+def q_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _outcomes(spark, sf_dir)
+    return o.select("home_id", "day", "arm", "parse_failed", "n_emitted", "n_claims", "n_repaired", "n_dropped", "n_faithful", F.size("rejections").alias("n_rejections"))
+
+
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.run_summary(_outcomes(spark, sf_dir), "arm")
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.array_join(c, "; ").alias(c) if c == "top_causes" else c for c, t in s.dtypes])
+
+
 def q_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and direction of every conversation turn and every claim-like document line."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", F.lit("walking fell to 1,800 s, -5k"), F.col("turn").cast("string")).alias("text"))
@@ -86,7 +105,7 @@ def q_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", F.size(n).cast("long").alias("n_numbers"), F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), said_direction(F.col("text")).alias("said"))
 
 
-QUERIES = {"evidence": q_evidence, "report_payload": q_payload, "faithful_claims": q_claims, "corrupted_claims": q_corrupted, "verified_claims": q_verified, "verification_summary": q_summary, "arm_comparison": q_arms, "report_lines": q_report_lines, "assembled_reports": q_reports, "prose_numbers": q_numbers}
+QUERIES = {"evidence": q_evidence, "report_payload": q_payload, "faithful_claims": q_claims, "corrupted_claims": q_corrupted, "verified_claims": q_verified, "verification_summary": q_summary, "arm_comparison": q_arms, "report_lines": q_report_lines, "assembled_reports": q_reports, "prose_numbers": q_numbers, "report_outcomes": q_outcomes, "run_summary": q_run_summary}
 
 # ---- SQL ------------------------------------------------------------------------------------------------------
 
@@ -167,7 +186,22 @@ judged AS (SELECT *, ref_exists AND value_matches AND pct_matches AND direction_
 _CLAIM = "home_id, day, claim_id, text, evidence_ref, {}, claimed_pct_change, direction"
 _PCT = "CASE WHEN abs(median) < 1e-9 THEN 0 ELSE 100 * (value - median) / median END"
 
+_OUTCOMES = f"""{_VERIFIED},
+said_by AS (SELECT arm, home_id, day, claim_id, direction, claimed_pct_change FROM claims UNION ALL SELECT arm, home_id, day, claim_id, direction, claimed_pct_change FROM corrupted),
+each AS (SELECT j.*, b.direction, b.claimed_pct_change, (j.home_id + day(j.day)) % 5 AS kind FROM judged j JOIN said_by b USING (arm, home_id, day, claim_id)),
+fate AS (SELECT *, kind = 1 OR kind = 2 AND direction IS NOT NULL AS dropped FROM each WHERE kind <> 0),
+outcome AS (SELECT arm, home_id, day, kind = 0 AS parse_failed, count(*) FILTER (WHERE kind <> 0) AS n_emitted, count(*) FILTER (WHERE kind <> 0 AND NOT (kind = 1 OR kind = 2 AND direction IS NOT NULL)) AS n_claims,
+  count(*) FILTER (WHERE kind = 1 OR kind = 2 AND direction IS NOT NULL) AS n_dropped, count(*) FILTER (WHERE faithful AND kind <> 0 AND NOT (kind = 1 OR kind = 2 AND direction IS NOT NULL)) AS n_faithful,
+  coalesce(sum(1 + (claimed_pct_change IS NOT NULL)::INT + (direction IS NOT NULL)::INT) FILTER (WHERE kind = 1 OR kind = 2 AND direction IS NOT NULL), 0)::INT AS n_rejections FROM each GROUP BY arm, home_id, day, kind)"""
 ORACLES = {
+    "report_outcomes": f"WITH {_OUTCOMES} SELECT home_id, day, arm, parse_failed, n_emitted, n_claims, n_claims AS n_repaired, n_dropped, n_faithful, n_rejections FROM outcome",
+    "run_summary": f"""WITH {_OUTCOMES},
+why AS (SELECT arm, cause, count(*) AS n FROM (SELECT arm, unnest(list_filter(['evidence_ref: pattern', CASE WHEN claimed_pct_change IS NOT NULL THEN 'claimed_pct_change: not a number' END, CASE WHEN direction IS NOT NULL THEN 'direction: not one of the three' END], lambda x: x IS NOT NULL)) AS cause FROM fate WHERE dropped) GROUP BY ALL),
+top AS (SELECT arm, string_agg(cause || ': ' || n, '; ' ORDER BY n DESC, cause) AS top_causes FROM (SELECT * FROM why QUALIFY row_number() OVER (PARTITION BY arm ORDER BY n DESC, cause) <= 4) GROUP BY arm)
+SELECT arm, count(*) AS n_reports, sum(n_emitted)::BIGINT AS n_emitted, sum(n_claims)::BIGINT AS n_claims, sum(n_claims)::BIGINT AS n_repaired, sum(n_faithful)::BIGINT AS n_faithful,
+  round(median((n_claims - n_faithful) / n_claims) FILTER (WHERE n_claims > 0), 6) AS per_report_median, count(*) FILTER (WHERE parse_failed) AS parse_failures, sum(n_dropped)::BIGINT AS schema_rejected,
+  round((sum(n_claims) - sum(n_faithful)) / sum(n_claims), 6) AS unfaithful_rate, round((sum(n_emitted) - sum(n_faithful)) / sum(n_emitted), 6) AS unusable_rate, coalesce(any_value(top_causes), '') AS top_causes
+FROM outcome LEFT JOIN top USING (arm) GROUP BY arm""",
     "evidence": f"""WITH {ALERTS},
 cited AS (SELECT DISTINCT home_id, day, unnest({_RULE_FEATURE}) AS feature FROM alerts),
 bare AS (SELECT home_id, day, unnest(['fall_events', 'max_post_fall_immobility_s', 'longest_inactive_block_s']) AS feature, unnest([fall_events, max_post_fall_immobility_s, longest_inactive_block_s])::DOUBLE AS value FROM features)
