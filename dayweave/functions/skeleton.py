@@ -88,17 +88,21 @@ def resampled(frames: Column, n: int) -> Column:
 
 def bridged(frames: Column, present: Column) -> Column:
     """frames with absent ones interpolated between the nearest present ones, held at the ends; unchanged if none is present."""
-    places = F.sequence(F.lit(0), F.size(frames) - 1)
-    seen = F.filter(places, lambda i: F.get(present, i))
 
-    def at(i: Column) -> Column:
-        a = F.array_max(F.filter(seen, lambda s: s <= i))
-        b = F.array_min(F.filter(seen, lambda s: s >= i))
-        lo, hi = F.coalesce(a, b), F.coalesce(b, a)
-        w = F.when(hi > lo, (i - lo) / F.greatest(hi - lo, F.lit(1))).otherwise(0.0)
-        return F.zip_with(F.get(frames, lo), F.get(frames, hi), lambda p, q: F.zip_with(p, q, lambda x, y: (1 - w) * x + w * y))
+    def between(f: Column, i: Column, lo: Column, hi: Column) -> Column:
+        w = (i - lo) / (hi - lo)
+        mixed = F.zip_with(F.get(f, lo), F.get(f, hi), lambda p, q: F.zip_with(p, q, lambda x, y: (1 - w) * x + w * y))
+        return F.when(i == lo, F.get(f, lo)).otherwise(mixed)
 
-    return F.when(F.size(seen) == 0, frames).otherwise(F.transform(places, at))
+    def filled(f: Column, seen: Column) -> Column:
+        """Stretch by stretch from one present frame to the next, so in time linear in the frames."""
+        first, last, n = F.get(seen, 0), F.get(seen, F.size(seen) - 1), F.size(seen)
+        stretch = lambda lo, hi: F.transform(F.sequence(lo, hi - 1), lambda i: between(f, i, lo, hi))
+        inner = F.flatten(F.transform(F.slice(seen, 1, n - 1), lambda lo, j: stretch(lo, F.get(seen, j + 1))))
+        return F.concat(F.array_repeat(F.get(f, first), first), inner, F.array_repeat(F.get(f, last), F.size(f) - last))
+
+    seen = F.filter(F.sequence(F.lit(0), F.size(frames) - 1), lambda i: F.get(present, i))
+    return let(frames, lambda f: let(seen, lambda s: F.when(F.size(s) == 0, f).otherwise(filled(f, s))))
 
 
 def bones(frames: Column, parents: list[int]) -> Column:

@@ -159,10 +159,12 @@ def shard_audit(rows: DataFrame, least: int = 3) -> DataFrame:
 def dataset_profile(crops: DataFrame) -> DataFrame:
     """One row per split of crops (split, pid, camera): images, ids, cameras, images per id at ranks, ids seen by two cameras or more."""
     ids = crops.groupBy("split", "pid").agg(F.count("*").alias("n"), F.count_distinct("camera").alias("cams"))
-    w = Window.partitionBy("split")
-    r = ids.withColumn("_i", F.row_number().over(w.orderBy("n", "pid")) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p)), F.col("n")))
-    s = r.groupBy("split").agg(F.sum("n").alias("images"), F.count("*").alias("ids"), F.min("n").alias("least"), at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("n").alias("most"), F.count_if(F.col("cams") >= 2).alias("multi_camera"))
+    sizes = ids.groupBy("split", "n").agg(F.count("*").alias("c"), F.count_if(F.col("cams") >= 2).alias("multi"))  # ids by how many images they have
+    w = Window.partitionBy("split")  # a row for each such number
+    r = sizes.withColumn("_end", F.sum("c").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("c").over(w))
+    place = lambda p: F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
+    at = lambda p: F.max(F.when((F.col("_end") - F.col("c") <= place(p)) & (place(p) < F.col("_end")), F.col("n")))
+    s = r.groupBy("split").agg(F.sum(F.col("n") * F.col("c")).alias("images"), F.sum("c").alias("ids"), F.min("n").alias("least"), at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("n").alias("most"), F.sum("multi").alias("multi_camera"))
     cams = crops.groupBy("split").agg(F.count_distinct("camera").alias("cameras"))
     return s.join(cams, "split")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dayweave.functions.arrays import dot, let, normalised
 from dayweave.operators.metrics import auroc
+from dayweave.operators.order import placed
 from dayweave.sources.shared import staged
 
 #: Bytes of centroids in one broadcast; a larger gallery is met in several passes.
@@ -152,7 +153,7 @@ def separation(d: DataFrame) -> DataFrame:
 def split_halves(split: DataFrame, seed: str = "half") -> DataFrame:
     """split with half: fit or test, by identity; enrolled and impostor ids are halved apart."""
     ids = split.select("pid", F.when(F.col("part") == "impostor", "impostor").otherwise("enrolled").alias("side")).distinct()
-    w = Window.partitionBy("side")
-    r = ids.withColumn("_r", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("pid").cast("string")))))).withColumn("_n", F.count("*").over(w))
-    half = F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 2)), "fit").otherwise("test")
+    r = placed(ids, F.col("side"), F.md5(F.concat_ws("|", F.lit(seed), F.col("pid").cast("string"))), F.col("pid"), place="_r")
+    r = r.join(F.broadcast(r.groupBy("side").agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))), "side")  # two sides
+    half = F.when(F.col("_r") - F.col("_first") < F.greatest(F.lit(1), F.floor(F.col("_n") / 2)), "fit").otherwise("test")
     return split.join(r.select("pid", half.alias("half")), "pid")

@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that a row of an interval join is dealt to at most.
+MOST_BUCKETS = 256
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], bucket: float) -> DataFrame:
     """Rows of left and right that share keys and overlap (strictly), as an equi-join on time buckets.
 
     Both sides are dealt to the buckets they touch; a pair is kept in the bucket where its overlap begins, so it appears once. Choose a
-    bucket near the longer side's usual length. Columns other than keys must differ.
+    bucket near the longer side's usual length. A row over MOST_BUCKETS long, as a bad end time makes it, is not dealt out but stands
+    in one bucket for long rows, where each row of the other side also stands once: exact, and no row becomes more than MOST_BUCKETS + 2.
+    Columns other than keys must differ.
     """
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / bucket).cast("long"), F.floor(F.col(b) / bucket).cast("long"))
-    a = left.filter(F.col(l[1]) > F.col(l[0])).withColumn("_b", F.explode(span(*l)))
-    b = right.filter(F.col(r[1]) > F.col(r[0])).withColumn("_b", F.explode(span(*r)))
+    place = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    wide = lambda s: place(s[1]) - place(s[0]) >= MOST_BUCKETS
+    long_left, long_right = F.lit(-(1 << 62)), F.lit(-(1 << 62) + 1)
+    dealt = lambda s: F.sequence(place(s[0]), place(s[1]))
+    a = left.filter(F.col(l[1]) > F.col(l[0])).withColumn("_b", F.explode(F.when(wide(l), F.array(long_left)).otherwise(F.concat(dealt(l), F.array(long_right)))))
+    b = right.filter(F.col(r[1]) > F.col(r[0])).withColumn("_b", F.explode(F.when(wide(r), F.array(long_left, long_right)).otherwise(F.concat(dealt(r), F.array(long_left)))))
     j = a.join(b, [*keys, "_b"]).filter((F.col(l[0]) < F.col(r[1])) & (F.col(r[0]) < F.col(l[1])))
-    return j.filter(F.col("_b") == F.floor(F.greatest(F.col(l[0]), F.col(r[0])) / bucket)).drop("_b")
+    return j.filter((F.col("_b") <= long_right) | (F.col("_b") == F.floor(F.greatest(F.col(l[0]), F.col(r[0])) / bucket))).drop("_b")
 
 
 def mapped(rows: DataFrame, label_map: DataFrame, on: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayweave.operators.order import placed
+
 from dayweave.functions.arrays import adjusted, argmax, log_of_mean_probabilities, mean_of
 
 
@@ -87,11 +89,14 @@ def tau_sweep(rows: DataFrame, logits: str, n_classes: int, taus: list[float], t
 
 def best_temperature(rows: DataFrame, logits: str, y: str = "y", low: int = 25, high: int = 500) -> DataFrame:
     """The temperature of the grid (hundredths from low to high) with the least mean negative log-likelihood, the first of equals."""
-    shifted = F.transform(F.col(logits), lambda x: x - F.array_max(F.col(logits))).alias("_z")
-    grid = rows.select(F.col(y).alias("_y"), shifted).select("_z", F.get("_z", F.col("_y")).alias("_own"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("t"))
-    chance = F.exp(F.col("_own") / (F.col("t") / 100)) / F.aggregate("_z", F.lit(0.0), lambda a, x: a + F.exp(x / (F.col("t") / 100)))
-    nll = grid.select("t", F.round(-F.log(F.greatest(chance, F.lit(1e-12))), 12).alias("nll")).groupBy("t").agg(F.avg("nll").alias("nll"))
-    return nll.groupBy().agg((F.min_by("t", F.struct("nll", "t")) / 100).alias("temperature"), F.min("nll").alias("nll"))
+    # The losses of a row at all temperatures are one array, and each place of it a sum of its own: rows are never multiplied.
+    grid = list(range(low, high + 1))
+    rows = rows.select(F.col(y).alias("_y"), F.transform(F.col(logits), lambda x: x - F.array_max(F.col(logits))).alias("_z")).select("_z", F.get("_z", F.col("_y")).alias("_own"))
+    chance = lambda t: F.exp(F.col("_own") / t) / F.aggregate("_z", F.lit(0.0), lambda a, x: a + F.exp(x / t))
+    loss = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda t: F.round(-F.log(F.greatest(chance(t / 100), F.lit(1e-12))), 12))
+    means = rows.select(loss.alias("_l")).agg(*[F.avg(F.get("_l", i)).alias(f"m{t}") for i, t in enumerate(grid)])
+    options = F.array(*[F.struct(F.col(f"m{t}").alias("nll"), F.lit(t).alias("t")) for t in grid])
+    return means.select(F.array_min(options).alias("b")).select((F.col("b.t") / 100).alias("temperature"), "b.nll")
 
 
 def transition_counts(rows: DataFrame, n_classes: int, sequence: str, order: str, y: str = "y", alpha: float = 1.0) -> DataFrame:
@@ -113,34 +118,33 @@ def fragmentation(rows: DataFrame, sequence: str, order: str, y: str = "y", pred
     return s.withColumn("per_sequence", F.col("segments_pred") / F.greatest("n_sequences", F.lit(1))).withColumn("ratio", F.col("segments_pred") / F.greatest("segments_true", F.lit(1)))
 
 
-def running_totals(rows: DataFrame, order: str, totals: list[str], by: list[str] | None = None, descending: bool = True, buckets: int = 64) -> DataFrame:
+def running_totals(rows: DataFrame, order: str, totals: list[str], by: list[str] | None = None, descending: bool = True) -> DataFrame:
     """rows with cum_<c> for each of totals: sums up to and including the row, in the order of a column whose values are distinct.
 
-    Dealt into ranges by approximate quantiles, so that no task sees all rows: sums run within a range, and the sums of the ranges
-    before it (at most `buckets` a group) are added.
+    Sums run over all groups at once, range by range, and each group's start is taken off; the number of ranges is that of shuffle
+    partitions, so it follows the cluster and no task sees all rows.
     """
     by = by or []
-    cuts = sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.005))) if buckets > 1 else []
-    sign = -1 if descending else 1
-    place = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    r = rows.withColumn("_b", sign * place)
     sort = F.col(order).desc() if descending else F.col(order).asc()
-    inside = Window.partitionBy(*by, "_b").orderBy(sort).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = r.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in totals]).select(*by, "_b", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals])
-    out = r.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in totals]).join(offsets, [*by, "_b"])
-    return out.select(*by, *[c for c in rows.columns if c not in by], *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in totals])
-
-
-def auroc_by_rank(rows: DataFrame, score: str, target: str, order: str, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    out = placed(rows, *[F.col(c) for c in by], sort, place="_k", sizes={f"cum_{c}": F.col(c) for c in totals}).drop("_k")
+    if by:
+        starts = out.groupBy(*by).agg(*[F.min(f"cum_{c}").alias(f"_s_{c}") for c in totals]).select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f"_s_{c}" for c in totals])
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        out = out.join(starts, same)
+    start = lambda c: F.col(f"_s_{c}") if by else F.lit(0)
+    return out.select(*by, *[c for c in rows.columns if c not in by], *[(F.col(f"cum_{c}") - start(c) + F.col(c)).alias(f"cum_{c}") for c in totals])
+
+
+def auroc_by_rank(rows: DataFrame, score: str, target: str, order: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve without averaging ties: rows of one score are ranked by a column of distinct values instead."""
     by = by or []
     pos = F.when(F.col(target) == 1, 1).otherwise(0)
-    # Ranks within a score, and the sizes of the scores before it: no task sees more than the rows of one score in order.
-    own = rows.select(*by, F.col(score).alias("score"), pos.alias("pos"), F.row_number().over(Window.partitionBy(*by, score).orderBy(order)).alias("_i"))
-    s = own.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("pos").alias("pos"), F.sum(F.when(F.col("pos") == 1, F.col("_i"))).alias("inside"))
-    t = running_totals(s, "score", ["n"], by, descending=False, buckets=buckets)
-    g = t.groupBy(*by).agg(F.sum(F.coalesce("inside", F.lit(0)) + F.col("pos") * (F.col("cum_n") - F.col("n"))).alias("_ranks"), F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"))
+    own = rows.select(*by, F.col(score).alias("score"), F.col(order).alias("_o"), pos.alias("pos"))
+    # Places over all groups; a group's ranks are its places less its first one, however many rows share a score.
+    p = placed(own, *[F.col(c) for c in by], F.col("score"), F.col("_o"), place="_k")
+    g = p.groupBy(*by).agg((F.sum(F.when(F.col("pos") == 1, F.col("_k")).cast("decimal(38,0)")).cast("double") - F.sum("pos") * (F.min("_k") - 1)).alias("_ranks"), F.sum("pos").alias("n_pos"), F.sum(1 - F.col("pos")).alias("n_neg"))
     area = (F.col("_ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
     return g.select(*by, F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(float("nan"))).otherwise(area).alias("auroc"), "n_pos", "n_neg")
 
@@ -150,18 +154,18 @@ def by_score(rows: DataFrame, score: str, target: str, by: list[str] | None = No
     return rows.groupBy(*(by or []), F.col(score).alias("score")).agg(F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) != 1).alias("neg"))
 
 
-def auroc(rows: DataFrame, score: str, target: str, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def auroc(rows: DataFrame, score: str, target: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half: the share of (positive, negative) pairs in order. NaN without both classes."""
     by = by or []
-    t = running_totals(by_score(rows, score, target, by), "score", ["neg"], by, descending=False, buckets=buckets)
+    t = running_totals(by_score(rows, score, target, by), "score", ["neg"], by, descending=False)
     pairs = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2))
     s = t.groupBy(*by).agg(pairs.alias("_p"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return s.select(*by, F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(float("nan"))).otherwise(F.col("_p") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"), "n_pos", "n_neg")
 
 
-def auprc(rows: DataFrame, score: str, target: str, buckets: int = 64) -> DataFrame:
+def auprc(rows: DataFrame, score: str, target: str) -> DataFrame:
     """Areas by trapezoid over distinct scores, from the highest down: under precision over recall, and under the ROC curve."""
-    t = running_totals(by_score(rows, score, target), "score", ["pos", "neg"], buckets=buckets)
+    t = running_totals(by_score(rows, score, target), "score", ["pos", "neg"])
     # A point's predecessor is known from its own counts, so no second pass in order is needed.
     p0, n0 = F.col("cum_pos") - F.col("pos"), F.col("cum_neg") - F.col("neg")
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
@@ -170,7 +174,7 @@ def auprc(rows: DataFrame, score: str, target: str, buckets: int = 64) -> DataFr
     return s.select((F.col("_pr") / F.greatest("n_pos", F.lit(1))).alias("auprc"), (F.col("_roc") / F.greatest(F.col("n_pos") * F.col("n_neg"), F.lit(1))).alias("auroc"), (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("positive_rate"))
 
 
-def fall_operating_point(rows: DataFrame, score: str, target: str, window_s: float = 2.0, per_hour: float = 1.0, buckets: int = 64) -> DataFrame:
+def fall_operating_point(rows: DataFrame, score: str, target: str, window_s: float = 2.0, per_hour: float = 1.0) -> DataFrame:
     """The threshold (scores to four decimals) with the best sensitivity at no more than per_hour false alarms an hour of negatives, the
     lowest of equals; if none keeps the budget, the highest score, with feasible false."""
     rounded = rows.withColumn("_s", F.round(score, 4))
@@ -178,7 +182,7 @@ def fall_operating_point(rows: DataFrame, score: str, target: str, window_s: flo
     exact = rows.select(F.col(score).alias("score"), (F.col(target) == 1).cast("long").alias("pos"), (F.col(target) != 1).cast("long").alias("neg"), F.lit(0).alias("is_threshold"))
     marks = rounded.select("_s").distinct().select(F.col("_s").alias("score"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(1).alias("is_threshold"))
     both = exact.unionByName(marks).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("is_threshold").alias("is_threshold"))
-    t = running_totals(both, "score", ["pos", "neg"], buckets=buckets).filter("is_threshold = 1")
+    t = running_totals(both, "score", ["pos", "neg"]).filter("is_threshold = 1")
     n = both.groupBy().agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.max("score").alias("_top"))
     t = t.crossJoin(F.broadcast(n))  # one row
     rate = F.col("cum_neg") / (F.col("n_neg") * window_s / 3600)

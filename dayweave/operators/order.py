@@ -8,28 +8,32 @@ from pyspark.sql import functions as F
 from dayweave.sources.shared import staged
 
 
-def placed(df: DataFrame, *order: Column, place: str = "place", size: Column | None = None, before: str = "before") -> DataFrame:
-    """df with place (0, 1, ... by order over all rows) and, with size, before: the sum of size over all earlier rows.
+def placed(df: DataFrame, *order: Column, place: str = "place", sizes: dict[str, Column] | None = None) -> DataFrame:
+    """df with place (0, 1, ... by order over all rows) and, for each of sizes, a column of that name: the sum over all earlier rows.
 
     Rows are dealt to ranges, sorted and numbered within, and written; the counts (and sums) of the ranges before are then added: one row
     a range reaches the driver. Ranges may split equal rows, so order should end in something that tells them apart if their places matter.
     """
-    own = "_place"
+    own, sizes = "_place", sizes or {}
     while any(c.startswith(own) for c in df.columns):
         own += "_"
-    rows = df if size is None else df.withColumn(f"{own}size", size.cast("double" if dict(df.select(size.alias("x")).dtypes)["x"] in ("double", "float") else "long"))
+    kinds = dict(df.select(*[c.alias(n) for n, c in sizes.items()]).dtypes) if sizes else {}
+    rows = df
+    for i, (name, c) in enumerate(sizes.items()):
+        rows = rows.withColumn(f"{own}size{i}", c.cast("double" if kinds[name] in ("double", "float") else "long"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(f"{own}at", F.monotonically_increasing_id())
     rows = staged(rows, "placed").withColumn(f"{own}range", F.shiftright(f"{own}at", 33)).withColumn(f"{own}row", F.col(f"{own}at").bitwiseAND(F.lit((1 << 33) - 1)))
-    total = F.lit(0).cast("long") if size is None else F.coalesce(F.sum(f"{own}size"), F.lit(0))
-    found = sorted((r[0], r[1], r[2]) for r in rows.groupBy(f"{own}range").agg(F.count("*"), total).collect())
-    starts, n, s = [], 0, 0
-    for part, count, amount in found:
-        starts.append((part, n, s))
-        n, s = n + count, s + amount
-    kind = "double" if isinstance(s, float) else "long"
-    ahead = df.sparkSession.createDataFrame(starts, f"{own}range long, {own}n long, {own}s {kind}")
+    totals = [F.coalesce(F.sum(f"{own}size{i}"), F.lit(0)).alias(f"s{i}") for i in range(len(sizes))]
+    found = sorted(tuple(r) for r in rows.groupBy(f"{own}range").agg(F.count("*").alias("n"), *totals).collect())
+    starts, so_far = [], [0] * (1 + len(sizes))
+    for part, *amounts in found:
+        starts.append((part, *so_far))
+        so_far = [a + b for a, b in zip(so_far, amounts, strict=True)]
+    kind = lambda n: "double" if kinds[n] in ("double", "float") else "long"
+    fixed = [(r[0], r[1], *(float(v) if kind(n) == "double" else v for v, n in zip(r[2:], sizes, strict=True))) for r in starts]
+    ahead = df.sparkSession.createDataFrame(fixed, ", ".join([f"{own}range long", f"{own}n long", *(f"{own}s{i} {kind(n)}" for i, n in enumerate(sizes))]))
     out = rows.join(F.broadcast(ahead), f"{own}range").withColumn(place, F.col(f"{own}n") + F.col(f"{own}row"))
-    if size is not None:
-        w = Window.partitionBy(f"{own}range").orderBy(f"{own}row").rowsBetween(Window.unboundedPreceding, -1)  # one range, as one task sorted it
-        out = out.withColumn(before, F.col(f"{own}s") + F.coalesce(F.sum(f"{own}size").over(w), F.lit(0)))
-    return out.drop(*[f"{own}{c}" for c in ("size", "at", "range", "row", "n", "s")])
+    w = Window.partitionBy(f"{own}range").orderBy(f"{own}row").rowsBetween(Window.unboundedPreceding, -1)  # one range, as one task sorted it
+    for i, name in enumerate(sizes):
+        out = out.withColumn(name, F.col(f"{own}s{i}") + F.coalesce(F.sum(f"{own}size{i}").over(w), F.lit(0)))
+    return out.drop(*[f"{own}{c}" for c in ("at", "range", "row", "n")], *[f"{own}{c}{i}" for c in ("size", "s") for i in range(len(sizes))])

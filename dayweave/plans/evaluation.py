@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayweave.functions.arrays import argmax, mean_of
 from dayweave.operators import identity as I
 from dayweave.operators import metrics as M
+from dayweave.operators.splits import subject_split
 from dayweave.sources.domain import table
 
 K = 10
@@ -169,9 +170,7 @@ def q_operating_point(s, d):
 def q_subject_split(s, d):
     """Subjects held out for validation: a fifth of them by hash, at least one."""
     v = val_logits(s, d)
-    subjects = v.groupBy("subject").agg(F.count("*").alias("n"))
-    r = subjects.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.md5(F.concat(F.lit("split|"), F.col("subject").cast("string"))))))  # one row per subject
-    return r.withColumn("part", F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) * 0.2)), "validation").otherwise("train")).drop("_r")
+    return subject_split(v)
 
 
 QUERIES = {

@@ -35,7 +35,7 @@ def byte_shards(df: DataFrame, budget: int, size: Column, *order: Column) -> Dat
     rows = df.withColumn("_bytes", size.cast("long"))
     wide = F.col("_bytes") > budget // 2
     most = rows.filter(~wide).agg(F.max("_bytes")).first()[0] or 0
-    usual = placed(rows.filter(~wide), *order, place="_place", size=F.col("_bytes"), before="_before")
+    usual = placed(rows.filter(~wide), *order, place="_place", sizes={"_before": F.col("_bytes")})
     usual = usual.withColumn("shard", F.floor(F.col("_before") / (budget - most)).cast("long")).drop("_place", "_before", "_bytes")
     alone = placed(rows.filter(wide), *order, place="_place").withColumn("shard", -1 - F.col("_place")).drop("_place", "_bytes")
     return usual.unionByName(alone)

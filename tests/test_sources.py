@@ -193,10 +193,10 @@ def test_markdown(spark):
 
 def test_places_over_all_rows(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).alias("w")).repartition(7)
-    rows = sorted(placed(df, F.col("k"), size=F.col("w")).collect(), key=lambda r: r.k)
+    rows = sorted(placed(df, F.col("k"), sizes={"before": F.col("w"), "half": F.col("w") / 2}).collect(), key=lambda r: r.k)
     total = 0
     for i, r in enumerate(rows):
-        assert r.place == i and r.before == total
+        assert r.place == i and r.before == total == 2 * r.half
         total += r.w
     assert placed(df.limit(0), F.col("k")).count() == 0
     ties = spark.range(300).select(F.lit(1).alias("k"))
