@@ -142,3 +142,33 @@ def clip_windows(frames: Column, length: int = 30, stride: int = 15, least_joint
     cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(frames, s + 1, length).alias("frames")))
     good = lambda f: F.size(F.filter(f, lambda j: F.get(j, 2) > 0.3)) >= least_joints
     return F.filter(cut, lambda w: F.size(F.filter(w["frames"], good)) * 2 >= length)
+
+
+def with_midpoints(frames: Column, pairs: tuple[tuple[int, int], ...], n_joints: int) -> Column:
+    """frames of n_joints joints, to each of which the midpoints of the pairs are appended (neck and pelvis, in the order of the graph that
+    reads them); any other number of joints fails the job, as midpoints of derived joints would be of the wrong ones."""
+
+    def frame(f: Column) -> Column:
+        mid = [F.zip_with(F.get(f, a), F.get(f, b), lambda x, y: (x + y) / 2) for a, b in pairs]
+        wrong = F.raise_error(F.concat(F.lit(f"expected {n_joints} joints, got "), F.size(f).cast("string"))).cast("array<array<double>>")
+        return F.when(F.size(f) != n_joints, wrong).otherwise(F.concat(f, F.array(*mid)))
+
+    return F.transform(frames, frame)
+
+
+#: The four inputs of an ensemble, all derived from the joints.
+STREAMS = ("joint", "bone", "joint_motion", "bone_motion")
+
+
+def stream(frames: Column, name: str, parents: list[int]) -> Column:
+    """One of STREAMS; ValueError for another name."""
+    if name not in STREAMS:
+        raise ValueError(f"unknown stream {name!r}; one of {STREAMS}")
+    base = bones(frames, parents) if name.startswith("bone") else frames
+    return motion(base) if name.endswith("motion") else base
+
+
+def channels_first(persons: Column, n_channels: int = 3) -> Column:
+    """Frames of persons of joints of channels to channels of frames of joints of persons: the order that models read. Exchanging persons
+    and joints would give an array of the same size and be nonsense, so the order is spelled out here alone."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)), lambda c: F.transform(persons, lambda frame: F.transform(F.sequence(F.lit(0), F.size(F.get(frame, 0)) - 1), lambda v: F.transform(frame, lambda person: F.get(F.get(person, v), c)))))

@@ -157,3 +157,17 @@ def split_halves(split: DataFrame, seed: str = "half") -> DataFrame:
     r = r.join(F.broadcast(r.groupBy("side").agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))), "side")  # two sides
     half = F.when(F.col("_r") - F.col("_first") < F.greatest(F.lit(1), F.floor(F.col("_n") / 2)), "fit").otherwise("test")
     return split.join(r.select("pid", half.alias("half")), "pid")
+
+
+def negative_control(crops: DataFrame, vector: str = "vector", key: str = "frame") -> DataFrame:
+    """crops with vectors that know nothing of identity: each one turned by as many places as a hash of its key says, so lengths and
+    distributions stay and what made one person's vectors alike is gone. A protocol under which they do well flatters any embedding."""
+    n = F.size(vector)
+    by = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long"), n.cast("long")).cast("int")
+    return crops.withColumn(vector, F.concat(F.slice(vector, by + 1, n), F.slice(vector, F.lit(1), by)))
+
+
+def control_gap(real: DataFrame, control: DataFrame, least_gap: float = 0.1) -> DataFrame:
+    """One row from the distances of both: their AUROC, the gap, and ok where the gap is large enough to trust the protocol."""
+    a, b = (separation(d).select(F.col("auroc").alias(name)) for d, name in ((real, "auroc"), (control, "control_auroc")))
+    return a.crossJoin(b).withColumn("gap", F.col("auroc") - F.col("control_auroc")).withColumn("ok", F.col("gap") >= least_gap)  # one row each

@@ -150,6 +150,50 @@ def video_id(text: Column) -> Column:
     return F.when(F.size(found) == 1, F.struct(part(2).alias("subject"), part(5).alias("take"), part(8).alias("camera")))
 
 
+def strict_video_id(text: Column) -> Column:
+    """struct of subject, take, camera from a text that is one P00T00C00 and nothing else but white space around it; null for any other."""
+    whole = F.trim(text)
+    part = lambda k: F.substring(whole, k, 2).cast("int")
+    return F.when(whole.rlike(r"^P\d{2}T\d{2}C\d{2}$"), F.struct(part(2).alias("subject"), part(5).alias("take"), part(8).alias("camera")))
+
+
+TRIMMED = r"^([A-Za-z.]+)_p(\d{2})_r(\d{2})_([a-z]?\d{2})_c(\d{2})(?:_([A-Za-z0-9+.]+))?$"
+
+
+def trimmed_name(name: Column) -> Column:
+    """struct of activity, subject, take, view, camera, tag (null without one) from names of trimmed clips like Cook.Cut_p03_r00_v02_c03,
+    whatever folder and however many known extensions; null for any other."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"(\.(mp4|json|npz|npy|avi|png|jpg|csv|txt))+$", "")
+    part = lambda k: F.regexp_extract(stem, TRIMMED, k)
+    found = F.struct(part(1).alias("activity"), part(2).cast("int").alias("subject"), part(3).cast("int").alias("take"), part(4).alias("view"), part(5).cast("int").alias("camera"), F.nullif(part(6), F.lit("")).alias("tag"))
+    return F.when(stem.rlike(TRIMMED), found)
+
+
+def fall_range(text: Column) -> Column:
+    """struct of lo and hi from a clip's own annotation, whose first two lines that aren't blank are the fall's first and last frame; (0, 0)
+    says that there is none. Null where there is no text, fewer lines, no numbers, or the end comes before the start: not known, which is
+    not the same as no fall, so such clips are to be left out."""
+    head = F.slice(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 2)
+    lo, hi = (F.get(head, i).try_cast("double").cast("long") for i in (0, 1))
+    nothing = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    return F.when(lo.isNull() | hi.isNull(), None).when((lo <= 0) & (hi <= 0), nothing).when(hi < lo, None).otherwise(F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def with_own_range(clips: DataFrame, texts: DataFrame) -> DataFrame:
+    """clips (path) with fall (fall_range of the nearest annotation): texts (path, text) named like the clip, in its folder or the one
+    above, or in a folder Annotation_files of either; the nearest wins. Without one, fall is null."""
+    stem = lambda p: F.regexp_replace(F.regexp_extract(p, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    folder = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
+    up = lambda p: F.when(p.contains("/"), folder(p)).otherwise(F.lit(""))
+    inside = lambda p, name: F.when(p == "", F.lit(name)).otherwise(F.concat(p, F.lit(f"/{name}")))
+    here = folder(F.col("path"))
+    c = clips.withColumn("_stem", stem(F.col("path"))).withColumn("_places", F.array(inside(here, "Annotation_files"), here, inside(up(here), "Annotation_files"), up(here)))
+    asked = c.select("path", "_stem", F.posexplode("_places").alias("_k", "_folder"))
+    t = texts.select(stem(F.col("path")).alias("_stem"), folder(F.col("path")).alias("_folder"), F.col("text").alias("_text"))
+    best = asked.join(t, ["_stem", "_folder"]).groupBy("path").agg(F.min_by("_text", "_k").alias("_text"))
+    return clips.join(best, "path", "left").withColumn("fall", fall_range(F.col("_text"))).drop("_text")
+
+
 def crop_name(name: Column, reserved: tuple[str, ...] = ()) -> Column:
     """struct of pid, camera, frame from names like 0043_c12_0033.jpg; null for other files, hidden ones and reserved ids."""
     ok = name.rlike(r"^[^.].*\.(jpg|jpeg|png)$") & name.rlike(r"^[^_]+_c[^_]*_")

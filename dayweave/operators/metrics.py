@@ -118,15 +118,15 @@ def fragmentation(rows: DataFrame, sequence: str, order: str, y: str = "y", pred
     return s.withColumn("per_sequence", F.col("segments_pred") / F.greatest("n_sequences", F.lit(1))).withColumn("ratio", F.col("segments_pred") / F.greatest("segments_true", F.lit(1)))
 
 
-def running_totals(rows: DataFrame, order: str, totals: list[str], by: list[str] | None = None, descending: bool = True) -> DataFrame:
+def running_totals(rows: DataFrame, order: str, totals: list[str], by: list[str] | None = None, descending: bool = True, buckets: int | None = None) -> DataFrame:
     """rows with cum_<c> for each of totals: sums up to and including the row, in the order of a column whose values are distinct.
 
     Sums run over all groups at once, range by range, and each group's start is taken off; the number of ranges is that of shuffle
-    partitions, so it follows the cluster and no task sees all rows.
+    partitions (or buckets), so it follows the cluster and no task sees all rows.
     """
     by = by or []
     sort = F.col(order).desc() if descending else F.col(order).asc()
-    out = placed(rows, *[F.col(c) for c in by], sort, place="_k", sizes={f"cum_{c}": F.col(c) for c in totals}).drop("_k")
+    out = placed(rows, *[F.col(c) for c in by], sort, place="_k", sizes={f"cum_{c}": F.col(c) for c in totals}, ranges=buckets).drop("_k")
     if by:
         starts = out.groupBy(*by).agg(*[F.min(f"cum_{c}").alias(f"_s_{c}") for c in totals]).select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f"_s_{c}" for c in totals])
         same = F.lit(True)
@@ -154,10 +154,10 @@ def by_score(rows: DataFrame, score: str, target: str, by: list[str] | None = No
     return rows.groupBy(*(by or []), F.col(score).alias("score")).agg(F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) != 1).alias("neg"))
 
 
-def auroc(rows: DataFrame, score: str, target: str, by: list[str] | None = None) -> DataFrame:
+def auroc(rows: DataFrame, score: str, target: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half: the share of (positive, negative) pairs in order. NaN without both classes."""
     by = by or []
-    t = running_totals(by_score(rows, score, target, by), "score", ["neg"], by, descending=False)
+    t = running_totals(by_score(rows, score, target, by), "score", ["neg"], by, descending=False, buckets=buckets)
     pairs = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2))
     s = t.groupBy(*by).agg(pairs.alias("_p"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return s.select(*by, F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), F.lit(float("nan"))).otherwise(F.col("_p") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"), "n_pos", "n_neg")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from dayweave.sources.shared import staged
 
 
-def placed(df: DataFrame, *order: Column, place: str = "place", sizes: dict[str, Column] | None = None) -> DataFrame:
+def placed(df: DataFrame, *order: Column, place: str = "place", sizes: dict[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
     """df with place (0, 1, ... by order over all rows) and, for each of sizes, a column of that name: the sum over all earlier rows.
 
     Rows are dealt to ranges, sorted and numbered within, and written; the counts (and sums) of the ranges before are then added: one row
-    a range reaches the driver. Ranges may split equal rows, so order should end in something that tells them apart if their places matter.
+    a range reaches the driver. There are as many ranges as shuffle partitions unless `ranges` says otherwise. Ranges may split equal rows, so order should end in something that tells them apart if their places matter.
     """
     own, sizes = "_place", sizes or {}
     while any(c.startswith(own) for c in df.columns):
@@ -21,7 +21,7 @@ def placed(df: DataFrame, *order: Column, place: str = "place", sizes: dict[str,
     rows = df
     for i, (name, c) in enumerate(sizes.items()):
         rows = rows.withColumn(f"{own}size{i}", c.cast("double" if kinds[name] in ("double", "float") else "long"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(f"{own}at", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn(f"{own}at", F.monotonically_increasing_id())
     rows = staged(rows, "placed").withColumn(f"{own}range", F.shiftright(f"{own}at", 33)).withColumn(f"{own}row", F.col(f"{own}at").bitwiseAND(F.lit((1 << 33) - 1)))
     totals = [F.coalesce(F.sum(f"{own}size{i}"), F.lit(0)).alias(f"s{i}") for i in range(len(sizes))]
     found = sorted(tuple(r) for r in rows.groupBy(f"{own}range").agg(F.count("*").alias("n"), *totals).collect())

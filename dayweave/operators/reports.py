@@ -90,3 +90,19 @@ def top_classes(rows: DataFrame, posterior: str, names: list[str], most: int = 3
     """rows with top: the names and shares of the most likely classes of each, the first of equals."""
     pairs = F.transform(F.col(posterior), lambda p, i: F.struct((-p).alias("k"), i.alias("i"), F.get(F.array(*[F.lit(n) for n in names]), i).alias("name"), F.round(p, 4).alias("share")))
     return rows.withColumn("top", F.transform(F.slice(F.array_sort(pairs), 1, most), lambda p: F.struct(p["name"].alias("name"), p["share"].alias("share"))))
+
+
+def scenario_rollup(scenarios: DataFrame, *by: str) -> DataFrame:
+    """by, recall, median_latency, control_false_per_100_days, n_scenarios, n_controls of scenarios (by, is_control, latency_days: null if
+    the anomaly was never seen; n_relative: alerts of kinds that a baseline decides; n_days that can be scored).
+
+    Recall and latency are of the anomalies, false alerts of the controls, in which nothing happens; a group without anomalies has recall
+    0, one without control days 0 false alerts. Latencies are whole days, so the median keeps a count for each.
+    """
+    anomaly = ~F.col("is_control")
+    s = scenarios.groupBy(*by).agg(
+        F.coalesce(F.avg(F.when(anomaly, F.col("latency_days").isNotNull().cast("double"))), F.lit(0.0)).alias("recall"), F.median(F.when(anomaly, F.col("latency_days"))).alias("median_latency"),
+        F.coalesce(F.try_divide(100.0 * F.sum(F.when(F.col("is_control"), F.col("n_relative"))), F.sum(F.when(F.col("is_control"), F.col("n_days")))), F.lit(0.0)).alias("control_false_per_100_days"),
+        F.count("*").alias("n_scenarios"), F.count_if("is_control").alias("n_controls"),
+    )
+    return s

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dayweave.config import ACTIVITIES, SEVERITY
 from dayweave.functions.text import number_tokens, request_fault, same_numbers, slug, translation_fault
 from dayweave.operators import labels as L
+from dayweave.operators.reports import scenario_rollup
 from dayweave.plans.behaviour import features, q_alerts
 from dayweave.plans.behaviour_sql import ALERTS, SEGMENTS
 from dayweave.plans.observations import _keyword_sql
@@ -233,7 +234,42 @@ def q_scenario_summary(s, d):
     return r.select("expected", *[F.round(c, 6).alias(c) for c in ("recall", "median_latency", "false_per_100_days")], "n")
 
 
+PERSONAS = ("steady", "restless", "irregular")
+
+
+def q_personas(s, d):
+    """Homes as scenarios of three personas, every fourth one a control: recall, latency and false alerts of each persona."""
+    a = q_alerts(s, d).groupBy("home_id").agg(F.count_if(~F.col("kind").isin(*ABSOLUTE)).alias("n_relative"))
+    r = q_scenarios(s, d).join(a, "home_id", "left")
+    persona = F.get(F.array(*[F.lit(p) for p in PERSONAS]), (F.col("home_id") % 3).cast("int"))
+    r = r.select(persona.alias("persona"), (F.col("home_id") % 4 == 1).alias("is_control"), "latency_days", F.coalesce("n_relative", F.lit(0)).alias("n_relative"), "n_days")
+    return scenario_rollup(r, "persona").select("persona", *[F.round(c, 6).alias(c) for c in ("recall", "median_latency", "control_false_per_100_days")], "n_scenarios", "n_controls")
+
+
+def q_strict_names(s, d):
+    """Names of untrimmed and trimmed clips made of the users' numbers, in forms that the strict parsers take and in others."""
+    v = actions(s, d).select("clip").distinct()
+    k = lambda n: (F.col("clip") % n).cast("int")
+    tsu = F.when(F.col("clip") % 3 == 0, F.format_string(" P%02dT%02dC%02d ", k(90), k(7), k(3))).otherwise(F.format_string("P%02dT%02dC%02d.mp4", k(90), k(7), k(3)))
+    tsm = F.when(F.col("clip") % 4 == 0, F.format_string("Cook-Cut_p%02d_r01_v02_c03.mp4", k(90))).when(F.col("clip") % 4 == 1, F.format_string("a/b/Cook.Cut_p%02d_r%02d_v02_c%02d_pose3d.json", k(90), k(7), k(3))).otherwise(F.format_string("Walk_p%02d_r%02d_15_c%02d.mp4.npz", k(90), k(7), k(3)))
+    r = v.select("clip", L.strict_video_id(tsu).alias("u"), L.trimmed_name(tsm).alias("t"))
+    return r.select("clip", F.col("u.subject").alias("subject"), F.col("u.camera").alias("camera"), "t.activity", F.col("t.subject").alias("t_subject"), F.col("t.take").alias("t_take"), "t.view", F.col("t.camera").alias("t_camera"), "t.tag")
+
+
+def q_own_ranges(s, d):
+    """Clips with their own annotation, beside or above them, of every kind: a fall, none, turned round, not numbers, missing."""
+    v = actions(s, d).select(F.col("clip").cast("int").alias("clip")).distinct()
+    clips = v.select("clip", F.format_string("Home/room %d/video (%d).avi", F.col("clip") % 3, F.col("clip")).alias("path"))
+    where = F.when(F.col("clip") % 2 == 0, F.format_string("Home/room %d/Annotation_files/video (%d).txt", F.col("clip") % 3, F.col("clip"))).otherwise(F.format_string("Home/video (%d).txt", F.col("clip")))
+    text = F.when(F.col("clip") % 6 == 0, F.lit("0\n0\n1,2,3")).when(F.col("clip") % 6 == 1, F.concat(F.lit("\n "), F.col("clip").cast("string"), F.lit("\r\n\n"), (F.col("clip") + 40).cast("string"), F.lit("\n7"))).when(F.col("clip") % 6 == 2, F.lit("50\n9")).when(F.col("clip") % 6 == 3, F.lit("x\ny")).otherwise(F.format_string("%d.0\n%d.9", F.col("clip"), F.col("clip") + 1))
+    far = v.filter("clip % 6 = 1").select(F.format_string("Home/Annotation_files/video (%d).txt", F.col("clip")).alias("path"), F.lit("1\n2").alias("text"))
+    texts = v.filter("clip % 6 <> 5").select(where.alias("path"), text.alias("text")).unionByName(far)
+    r = L.with_own_range(clips, texts)
+    return r.select("clip", F.col("fall.lo").alias("lo"), F.col("fall.hi").alias("hi"))
+
+
 QUERIES = {
+    "personas": q_personas, "strict_names": q_strict_names, "own_ranges": q_own_ranges,
     "window_labels": q_window_labels, "interval_overlaps": q_overlaps, "mapped_labels": q_mapped, "fall_windows": q_fall_windows, "step_labels": q_steps, "annotated_windows": q_annotated, "coarse_steps": q_coarse_steps,
     "annotated_union": q_union, "class_frames": q_class_frames, "annotation_cross_check": q_cross_check, "annotation_agreement": q_agreement, "agreement_summary": q_agreement_summary, "keyword_classes": q_keywords, "parsed_names": q_names, "number_preservation": q_token_match, "translation_faults": q_translations,
     "segment_upsert": q_upsert, "keyed_segments": q_keyed_segments, "day_states": q_day_states, "alert_listing": q_listing, "table_counts": q_counts, "segment_lookup": q_lookup, "scenario_latency": q_scenarios, "scenario_summary": q_scenario_summary,
@@ -270,6 +306,15 @@ scen AS (SELECT home_id, expected, n_days, min(since) FILTER (WHERE kind = expec
   arg_max(severity, list_position(['info', 'advisory', 'urgent', 'emergency'], severity)) AS worst, count(*) FILTER (WHERE since < 0 AND kind NOT IN {_IN(ABSOLUTE)}) AS false_alerts FROM e GROUP BY ALL)"""
 _WIN = f"WITH {_ACT}, best AS (SELECT clip, window_id, arg_max(label, (cover, -action_id)) AS label FROM hits WHERE cover >= 1.2 AND label NOT IN {_IN(UNMAPPED)} GROUP BY ALL) SELECT clip, window_id, coalesce(label, 'other_idle') AS class FROM grid LEFT JOIN best USING (clip, window_id) WHERE coalesce(label, '') NOT IN {_IN(DROPPED)}"
 ORACLES = {
+    "personas": f"""WITH {_SCEN}, rel AS (SELECT home_id, count(*) FILTER (WHERE kind NOT IN {_IN(ABSOLUTE)}) AS n_relative FROM alerts GROUP BY home_id),
+p AS (SELECT ({list(PERSONAS)})[home_id % 3 + 1] AS persona, home_id % 4 = 1 AS is_control, latency_days, coalesce(n_relative, 0) AS n_relative, n_days FROM scen LEFT JOIN rel USING (home_id))
+SELECT persona, round(coalesce(avg((latency_days IS NOT NULL)::INT) FILTER (WHERE NOT is_control), 0), 6) AS recall, round(median(latency_days) FILTER (WHERE NOT is_control), 6) AS median_latency,
+  round(coalesce(100 * sum(n_relative) FILTER (WHERE is_control) / sum(n_days) FILTER (WHERE is_control), 0), 6) AS control_false_per_100_days, count(*) AS n_scenarios, count(*) FILTER (WHERE is_control) AS n_controls FROM p GROUP BY persona""",
+    "strict_names": f"""WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id AS clip FROM segments)
+SELECT clip, CASE WHEN clip % 3 = 0 THEN (clip % 90)::INT END AS subject, CASE WHEN clip % 3 = 0 THEN (clip % 3)::INT END AS camera, CASE WHEN clip % 4 = 1 THEN 'Cook.Cut' WHEN clip % 4 > 1 THEN 'Walk' END AS activity,
+  CASE WHEN clip % 4 > 0 THEN (clip % 90)::INT END AS t_subject, CASE WHEN clip % 4 > 0 THEN (clip % 7)::INT END AS t_take, CASE WHEN clip % 4 = 1 THEN 'v02' WHEN clip % 4 > 1 THEN '15' END AS view, CASE WHEN clip % 4 > 0 THEN (clip % 3)::INT END AS t_camera, CASE WHEN clip % 4 = 1 THEN 'pose3d' END AS tag FROM v""",
+    "own_ranges": f"""WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id::INT AS clip FROM segments)
+SELECT clip, CASE clip % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 4 THEN clip END::BIGINT AS lo, CASE clip % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 4 THEN clip + 1 END::BIGINT AS hi FROM v""",
     "window_labels": _WIN,
     "interval_overlaps": f"WITH {_ACT} SELECT clip, window_id, count(*) AS n, round(sum(cover), 6) AS covered FROM hits GROUP BY ALL",
     "mapped_labels": f"WITH {_ACT} SELECT label AS class, count(*) AS n FROM act WHERE label NOT IN {_IN((*UNMAPPED, *DROPPED))} GROUP BY label",

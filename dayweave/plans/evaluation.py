@@ -173,7 +173,15 @@ def q_subject_split(s, d):
     return subject_split(v)
 
 
+def q_control(s, d):
+    """The identity protocol on vectors that know nothing of identity, beside the real ones."""
+    c = crops(s, d)
+    split_of = lambda rows: I.whole_protocol(rows.withColumn("pid", F.col("pid") + 16 * F.floor(F.col("frame") / 200).cast("long")))
+    return _r(I.control_gap(I.distances(split_of(c)), I.distances(split_of(I.negative_control(c)))))
+
+
 QUERIES = {
+    "identity_control": q_control,
     "classification_scores": q_scores, "per_class": q_per_class, "stream_subsets": q_subsets, "tau_sweep": q_taus, "class_weights": q_weights, "class_prior": q_prior, "weighted_sample": q_weighted_sample, "transition_matrix": q_transitions,
     "fragmentation": q_fragmentation, "temperature": q_temperature, "auroc": q_auroc, "auroc_by_dataset": q_auroc_by_dataset, "auprc": q_auprc, "fall_operating_point": q_fall_point,
     "open_set_split": q_split, "split_leaks": q_leaks, "split_summary": q_split_summary, "nearest_two": q_distances, "nearest_two_blocks": q_distances_blocks, "auroc_by_rank": q_auroc_rank, "threshold_sweep": q_sweep, "fit_threshold": q_threshold, "equal_error": q_eer,
@@ -254,7 +262,10 @@ half AS (SELECT pid, CASE WHEN row_number() OVER (PARTITION BY side ORDER BY md5
 fit_s AS (SELECT s.* FROM split s JOIN half USING (pid) WHERE half = 'fit'), test_s AS (SELECT s.* FROM split s JOIN half USING (pid) WHERE half = 'test'),
 {_distances('fit_s', 'fd')}, {_distances('test_s', 'td')}, {_sweep('fd', 'fs')}, pick AS ({_PICK.format('fs')})"""
 
+_AUC = lambda d: f"(SELECT sum(CASE WHEN a.best < b.best THEN 1 WHEN a.best = b.best THEN 0.5 ELSE 0 END) / count(*) FROM {d} a, {d} b WHERE a.part = 'genuine' AND b.part = 'impostor')"
+_TURN = "(('0x' || substr(md5(frame::VARCHAR), 1, 7))::BIGINT % 64)"
 ORACLES = {
+    "identity_control": f"WITH {_D}, turned AS (SELECT * EXCLUDE (vector), list_concat(vector[{_TURN} + 1:], vector[:{_TURN}]) AS vector FROM split), {_distances('turned', 'n')}, r AS (SELECT {_AUC('d')} AS a, {_AUC('n')} AS c) SELECT round(a, 6) AS auroc, round(c, 6) AS control_auroc, round(a - c, 6) AS gap, a - c >= 0.1 AS ok FROM r",
     "classification_scores": f"WITH {_PRED}, {_scores('p')} SELECT * FROM sc",
     "per_class": f"WITH {_PRED}, {_scores('p')} SELECT class::INT AS class, tp, fp, fn, support, round(CASE WHEN support > 0 THEN tp / support END, 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM cl",
     "stream_subsets": f"WITH {_VAL}, soft AS (SELECT *, {', '.join(f'{_SOFT(s)} AS p_{s}' for s in STREAMS)} FROM val), o AS (SELECT *, {_ARG.format('z')} AS pred FROM ({' UNION ALL '.join(_OPTIONS)})), {_scores('o', 'streams, mode')} SELECT * FROM sc",

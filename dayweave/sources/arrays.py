@@ -11,6 +11,7 @@ import math
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
@@ -155,9 +156,12 @@ class NpzReader(DataSourceReader):
 
 
 def archives(uri: str) -> list:
+    """Archives at a file, below a folder, or in a folder by a pattern of names."""
     from pyarrow import fs
 
-    return [i for i in listed(uri, recursive=True) if i.type == fs.FileType.File and i.path.endswith(".npz")]
+    folder, _, name = uri.rpartition("/")
+    found = [i for i in listed(folder) if fnmatchcase(i.path.rpartition("/")[2], name)] if any(c in name for c in "*?[") else listed(uri, recursive=True)
+    return [i for i in found if i.type == fs.FileType.File and i.path.endswith(".npz")]
 
 
 class NpzSource(DataSource):
@@ -189,7 +193,7 @@ class NpzSource(DataSource):
 
 
 def arrays(spark: SparkSession, path: str, names: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows of all archives at path (a file or a folder)."""
+    """The rows of all archives at path (a file, a folder, or a pattern of names in one)."""
     spark.dataSource.register(NpzSource)
     return spark.read.format("npz").option("arrays", ",".join(names)).option("partBytes", part_bytes).load(qualified(spark, path))
 
