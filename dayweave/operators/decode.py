@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayweave.functions.arrays import let, logsumexp, softmax
+from dayweave.operators.metrics import transition_counts
 
 FALLING, FALLEN, TAKING_MEDICATION, IDLE = 7, 8, 12, 19
 # Log-odds that a seen object adds to classes.
@@ -56,6 +57,21 @@ def structured_prior(n: int, stay: float = 0.90, floor: float = 0.05) -> np.ndar
     return with_floor(a, floor)
 
 
+def fitted_prior(rows: DataFrame, n_classes: int, sequence: str, order: str, y: str = "y", alpha: float = 1.0) -> np.ndarray:
+    """Transition prior counted from labelled sequences (training ones only), Laplace-smoothed; n_classes squared numbers."""
+    found = transition_counts(rows, n_classes, sequence, order, y, alpha).collect()
+    out = np.zeros((n_classes, n_classes))
+    for r in found:
+        out[r["from"], r["to"]] = r["probability"]
+    return out
+
+
+def long_enough(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """The rows of sequences of at least `least` windows: a prior smooths nothing that has no neighbours."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    return rows.join(n, keys, "left_semi")
+
+
 def viterbi(emission: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The most likely path of log-probabilities; the first of equals."""
     best, came = start + emission[0], np.zeros(emission.shape, int)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from dayweave.operators import metrics as M
 from dayweave.operators import tracks as T
 from dayweave.operators.features import observed_hours
 from dayweave.plans.evaluation import STREAMS, val_logits
+from dayweave.sources.shared import staged
 from dayweave.sources import annotations, domain
 
 FPS = 15.0
@@ -121,14 +123,18 @@ def q_iou(s, d):
     return o.select(*KEYS, "frame_idx", F.round(T.iou(a, b), 6).alias("iou")).filter("iou is not null")
 
 
-def _decoded(s, d) -> DataFrame:
-    """Windows with twelve classes in sequences of twenty subjects: two streams widened, fused with objects, decoded by the structured prior."""
+def _sequences(s, d) -> DataFrame:
+    """Windows with twelve classes in sequences of twenty subjects: two streams widened, fused with objects."""
     v = val_logits(s, d)
     z = F.concat(mean_of([F.col(x) for x in STREAMS]), F.slice("joint", 1, 10))
     obj = F.array(*[F.when(F.col("window_id") % k == 0, n) for k, n in ((2, "cup"), (3, "tv"), (5, "bottle"))])
     rows = v.select("subject", (F.floor(F.col("window_id") / (20 * SEQUENCE_WINDOWS)).cast("long") * 20 + F.col("subject")).alias("sequence"), "window_id", "y", (F.col("window_id") * 1_000_000).alias("start_us"), (F.col("window_id") * 1_000_000 + 30_000_000).alias("end_us"), F.when(F.col("window_id") % 50 < 25, "kitchen").otherwise("hall").alias("room"), F.array_compact(obj).alias("objects"), z.alias("z"))
-    rows = rows.withColumn("posterior", D.fused(softmax(F.col("z")), F.col("objects"), 20)).drop("z")
-    return D.decoded(rows, ["sequence"], "window_id", "posterior", D.structured_prior(20))
+    return rows.withColumn("posterior", D.fused(softmax(F.col("z")), F.col("objects"), 20)).drop("z")
+
+
+def _decoded(s, d) -> DataFrame:
+    """Those sequences, decoded by the structured prior."""
+    return D.decoded(_sequences(s, d), ["sequence"], "window_id", "posterior", D.structured_prior(20))
 
 
 def q_posteriors(s, d):
@@ -148,11 +154,14 @@ def q_decoded_segments(s, d):
 
 
 def q_decode_evaluation(s, d):
-    """Accuracy and fragmentation of the greedy and the decoded labels."""
-    r = _decoded(s, d).withColumn("greedy", argmax(F.col("posterior")))
+    """Accuracy and fragmentation of the greedy labels and of two priors, the structured one and one fitted on the other half of the
+    sequences; sequences of fewer than three windows, which no prior can smooth, are left out."""
+    rows = D.long_enough(_sequences(s, d), ["sequence"], 3)
+    prior = D.fitted_prior(rows.filter("sequence % 2 = 0"), 20, "sequence", "window_id")
+    held = staged(rows.filter("sequence % 2 = 1"), "sequences")
     out = None
-    for name in ("greedy", "smoothed"):
-        one = M.scores(r.select("y", F.col(name).alias("pred"))).crossJoin(M.fragmentation(r, "sequence", "window_id", "y", name)).withColumn("decoder", F.lit(name))  # one row each
+    for name, r in (("greedy", held.withColumn("pred", argmax(F.col("posterior")))), ("structured", D.decoded(held, ["sequence"], "window_id", "posterior", D.structured_prior(20)).withColumn("pred", F.col("smoothed"))), ("fitted", D.decoded(held, ["sequence"], "window_id", "posterior", prior).withColumn("pred", F.col("smoothed")))):
+        one = M.scores(r.select("y", "pred")).crossJoin(M.fragmentation(r, "sequence", "window_id", "y", "pred")).withColumn("decoder", F.lit(name))  # one row each
         out = one if out is None else out.unionByName(one)
     return out.select("decoder", *[F.round(c, 6).alias(c) for c in ("top1", "mean_class", "macro_f1", "ratio")], "segments_pred", "segments_true")
 
@@ -203,6 +212,39 @@ QUERIES = {
 from dayweave.plans.behaviour_sql import SEGMENTS  # noqa: E402
 from dayweave.plans.evaluation import _ARG, _FUSED, _VAL, _scores  # noqa: E402
 
+#: Log transitions of the structured prior, from and to, as a list of lists.
+_MOVES = "[" + ", ".join("[" + ", ".join(repr(float(x)) + "::DOUBLE" for x in row) + "]" for row in np.log(np.maximum(D.structured_prior(20), 1e-12))) + "]"
+_POSTERIORS = f"""{_VAL},
+wide AS (SELECT subject, window_id // {20 * SEQUENCE_WINDOWS} * 20 + subject AS sequence, window_id, y, window_id * 1000000 AS start_us, window_id * 1000000 + 30000000 AS end_us, CASE WHEN window_id % 50 < 25 THEN 'kitchen' ELSE 'hall' END AS room,
+  list_filter([CASE WHEN window_id % 2 = 0 THEN 'cup' END, CASE WHEN window_id % 3 = 0 THEN 'tv' END, CASE WHEN window_id % 5 = 0 THEN 'bottle' END], lambda o: o IS NOT NULL) AS objects, list_concat({_FUSED}, joint) AS v FROM val),
+soft AS (SELECT * EXCLUDE (v), list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda u: exp(u - list_max(v))))) AS q FROM wide),
+odds AS (SELECT * EXCLUDE (q), list_transform(range(1, 21), lambda i: ln(greatest(q[i], 1e-12)) + CASE WHEN i = 11 AND window_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN i = 10 AND window_id % 2 = 0 THEN 0.3 ELSE 0 END + CASE WHEN i = 14 AND window_id % 3 = 0 THEN 1 ELSE 0 END
+  + CASE WHEN i IN (11, 13) AND window_id % 5 = 0 THEN 0.7 ELSE 0 END + CASE WHEN i = 13 AND window_id % 5 <> 0 THEN -2 ELSE 0 END) AS l FROM soft),
+emitted AS MATERIALIZED (SELECT * EXCLUDE (l, p), p, list_transform(p, lambda x: ln(greatest(x, 1e-12))) AS e, row_number() OVER (PARTITION BY sequence ORDER BY window_id) AS t, count(*) OVER (PARTITION BY sequence) AS n
+  FROM (SELECT *, list_transform(l, lambda x: exp(x - list_max(l)) / list_sum(list_transform(l, lambda u: exp(u - list_max(l))))) AS p FROM odds))"""
+
+
+def _viterbi(name: str, rows: str, moves: str) -> str:
+    """{name}_path: the best state (from 1) of every row of rows (sequence, t, n, e), by the log transitions m of moves."""
+    reach = "list_transform(range(1, 21), lambda i: b.best[i] + m[i][j])"
+    return f"""{name}_best AS MATERIALIZED (SELECT sequence, t, n, list_transform(e, lambda x: x - ln(20)) AS best, NULL::BIGINT[] AS came FROM {rows} WHERE t = 1
+  UNION ALL SELECT r.sequence, r.t, r.n, list_transform(range(1, 21), lambda j: list_max({reach}) + r.e[j]), list_transform(range(1, 21), lambda j: list_position({reach}, list_max({reach}))::BIGINT)
+  FROM {name}_best b JOIN {rows} r ON r.sequence = b.sequence AND r.t = b.t + 1, {moves}),
+{name}_path AS (SELECT sequence, t, came, list_position(best, list_max(best))::BIGINT AS state FROM {name}_best WHERE t = n
+  UNION ALL SELECT b.sequence, b.t, b.came, x.came[x.state] FROM {name}_path x JOIN {name}_best b ON b.sequence = x.sequence AND b.t = x.t - 1)"""
+
+
+_LSE = lambda terms: f"list_max({terms}) + ln(list_sum(list_transform({terms}, lambda u: exp(u - list_max({terms})))))"
+_DECODED = f"""{_POSTERIORS}, fixed AS (SELECT {_MOVES} AS m), {_viterbi('s', 'emitted', 'fixed')},
+ahead AS (SELECT sequence, t, list_transform(e, lambda x: x - ln(20)) AS a FROM emitted WHERE t = 1
+  UNION ALL SELECT r.sequence, r.t, list_transform(range(1, 21), lambda j: {_LSE('list_transform(range(1, 21), lambda i: f.a[i] + m[i][j])')} + r.e[j]) FROM ahead f JOIN emitted r ON r.sequence = f.sequence AND r.t = f.t + 1, fixed),
+behind AS (SELECT sequence, t, e, list_transform(e, lambda x: 0::DOUBLE) AS b FROM emitted WHERE t = n
+  UNION ALL SELECT r.sequence, r.t, r.e, list_transform(range(1, 21), lambda i: {_LSE('list_transform(range(1, 21), lambda j: m[i][j] + g.e[j] + g.b[j])')}) FROM behind g JOIN emitted r ON r.sequence = g.sequence AND r.t = g.t - 1, fixed),
+summed AS (SELECT sequence, t, list_transform(range(1, 21), lambda i: a[i] + b[i]) AS z FROM ahead JOIN behind USING (sequence, t)),
+chance AS (SELECT sequence, t, list_transform(z, lambda x: exp(x - ({_LSE('z')}))) AS q FROM summed),
+sure AS (SELECT e.*, state, q[state] AS marginal, list_reverse_sort(p) AS top FROM s_path JOIN chance USING (sequence, t) JOIN emitted e USING (sequence, t)),
+seen AS (SELECT *, marginal < 0.4 AND state NOT IN (8, 9) AS abstained, CASE WHEN marginal < 0.4 AND state NOT IN (8, 9) THEN 19 ELSE state - 1 END AS label, ln(greatest(top[1], 1e-12)) - ln(greatest(top[2], 1e-12)) AS margin FROM sure)"""
+
 _OBS = f"""{SEGMENTS},
 obs0 AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_us, segment_id) - 1 AS n FROM segments),
 obs AS (SELECT home_id, track_id, n + 10 * (n // 40) AS frame_idx, start_us AS time_us, room, role, activity_id % 5 <> 0 AS usable, (segment_id * 31 % 400)::DOUBLE AS x1, 50::DOUBLE AS y1,
@@ -295,6 +337,23 @@ FROM (SELECT DISTINCT clip, home_id, party, span, t, role FROM o) r LEFT JOIN ch
     "observed_hours": f"WITH {_OBS}, g AS (SELECT home_id, (time_us - lag(time_us) OVER (PARTITION BY home_id ORDER BY time_us)) / 1000000 AS gap FROM obs) SELECT home_id, round(coalesce(sum(gap) FILTER (WHERE gap <= 600), 0) / 3600, 6) AS observed_hours FROM g GROUP BY home_id",
     "role_durations": f"WITH {_OBS} SELECT role, round(count(*) / 15, 6) AS seconds FROM obs GROUP BY role",
     "box_overlap": f"WITH {_OBS}, b AS (SELECT *, lag(x1) OVER w AS p1, lag(x2) OVER w AS p2, lag(y2) OVER w AS q2 FROM obs WINDOW w AS (PARTITION BY home_id, track_id ORDER BY frame_idx)), i AS (SELECT *, greatest(0, least(x2, p2) - greatest(x1, p1)) * (least(y2, q2) - 50) AS m FROM b WHERE p1 IS NOT NULL) SELECT home_id, track_id, frame_idx, round(m / ((x2 - x1) * (y2 - 50) + (p2 - p1) * (q2 - 50) - m), 6) AS iou FROM i",
+    "decoded_windows": f"WITH RECURSIVE {_DECODED} SELECT subject, sequence, window_id, (state - 1)::INT AS smoothed, round(marginal, 5) AS marginal, abstained, label::INT AS label FROM seen",
+    "decoded_segments": f"""WITH RECURSIVE {_DECODED},
+mark AS (SELECT *, (lag(label) OVER w IS NULL OR lag(label) OVER w <> label OR start_us > lag(end_us) OVER w OR lag(room) OVER w IS DISTINCT FROM room)::INT AS new FROM seen WINDOW w AS (PARTITION BY subject, sequence ORDER BY start_us)),
+run AS (SELECT *, sum(new) OVER (PARTITION BY subject, sequence ORDER BY start_us) AS run FROM mark)
+SELECT subject, sequence, any_value(label)::INT AS activity_id, any_value(room) AS room, min(start_us) AS start_us, max(end_us) AS end_us, round(avg(marginal), 5) AS confidence, round(avg(margin), 4) AS mean_logit_margin,
+  array_to_string(list_sort(list_distinct(flatten(list(objects)))), ',') AS objects, count(*) AS n_windows FROM run GROUP BY subject, sequence, run""",
+    "decode_evaluation": f"""WITH RECURSIVE {_POSTERIORS},
+long AS (SELECT *, count(*) OVER (PARTITION BY sequence) AS n_all FROM emitted), kept AS (SELECT * FROM long WHERE n_all >= 3),
+pairs AS (SELECT y AS a, lead(y) OVER (PARTITION BY sequence ORDER BY t) AS b FROM kept WHERE sequence % 2 = 0), bigram AS (SELECT a, b, count(*) AS n FROM pairs WHERE b IS NOT NULL GROUP BY ALL),
+grid AS (SELECT x.c AS a, z.c AS b, coalesce(n, 0) + 1.0 AS k FROM range(20) x(c) CROSS JOIN range(20) z(c) LEFT JOIN bigram ON a = x.c AND b = z.c),
+fit AS (SELECT list(m ORDER BY a) AS m FROM (SELECT a, list(ln(k / s) ORDER BY b) AS m FROM (SELECT *, sum(k) OVER (PARTITION BY a) AS s FROM grid) GROUP BY a)),
+held AS (SELECT * FROM kept WHERE sequence % 2 = 1), fixed AS (SELECT {_MOVES} AS m),
+{_viterbi('s', 'held', 'fixed')}, {_viterbi('f', 'held', 'fit')},
+pred AS (SELECT 'greedy' AS decoder, sequence, t, y, {_ARG.format('p')} AS pred FROM held UNION ALL SELECT 'structured', sequence, t, y, state - 1 FROM s_path JOIN held USING (sequence, t) UNION ALL SELECT 'fitted', sequence, t, y, state - 1 FROM f_path JOIN held USING (sequence, t)),
+{_scores('pred', 'decoder')},
+frag AS (SELECT decoder, sum(a)::BIGINT AS segments_pred, sum(b)::BIGINT AS segments_true FROM (SELECT decoder, coalesce(lag(pred) OVER w <> pred, true)::INT AS a, coalesce(lag(y) OVER w <> y, true)::INT AS b FROM pred WINDOW w AS (PARTITION BY decoder, sequence ORDER BY t)) GROUP BY decoder)
+SELECT decoder, top1, mean_class, macro_f1, round(segments_pred / segments_true, 6) AS ratio, segments_pred, segments_true FROM sc JOIN frag USING (decoder)""",
     "fused_posteriors": f"""WITH {_VAL}, z AS (SELECT window_id, {_P20} AS v FROM val), s AS (SELECT window_id, list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda u: exp(u - list_max(v))))) AS p FROM z),
 f AS (SELECT window_id, list_transform(range(1, 21), lambda i: ln(greatest(p[i], 1e-12)) + CASE WHEN window_id % 2 = 0 AND i = 11 THEN 1 WHEN window_id % 2 = 0 AND i = 10 THEN 0.3 WHEN i = 13 THEN -2 ELSE 0 END) AS l FROM s),
 g AS (SELECT window_id, list_transform(l, lambda x: exp(x - list_max(l)) / list_sum(list_transform(l, lambda u: exp(u - list_max(l))))) AS p FROM f), h AS (SELECT *, list_reverse_sort(p) AS r FROM g)
