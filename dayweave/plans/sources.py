@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayweave.config import ACTIVITIES
 from dayweave.functions.arrays import argmax
 from dayweave.operators.counted import Counters
 from dayweave.operators.splits import checked, partition_faults, subject_split
 from dayweave.operators.tracks import adapted_centroids, windows
+from dayweave.plans import annotation
 from dayweave.plans.claims import ORACLES as CLAIMS
 from dayweave.plans.claims import q_verified
 from dayweave.plans.evaluation import _VAL, val_logits
+from dayweave.sources import annotations as A
 from dayweave.sources import arrays, listing, records
 from dayweave.sources.domain import table
-from dayweave.sources.files import located, qualified
+from dayweave.sources.files import write_files
 from dayweave.sources.shared import scratch, staged
 from dayweave.sources.sinks import byte_shards, write_byte_shards
 
@@ -72,24 +72,11 @@ def q_scanned_names(s: SparkSession, d: str) -> DataFrame:
         F.when(k % 11 == 0, F.format_string("0000_c%d_%04d.jpg", k % 6, k)).when(k % 7 == 0, F.format_string(".%04d_c1_1.jpg", k)).when(k % 5 == 0, F.format_string("%04d_c%d.txt", k, k % 6))
         .when(k % 13 == 0, F.format_string("%04d-c1.png", k)).otherwise(F.format_string("%04d_c%d_%04d.jpg", k, k % 6, k % 40))
     )
-    staged(_touched(table(s, d, "supplier").select(F.when(k % 2 == 0, "query").otherwise("gallery/deep").alias("folder"), name.alias("name")), at), "touched")
+    folder = F.when(k % 2 == 0, "query/").otherwise("gallery/deep/")
+    staged(write_files(table(s, d, "supplier").select(F.concat(folder, name).alias("name"), F.lit("").alias("text")), at), "touched")
     return listing.crops(listing.names(s, at))
 
 
-def _touched(files: DataFrame, path: str) -> DataFrame:
-    uri = qualified(files.sparkSession, path)
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = located(uri)
-        for rb in batches:
-            for folder, name in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                where.create_dir(f"{root}/{folder}", recursive=True)
-                where.open_output_stream(f"{root}/{folder}/{name}").close()
-            yield rb
-
-    return files.mapInArrow(put, "folder string, name string")
-
-
 def q_adapted(s: SparkSession, d: str) -> DataFrame:
     """A centroid for each label, started by its first vector and moved by the others that match comfortably."""
     v = vectors(s, d).select(F.col("label").alias("pid"), F.col("vec_id").alias("order"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -123,7 +110,70 @@ def q_counted_windows(s: SparkSession, d: str) -> DataFrame:
     return built.groupBy().agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("start_frame"), F.lit(0)).cast("long").alias("starts")).select("*", *[F.lit(n[k]).cast("long").alias(k) for k in sorted(n)])
 
 
+ALIAS, CLASSES = "resting", 18
+
+
+def _annotation_texts(s: SparkSession, d: str) -> DataFrame:
+    """Spans of each clip as lines of a file: every third file with a header, every other one with semicolons; some lines are bad."""
+    v = annotation.videos(s, d)
+    name = F.when(F.col("segment_id") % 17 == 0, "juggling").when(F.col("class") == 3, ALIAS).otherwise(F.get(F.array(*[F.lit(a) for a in ACTIVITIES]), F.col("class").cast("int")))
+    start = F.when(F.col("segment_id") % 19 == 0, "x").otherwise(F.col("start").cast("string"))
+    end = F.when(F.col("segment_id") % 23 == 0, "-5").otherwise(F.col("end").cast("string"))
+    mark = F.when(F.col("clip") % 2 == 0, ",").otherwise(";")
+    line = F.when(F.col("segment_id") % 29 == 0, name).otherwise(F.concat(name, mark, start, F.lit(" "), mark, F.lit(" "), end))
+    lines = v.groupBy("clip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("t"))
+    head = F.when(F.col("clip") % 3 == 0, "event,start,end\n").otherwise("")
+    return lines.select(F.concat(F.lit("clips/"), F.col("clip").cast("string"), F.lit(".csv")).alias("name"), F.concat(head, "t").alias("text"))
+
+
+def _csv_spans(s: SparkSession, d: str) -> DataFrame:
+    at = scratch(s, "csv")
+    staged(write_files(_annotation_texts(s, d), at), "written")
+    classes = s.createDataFrame([(a, i) for i, a in enumerate(ACTIVITIES)], "name string, class int")
+    return A.spans_from_csv(s, f"{at}/clips", classes, s.createDataFrame([(ALIAS, ACTIVITIES[3])], "alias string, name string"))
+
+
+def q_csv_spans(s: SparkSession, d: str) -> DataFrame:
+    """Annotation files written from the spans and read back, by clip, class and reason."""
+    clip = F.regexp_extract("file", r"(\d+)\.csv$", 1).cast("long")
+    return _csv_spans(s, d).groupBy(clip.alias("clip"), "class", "reject_reason").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+def q_vocabulary(s: SparkSession, d: str) -> DataFrame:
+    """What those files call their classes, and which names are known."""
+    return A.vocabulary(_csv_spans(s, d)).select("name", "n", "known")
+
+
+def q_json_spans(s: SparkSession, d: str) -> DataFrame:
+    """Annotations of each home's clips as one JSON file, read back by clip and reason."""
+    at = scratch(s, "json")
+    v = annotation.videos(s, d)
+    spans = v.groupBy("clip").agg(F.array_sort(F.collect_list(F.array("class", "start", F.when(F.col("segment_id") % 23 == 0, F.lit(-5).cast("long")).otherwise(F.col("end"))))).alias("actions"), F.max("end").cast("double").alias("duration"))
+    entry = F.struct(F.col("clip").cast("string").alias("k"), F.struct(F.when(F.col("clip") % 2 == 0, "training").otherwise("testing").alias("subset"), "duration", "actions").alias("v"))
+    texts = spans.groupBy((F.col("clip") % 10).alias("home")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))
+    staged(write_files(texts.select(F.concat(F.lit("a/"), F.col("home").cast("string"), F.lit(".json")).alias("name"), "text"), at), "written")
+    r = A.spans_from_json(s, f"{at}/a", CLASSES)
+    return r.groupBy(F.col("video").cast("long").alias("clip"), "subset", "duration", "reject_reason").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+def q_pose_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Pose files of clips of ten frames, some without a detection: coverage, gaps, and the sum of what was read."""
+    at = scratch(s, "poses")
+    e = vectors(s, d).withColumn("clip", F.floor(F.col("vec_id") / 10).cast("long"))
+    pose = F.struct(F.array().cast("array<double>").alias("pose2d"), F.transform(F.slice("embedding", 1, 39), lambda x: F.round(x.cast("double"), 5)).alias("pose3d"))
+    seen = F.col("vec_id") % 10 >= F.col("clip") % 8
+    frame = F.when(seen, F.array(pose)).otherwise(F.array().cast("array<struct<pose2d: array<double>, pose3d: array<double>>>"))
+    clips = e.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", frame.alias("f")))), lambda x: x["f"]).alias("frames"))
+    body = F.to_json(F.struct(F.lit(13).alias("njts"), "frames"))
+    staged(write_files(clips.select(F.concat(F.lit("p/"), F.col("clip").cast("string"), F.lit(".json")).alias("name"), body.alias("text")), at), "written")
+    r = A.poses(s, f"{at}/p")
+    total = r.groupBy("clip").agg(F.round(F.sum(F.aggregate(F.flatten("joints"), F.lit(0.0), lambda a, x: a + x)), 5).alias("total"))
+    c = A.coverage(r).join(total, "clip")
+    return c.select(F.col("clip").cast("long").alias("clip"), "n", "detected", F.round("coverage", 6).alias("coverage"), "longest_gap", "usable", "reason", "total")
+
+
 QUERIES = {
+    "csv_spans": q_csv_spans, "vocabulary": q_vocabulary, "json_spans": q_json_spans, "pose_coverage": q_pose_coverage,
     "npz_archives": q_archives, "saved_logits": q_saved_logits, "byte_shards": q_byte_shards, "claim_audit": q_claim_audit, "scanned_names": q_scanned_names, "adapted_centroids": q_adapted,
     "checked_split": q_checked_split, "partition_faults": q_partition_faults, "counted_windows": q_counted_windows,
 }
@@ -131,7 +181,20 @@ QUERIES = {
 # ---- SQL ------------------------------------------------------------------------------------------------------
 
 _SUBJECTS = "u AS (SELECT subject, count(*) AS n FROM val GROUP BY subject), p AS (SELECT subject, n, CASE WHEN row_number() OVER (ORDER BY md5('split|' || subject)) <= greatest(1, floor(count(*) OVER () * 0.2)) THEN 'validation' ELSE 'train' END AS part FROM u)"
+_NAMES = "(" + repr(list(ACTIVITIES)) + ")"
+_CSV = f"""{annotation._VID},
+line AS (SELECT clip, segment_id AS s, CASE WHEN segment_id % 17 = 0 THEN 'juggling' WHEN class = 3 THEN '{ALIAS}' ELSE {_NAMES}[class + 1] END AS name, CASE WHEN segment_id % 17 <> 0 THEN class::INT END AS known, "start" AS a, CASE WHEN segment_id % 23 = 0 THEN -5 ELSE "end" END AS z FROM vid),
+spans AS (SELECT clip, name, known AS class, CASE WHEN s % 29 <> 0 AND s % 19 <> 0 THEN a END AS a, CASE WHEN s % 29 <> 0 THEN z END AS z,
+  CASE WHEN s % 29 = 0 THEN 'fewer than three fields' WHEN known IS NULL THEN 'unknown class' WHEN s % 19 = 0 THEN 'start or end is not a number' WHEN z < a THEN 'end before start' END AS reject_reason FROM line)"""
 ORACLES = {
+    "csv_spans": f"WITH {_CSV} SELECT clip, class, reject_reason, count(*) AS n, sum(a)::BIGINT AS starts, sum(z)::BIGINT AS ends FROM spans GROUP BY ALL",
+    "vocabulary": f"WITH {_CSV} SELECT name, count(*) AS n, name <> 'juggling' AS known FROM spans GROUP BY name",
+    "json_spans": f"""WITH {annotation._VID}, a AS (SELECT clip, class, "start" AS a, CASE WHEN segment_id % 23 = 0 THEN -5 ELSE "end" END AS z, max("end") OVER (PARTITION BY clip)::DOUBLE AS duration FROM vid)
+SELECT clip, CASE WHEN clip % 2 = 0 THEN 'training' ELSE 'testing' END AS subset, duration, CASE WHEN class >= {CLASSES} THEN 'class out of range' WHEN z < a THEN 'end before start' END AS reject_reason, count(*) AS n, sum(a)::DOUBLE AS starts, sum(z)::DOUBLE AS ends FROM a GROUP BY ALL""",
+    "pose_coverage": """WITH e AS (SELECT vec_id // 10 AS clip, vec_id % 10 >= vec_id // 10 % 8 AS present, vec_id, list_sum(list_transform(embedding[:39], lambda x: round(x::DOUBLE, 5))) AS total FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+g AS (SELECT *, sum(present::INT) OVER (PARTITION BY clip ORDER BY vec_id) AS i FROM e), h AS (SELECT clip, i, count(*) FILTER (WHERE NOT present) AS gap FROM g GROUP BY ALL), m AS (SELECT clip, max(gap) AS longest_gap FROM h GROUP BY clip)
+SELECT clip, count(*) AS n, count(*) FILTER (WHERE present) AS detected, round(avg(present::INT), 6) AS coverage, any_value(longest_gap) AS longest_gap, avg(present::INT) >= 0.6 AS usable, CASE WHEN NOT bool_or(present) THEN 'nothing detected' WHEN avg(present::INT) < 0.6 THEN 'coverage too low' END AS reason,
+  round(coalesce(sum(total) FILTER (WHERE present), 0), 5) AS total FROM e JOIN m USING (clip) GROUP BY clip""",
     "npz_archives": "SELECT vec_id, label::INT AS label, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, count(*) OVER () AS n_written FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL",
     "saved_logits": f"WITH {_VAL} SELECT y AS label, count(*) AS n, count(*) FILTER (WHERE list_position(joint, list_max(joint)) - 1 = y) AS n_right FROM val GROUP BY y",
     "byte_shards": """WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS b FROM documents), m AS (SELECT coalesce(max(b), 0) AS most FROM d WHERE b <= 100000),

@@ -40,8 +40,9 @@ def spans_from_csv(spark: SparkSession, path: str, classes: DataFrame, aliases:
 
 
 def vocabulary(spans: DataFrame) -> DataFrame:
-    """name, n, example file, known: the survey of what files call their classes."""
-    return spans.groupBy("name").agg(F.count("*").alias("n"), F.min("file").alias("example"), F.max((F.coalesce("reject_reason", F.lit("")) != "unknown class").cast("int")).alias("_k")).withColumn("known", F.col("_k") == 1).drop("_k")
+    """name, n, example file, known: the survey of what files call their classes, whatever else is wrong with their lines."""
+    known = F.col("class").isNotNull() & (F.coalesce("reject_reason", F.lit("")) != "class out of range")
+    return spans.groupBy("name").agg(F.count("*").alias("n"), F.min("file").alias("example"), F.max(known).alias("known"))
 
 
 def poses(spark: SparkSession, path: str) -> DataFrame:

@@ -155,8 +155,8 @@ def test_text_sources(spark, tmp_path):
     assert [(r.name, r.reject_reason) for r in read.collect()] == [("a", None), ("", "no name"), ("b", "unknown role"), ("c", "no centroid")]
     back = annotations.gallery_from_json(annotations.gallery_to_json(read.filter("reject_reason is null")))
     assert [(r.name, r.role, r.centroid, r.reject_reason) for r in back.collect()] == [("a", "resident", [1.0, 0.0], None)]
-    spans = spark.createDataFrame([("walk", "f1", None), ("walk", "f0", None), ("jog", "f2", "unknown class")], "name string, file string, reject_reason string")
-    assert sorted((r.name, r.n, r.example, r.known) for r in annotations.vocabulary(spans).collect()) == [("jog", 1, "f2", False), ("walk", 2, "f0", True)]
+    spans = spark.createDataFrame([("walk", "f1", 3, None), ("walk", "f0", 3, "end before start"), ("jog", "f2", None, "fewer than three fields"), ("99", "f1", 99, "class out of range")], "name string, file string, class int, reject_reason string")
+    assert sorted((r.name, r.n, r.example, r.known) for r in annotations.vocabulary(spans).collect()) == [("99", 1, "f1", False), ("jog", 1, "f2", False), ("walk", 2, "f0", True)]
 
 
 # ---- lines -------------------------------------------------------------------------------------------------------
