@@ -54,8 +54,8 @@ def q_prompt_rows(s, d):
 
 
 def q_prompts(s, d):
-    p = R.prompts(C.payload(scored(s, d)), "Report the day.")
-    return p.select("home_id", "day", (F.size(F.split("prompt", "evidence_ref")) - 1).alias("n_rows"), F.col("prompt").startswith("Report the day.").alias("begins"))
+    """The whole prompt of each day."""
+    return R.prompts(C.payload(scored(s, d)), "Report the day.")
 
 
 def q_heads(s, d):
@@ -130,7 +130,9 @@ ORACLES = {
     "reference_cohort": f"WITH {_LAST} SELECT home_id, cohort_id, day, reference_day, baseline_days, feature, round(value, 6) AS value, round(median, 6) AS median, round(z, 6) AS z, round(pct_change, 6) AS pct_change, 'reference_cohort' AS baseline_provenance, 'measured' AS subject_provenance FROM c",
     "alerting_states": f"WITH {ALERTS}, n AS (SELECT home_id, day, count(*) AS n_alerts FROM alerts GROUP BY ALL), st AS (SELECT DISTINCT home_id, day FROM scored WHERE z IS NOT NULL), s AS (SELECT home_id, day, coalesce(n_alerts, 0) AS n_alerts FROM st LEFT JOIN n USING (home_id, day)), q AS (SELECT *, row_number() OVER (ORDER BY day, home_id) AS r FROM s WHERE n_alerts = 0) SELECT * FROM s WHERE n_alerts > 0 UNION ALL SELECT home_id, day, n_alerts FROM q WHERE r <= (SELECT greatest(1, count(*)) FROM s WHERE n_alerts > 0)",
     "prompt_rows": f"WITH {_STATE} SELECT home_id, day, count(*) OVER (PARTITION BY home_id, day) AS n_rows, evidence_ref, feature, observed_value AS value, pct_change AS pct, direction, observed_in_window, baseline_comparable FROM payload",
-    "prompts": f"WITH {_STATE} SELECT home_id, day, count(*)::INT AS n_rows, true AS begins FROM payload GROUP BY ALL",
+    "prompts": f"""WITH {_STATE},
+row AS (SELECT home_id, day, place, '{{"evidence_ref":"' || evidence_ref || '","feature":"' || feature || '","value":' || observed_value || ',"pct":' || coalesce(pct_change::VARCHAR, 'null') || ',"direction":' || coalesce('"' || direction || '"', 'null') || ',"observed_in_window":' || observed_in_window || ',"baseline_comparable":' || baseline_comparable || '}}' AS j FROM payload)
+SELECT home_id, day, 'Report the day.' || chr(10) || chr(10) || 'FILLED TEMPLATE:' || chr(10) || '[' || string_agg(j, ',' ORDER BY place) || ']' || chr(10) || chr(10) || 'JSON:' AS prompt FROM row GROUP BY home_id, day""",
     "report_heads": f"WITH {_STATE}, v AS (SELECT home_id, day, bool_or(severity IN ('urgent', 'emergency')) AS severe FROM alerts GROUP BY ALL), n AS (SELECT home_id, day, count(*) AS n FROM ranked GROUP BY ALL) SELECT home_id, day, n || ' features reviewed for ' || strftime(day, '%Y-%m-%d') || '.' AS summary, coalesce(severe, false) AS escalate, CASE WHEN coalesce(severe, false) THEN 'Contact the resident and review recent alerts.' ELSE 'Continue routine monitoring.' END AS recommendation FROM n LEFT JOIN v USING (home_id, day)",
     "agreed_claims": f"WITH {_VERIFIED}, cv AS (SELECT arm, home_id, day, claim_id, claimed_value FROM claims UNION ALL SELECT arm, home_id, day, claim_id, claimed_value FROM corrupted) SELECT arm, home_id, day, claim_id, faithful, faithful AND (substr(claim_id, 2)::INT % 3 = 0 OR (ref_exists AND value_matches AND coalesce(claimed_value, 0) < 500)) AS accepted FROM judged JOIN cv USING (arm, home_id, day, claim_id)",
     "state_sink": f"WITH {ALERTS} SELECT CASE WHEN day >= DATE '2024-01-15' THEN 2 ELSE 1 END AS run, count(*) AS n, 'daily_features' AS \"table\" FROM features GROUP BY 1 UNION ALL SELECT CASE WHEN day >= DATE '2024-01-15' THEN 2 ELSE 1 END, count(*), 'alerts' FROM alerts GROUP BY 1",

@@ -87,3 +87,95 @@ def test_the_control_keeps_lengths_and_loses_identity(spark):
     df = spark.createDataFrame([(i, [float(x) for x in range(8)]) for i in range(50)], "frame long, vector array<double>")
     turned = [r.vector for r in negative_control(df).collect()]
     assert all(sorted(v) == list(map(float, range(8))) for v in turned) and len({tuple(v) for v in turned}) == 8
+
+
+# ---- association and slots, by plain loops ---------------------------------------------------------------------
+
+
+def plain_iou(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+
+def plain_tracks(frames, low=0.10, high=0.35, least=0.3, hits=3, coast=10, ages=(30, 300)):
+    """frames: frame index to a list of (box, confidence); a list of (frame, box, id, confirmed)."""
+    tracks, made, out = [], 0, []
+    for f in range(min(frames), max(frames) + 1):
+        boxes = sorted(frames.get(f, []))
+        given = [None] * len(boxes)
+        for t in tracks:
+            t["age"] += 1
+        for t in sorted(tracks, key=lambda t: (t["hits"] < hits, t["age"], -t["hits"])):
+            best, score = None, least
+            for i, (box, sure) in enumerate(boxes):
+                if given[i] is not None or sure < low:
+                    continue
+                k = max(1, min(t["age"], coast))
+                ahead = [t["box"][j] + t["v"][j % 2] * k for j in range(4)]
+                s = max(plain_iou(t["box"], box), plain_iou(ahead, box))
+                if s > score:
+                    best, score = i, s
+            if best is not None:
+                box = boxes[best][0]
+                t["v"] = [((box[j] + box[j + 2]) - (t["box"][j] + t["box"][j + 2])) / 2 / max(1, t["age"]) for j in range(2)]
+                t.update(box=box, hits=t["hits"] + 1, age=0)
+                given[best] = t["id"]
+        for i, (box, sure) in enumerate(boxes):
+            if given[i] is None and sure >= high:
+                tracks.append({"id": made, "box": box, "v": [0.0, 0.0], "hits": 1, "age": 0})
+                given[i] = made
+                made += 1
+        tracks = [t for t in tracks if t["age"] <= ages[t["hits"] >= hits]]
+        sure_ids = {t["id"] for t in tracks if t["age"] == 0 and t["hits"] >= hits}
+        out += [(f, box, given[i], given[i] in sure_ids) for i, (box, _) in enumerate(boxes) if given[i] is not None]
+    return out
+
+
+def test_tracks_equal_a_plain_loop(spark):
+    from dayweave.operators.tracks import tracked
+
+    rng = np.random.default_rng(12)
+    clips = {}
+    for clip in range(4):
+        frames = {}
+        for person in range(3):
+            speed = rng.normal(0, 3)
+            for f in range(80):
+                if rng.random() < 0.75 and not 30 + 5 * person <= f < 48:
+                    x = 120.0 * person + speed * f
+                    box = np.round(np.array([x, 20.0, x + 60, 160.0]) + rng.normal(0, 2, 4), 3)
+                    frames.setdefault(f, []).append((tuple(box.tolist()), float(rng.choice([0.05, 0.2, 0.8]))))
+        clips[clip] = frames
+    rows = [(c, f, *box, sure) for c in clips for f in clips[c] for box, sure in clips[c][f]]
+    df = spark.createDataFrame(rows, "clip long, frame_idx long, x1 double, y1 double, x2 double, y2 double, confidence double").repartition(3)
+    got = sorted((r.clip, r.frame_idx, (r.x1, r.y1, r.x2, r.y2), r.track_id, r.confirmed) for r in tracked(df, ["clip"]).collect())
+    want = sorted((c, f, box, i, sure) for c in clips for f, box, i, sure in plain_tracks(clips[c]))
+    assert got == want and len({(c, i) for c, _, _, i, _ in got}) > 12
+
+
+def test_slots_equal_a_plain_loop(spark):
+    from dayweave.operators.tracks import slots
+
+    rng = np.random.default_rng(7)
+    rows = [(c, f, round(float(rng.uniform(1, 9)), 3), float(rng.choice([10, 60, 200]) + rng.normal(0, 2)), float(rng.normal(50, 3)), float(rng.choice([2.0, 12.0]))) for c in range(3) for f in range(40) for _ in range(rng.integers(0, 4))]
+    kind = "clip long, frame_idx long, area double, cx double, cy double, diagonal double"
+    got = sorted((r.clip, r.frame_idx, r.area, r.slot) for r in slots(spark.createDataFrame(rows, kind).repartition(4), ["clip"]).collect())
+    want = []
+    for c in range(3):
+        held = {}
+        for f in sorted({r[1] for r in rows if r[0] == c}):
+            boxes = sorted((r for r in rows if r[:2] == (c, f)), key=lambda r: (-r[2], r[3], r[4]))[:2]
+            pairs = sorted((np.hypot(b[3] - held[s][0], b[4] - held[s][1]), i, s) for i, b in enumerate(boxes) for s in held)
+            slot = {}
+            for d, i, s in pairs:
+                if d <= 3 * boxes[i][5] and i not in slot and s not in slot.values():
+                    slot[i] = s
+            for i in range(len(boxes)):
+                if i not in slot:
+                    free = [s for s in (0, 1) if s not in slot.values()]
+                    slot[i] = min(free, key=lambda s: (s in held, s))
+            held = {slot[i]: (b[3], b[4]) for i, b in enumerate(boxes)}
+            want += [(c, f, b[2], slot[i]) for i, b in enumerate(boxes)]
+    assert got == sorted(want) and {g[3] for g in got} == {0, 1}
