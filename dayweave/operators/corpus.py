@@ -98,14 +98,15 @@ def layout_verdict(votes: DataFrame, assumed: str = "by_axis", least_decisive: i
 
 def archive_check(frames: DataFrame, votes: DataFrame, least_coverage: float = 0.6, key: str = "clip") -> DataFrame:
     """One row per source of frames (source, clip, present, flat): files, frames, share without a pose, deciles of coverage, files under
-    the gate, uprightness of seen frames, layout winners and the median margin."""
+    the gate, uprightness of seen frames, layout winners and the median margin. Exact medians and deciles keep a count for each distinct value, so
+    values are taken to six decimals, which bounds what a source holds."""
     seen = F.when(F.col("present"), F.coalesce(upright(F.col("flat")), F.lit(False)).cast("double"))
     f = frames.groupBy("source", key).agg(F.count("*").alias("frames"), F.count_if(~F.col("present")).alias("missing"), F.round(F.avg(seen), 3).alias("upright"))
     f = f.join(votes.select(key, "winner", "margin"), key, "left").withColumn("coverage", 1 - F.col("missing") / F.col("frames"))
     s = f.groupBy("source").agg(
-        F.count("*").alias("n_files"), F.sum("frames").alias("total_frames"), F.round(F.sum("missing") / F.sum("frames"), 5).alias("missing_share"), F.percentile("coverage", F.array(*[F.lit(q / 10) for q in range(11)])).alias("_q"),
+        F.count("*").alias("n_files"), F.sum("frames").alias("total_frames"), F.round(F.sum("missing") / F.sum("frames"), 5).alias("missing_share"), F.percentile(F.round("coverage", 6), F.array(*[F.lit(q / 10) for q in range(11)])).alias("_q"),
         F.count_if(F.col("coverage") < least_coverage).alias("n_dropped"), F.round(F.median("upright"), 3).alias("upright_median"), F.min("upright").alias("upright_min"),
-        F.count_if(F.col("winner") == "by_axis").alias("won_by_axis"), F.count_if(F.col("winner") == "by_joint").alias("won_by_joint"), F.round(F.median("margin"), 3).alias("margin_median"),
+        F.count_if(F.col("winner") == "by_axis").alias("won_by_axis"), F.count_if(F.col("winner") == "by_joint").alias("won_by_joint"), F.round(F.median(F.round("margin", 6)), 3).alias("margin_median"),
     )
     return s.withColumn("coverage_deciles", F.array_join(F.transform("_q", lambda q: F.format_number(q, 3)), " ")).drop("_q")
 
@@ -244,7 +245,8 @@ def validated(rows: DataFrame, faults: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def timeline(segments: DataFrame, keys: list[str], falls: tuple[int, ...] = (7, 8)) -> DataFrame:
-    """One row per track: its segments in order (offsets in seconds from the first of the group), how many, how many of falls."""
+    """One row per group and track: its segments in order (offsets in seconds from the first of the group), how many, how many of falls.
+    A row holds all of a track's segments in its group, so let the keys name a day or a clip."""
     first = segments.groupBy(*keys).agg(F.min("start_us").alias("_base"))
     at = lambda c: F.round((F.col(c) - F.col("_base")) / 1_000_000, 2)
     row = F.struct(at("start_us").alias("t0"), at("end_us").alias("t1"), F.col("activity_id").alias("label"), "room", F.round("confidence", 3).alias("confidence"))

@@ -124,38 +124,59 @@ def assert_subject(segments: DataFrame, track_spans: DataFrame, keys: list[str],
 # ---- recurrences: one clip or track in order of frames --------------------------------------------------------
 
 
-def vote(observed: list[str], window: int = 15, least: int = 5, margin: int = 3) -> list[tuple[str, float]]:
-    """Role and confidence after each vote: the leader of the last votes, if it has enough and, against an incumbent, a margin."""
-    role, sure, out = UNKNOWN, 0.0, []
-    for i in range(len(observed)):
-        recent = observed[max(0, i + 1 - window) : i + 1]
+class Vote:
+    """A running vote with hysteresis: the leader of the last votes, if it has enough and, against an incumbent, a margin."""
+
+    def __init__(self, window: int = 15, least: int = 5, margin: int = 3):
+        self.window, self.least, self.margin = window, least, margin
+        self.recent: list[str] = []
+        self.role, self.sure = UNKNOWN, 0.0
+
+    def take(self, observed: str) -> tuple[str, float]:
+        """Role and confidence after one more vote."""
+        self.recent = [*self.recent, observed][-self.window :]
         tally: dict[str, int] = {}
-        for r in recent:
+        for r in self.recent:
             if r != UNKNOWN:
                 tally[r] = tally.get(r, 0) + 1
         best = max(tally.values(), default=0)
-        if best < least:
-            role, sure = UNKNOWN, 0.0
+        if best < self.least:
+            self.role, self.sure = UNKNOWN, 0.0
         else:
             leader = next(r for r in tally if tally[r] == best)
-            if role in (UNKNOWN, leader) or best - tally.get(role, 0) >= margin:
-                role, sure = leader, min(1.0, best / len(recent))
-        out.append((role, sure))
-    return out
+            if self.role in (UNKNOWN, leader) or best - tally.get(self.role, 0) >= self.margin:
+                self.role, self.sure = leader, min(1.0, best / len(self.recent))
+        return self.role, self.sure
+
+
+def vote(observed: list[str], window: int = 15, least: int = 5, margin: int = 3) -> list[tuple[str, float]]:
+    """Role and confidence after each vote."""
+    running = Vote(window, least, margin)
+    return [running.take(o) for o in observed]
 
 
 def voted_roles(rows: DataFrame, keys: list[str], observed: str = "observed_role", window: int = 15, least: int = 5, margin: int = 3) -> DataFrame:
-    """rows with role and role_confidence by windowed vote with hysteresis, per track in order of frames. Rows of one track are a group."""
+    """rows with role and role_confidence by windowed vote with hysteresis, per track in order of frames.
+
+    Rows are sorted by track and frame; the votes of the last window and the role go along from batch to batch, so a track may last for ever.
+    """
     cols = [c for c in rows.columns if c not in ("role", "role_confidence")]
     r = rows.select(*cols).withColumn(observed, F.coalesce(observed, F.lit(UNKNOWN)))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema) + ", role string, role_confidence double"
+    at = [r.columns.index(k) for k in keys]
+    what = r.columns.index(observed)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx", kind="stable")
-        votes = vote(pdf[observed].tolist(), window, least, margin)
-        return pdf.assign(role=[v[0] for v in votes], role_confidence=[v[1] for v in votes])
+    def run(batches):
+        track = running = None
+        for rb in batches:
+            found = []
+            for *key, seen in zip(*(rb.column(i).to_pylist() for i in at), rb.column(what).to_pylist(), strict=True):
+                if running is None or key != track:
+                    track, running = key, Vote(window, least, margin)
+                found.append(running.take(seen))
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*rb.schema.names, "role", "role_confidence"])
 
-    return r.groupBy(*keys).applyInPandas(run, kind)
+    return r.repartition(*keys).sortWithinPartitions(*keys, "frame_idx").mapInArrow(run, kind)
 
 
 class Tracker:

@@ -171,8 +171,8 @@ def q_segment_faults(s, d):
 
 
 def q_timeline(s, d):
-    t = C.timeline(domain.segments(s, d), ["home_id"])
-    return t.select("home_id", "track_id", "n_segments", "fall_segments", F.element_at("segments", 1)["t0"].alias("first"), F.aggregate("segments", F.lit(0).cast("long"), lambda a, x: a + F.round((x["t1"] - x["t0"]) * 100).cast("long")).alias("centiseconds"))
+    t = C.timeline(domain.segments(s, d), ["home_id", "day"])
+    return t.select("home_id", "day", "track_id", "n_segments", "fall_segments", F.element_at("segments", 1)["t0"].alias("first"), F.aggregate("segments", F.lit(0).cast("long"), lambda a, x: a + F.round((x["t1"] - x["t0"]) * 100).cast("long")).alias("centiseconds"))
 
 
 def q_segment_wire(s, d):
@@ -294,7 +294,7 @@ SELECT split, images, ids, q[1] AS least, q[least(ids - 1, floor(ids * 0.1)::INT
 f AS (SELECT x2 <= x1 AS box, c > 1 AS c, unknown AND confidence > 0.5 AS r, joints AS k FROM o)
 SELECT * FROM (SELECT 'degenerate box' AS reason, count(*) FILTER (WHERE box) AS n FROM f UNION ALL SELECT 'confidence', count(*) FILTER (WHERE c) FROM f UNION ALL SELECT 'unknown role with confidence', count(*) FILTER (WHERE r) FROM f UNION ALL SELECT 'keypoints', count(*) FILTER (WHERE k) FROM f UNION ALL SELECT 'valid', count(*) FILTER (WHERE NOT (box OR c OR r OR k)) FROM f) WHERE n > 0 OR reason = 'valid'""",
     "segment_faults": f"WITH {SEGMENTS} SELECT segment_id, array_to_string(list_filter([CASE WHEN segment_id % 19 = 0 THEN 'activity_id' END, CASE WHEN segment_id % 11 = 0 THEN 'end before start' END], lambda x: x IS NOT NULL), ',') AS reasons FROM segments WHERE segment_id % 19 = 0 OR segment_id % 11 = 0",
-    "track_timeline": f"WITH {SEGMENTS}, b AS (SELECT home_id, min(start_us) AS base FROM segments GROUP BY 1) SELECT home_id, track_id, count(*) AS n_segments, count(*) FILTER (WHERE activity_id IN (7, 8)) AS fall_segments, round((min(start_us) - any_value(base)) / 1000000, 2) AS first, sum(round((round((end_us - base) / 1000000, 2) - round((start_us - base) / 1000000, 2)) * 100)::BIGINT)::BIGINT AS centiseconds FROM segments JOIN b USING (home_id) GROUP BY ALL",
+    "track_timeline": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL) SELECT home_id, day, track_id, count(*) AS n_segments, count(*) FILTER (WHERE activity_id IN (7, 8)) AS fall_segments, round((min(start_us) - any_value(base)) / 1000000, 2) AS first, sum(round((round((end_us - base) / 1000000, 2) - round((start_us - base) / 1000000, 2)) * 100)::BIGINT)::BIGINT AS centiseconds FROM segments JOIN b USING (home_id, day) GROUP BY ALL",
     "segment_wire": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL), t AS (SELECT s.home_id, s.day, track_id, activity_name, activity_id, round((start_us - base) / 1000000, 2) AS t0, round((end_us - base) / 1000000, 2) AS t1 FROM segments s JOIN b USING (home_id, day)), n AS (SELECT *, CASE WHEN activity_id = 3 OR t1 <= t0 THEN t0 + 0.001 ELSE t1 END AS e FROM t) SELECT home_id, day, activity_name, count(*) AS n, sum(round(e * 1000000)::BIGINT - round(t0 * 1000000)::BIGINT)::BIGINT AS micros, count(DISTINCT track_id) AS tracks FROM n GROUP BY ALL",
     "segment_order": f"WITH {SEGMENTS} SELECT segment_id, row_number() OVER (PARTITION BY home_id, day ORDER BY start_us, track_id, segment_id) AS place FROM segments",
     "top_classes": f"WITH {_VAL}, p AS (SELECT window_id, unnest(joint) AS z, generate_subscripts(joint, 1) AS i FROM val), q AS (SELECT window_id, i, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p, row_number() OVER (PARTITION BY window_id ORDER BY z DESC, i) AS r FROM p WINDOW w AS (PARTITION BY window_id)) SELECT window_id, string_agg(({_NAMES})[i], ',' ORDER BY r) AS names, round(max(p), 4) AS share FROM q WHERE r <= 3 GROUP BY window_id",
