@@ -23,8 +23,9 @@ def evidence_index(scored: DataFrame, alerts: DataFrame, subject: str = "home_id
     cited = alerts.select(subject, "day", F.explode("evidence").alias("e")).select(subject, "day", F.lit(0).alias("source"), "e.feature", "e.observed", "e.baseline_median", "e.robust_z", "e.pct_change", "e.delta", F.col("e.baseline_n_days").cast("int").alias("baseline_n_days"))
     b = long_baselines(scored, subject)
     own = b.select(subject, "day", F.lit(1).alias("source"), "feature", F.col("value").alias("observed"), F.col("median").alias("baseline_median"), F.col("z").alias("robust_z"), pct_change(F.col("value"), F.col("median")).alias("pct_change"), (F.col("value") - F.col("median")).alias("delta"), F.col("n_days").cast("int").alias("baseline_n_days"))
-    rank = Window.partitionBy(subject, "day", "feature").orderBy("source", "baseline_n_days")
-    rows = cited.unionByName(own).withColumn("_r", F.row_number().over(rank)).filter("_r = 1").drop("_r")
+    both = cited.unionByName(own)
+    rest = F.struct(*[c for c in both.columns if c not in (subject, "day", "feature")])
+    rows = both.groupBy(subject, "day", "feature").agg(F.min_by(rest, F.struct("source", "baseline_n_days")).alias("_e")).select(subject, "day", "feature", "_e.*")
     return rows.withColumn("ref", make_ref(F.col("feature"), F.col("day"))).withColumn("source", F.when(F.col("source") == 0, "alert").otherwise("feature"))
 
 

@@ -55,14 +55,14 @@ def supervised(rows: DataFrame, specs: DataFrame, n_classes: int, tag: str = "ta
 
     specs: tag, classes (array of int); one row per corpus, a small dimension table.
     """
-    j = rows.join(F.broadcast(specs.select(F.col(tag).alias("_tag"), "classes")), F.col(tag) == F.col("_tag"), "left")
+    j = rows.join(specs.select(F.col(tag).alias("_tag"), "classes"), F.col(tag) == F.col("_tag"), "left")
     known = F.when(F.col("_tag").isNull(), F.raise_error(F.concat(F.lit("no spec for corpus "), F.coalesce(F.col(tag), F.lit("null")))).cast("array<int>")).otherwise(F.col("classes"))
     return j.withColumn("_c", known).withColumn("allowed", F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda c: F.array_contains("_c", c))).drop("_tag", "_c", "classes")
 
 
 def supervised_classes(fine: DataFrame, fine_map: DataFrame, n_coarse: int) -> DataFrame:
     """class, taught: every coarse class, and whether some fine class that occurs maps to it."""
-    taught = fine.select("class").distinct().join(F.broadcast(fine_map), "class").select(F.col("coarse").cast("long").alias("coarse")).distinct()
+    taught = fine.select("class").distinct().join(fine_map, "class").select(F.col("coarse").cast("long").alias("coarse")).distinct()
     every = fine.sparkSession.range(n_coarse)
     return every.join(taught, every.id == taught.coarse, "left").select(F.col("id").alias("class"), F.col("coarse").isNotNull().alias("taught"))
 

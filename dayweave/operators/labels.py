@@ -30,13 +30,13 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[s
 
 def mapped(rows: DataFrame, label_map: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose label the map (on, class, drop) knows and does not drop."""
-    return rows.join(F.broadcast(label_map), on, "inner").filter(~F.col("drop")).drop("drop")  # a map is a small dimension table
+    return rows.join(label_map, on, "inner").filter(~F.col("drop")).drop("drop")
 
 
 def best_covering(windows: DataFrame, actions: DataFrame, label_map: DataFrame, key: str, least: float, default: str, bucket: float) -> DataFrame:
     """windows (key, window_id, w_start, w_end) with class: of the mapped actions covering at least `least`, the one covering most, the
     first (by action_id) of equals; windows won by a dropped label go, windows won by none get the default."""
-    known = actions.join(F.broadcast(label_map), "label", "inner")
+    known = actions.join(label_map, "label", "inner")
     j = interval_join(windows, known, [key], ("w_start", "w_end"), ("a_start", "a_end"), bucket)
     cover = F.least("w_end", "a_end") - F.greatest("w_start", "a_start")
     best = j.withColumn("cover", cover).filter(F.col("cover") >= least).groupBy(key, "window_id").agg(F.max_by(F.struct("class", "drop"), F.struct(F.col("cover").alias("c"), (-F.col("action_id")).alias("o"))).alias("b"))
@@ -105,7 +105,7 @@ def cross_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def to_coarse(steps: DataFrame, fine_map: DataFrame, keys: list[str]) -> DataFrame:
     """Fine labels to coarse ones: a coarse class holds where any of its members does; a fine class without a map fails the job."""
-    j = steps.join(F.broadcast(fine_map), "class", "left")  # a dimension table
+    j = steps.join(fine_map, "class", "left")
     checked = F.when(F.col("coarse").isNull(), F.raise_error(F.concat(F.lit("no coarse class for "), F.col("class").cast("string"))).cast("int")).otherwise(F.col("coarse"))
     return j.select(*keys, checked.alias("coarse")).distinct()
 
