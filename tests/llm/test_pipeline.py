@@ -29,7 +29,7 @@ def test_pipeline_equals_a_plain_chain(spark, tmp_path):
     docs = {i: t for i, t in docs.items() if i not in rejected}
 
     ids = sorted(docs)
-    shortened = {d: t for d, _, _, t in brute_passages([docs[i] for i in ids], ids)}
+    shortened = {d: t for d, _, _, _, t in brute_passages([docs[i] for i in ids], ids)}
     assert any(shortened[i] != docs[i] for i in ids)
 
     fps = {i: brute_fingerprint(t) for i, t in shortened.items()}

@@ -292,12 +292,13 @@ def brute_passages(texts, ids):
                 begin = i + 1
             if len(re.findall(r"[^\x20\x09-\x0D]+", ls[i])) >= lines.LONG_LINE:
                 units.append((d, i, [ls[i]]))
-    seen, gone = set(), {d: set() for d in ids}
+    seen, gone, chunked = set(), {d: set() for d in ids}, {d: set() for d in ids}
     for d, k, chunk in sorted(units, key=lambda u: u[:2]):
         if (len(chunk), "\n".join(chunk)) in seen:
             gone[d] |= set(range(k, k + len(chunk)))
+            chunked[d] |= set(range(k, k + len(chunk))) if len(chunk) > 1 else set()
         seen.add((len(chunk), "\n".join(chunk)))
-    return [(d, len(t.split("\n")) if t is not None else 0, len(gone[d]), t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])) for d, t in zip(ids, texts)]
+    return [(d, len(t.split("\n")) if t is not None else 0, len(gone[d]), len(gone[d] - chunked[d]), t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])) for d, t in zip(ids, texts)]
 
 
 def test_passages_equal_brute_force(spark):
@@ -306,7 +307,7 @@ def test_passages_equal_brute_force(spark):
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))) for _ in range(150)] + ["", None, "\n\n\n", "one", "x\n" * 3000, "a\r\nb\r\na\r\nb"]
     ids = list(range(len(texts)))
     df = docs_df(spark, texts, ids)
-    out = lines.without_repeated_passages(df.withColumn("k", F.lit(1)).withColumn("n_lines", F.lit("mine"))).select("doc_id", "n_lines", "n_removed_lines", "text")
+    out = lines.without_repeated_passages(df.withColumn("k", F.lit(1)).withColumn("n_lines", F.lit("mine"))).select("doc_id", "n_lines", "n_removed_lines", "n_removed_long_lines", "text")
     want = brute_passages(texts, ids)
     assert sorted(map(tuple, out.collect())) == want
     documents = df.toPandas()  # noqa: F841  the SQL's table
