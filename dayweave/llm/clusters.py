@@ -214,7 +214,8 @@ def clustered(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     named = T.StructType([*out_kind.fields, T.StructField("cluster_inertia", T.LongType()), T.StructField("inertia", T.LongType()), T.StructField("centroid_sha256", T.StringType())])
     if not points:
         return spark.createDataFrame([], named)
-    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-df.count() * dims * 4 // BUCKET_BYTES)))
+    size = df.count() * dims * 4
+    buckets = min(MOST_BUCKETS, max(1, min(spark.sparkContext.defaultParallelism, size >> 20), -(-size // BUCKET_BYTES)))  # a small table makes no use of a large cluster
     id_arrow = _arrow(kind)
     packed_arrow = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_arrow)), ("width", pa.int32()), ("x", pa.binary())])
     packed_kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("width", T.IntegerType()), T.StructField("x", T.BinaryType())])
