@@ -135,6 +135,8 @@ class NpzReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(self.schema)
+        root = located(self.uri)[1].rstrip("/") + "/"
+        shown = part.uri.removeprefix(root) if part.uri.startswith(root) else part.uri.rpartition("/")[2]
         with Archive(self.within(part.uri)) as a:
             there = [n for n in self.names if n in a.members]
             if not there:
@@ -148,7 +150,7 @@ class NpzReader(DataSourceReader):
             walks = {n: a.rows(n, part.first, last, step) for n in there}
             for at in range(part.first, last, step):
                 n = min(step, last - at)
-                columns = {"archive": pa.array([part.uri.rpartition("/")[2]] * n), "row": pa.array(range(at, at + n), pa.int64())}
+                columns = {"archive": pa.array([shown] * n), "row": pa.array(range(at, at + n), pa.int64())}
                 for name, walk in walks.items():
                     columns[name] = _column(next(walk), schema.field(name).type)
                     columns[f"{name}_shape"] = pa.array([list(heads[name].shape[1:])] * n, pa.list_(pa.int32()))
@@ -165,7 +167,8 @@ def archives(uri: str) -> list:
 
 
 class NpzSource(DataSource):
-    """Options: path, arrays (names, comma-separated), partBytes. Columns: archive, row, each array (arrays of more than one dimension flat,
+    """Options: path, arrays (names, comma-separated), partBytes. Columns: archive (its
+    path below the one given, or its name), row, each array (arrays of more than one dimension flat,
     with <name>_shape); an array that an archive lacks is null there. Types are those of the first archive that has the array."""
 
     @classmethod

@@ -62,7 +62,11 @@ class LinesWriter(DataSourceArrowWriter):
         where.create_dir(root, recursive=True)
         with where.open_output_stream(f"{root}/{MANIFEST}.new") as out:
             out.write(json.dumps({"n_rows": sum(f["n_rows"] for f in held), "n_bytes": sum(f["n_bytes"] for f in held), "files": held}).encode())
-        where.move(f"{root}/{MANIFEST}.new", f"{root}/{MANIFEST}")
+        try:
+            where.move(f"{root}/{MANIFEST}.new", f"{root}/{MANIFEST}")
+        except OSError:  # some file systems don't move over a file
+            where.delete_file(f"{root}/{MANIFEST}")
+            where.move(f"{root}/{MANIFEST}.new", f"{root}/{MANIFEST}")
         self._clear(where, root)
 
     def abort(self, messages: list[Written | None]) -> None:
