@@ -233,6 +233,16 @@ def segment_faults(n_classes: int = 22) -> Column:
     ))
 
 
+def shard_faults(n_classes: int, subjects: Column) -> Column:
+    """Reasons why a shard row (label, subject, actions: array of class, start, end) doesn't belong to a corpus of n_classes whose subjects
+    are known."""
+    outside = lambda c: ~F.coalesce(c.between(0, n_classes - 1), F.lit(False))
+    return F.array_compact(F.array(
+        F.when(outside(F.col("label")), "label out of range"), F.when(~F.coalesce(F.array_contains(subjects, F.col("subject")), F.lit(False)), "unknown subject"),
+        F.when(F.exists("actions", lambda a: outside(F.get(a, 0))), "class out of range"), F.when(F.exists("actions", lambda a: F.get(a, 2) < F.get(a, 1)), "end before start"),
+    ))
+
+
 def alert_faults() -> Column:
     """Reasons why an alert is not valid: no evidence, or evidence whose reference doesn't name a feature and a day."""
     return F.array_compact(F.array(F.when(F.coalesce(F.size("evidence"), F.lit(0)) < 1, "no evidence"), F.when(F.exists("evidence", lambda e: ~F.coalesce(e["ref"].rlike(r"^feat:[a-z0-9_]+:\d{4}-\d{2}-\d{2}$"), F.lit(False))), "evidence reference")))

@@ -335,6 +335,12 @@ def enrolment_candidates(rows: DataFrame, keys: list[str], most: int = 8) -> Dat
     return r.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("quality"), "frame_idx"))).filter(F.col("_n") <= most).drop("_n")
 
 
+def sampled(value: Column, fps: float, hz: float = 1.0, order: str = "frame_idx") -> Column:
+    """value on the frames that a schedule of hz looks at (every round(fps / hz) of them, at least each), null on the others; carried()
+    holds a sample until the next one."""
+    return F.when(F.col(order) % max(1, round(fps / hz)) == 0, value)
+
+
 def carried(rows: DataFrame, keys: list[str], value: str, order: str = "frame_idx") -> DataFrame:
     """rows with value filled from the last row that had one: a sample is held until the next."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -11,10 +11,12 @@ from dayweave.functions.arrays import softmax
 from dayweave.operators import corpus as C
 from dayweave.operators import decode as D
 from dayweave.operators import reports as R
-from dayweave.plans.behaviour_sql import SEGMENTS
+from dayweave.plans.behaviour import q_alerts
+from dayweave.plans.behaviour_sql import ALERTS, SEGMENTS
 from dayweave.plans.evaluation import _VAL, crops, val_logits
 from dayweave.plans.observations import _OBS, observations, skeletons
 from dayweave.sources import annotations, domain, sinks
+from dayweave.sources.shared import staged
 
 TAGS = {"trimmed": [0, 1, 2, 3, 4], "untrimmed": [0, 2, 4, 6, 8], "falls": [5, 6, 7, 8, 9]}
 PARENTS = [0, 0, 0, 1, 2, 0, 0, 5, 6, 7, 8, 5, 6, 11, 12, 13, 14]
@@ -170,6 +172,23 @@ def q_segment_faults(s, d):
     return C.validated(g, C.segment_faults())[1].select("segment_id", F.array_join("reject_reasons", ",").alias("reasons"))
 
 
+def q_shard_faults(s, d):
+    """Clips as shard rows, some with a label, a subject or a class that doesn't belong, or an end before its start."""
+    g = domain.segments(s, d).filter("segment_id is not null")
+    bad = lambda n: F.col("segment_id") % n == 0
+    action = F.array(F.when(bad(17), F.lit(25)).otherwise(F.col("activity_id")).cast("long"), F.when(bad(19), F.lit(9)).otherwise(F.lit(2)).cast("long"), F.lit(5).cast("long"))
+    rows = g.select("segment_id", F.when(bad(11), F.lit(-1)).otherwise(F.col("activity_id")).alias("label"), F.when(bad(13), F.lit(99).cast("long")).otherwise(F.col("home_id")).alias("subject"), F.array(action).alias("actions"))
+    return C.validated(rows, C.shard_faults(22, F.array(*[F.lit(k).cast("long") for k in range(10)])))[1].select("segment_id", F.array_join("reject_reasons", ",").alias("reasons"))
+
+
+def q_alert_faults(s, d):
+    """Alerts, some of which lost their evidence and some whose evidence names no day."""
+    a = staged(q_alerts(s, d).select("alert_id", "home_id", "day"), "alerts")
+    ref = F.concat(F.lit("feat:walking_duration_s:"), F.when(F.dayofmonth("day") % 5 == 0, F.lit("yesterday")).otherwise(F.date_format("day", "yyyy-MM-dd")))
+    evidence = F.when(F.col("home_id") % 4 == 0, F.array().cast("array<struct<ref: string>>")).otherwise(F.array(F.struct(ref.alias("ref"))))
+    return C.validated(a.withColumn("evidence", evidence), C.alert_faults())[1].groupBy("home_id", F.array_join("reject_reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
 def q_timeline(s, d):
     t = C.timeline(domain.segments(s, d), ["home_id", "day"])
     return t.select("home_id", "day", "track_id", "n_segments", "fall_segments", F.element_at("segments", 1)["t0"].alias("first"), F.aggregate("segments", F.lit(0).cast("long"), lambda a, x: a + F.round((x["t1"] - x["t0"]) * 100).cast("long")).alias("centiseconds"))
@@ -220,7 +239,7 @@ def q_annotation_gaps(s, d):
 QUERIES = {
     "protocol_counts": q_protocols, "stray_subjects": q_stray, "remapped_subjects": q_remapped, "remap_coverage": q_remap_coverage, "masked_loss": q_masked_loss, "supervised_classes": q_supervised_classes, "layout_votes": q_layout_votes,
     "layout_verdict": q_layout_verdict, "pose_archive_check": q_archive_check, "backend_summary": q_backends, "skeleton_windows": q_skeleton_windows, "built_clips": q_clips, "pixel_scale": q_pixel_scale, "resampled_frames": q_resampled,
-    "shard_audit": q_shard_audit, "shards_written": q_shards_written, "dataset_profile": q_dataset_profile, "path_classes": q_paths, "class_ids": q_class_ids, "observation_faults": q_observation_faults, "segment_faults": q_segment_faults,
+    "shard_audit": q_shard_audit, "shards_written": q_shards_written, "dataset_profile": q_dataset_profile, "path_classes": q_paths, "class_ids": q_class_ids, "observation_faults": q_observation_faults, "segment_faults": q_segment_faults, "shard_faults": q_shard_faults, "alert_faults": q_alert_faults,
     "track_timeline": q_timeline, "segment_wire": q_segment_wire, "segment_order": q_segment_order, "top_classes": q_top_classes, "label_audit": q_label_audit, "annotation_gaps": q_annotation_gaps,
 }
 
@@ -293,6 +312,8 @@ SELECT split, images, ids, q[1] AS least, q[least(ids - 1, floor(ids * 0.1)::INT
     "observation_faults": f"""WITH {_OBS}, o AS (SELECT x1, CASE WHEN segment_id % 11 = 0 THEN x1 ELSE x2 END AS x2, confidence, CASE WHEN segment_id % 13 = 0 THEN confidence + 1.01 ELSE confidence END AS c, segment_id % 5 = 2 AS unknown, segment_id % 5 > 0 AND segment_id % 17 = 0 AS joints FROM obs),
 f AS (SELECT x2 <= x1 AS box, c > 1 AS c, unknown AND confidence > 0.5 AS r, joints AS k FROM o)
 SELECT * FROM (SELECT 'degenerate box' AS reason, count(*) FILTER (WHERE box) AS n FROM f UNION ALL SELECT 'confidence', count(*) FILTER (WHERE c) FROM f UNION ALL SELECT 'unknown role with confidence', count(*) FILTER (WHERE r) FROM f UNION ALL SELECT 'keypoints', count(*) FILTER (WHERE k) FROM f UNION ALL SELECT 'valid', count(*) FILTER (WHERE NOT (box OR c OR r OR k)) FROM f) WHERE n > 0 OR reason = 'valid'""",
+    "shard_faults": f"WITH {SEGMENTS}, f AS (SELECT segment_id, array_to_string(list_filter([CASE WHEN segment_id % 11 = 0 OR activity_id > 21 THEN 'label out of range' END, CASE WHEN segment_id % 13 = 0 THEN 'unknown subject' END, CASE WHEN segment_id % 17 = 0 OR activity_id > 21 THEN 'class out of range' END, CASE WHEN segment_id % 19 = 0 THEN 'end before start' END], lambda x: x IS NOT NULL), ',') AS reasons FROM segments) SELECT * FROM f WHERE reasons <> ''",
+    "alert_faults": f"WITH {ALERTS}, f AS (SELECT home_id, CASE WHEN home_id % 4 = 0 THEN 'no evidence' WHEN day(day) % 5 = 0 THEN 'evidence reference' END AS reasons FROM alerts) SELECT home_id, reasons, count(*) AS n FROM f WHERE reasons IS NOT NULL GROUP BY ALL",
     "segment_faults": f"WITH {SEGMENTS} SELECT segment_id, array_to_string(list_filter([CASE WHEN segment_id % 19 = 0 THEN 'activity_id' END, CASE WHEN segment_id % 11 = 0 THEN 'end before start' END], lambda x: x IS NOT NULL), ',') AS reasons FROM segments WHERE segment_id % 19 = 0 OR segment_id % 11 = 0",
     "track_timeline": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL) SELECT home_id, day, track_id, count(*) AS n_segments, count(*) FILTER (WHERE activity_id IN (7, 8)) AS fall_segments, round((min(start_us) - any_value(base)) / 1000000, 2) AS first, sum(round((round((end_us - base) / 1000000, 2) - round((start_us - base) / 1000000, 2)) * 100)::BIGINT)::BIGINT AS centiseconds FROM segments JOIN b USING (home_id, day) GROUP BY ALL",
     "segment_wire": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL), t AS (SELECT s.home_id, s.day, track_id, activity_name, activity_id, round((start_us - base) / 1000000, 2) AS t0, round((end_us - base) / 1000000, 2) AS t1 FROM segments s JOIN b USING (home_id, day)), n AS (SELECT *, CASE WHEN activity_id = 3 OR t1 <= t0 THEN t0 + 0.001 ELSE t1 END AS e FROM t) SELECT home_id, day, activity_name, count(*) AS n, sum(round(e * 1000000)::BIGINT - round(t0 * 1000000)::BIGINT)::BIGINT AS micros, count(DISTINCT track_id) AS tracks FROM n GROUP BY ALL",

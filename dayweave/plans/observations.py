@@ -93,7 +93,7 @@ def q_subject(s, d):
 
 
 def q_carried(s, d):
-    o = observations(s, d).withColumn("object", F.when(F.col("frame_idx") % 15 == 0, F.col("room")))
+    o = observations(s, d).withColumn("object", T.sampled(F.col("room"), FPS))
     return T.carried(o, KEYS, "object").select(*KEYS, "frame_idx", "object")
 
 
