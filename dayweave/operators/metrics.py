@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayweave.operators.order import placed
-
 from dayweave.functions.arrays import adjusted, argmax, log_of_mean_probabilities, mean_of
+from dayweave.operators.order import placed
 
 
 def confusion(rows: DataFrame, by: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
@@ -89,14 +91,28 @@ def tau_sweep(rows: DataFrame, logits: str, n_classes: int, taus: list[float], t
 
 def best_temperature(rows: DataFrame, logits: str, y: str = "y", low: int = 25, high: int = 500) -> DataFrame:
     """The temperature of the grid (hundredths from low to high) with the least mean negative log-likelihood, the first of equals."""
-    # The losses of a row at all temperatures are one array, and each place of it a sum of its own: rows are never multiplied.
-    grid = list(range(low, high + 1))
-    rows = rows.select(F.col(y).alias("_y"), F.transform(F.col(logits), lambda x: x - F.array_max(F.col(logits))).alias("_z")).select("_z", F.get("_z", F.col("_y")).alias("_own"))
-    chance = lambda t: F.exp(F.col("_own") / t) / F.aggregate("_z", F.lit(0.0), lambda a, x: a + F.exp(x / t))
-    loss = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda t: F.round(-F.log(F.greatest(chance(t / 100), F.lit(1e-12))), 12))
-    means = rows.select(loss.alias("_l")).agg(*[F.avg(F.get("_l", i)).alias(f"m{t}") for i, t in enumerate(grid)])
-    options = F.array(*[F.struct(F.col(f"m{t}").alias("nll"), F.lit(t).alias("t")) for t in grid])
-    return means.select(F.array_min(options).alias("b")).select((F.col("b.t") / 100).alias("temperature"), "b.nll")
+    grid = np.arange(low, high + 1)
+    # Rows are never multiplied: a task sums the losses of some rows at all temperatures at once and sends one sum for each.
+    known = rows.select(F.col(y).cast("int").alias("y"), F.col(logits).cast("array<double>").alias("z")).filter("y >= 0 and y < size(z) and not exists(z, x -> x is null)")
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(grid)), 0
+        for rb in batches:
+            at, sizes = rb.column(0).to_numpy(), np.diff(rb.column(1).offsets.to_numpy())
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                z = rb.column(1).take(pa.array(own)).flatten().to_numpy().reshape(-1, size)
+                z = z - z.max(1, keepdims=True)
+                for i in range(0, len(own), 256):
+                    some, mine = z[i : i + 256], at[own[i : i + 256]]
+                    whole = np.exp(some[:, :, None] / (grid / 100)).sum(1)
+                    chance = np.exp(some[np.arange(len(some)), mine][:, None] / (grid / 100)) / whole
+                    total += np.round(-np.log(np.maximum(chance, 1e-12)), 12).sum(0)
+            n += len(at)
+        yield pa.RecordBatch.from_pydict({"t": grid, "total": total, "n": np.full(len(grid), n)})
+
+    means = known.mapInArrow(losses, "t long, total double, n long").groupBy("t").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("nll"))
+    return means.groupBy().agg((F.min_by("t", F.struct("nll", "t")) / 100).alias("temperature"), F.min("nll").alias("nll"))
 
 
 def transition_counts(rows: DataFrame, n_classes: int, sequence: str, order: str, y: str = "y", alpha: float = 1.0) -> DataFrame:
