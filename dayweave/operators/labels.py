@@ -73,11 +73,21 @@ def step_labels(spans: DataFrame, videos: DataFrame, key: str, n_steps: str = "n
 
 
 def annotated_windows(steps: DataFrame, windows: DataFrame, key: str, length: int) -> DataFrame:
-    """windows (key, start) with class: at least half of the steps annotated, and one class (the lowest of equals) on half of them."""
-    at = windows.select(key, "start", F.explode(F.sequence(F.col("start"), F.col("start") + length - 1)).alias("step")).join(steps, [key, "step"])
-    seen = at.groupBy(key, "start").agg(F.count_distinct("step").alias("seen"))
-    top = at.groupBy(key, "start", "class").agg(F.count("*").alias("n")).groupBy(key, "start").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("class"), F.max("n").alias("n"))
-    return top.join(seen, [key, "start"]).filter((F.col("seen") >= 0.5 * length) & (F.col("n") >= 0.5 * length)).select(key, "start", "class")
+    """windows (key, start) with class: at least half of the steps annotated, and one class (the lowest of equals) on half of them.
+
+    Windows are never dealt out by step: a stretch of `length` steps is met by the windows that start in it and in the one before, so each
+    step stands in two stretches and each window in one. Both sides are shuffled and merged, as the planner's estimate of exploded
+    windows is that of the few rows they come from, and a broadcast by it would hold them all in the driver.
+    """
+    own = Window.partitionBy(key, "step").orderBy("class")
+    s = steps.select(key, "step", "class", (F.row_number().over(own) == 1).alias("_own"))  # one row a step counts it as seen
+    at = F.floor(F.col("step") / length)
+    s = s.withColumn("_at", F.explode(F.array(at, at - 1)))
+    w = windows.select(key, F.col("start"), F.floor(F.col("start") / length).alias("_at"))
+    met = w.hint("merge").join(s, [key, "_at"]).filter(F.col("step").between(F.col("start"), F.col("start") + length - 1))
+    each = met.groupBy(key, "start", "class").agg(F.count("*").alias("n"), F.count_if("_own").alias("seen"))
+    top = each.groupBy(key, "start").agg(F.max_by("class", F.struct("n", (-F.col("class")).alias("c"))).alias("class"), F.max("n").alias("n"), F.sum("seen").alias("seen"))
+    return top.filter((F.col("seen") >= 0.5 * length) & (F.col("n") >= 0.5 * length)).select(key, "start", "class")
 
 
 def union_length(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
