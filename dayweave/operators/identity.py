@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from dayweave.functions.arrays import dot, let, normalised
+from dayweave.functions.arrays import normalised
 from dayweave.operators.metrics import auroc
 from dayweave.operators.order import placed
 from dayweave.sources.shared import staged
 
-#: Bytes of centroids in one broadcast; a larger gallery is met in several passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of centroids that are compared at once; bytes of probes that one task holds.
+BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 32 << 20
+#: Cells of one block of products, and how far products in another order of summing may lie from those in order.
+CELLS, CLOSE = 1 << 20, 1e-9
 
 
 def open_set_split(crops: DataFrame, n_enrolled: int, n_impostor_ids: int, enrol_per_id: int = 4, max_genuine: int = 10, max_impostor: int = 4, seed: str = "0") -> DataFrame:
@@ -60,38 +67,163 @@ def centroids(crops: DataFrame, vector: str = "vector") -> DataFrame:
     return x.groupBy("pid").agg(F.max("n").alias("n_updates"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("pid", "n_updates", normalised(F.transform("v", lambda s: s["x"])).alias("centroid"))
 
 
-def nearest_two(probes: DataFrame, gallery: DataFrame, vector: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def nearest_two(probes: DataFrame, gallery: DataFrame, vector: str = "vector", block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """probes with best (cosine distance), who and gap (to the second best; infinite in a gallery of one). Ties go to the smaller id.
 
-    Probes stay where they are: a block of the gallery is one broadcast row, and each probe folds its best two through it. A gallery of
-    more than block_bytes is dealt into blocks by hash, one pass each, which takes on the best two so far; passes are written out, so
-    that one block is in memory at a time. An empty gallery leaves best and who null.
+    Probes are dealt to chunks by hash, of about chunk_bytes at most, and the gallery is sent to every chunk. A task takes in its chunk
+    of probes and lets the gallery, which comes in order of ids, pass by in blocks of block_bytes: nothing is written between blocks, no
+    task holds more than a chunk and a block, nothing goes through the driver. A block's matrix product tells which centroids may enter
+    a probe's best two; those are summed again in order of positions. All pairs are compared, which is quadratic by nature. An empty
+    gallery leaves best and who null; a vector of another length or with nulls has null distances, all the same.
     """
-    size, wide = gallery.agg(F.count("*"), F.max(F.size("centroid"))).first()
-    n_blocks = max(1, -(-size * (24 + 8 * max(0, wide or 0)) // block_bytes))
-    packed = gallery.groupBy(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)).alias("_b")).agg(F.collect_list(F.struct("pid", "centroid")).alias("_g"))
+    spark = probes.sparkSession
+    g = staged(gallery.select("pid", F.col("centroid").cast("array<double>").alias("centroid")), "gallery")
+    size, wide = probes.agg(F.count("*"), F.max(F.size(vector))).first()
+    cores, held = spark.sparkContext.defaultParallelism, size * (64 + 16 * max(0, wide or 0))
+    n = max(1, -(-held // chunk_bytes), min(cores, size // 256))
+    row = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
     pid = gallery.schema["pid"].dataType.simpleString()
-    pair, none = f"struct<d: double, pid: {pid}>", F.lit(None)
-    kind = f"struct<one: {pair}, two: {pair}>"
-
-    def keep(t, g):
-        mine = F.struct((1 - dot(F.col("_v"), g["centroid"])).alias("d"), g["pid"].alias("pid")).cast(pair)
-        first = lambda m: F.when(t["one"].isNull() | (m < t["one"]), F.struct(m.alias("one"), t["one"].alias("two")))
-        return let(mine, lambda m: first(m).when(t["two"].isNull() | (m < t["two"]), F.struct(t["one"].alias("one"), m.alias("two"))).otherwise(t)).cast(kind)
-
-    met = probes.withColumn("_v", normalised(F.col(vector))).withColumn("_t", F.struct(none.cast(pair).alias("one"), none.cast(pair).alias("two")).cast(kind))
-    for b in range(n_blocks):
-        met = met.join(F.broadcast(packed.filter(F.col("_b") == b).select("_g")), how="left")  # one row
-        met = met.withColumn("_t", F.aggregate(F.coalesce("_g", F.array().cast(packed.schema["_g"].dataType)), F.col("_t"), keep)).drop("_g")
-        met = met if b + 1 == n_blocks else staged(met, "nearest")
-    one, two = F.col("_t.one"), F.col("_t.two")
-    return met.select(*probes.columns, one["d"].alias("best"), one["pid"].alias("who"), F.coalesce(two["d"] - one["d"], F.lit(float("inf"))).alias("gap"))
+    p = probes.select(F.pmod(F.xxhash64(F.struct(*probes.columns)), F.lit(n)).cast("int").alias("_c"), F.lit(0).alias("_k"), F.lit(None).cast(pid).alias("_pid"), F.col(vector).cast("array<double>").alias("_v"), row.alias("_row"))
+    every = g.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_c"), F.lit(1).alias("_k"), F.col("pid").alias("_pid"), F.col("centroid").alias("_v"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"))
+    rows = p.unionByName(every).repartitionById(n, "_c").sortWithinPartitions("_c", "_k", "_pid")
+    found = F.struct(F.lit(0.0).alias("best"), F.lit(None).cast(pid).alias("who"), F.lit(0.0).alias("gap"))
+    out = probes.limit(0).select(row.alias("_row"), found.alias("_t")).select("_row.*", "_t.*").schema
+    for f in out.fields:
+        f.nullable = True
+    arrow, per_block = to_arrow_schema(out), lambda width: max(1, block_bytes // (24 + 8 * width))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = at = None
+        for rb in batches:
+            keys = np.stack([rb.column(0).to_numpy(zero_copy_only=False), rb.column(1).to_numpy(zero_copy_only=False)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)] if len(keys) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part, (c, k) = rb.slice(lo, hi - lo), keys[lo]
+                if c != at:
+                    if chunk:
+                        yield from chunk.rows(arrow)
+                    chunk, at = _Chunk(), c
+                if k == 0:
+                    chunk.take(part.column(4), part.column(3))
+                else:
+                    chunk.meet(part.column(2), part.column(3), per_block)
+        if chunk:
+            yield from chunk.rows(arrow)
+
+    return rows.mapInArrow(meet, out)
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise dot products, summed in order of positions."""
+    s = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        s += a[:, i] * b[:, i]
+    return s
+
+
+def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as a matrix, and which of its rows had `width` numbers; the other rows are zero."""
+    sizes = np.diff(column.offsets.to_numpy())
+    values, starts = column.values, column.offsets.to_numpy()[:-1]
+    numbers, absent = values.to_numpy(zero_copy_only=False).astype(float), values.is_null().to_numpy(zero_copy_only=False)
+    fits = (sizes == width) & ~column.is_null().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), width))
+    if width:
+        place = starts[fits][:, None] + np.arange(width)
+        out[fits] = numbers[place]
+        fits[fits] = ~absent[place].any(1)
+    return out, fits
+
+
+class _Chunk:
+    """Probes of one chunk and the best two of each so far."""
+
+    def __init__(self):
+        self.parts, self.columns, self.v = [], [], None
+
+    def take(self, rows: pa.Array, vectors: pa.Array) -> None:
+        self.parts.append(rows)
+        self.columns.append(vectors)
+
+    def _start(self, width: int) -> None:
+        found = [_vectors(c, width) for c in self.columns]
+        self.columns = []
+        self.v, self.fits = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        with np.errstate(all="ignore"):
+            self.v /= np.maximum(np.sqrt(_summed(self.v, self.v)), 1e-12)[:, None]
+        self.sure = self.fits & np.isfinite(self.v).all(1)
+        self.d, self.who = np.full((len(self.v), 2), np.inf), np.full((len(self.v), 2), -1)
+        self.n, self.pids = 0, []
+
+    def meet(self, pids: pa.Array, centroids: pa.Array, per_block) -> None:
+        if not self.parts:
+            return
+        if self.v is None:
+            widths = np.diff(centroids.offsets.to_numpy())
+            self._start(int(widths[0]) if len(widths) else 0)
+        g, fits = _vectors(centroids, self.v.shape[1])
+        ok = fits & np.isfinite(g).all(1)
+        self.pids.append(pids)
+        step = per_block(g.shape[1])
+        for lo in range(0, len(g), step):
+            cols = np.flatnonzero(ok[lo : lo + step]) + lo
+            for first in range(0, len(cols), 1 << 10):
+                some = cols[first : first + (1 << 10)]
+                tall = max(1, CELLS // len(some))
+                for top in range(0, len(self.v), tall):
+                    self._block(np.flatnonzero(self.sure[top : top + tall]) + top, g[some], self.n + some)
+        self.n += len(g)
+
+    def _block(self, mine: np.ndarray, g: np.ndarray, places: np.ndarray) -> None:
+        if not len(mine):
+            return
+        v = self.v[mine]
+        near = 1 - v @ g.T
+        bound = self.d[mine, 1]
+        if len(g) > 1 and np.isinf(bound).any():
+            bound = np.minimum(bound, np.partition(near, 1, axis=1)[:, 1])
+        r, c = np.nonzero(near <= (bound + CLOSE)[:, None])
+        if not len(r):
+            return
+        touched, r = np.unique(r, return_inverse=True)
+        rows = mine[touched]
+        # The best two so far stand before the block's, whose ids are greater.
+        row = np.concatenate([np.arange(len(rows)), np.arange(len(rows)), r])
+        d = np.concatenate([self.d[rows, 0], self.d[rows, 1], 1 - _summed(v[touched[r]], g[c])])
+        who = np.concatenate([self.who[rows, 0], self.who[rows, 1], places[c]])
+        order = np.lexsort((np.where(who < 0, np.iinfo(np.int64).max, who), d, row))
+        first = np.searchsorted(row[order], np.arange(len(rows)))
+        for k in range(2):
+            self.d[rows, k], self.who[rows, k] = d[order[first + k]], who[order[first + k]]
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        if self.v is None:  # an empty gallery
+            self._start(0)
+            best, who, gap = (np.full(len(self.v), np.nan) for _ in range(3))
+            known, gap[:] = np.zeros(len(self.v), bool), np.inf
+            taken = pa.nulls(len(self.v), schema.field("who").type)
+        else:
+            best, gap = self.d[:, 0].copy(), np.full(len(self.v), np.inf)
+            two = self.who[:, 1] >= 0
+            gap[two] = self.d[two, 1] - self.d[two, 0]
+            none = self.who[:, 0] < 0
+            best[none], known = np.nan, self.fits
+            gap[none & self.fits & (self.n > 1)] = np.nan
+            taken = pa.concat_arrays(self.pids).take(pa.array(np.where(none, 0, self.who[:, 0])))
+        at = 0
+        for part in self.parts:
+            s = slice(at, at + len(part))
+            at += len(part)
+            found = [pa.array(best[s], pa.float64(), mask=~known[s]), taken[s], pa.array(gap[s], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*part.flatten(), *found], names=schema.names)
 
 
 def distances(split: DataFrame, vector: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """pid, frame, part, best, who, gap, correct for genuine and impostor probes of a split."""
     gallery = centroids(split.filter("part = 'enrolment'"), vector)
-    probes = split.filter("part <> 'enrolment'")
+    probes = split.filter("part <> 'enrolment'").select("pid", "frame", "part", vector)
     return nearest_two(probes, gallery, vector, block_bytes).select("pid", "frame", "part", "best", "who", "gap", (F.col("who") == F.col("pid")).alias("correct"))
 
 
@@ -109,8 +241,10 @@ def _rates(d: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def sweep(d: DataFrame, n_points: int = 512) -> DataFrame:
     """k, threshold, far, tar, frr, dir_rank1 for n_points thresholds over the range of distances.
 
-    Each distance falls between two thresholds; the counts there are summed up in order, n_points rows in all.
+    Each distance falls between two thresholds; the counts there are summed up in order, n_points rows in all. The distances are written
+    once, as their ends come first.
     """
+    d = staged(d.select("part", "best", "correct"), "distances")
     ends = d.agg(F.min("best").alias("lo"), F.max("best").alias("hi"))
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))
     ends = ends.select((F.col("lo") - 0.02 * span).alias("t0"), (((F.col("hi") + 0.02 * span) - (F.col("lo") - 0.02 * span)) / (n_points - 1)).alias("dt"))

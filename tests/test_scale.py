@@ -1,11 +1,14 @@
 """What grows with the tables: windows that no broadcast holds, galleries met in one pass, trackers over many boxes."""
 
+import math
+import os
 import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from dayweave.operators import labels as L
+from dayweave.operators.identity import nearest_two
 
 
 def plan_of(df):
@@ -28,3 +31,26 @@ def test_annotated_windows_are_merged_and_right(spark):
                     want.add((c, start, best))
         assert {tuple(r) for r in got.collect()} == want
         assert "BroadcastHashJoin" not in plan_of(got)
+
+
+def test_galleries_pass_by_without_writing_probes(spark):
+    rng = random.Random(5)
+    unit = lambda v: [x / math.hypot(*v) for x in v]
+    gallery = [(i, unit([rng.gauss(0, 1) for _ in range(4)])) for i in range(60)]
+    gallery += [(i + 100, v) for i, v in gallery[:30]]  # copies: ties go to the smaller id
+    probes = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(900)]
+    g = spark.createDataFrame(gallery, "pid long, centroid array<double>")
+    p = spark.createDataFrame(probes, "frame long, vector array<double>")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    for chunk_bytes, block_bytes in ((2000, 1), (1 << 20, 200), (1 << 25, 1 << 25)):
+        got = {r.frame: r for r in nearest_two(p, g, block_bytes=block_bytes, chunk_bytes=chunk_bytes).collect()}
+        for k, v in probes:
+            d = sorted((1 - sum(a * b for a, b in zip(unit(v), c)), i) for i, c in gallery)
+            best, second = (x for x in d[:2])
+            assert abs(got[k].best - best[0]) < 1e-12 and abs(got[k].gap - (second[0] - best[0])) < 1e-12
+            assert got[k].who == min(i for x, i in d if x - best[0] < 1e-12)
+    assert len(set(os.listdir(folder)) - before) == 3  # the gallery of each call
+    odd = spark.createDataFrame([(0, None), (1, [1.0, 0.0]), (2, [1.0, None, 0.0, 0.0]), (3, [float("nan"), 0.0, 0.0, 0.0]), (4, [0.0] * 4)], "frame long, vector array<double>")
+    got = {r.frame: r for r in nearest_two(odd, g).collect()}
+    assert all(got[k].best is None and got[k].who == 0 for k in range(3)) and math.isnan(got[3].best) and got[4].best == 1 and got[4].who == 0
