@@ -187,13 +187,41 @@ class Tracker:
         self.tracks: list[dict] = []
         self.next_id = 0
 
+    def _pairs(self, wanted: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in wanted and boxes of all pairs that overlap from left to right: boxes are in order of x1, and of those that begin
+        before the wanted one ends, those count that begin at most the widest box's width before it."""
+        order = np.argsort(boxes[:, 0], kind="stable")
+        x1 = boxes[order, 0]
+        widest = max(float((boxes[:, 2] - boxes[:, 0]).max()), 0.0)
+        # The subtraction may round: a hair more is looked at, the overlap itself decides.
+        lo = np.searchsorted(x1, wanted[:, 0] - widest - 1e-6 * (np.abs(wanted[:, 0]) + widest), "left")
+        n = np.maximum(np.searchsorted(x1, wanted[:, 2], "left") - lo, 0)
+        a = np.repeat(np.arange(len(wanted)), n)
+        return a, order[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + lo[a]]
+
     @staticmethod
-    def _iou(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-        w = np.minimum(box[2], boxes[:, 2]) - np.maximum(box[0], boxes[:, 0])
-        h = np.minimum(box[3], boxes[:, 3]) - np.maximum(box[1], boxes[:, 1])
-        area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of boxes row by row."""
+        w = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+        h = np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+        area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         met = w * h
-        return np.where((w <= 0) | (h <= 0), 0.0, met / np.maximum(area(box) + area(boxes) - met, 1e-12))
+        return np.where((w <= 0) | (h <= 0), 0.0, met / np.maximum(area(a) + area(b) - met, 1e-12))
+
+    def _scores(self, tracks: list[dict], boxes: np.ndarray) -> dict[int, list[tuple[float, int]]]:
+        """Of each track (by place) the boxes that it overlaps enough, where it was or where it would be by now, the best first and the
+        first of equals. Only boxes that overlap at all are compared."""
+        was = np.array([t["box"] for t in tracks])
+        ahead = was + np.tile(np.array([t["velocity"] for t in tracks]), 2) * np.array([max(1, min(t["age"], self.coast)) for t in tracks])[:, None]
+        found = [(a, b, self._iou(w[a], boxes[b])) for w in (was, ahead) for a, b in (self._pairs(w, boxes),)]
+        a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        kept = score > self.least_iou
+        a, b, score = a[kept], b[kept], score[kept]
+        order = np.lexsort((b, -score, a))
+        out: dict[int, list[tuple[float, int]]] = {}
+        for i, s, j in zip(a[order].tolist(), score[order].tolist(), b[order].tolist(), strict=True):
+            out.setdefault(i, []).append((s, j))
+        return out
 
     def step(self, boxes: np.ndarray, confidence: np.ndarray) -> np.ndarray:
         """Track id of each box of the next frame, -1 for none; ids count although their track may not be confirmed yet."""
@@ -201,16 +229,23 @@ class Tracker:
         free = confidence >= self.low
         for t in self.tracks:
             t["age"] += 1
-        for t in sorted(self.tracks, key=lambda t: (t["hits"] < self.min_hits, t["age"], -t["hits"])):
-            if not free.any():
-                break
-            ahead = t["box"] + np.tile(t["velocity"], 2) * max(1, min(t["age"], self.coast))
-            score = np.where(free, np.maximum(self._iou(t["box"], boxes), self._iou(ahead, boxes)), -1)
-            j = int(score.argmax())
-            if score[j] > self.least_iou:
-                moved = (boxes[j, :2] + boxes[j, 2:] - t["box"][:2] - t["box"][2:]) / 2
-                t.update(velocity=moved / max(1, t["age"]), box=boxes[j], hits=t["hits"] + 1, age=0)
-                out[j], free[j] = t["id"], False
+        if self.tracks and free.any():
+            tracks = sorted(self.tracks, key=lambda t: (t["hits"] < self.min_hits, t["age"], -t["hits"]))
+            usable = np.flatnonzero(free)
+            near = self._scores(tracks, boxes[usable])
+            taken, pairs = [False] * len(usable), []
+            for i in range(len(tracks)):
+                j = next((j for _, j in near.get(i, ()) if not taken[j]), None)
+                if j is not None:
+                    taken[j] = True
+                    pairs.append((tracks[i], int(usable[j])))
+            if pairs:
+                met = boxes[[j for _, j in pairs]]
+                was = np.array([t["box"] for t, _ in pairs])
+                moved = (met[:, :2] + met[:, 2:] - was[:, :2] - was[:, 2:]) / 2 / np.array([max(1, t["age"]) for t, _ in pairs])[:, None]
+                for k, (t, j) in enumerate(pairs):
+                    t.update(velocity=moved[k], box=met[k], hits=t["hits"] + 1, age=0)
+                    out[j], free[j] = t["id"], False
         for j in np.flatnonzero(free & (confidence >= self.high)):
             self.tracks.append({"id": self.next_id, "box": boxes[j], "velocity": np.zeros(2), "hits": 1, "age": 0})
             out[j] = self.next_id
@@ -218,6 +253,21 @@ class Tracker:
         self.tracks = [t for t in self.tracks if t["age"] <= self.ages[t["hits"] >= self.min_hits]]
         return out
 
+    def follow(self, frames: np.ndarray, boxes: np.ndarray, confidence: np.ndarray, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Track ids and whether confirmed of boxes in order of frames, after frame `last`; frames without boxes count towards ages."""
+        ids, sure = np.full(len(frames), -1), np.zeros(len(frames), bool)
+        cuts = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)] if len(frames) else [0]
+        none = np.zeros((0, 4)), np.zeros(0)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            frame = int(frames[lo])
+            for _ in range(min(frame - last - 1, self.ages[1] + 1) if last is not None else 0):
+                self.step(*none)
+            last = frame
+            ids[lo:hi] = self.step(boxes[lo:hi], confidence[lo:hi])
+            confirmed = self.confirmed()
+            sure[lo:hi] = [i in confirmed for i in ids[lo:hi].tolist()]
+        return ids, sure
+
     def confirmed(self) -> set[int]:
         return {t["id"] for t in self.tracks if t["age"] == 0 and t["hits"] >= self.min_hits}
 
@@ -230,15 +280,9 @@ def tracked(detections: DataFrame, keys: list[str], **settings) -> DataFrame:
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema) + ", track_id long, confirmed boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, parts, last = Tracker(**settings), [], None
-        for frame, part in pdf.sort_values(["frame_idx", *BOX], kind="stable").groupby("frame_idx", sort=True):
-            for _ in range(min(int(frame - last) - 1, t.ages[1] + 1) if last is not None else 0):
-                t.step(np.zeros((0, 4)), np.zeros(0))
-            last = frame
-            ids = t.step(part[list(BOX)].to_numpy(float), part["confidence"].to_numpy(float))
-            sure = t.confirmed()
-            parts.append(part.assign(track_id=ids, confirmed=[i in sure for i in ids])[ids >= 0])
-        return pd.concat(parts) if parts else pdf.assign(track_id=pd.Series(dtype="int64"), confirmed=pd.Series(dtype="bool"))
+        rows = pdf.sort_values(["frame_idx", *BOX], kind="stable")
+        ids, sure = Tracker(**settings).follow(rows["frame_idx"].to_numpy(), rows[list(BOX)].to_numpy(float), rows["confidence"].to_numpy(float))
+        return rows.assign(track_id=ids, confirmed=sure)[ids >= 0]
 
     return detections.groupBy(*keys).applyInPandas(run, kind)
 

@@ -80,24 +80,20 @@ class CameraTracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         tracker, last = self._load()
         pdf = pd.concat(list(rows)).sort_values(["frame_idx", *BOX], kind="stable")
-        parts = []
-        for frame, part in pdf.groupby("frame_idx", sort=True):
-            if last is not None and frame <= last:
-                continue
-            for _ in range(min(int(frame - last) - 1, tracker.ages[1] + 1) if last is not None else 0):
-                tracker.step(np.zeros((0, 4)), np.zeros(0))
-            last = int(frame)
-            ids = tracker.step(part[list(BOX)].to_numpy(float), part["confidence"].to_numpy(float))
-            sure = tracker.confirmed()
-            parts.append(part.assign(track_id=ids, confirmed=[i in sure for i in ids])[ids >= 0])
+        late = last if last is not None else pdf["frame_idx"].min() - 1
+        part = pdf[pdf["frame_idx"] > late]
+        if len(part):
+            ids, sure = tracker.follow(part["frame_idx"].to_numpy(), part[list(BOX)].to_numpy(float), part["confidence"].to_numpy(float), last)
+            last = int(part["frame_idx"].iloc[-1])
+            part = part.assign(track_id=ids, confirmed=sure)[ids >= 0]
         if last is not None:
             self._save(tracker, last)
         if "row_at_ms" in pdf:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(max(int(pdf["row_at_ms"].max()), timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
-        if parts:
-            yield pd.concat(parts)[[f.split()[0] for f in TRACKED_BOX.split(", ")]]
+        if len(part):
+            yield part[[f.split()[0] for f in TRACKED_BOX.split(", ")]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.camera.clear()

@@ -5,10 +5,12 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from dayweave.operators import labels as L
 from dayweave.operators.identity import nearest_two
+from dayweave.operators.tracks import Tracker
 
 
 def plan_of(df):
@@ -54,3 +56,13 @@ def test_galleries_pass_by_without_writing_probes(spark):
     odd = spark.createDataFrame([(0, None), (1, [1.0, 0.0]), (2, [1.0, None, 0.0, 0.0]), (3, [float("nan"), 0.0, 0.0, 0.0]), (4, [0.0] * 4)], "frame long, vector array<double>")
     got = {r.frame: r for r in nearest_two(odd, g).collect()}
     assert all(got[k].best is None and got[k].who == 0 for k in range(3)) and math.isnan(got[3].best) and got[4].best == 1 and got[4].who == 0
+
+
+def test_trackers_compare_only_boxes_that_may_overlap():
+    x = np.arange(2000) * 100.0
+    boxes = np.stack([x, x * 0, x + 40, x * 0 + 80], 1)
+    t = Tracker()
+    assert t.step(boxes, np.full(2000, 0.9)).tolist() == list(range(2000))
+    met = t._pairs(boxes, boxes + 0.5)
+    assert len(met[0]) <= 2 * len(boxes) and set(zip(*map(list, met), strict=True)) >= {(i, i) for i in range(2000)}
+    assert t.step((boxes + 0.5)[::-1], np.full(2000, 0.9)).tolist() == list(range(2000))[::-1]
