@@ -13,6 +13,8 @@ from dayweave.operators.counted import Counters
 
 BOX = ("x1", "y1", "x2", "y2")
 UNKNOWN = "unknown"
+#: Distances that are the reach itself count as within it, in whatever order its factors round.
+HAIR = 1e-9
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -74,7 +76,7 @@ def reachable(earlier: DataFrame, later: DataFrame, keys: list[str], fps: float,
     mid = lambda c, x, y: (F.col(c)[x] + F.col(c)[y]) / 2
     far = F.hypot(mid("_q", "x1", "x2") - mid("_p", "x1", "x2"), mid("_q", "y1", "y2") - mid("_p", "y1", "y2"))
     tall = F.greatest(F.lit(1.0), F.col("_p")["y2"] - F.col("_p")["y1"])
-    return a.join(b, keys).filter((F.col("_e") < F.col("_s")) & (far <= (pace * gap + slack) * tall)).select(*keys, "a", "b", gap.alias("gap_s"))
+    return a.join(b, keys).filter((F.col("_e") < F.col("_s")) & (far <= (pace * gap + slack) * tall + HAIR)).select(*keys, "a", "b", gap.alias("gap_s"))
 
 
 def heaviest_chain(track_spans: DataFrame, keys: list[str], fps: float, pace: float = 1.5, slack: float = 1.0) -> DataFrame:
@@ -93,7 +95,7 @@ def heaviest_chain(track_spans: DataFrame, keys: list[str], fps: float, pace: fl
         total, back = weight.astype(float).copy(), np.full(len(pdf), -1)
         for i in range(len(pdf)):
             gap = (first[i] - last[:i]) / fps
-            ok = (last[:i] < first[i]) & (np.hypot(*(centre(begin[i : i + 1]) - centre(end[:i])).T) <= (pace * gap + slack) * tall[:i])
+            ok = (last[:i] < first[i]) & (np.hypot(*(centre(begin[i : i + 1]) - centre(end[:i])).T) <= (pace * gap + slack) * tall[:i] + HAIR)
             if ok.any():
                 gain = np.where(ok, total[:i], -np.inf)
                 j = int(gain.argmax())

@@ -278,7 +278,7 @@ def _chains(source: str) -> str:
 chain AS (
   SELECT clip, i, n AS total, [i] AS way FROM seq
   UNION ALL
-  SELECT q.clip, q.i, c.total + q.n, list_concat(c.way, [q.i]) FROM chain c JOIN seq p ON p.clip = c.clip AND p.i = c.i JOIN seq q ON q.clip = p.clip AND p.z < q.a AND abs((q.fx1 + q.fx2) / 2 - (p.lx1 + p.lx2) / 2) <= (1.5 * (q.a - p.z) / 15 + 1) * (p.y2 - 50) AND abs(q.y2 - p.y2) < 1e9),
+  SELECT q.clip, q.i, c.total + q.n, list_concat(c.way, [q.i]) FROM chain c JOIN seq p ON p.clip = c.clip AND p.i = c.i JOIN seq q ON q.clip = p.clip AND p.z < q.a AND abs((q.fx1 + q.fx2) / 2 - (p.lx1 + p.lx2) / 2) <= (1.5 * (q.a - p.z) / 15 + 1) * (p.y2 - 50) + 1e-9 AND abs(q.y2 - p.y2) < 1e9),
 best AS (SELECT clip, arg_min(way, (-total, list_reverse(way))) AS way FROM chain GROUP BY clip),
 picked AS (SELECT b.clip, s.t FROM (SELECT clip, unnest(way) AS i FROM best) b JOIN seq s ON s.clip = b.clip AND s.i = b.i)"""
 
@@ -330,7 +330,7 @@ chosen AS (SELECT p.clip, p.t, 'asserted_disjoint_track_chain' AS why FROM picke
 SELECT r.home_id, r.party, r.span, r.t AS track_id, CASE WHEN c.why IS NOT NULL THEN 'resident' ELSE r.role END AS role, coalesce((SELECT any_value(why) FROM chosen x WHERE x.clip = r.clip), 'reid_matched') AS provenance
 FROM (SELECT DISTINCT clip, home_id, party, span, t, role FROM o) r LEFT JOIN chosen c ON c.clip = r.clip AND c.t = r.t""",
     "skeleton_streams": f"WITH {_SK_NORM} SELECT vec_id, round(s_n.v, 4) AS normalised, round(s_r.v, 4) AS resampled, round(s_b.v, 4) AS bones, round(s_m.v, 4) AS motion, round(s_n.v, 4) AS mirrored, visible::INT AS visible, visible >= 8 AS usable, round(CASE WHEN whole AND sqrt((sx - hx) ** 2 + (sy - hy) ** 2) >= 1e-6 THEN abs(sy - hy) / sqrt((sx - hx) ** 2 + (sy - hy) ** 2) END, 6) AS upright, round(CASE WHEN visible >= 2 AND x2 - x1 >= 2 AND y2 - y1 >= 2 THEN x1 - 0.12 * (x2 - x1) END, 4) AS box_x1 FROM s_n JOIN s_r USING (vec_id) JOIN s_b USING (vec_id) JOIN s_m USING (vec_id) JOIN body USING (vec_id) WHERE t = 0",
-    "reachable_fragments": f"WITH {_FRAG} SELECT p.clip, p.t AS a, q.t AS b, round((q.a - p.z) / 15, 6) AS gap_s FROM frag p JOIN frag q ON p.clip = q.clip AND p.z < q.a AND abs((q.fx1 + q.fx2) / 2 - (p.lx1 + p.lx2) / 2) <= (1.5 * (q.a - p.z) / 15 + 1) * (p.y2 - 50)",
+    "reachable_fragments": f"WITH {_FRAG} SELECT p.clip, p.t AS a, q.t AS b, round((q.a - p.z) / 15, 6) AS gap_s FROM frag p JOIN frag q ON p.clip = q.clip AND p.z < q.a AND abs((q.fx1 + q.fx2) / 2 - (p.lx1 + p.lx2) / 2) <= (1.5 * (q.a - p.z) / 15 + 1) * (p.y2 - 50) + 1e-9",
     "carried_objects": f"WITH {_OBS} SELECT home_id, track_id, frame_idx, last_value(CASE WHEN frame_idx % 15 = 0 THEN room END IGNORE NULLS) OVER (PARTITION BY home_id, track_id ORDER BY frame_idx) AS object FROM obs",
     "embedding_schedule": f"WITH {_OBS}, n AS (SELECT home_id, track_id, row_number() OVER (PARTITION BY home_id, track_id ORDER BY frame_idx) AS n FROM obs) SELECT home_id, track_id, count(*) FILTER (WHERE n <= 5 OR (n - 5) % 15 = 0) AS n_due FROM n GROUP BY ALL",
     "enrolment_candidates": f"WITH {_OBS}, q AS (SELECT home_id, track_id, frame_idx, confidence * sqrt((x2 - x1) * (y2 - y1)) AS quality FROM obs) SELECT home_id, track_id, frame_idx, round(quality, 6) AS quality FROM q QUALIFY row_number() OVER (PARTITION BY home_id, track_id ORDER BY quality DESC, frame_idx) <= 8",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from dayweave.operators import labels as L
 from dayweave.operators.identity import nearest_two
+from dayweave.operators import tracks as T
+from dayweave.operators.features import seconds
 from dayweave.operators.tracks import Tracker
 
 
@@ -66,3 +68,28 @@ def test_trackers_compare_only_boxes_that_may_overlap():
     met = t._pairs(boxes, boxes + 0.5)
     assert len(met[0]) <= 2 * len(boxes) and set(zip(*map(list, met), strict=True)) >= {(i, i) for i in range(2000)}
     assert t.step((boxes + 0.5)[::-1], np.full(2000, 0.9)).tolist() == list(range(2000))[::-1]
+
+
+def test_fragments_at_the_reach_itself_are_within_it(spark):
+    # Eleven frames at 15 a second and a pace of 1.5 reach 2.1 heights: 168 for a box 80 tall.
+    box = "struct<x1: double, y1: double, x2: double, y2: double>"
+    rows = [(1, t, a, z, (x, 50.0, x + 40, 130.0), (x, 50.0, x + 40, 130.0), n) for t, a, z, x, n in ((0, 0, 39, 0.0, 40), (1, 50, 89, 168.0, 40), (2, 50, 89, 168.5, 41))]
+    f = spark.createDataFrame(rows, f"clip long, track_id long, first_frame long, last_frame long, first_box {box}, last_box {box}, n_frames long")
+    assert {(r.a, r.b) for r in T.reachable(f, f, ["clip"], 15.0).collect()} == {(0, 1)}
+    assert {r.track_id for r in T.heaviest_chain(f, ["clip"], 15.0).collect()} == {0, 1}
+
+
+def test_durations_add_up_alike_in_any_order(spark):
+    rng = random.Random(2)
+    d = [round(rng.uniform(1, 600), 2) for _ in range(3000)]
+    sums = [spark.createDataFrame([(x,) for x in order], "d double").coalesce(1).agg(seconds(F.col("d")).alias("s")).first().s for order in (d, sorted(d), sorted(d, reverse=True))]
+    assert sums == [sum(round(x * 100) for x in d) / 100] * 3
+
+
+def test_sql_of_long_ids_and_half_centiseconds():
+    from dayweave.plans.annotation import ORACLES as A
+    from dayweave.plans.corpus import ORACLES as C
+
+    assert "greatest(4, length(clip::VARCHAR))" in A["parsed_names"]
+    for name in ("track_timeline", "segment_wire"):
+        assert "+ 5000) // 10000) / 100" in C[name] and "/ 1000000, 2)" not in C[name]
