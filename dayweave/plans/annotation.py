@@ -331,7 +331,7 @@ SELECT clip, "start", CASE WHEN lo IS NOT NULL THEN CASE WHEN lo <= 0 AND hi <=
     "annotation_agreement": f"WITH {_AGREE} SELECT clip, n_steps, cells_differing, round(agreement, 9) AS agreement FROM agree",
     "agreement_summary": f"WITH {_AGREE} SELECT count(*) AS compared, round(avg(agreement), 9) AS mean_agreement, round(min(agreement), 9) AS least_agreement, count(*) FILTER (WHERE agreement < 0.999) AS below FROM agree",
     "keyword_classes": f"WITH {SEGMENTS}, t AS (SELECT activity_name AS label, lower('Someone is ' || replace(activity_name, '_', ' ')) AS text FROM segments), k AS (SELECT label, text, {_keyword_sql('text')} AS rule FROM t) SELECT label, regexp_replace(text, '[^a-z0-9]+', '_', 'g') AS slug, CASE WHEN rule < 0 THEN 'other_idle' ELSE ({[n or '' for _, n in L.KEYWORDS]})[rule + 1] END AS class, rule >= 0 AND ({[n is None for _, n in L.KEYWORDS]})[rule + 1] AS dropped, count(*) AS n FROM k GROUP BY ALL",
-    "parsed_names": f"WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id AS clip FROM segments) SELECT clip, CASE WHEN clip % 5 <> 0 THEN (clip % 90)::INT END AS subject, CASE WHEN clip % 5 <> 0 THEN (clip % 7)::INT END AS take, CASE WHEN clip % 5 <> 0 THEN (clip % 3)::INT END AS camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN lpad(clip::VARCHAR, 4, '0') END AS pid, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN 'c' || clip % 15 END AS crop_camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN (clip % 33)::INT END AS frame FROM v",
+    "parsed_names": f"WITH {SEGMENTS}, v AS (SELECT DISTINCT track_id AS clip FROM segments) SELECT clip, CASE WHEN clip % 5 <> 0 THEN (clip % 90)::INT END AS subject, CASE WHEN clip % 5 <> 0 THEN (clip % 7)::INT END AS take, CASE WHEN clip % 5 <> 0 THEN (clip % 3)::INT END AS camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN lpad(clip::VARCHAR, greatest(4, length(clip::VARCHAR))::INT, '0') END AS pid, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN 'c' || clip % 15 END AS crop_camera, CASE WHEN clip % 4 <> 0 AND clip <> 0 THEN (clip % 33)::INT END AS frame FROM v",
     "number_preservation": rf"SELECT a.conv_id, a.turn, len({_TOKENS('a.text')})::INT AS n_numbers, {_TOKENS('a.text')} = {_TOKENS('b.text')} AS same_numbers FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
     # By the kind of change: what the rule says of it, for any figures.
     "translation_faults": """WITH t AS (SELECT l_orderkey, l_linenumber, (l_linenumber + l_orderkey) % 9 AS kind, l_extendedprice::DECIMAL(12,2) >= 1000 AS grouped FROM lineitem),
