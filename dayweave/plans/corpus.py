@@ -315,8 +315,8 @@ SELECT * FROM (SELECT 'degenerate box' AS reason, count(*) FILTER (WHERE box) AS
     "shard_faults": f"WITH {SEGMENTS}, f AS (SELECT segment_id, array_to_string(list_filter([CASE WHEN segment_id % 11 = 0 OR activity_id > 21 THEN 'label out of range' END, CASE WHEN segment_id % 13 = 0 THEN 'unknown subject' END, CASE WHEN segment_id % 17 = 0 OR activity_id > 21 THEN 'class out of range' END, CASE WHEN segment_id % 19 = 0 THEN 'end before start' END], lambda x: x IS NOT NULL), ',') AS reasons FROM segments) SELECT * FROM f WHERE reasons <> ''",
     "alert_faults": f"WITH {ALERTS}, f AS (SELECT home_id, CASE WHEN home_id % 4 = 0 THEN 'no evidence' WHEN day(day) % 5 = 0 THEN 'evidence reference' END AS reasons FROM alerts) SELECT home_id, reasons, count(*) AS n FROM f WHERE reasons IS NOT NULL GROUP BY ALL",
     "segment_faults": f"WITH {SEGMENTS} SELECT segment_id, array_to_string(list_filter([CASE WHEN segment_id % 19 = 0 THEN 'activity_id' END, CASE WHEN segment_id % 11 = 0 THEN 'end before start' END], lambda x: x IS NOT NULL), ',') AS reasons FROM segments WHERE segment_id % 19 = 0 OR segment_id % 11 = 0",
-    "track_timeline": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL) SELECT home_id, day, track_id, count(*) AS n_segments, count(*) FILTER (WHERE activity_id IN (7, 8)) AS fall_segments, round((min(start_us) - any_value(base)) / 1000000, 2) AS first, sum(round((round((end_us - base) / 1000000, 2) - round((start_us - base) / 1000000, 2)) * 100)::BIGINT)::BIGINT AS centiseconds FROM segments JOIN b USING (home_id, day) GROUP BY ALL",
-    "segment_wire": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL), t AS (SELECT s.home_id, s.day, track_id, activity_name, activity_id, round((start_us - base) / 1000000, 2) AS t0, round((end_us - base) / 1000000, 2) AS t1 FROM segments s JOIN b USING (home_id, day)), n AS (SELECT *, CASE WHEN activity_id = 3 OR t1 <= t0 THEN t0 + 0.001 ELSE t1 END AS e FROM t) SELECT home_id, day, activity_name, count(*) AS n, sum(round(e * 1000000)::BIGINT - round(t0 * 1000000)::BIGINT)::BIGINT AS micros, count(DISTINCT track_id) AS tracks FROM n GROUP BY ALL",
+    "track_timeline": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL) SELECT home_id, day, track_id, count(*) AS n_segments, count(*) FILTER (WHERE activity_id IN (7, 8)) AS fall_segments, ((min(start_us) - any_value(base) + 5000) // 10000) / 100 AS first, sum(round((((end_us - base + 5000) // 10000) / 100 - ((start_us - base + 5000) // 10000) / 100) * 100)::BIGINT)::BIGINT AS centiseconds FROM segments JOIN b USING (home_id, day) GROUP BY ALL",
+    "segment_wire": f"WITH {SEGMENTS}, b AS (SELECT home_id, day, min(start_us) AS base FROM segments GROUP BY ALL), t AS (SELECT s.home_id, s.day, track_id, activity_name, activity_id, ((start_us - base + 5000) // 10000) / 100 AS t0, ((end_us - base + 5000) // 10000) / 100 AS t1 FROM segments s JOIN b USING (home_id, day)), n AS (SELECT *, CASE WHEN activity_id = 3 OR t1 <= t0 THEN t0 + 0.001 ELSE t1 END AS e FROM t) SELECT home_id, day, activity_name, count(*) AS n, sum(round(e * 1000000)::BIGINT - round(t0 * 1000000)::BIGINT)::BIGINT AS micros, count(DISTINCT track_id) AS tracks FROM n GROUP BY ALL",
     "segment_order": f"WITH {SEGMENTS} SELECT segment_id, row_number() OVER (PARTITION BY home_id, day ORDER BY start_us, track_id, segment_id) AS place FROM segments",
     "top_classes": f"WITH {_VAL}, p AS (SELECT window_id, unnest(joint) AS z, generate_subscripts(joint, 1) AS i FROM val), q AS (SELECT window_id, i, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p, row_number() OVER (PARTITION BY window_id ORDER BY z DESC, i) AS r FROM p WINDOW w AS (PARTITION BY window_id)) SELECT window_id, string_agg(({_NAMES})[i], ',' ORDER BY r) AS names, round(max(p), 4) AS share FROM q WHERE r <= 3 GROUP BY window_id",
     "label_audit": f"WITH {_ANN}, c AS (SELECT class, sum(z - a)::BIGINT AS frames, count(*) AS instances FROM vid GROUP BY class), t AS (SELECT *, frames / sum(frames) OVER () AS share, max(frames) OVER () / greatest(frames, 1) AS imbalance FROM c) SELECT (class // 5)::INT AS coarse, count(*) AS classes, sum(frames)::BIGINT AS frames, sum(instances)::BIGINT AS instances, round(sum(share), 6) AS share, round(max(imbalance), 6) AS imbalance FROM t GROUP BY 1",
