@@ -10,6 +10,11 @@ from dayweave.config import SEDENTARY, Thresholds
 KEYS = ("home_id", "day")
 
 
+def seconds(duration: Column) -> Column:
+    """The sum of durations, in whole microseconds while it is summed: the same in whatever order, so that halves round alike."""
+    return F.sum(F.round(duration * 1_000_000).cast("long")) / 1_000_000
+
+
 def mobility_index() -> Column:
     return 0.4 * F.col("walking_duration_s") / 60 + 0.3 * F.col("sit_to_stand_count") + 0.3 * F.col("room_transitions")
 
@@ -46,11 +51,11 @@ def daily_features(segments: DataFrame, days: DataFrame, config: Thresholds = Th
     """One row per row of days: all features of the day's segments, zero where there are none; mobility_index and sedentary_ratio."""
     t = timeline(segments, config, subject)
     own = F.col("own")
-    took = lambda a: F.coalesce(F.sum(F.when(own & (F.col("activity_name") == a), F.col("duration_s"))), F.lit(0.0))
+    took = lambda a: F.coalesce(seconds(F.when(own & (F.col("activity_name") == a), F.col("duration_s"))), F.lit(0.0))
     times = lambda a: F.count(F.when(own & (F.col("activity_name") == a), 1))
-    mean = lambda a: F.coalesce(F.avg(F.when(own & (F.col("activity_name") == a), F.col("duration_s"))), F.lit(0.0))
+    mean = lambda a: F.coalesce(seconds(F.when(own & (F.col("activity_name") == a), F.col("duration_s"))) / F.count_if(own & (F.col("activity_name") == a) & F.col("duration_s").isNotNull()), F.lit(0.0))
     island = t.groupBy(*KEYS, "own", "island").agg(
-        F.sum(F.when(F.col("still"), F.col("duration_s"))).alias("block_s"),
+        seconds(F.when(F.col("still"), F.col("duration_s"))).alias("block_s"),
         F.sum(F.when(own, F.col("moved").cast("long"))).alias("moves"),
         F.sum(F.when(own, F.col("new_meal").cast("long"))).alias("meals"),
     )

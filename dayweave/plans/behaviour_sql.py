@@ -23,8 +23,12 @@ days AS (
 )"""
 
 
+#: Summed in whole microseconds, the same in whatever order.
+_SECONDS = "sum(round(duration_s * 1000000)::BIGINT)"
+
+
 def _took(name: str) -> str:
-    return f"coalesce(sum(duration_s) FILTER (WHERE own AND activity_name = '{name}'), 0)"
+    return f"coalesce({_SECONDS} FILTER (WHERE own AND activity_name = '{name}') / 1000000, 0)"
 
 
 def _times(name: str) -> str:
@@ -32,7 +36,7 @@ def _times(name: str) -> str:
 
 
 def _mean(name: str) -> str:
-    return f"coalesce(avg(duration_s) FILTER (WHERE own AND activity_name = '{name}'), 0)"
+    return f"coalesce({_SECONDS} FILTER (WHERE own AND activity_name = '{name}') / 1000000 / count(*) FILTER (WHERE own AND activity_name = '{name}'), 0)"
 
 
 FEATURES = f"""{SEGMENTS},
@@ -47,7 +51,7 @@ isle AS (
     l.activity_name = 'eating' AND (m.end_us IS NULL OR l.start_us - m.end_us > {int(T.meal_gap_s * 1e6)}) AS new_meal
   FROM line l LEFT JOIN line m ON m.home_id = l.home_id AND m.day = l.day AND m.own = l.own AND m.rn = l.meal_rn
 ),
-block AS (SELECT home_id, day, max(s) AS longest FROM (SELECT home_id, day, island, sum(duration_s) AS s FROM isle WHERE own AND still GROUP BY ALL) GROUP BY ALL),
+block AS (SELECT home_id, day, max(s) AS longest FROM (SELECT home_id, day, island, {_SECONDS} / 1000000 AS s FROM isle WHERE own AND still GROUP BY ALL) GROUP BY ALL),
 sums AS (
   SELECT home_id, day, {_took('walking')} AS walking_duration_s, {_times('walking')} AS walking_bouts, {_mean('walking')} AS mean_bout_duration_s,
     count(*) FILTER (WHERE own AND room_before <> room) AS room_transitions, {_times('standing_up')} AS sit_to_stand_count, {_mean('standing_up')} AS mean_sit_to_stand_duration_s,
