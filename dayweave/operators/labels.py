@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayweave.sources.shared import staged
 
 #: Buckets that a row of an interval join is dealt to at most.
 MOST_BUCKETS = 256
+#: Spans of both sources that one task compares, about.
+SPANS = 250_000
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], bucket: float) -> DataFrame:
@@ -214,7 +217,7 @@ def crop_name(name: Column, reserved: tuple[str, ...] = ()) -> Column:
     return F.when(kept, F.struct(F.get(parts, 0).alias("pid"), F.get(parts, 1).alias("camera"), frame.alias("frame")))
 
 
-def agreement(a: DataFrame, b: DataFrame, videos: DataFrame, key: str, n_classes: int, most_steps: int = 20_000) -> DataFrame:
+def agreement(a: DataFrame, b: DataFrame, videos: DataFrame, key: str, n_classes: int, most_steps: int = 20_000, spans_a_task: int = SPANS) -> DataFrame:
     """Step-level agreement of two sources of spans (key, class, start, end): key, n_steps, cells_differing and agreement, a row for each
     video of videos (key, duration) that both sources have.
 
@@ -222,24 +225,27 @@ def agreement(a: DataFrame, b: DataFrame, videos: DataFrame, key: str, n_classes
     that lies within one of its spans, bounds included, and a cell is a step of a class. No step is expanded: each span becomes a rise at
     its first step and a fall after its last one, a running sum over the places where anything changes tells which source holds between
     two of them, and the stretches where only one does are added up. Rises and falls at one place are summed before they are ordered.
-    Classes out of range and spans without a step count for nothing; spans that overlap, touch or repeat count once.
+    Classes out of range and spans without a step count for nothing; spans that overlap, touch or repeat count once. Whole clips are dealt
+    to as many tasks as hold about spans_a_task spans each, so there are more tasks, not larger ones, for more spans.
     """
-    both = a.select(key).distinct().join(b.select(key).distinct(), key)
-    clips = videos.join(both, key).withColumn("n_steps", F.least(F.greatest(F.floor("duration").cast("long"), F.lit(1)), F.lit(most_steps).cast("long")))
+    side = lambda spans, own: spans.select(key, "class", "start", "end", F.lit(own).alias("_a"), F.lit(1 - own).alias("_b"))
+    spans = side(a, 1).unionByName(side(b, 0))
+    both = spans.groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.count("*").alias("_spans")).filter("_a = 1 and _b = 1").select(key, "_spans")
+    clips = staged(videos.select(key, "duration").join(both, key), "clips").withColumn("n_steps", F.least(F.greatest(F.floor("duration").cast("long"), F.lit(1)), F.lit(most_steps).cast("long")))
     size = F.col("duration") / F.col("n_steps")
     at = lambda step: step * size
-
-    def edges(spans: DataFrame, name: str, other: str) -> DataFrame:
-        j = spans.join(clips, key).filter(F.col("class").between(0, n_classes - 1))
-        guess_lo, guess_hi = F.ceil(F.col("start") / size).cast("long"), F.floor(F.col("end") / size).cast("long")
-        # Quotients may round across a bound; the products decide.
-        lo = F.when(at(guess_lo - 1) >= F.col("start"), guess_lo - 1).when(at(guess_lo) < F.col("start"), guess_lo + 1).otherwise(guess_lo)
-        hi = F.when(at(guess_hi + 1) <= F.col("end"), guess_hi + 1).when(at(guess_hi) > F.col("end"), guess_hi - 1).otherwise(guess_hi)
-        j = j.select(key, "class", F.greatest(lo, F.lit(0).cast("long")).alias("lo"), F.least(hi, F.col("n_steps") - 1).alias("hi")).filter("lo <= hi")
-        move = lambda place, by: F.struct(place.alias("place"), F.lit(by).alias(name), F.lit(0).alias(other))
-        return j.select(key, "class", F.explode(F.array(move(F.col("lo"), 1), move(F.col("hi") + 1, -1))).alias("e")).select(key, "class", "e.place", f"e.{name}", f"e.{other}")
-
-    moves = edges(a, "_a", "_b").unionByName(edges(b, "_b", "_a")).groupBy(key, "class", "place").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    total, cores = clips.agg(F.sum("_spans")).first()[0] or 0, a.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-total // spans_a_task), min(cores, total // 1000))
+    # A task holds its clips, which are short, and the spans pass by unsorted.
+    j = spans.filter(F.col("class").between(0, n_classes - 1)).repartition(n, key).join(clips.drop("_spans").repartition(n, key).hint("shuffle_hash"), key)
+    guess_lo, guess_hi = F.ceil(F.col("start") / size).cast("long"), F.floor(F.col("end") / size).cast("long")
+    # Quotients may round across a bound; the products decide.
+    lo = F.when(at(guess_lo - 1) >= F.col("start"), guess_lo - 1).when(at(guess_lo) < F.col("start"), guess_lo + 1).otherwise(guess_lo)
+    hi = F.when(at(guess_hi + 1) <= F.col("end"), guess_hi + 1).when(at(guess_hi) > F.col("end"), guess_hi - 1).otherwise(guess_hi)
+    j = j.select(key, "class", "_a", "_b", F.greatest(lo, F.lit(0).cast("long")).alias("lo"), F.least(hi, F.col("n_steps") - 1).alias("hi")).filter("lo <= hi")
+    move = lambda place, by: F.struct(place.alias("place"), (F.col("_a") * by).alias("_a"), (F.col("_b") * by).alias("_b"))
+    moves = j.select(key, "class", F.explode(F.array(move(F.col("lo"), 1), move(F.col("hi") + 1, -1))).alias("e")).select(key, "class", "e.*")
+    moves = moves.groupBy(key, "class", "place").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     w = Window.partitionBy(key, "class").orderBy("place")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     apart = (F.sum("_a").over(so_far) > 0) != (F.sum("_b").over(so_far) > 0)

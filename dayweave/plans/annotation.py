@@ -41,11 +41,11 @@ def videos(s: SparkSession, d: str) -> DataFrame:
     e = domain.segments(s, d)
     first = e.groupBy("track_id").agg(F.min("start_us").alias("t0"))
     at = lambda c: F.floor((F.col(c) - F.col("t0")) / 60_000_000).cast("long")
-    return e.join(first, "track_id").select(F.col("track_id").alias("clip"), F.col("activity_id").cast("long").alias("class"), at("start_us").alias("start"), (at("end_us") + 30).alias("end"), F.col("segment_id"))
+    return e.join(first.hint("shuffle_hash"), "track_id").select(F.col("track_id").alias("clip"), F.col("activity_id").cast("long").alias("class"), at("start_us").alias("start"), (at("end_us") + 30).alias("end"), F.col("segment_id"))
 
 
-def lengths(s: SparkSession, d: str) -> DataFrame:
-    return videos(s, d).groupBy("clip").agg(F.max("end").cast("double").alias("duration")).withColumn("n_steps", F.lit(2000).cast("long"))
+def lengths(s: SparkSession, d: str, v: DataFrame | None = None) -> DataFrame:
+    return (videos(s, d) if v is None else v).groupBy("clip").agg(F.max("end").cast("double").alias("duration")).withColumn("n_steps", F.lit(2000).cast("long"))
 
 
 def q_window_labels(s, d):
@@ -103,24 +103,23 @@ def q_cross_check(s, d):
 
 
 def _sources(s, d):
-    """Two annotation sources: the second lacks some spans, has others split in two, and ends some a few frames early."""
-    v = videos(s, d)
+    """Two annotation sources, and the lengths of their clips: the second source lacks some spans, has others split in two, and ends some a few frames early."""
+    v = staged(videos(s, d), "videos")
     a = v.filter("clip % 10 <> 1").select("clip", "class", "start", "end")
-    b = v.filter("clip % 9 <> 0 and segment_id % 10 <> 0").withColumn("cut", F.when(F.col("segment_id") % 3 == 0, F.col("start") + 12))
-    whole = b.filter("cut is null").select("clip", "class", "start", (F.col("end") - F.when(F.col("segment_id") % 7 == 0, 5).otherwise(0)).alias("end"))
-    parts = b.filter("cut is not null")
-    return a, whole.unionByName(parts.select("clip", "class", "start", F.col("cut").alias("end"))).unionByName(parts.select("clip", "class", F.col("cut").alias("start"), "end"))
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    early, cut = F.col("end") - F.when(F.col("segment_id") % 7 == 0, 5).otherwise(0), F.col("start") + 12
+    parts = F.when(F.col("segment_id") % 3 == 0, F.array(span(F.col("start"), cut), span(cut, F.col("end")))).otherwise(F.array(span(F.col("start"), early)))
+    b = v.filter("clip % 9 <> 0 and segment_id % 10 <> 0").select("clip", "class", F.explode(parts).alias("p")).select("clip", "class", "p.*")
+    return a, b, lengths(s, d, v).select("clip", "duration")
 
 
 def q_agreement(s, d):
-    a, b = _sources(s, d)
-    r = L.agreement(a, b, lengths(s, d).select("clip", "duration"), "clip", 20)
+    r = L.agreement(*_sources(s, d), "clip", 20)
     return r.select("clip", "n_steps", "cells_differing", F.round("agreement", 9).alias("agreement"))
 
 
 def q_agreement_summary(s, d):
-    a, b = _sources(s, d)
-    r = L.agreement_summary(L.agreement(a, b, lengths(s, d).select("clip", "duration"), "clip", 20))
+    r = L.agreement_summary(L.agreement(*_sources(s, d), "clip", 20))
     return r.select("compared", F.round("mean_agreement", 9).alias("mean_agreement"), F.round("least_agreement", 9).alias("least_agreement"), "below")
 
 

@@ -93,3 +93,16 @@ def test_sql_of_long_ids_and_half_centiseconds():
     assert "greatest(4, length(clip::VARCHAR))" in A["parsed_names"]
     for name in ("track_timeline", "segment_wire"):
         assert "+ 5000) // 10000) / 100" in C[name] and "/ 1000000, 2)" not in C[name]
+
+
+def test_agreement_deals_clips_to_tasks_by_their_spans(spark):
+    rows = [(c, c % 3, float(s), s + 3.0) for c in range(40) for s in range(0, 100, 4)]
+    a, b = (spark.createDataFrame(r, "clip long, class int, start double, end double") for r in (rows, rows[: len(rows) // 2]))
+    videos = spark.createDataFrame([(c, 100.0) for c in range(50)], "clip long, duration double")
+    whole = L.agreement(a, b, videos, "clip", 3)
+    dealt = L.agreement(a, b, videos, "clip", 3, spans_a_task=50)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, dealt.collect())) == [(c, 100, 0, 1.0) for c in range(20)]
+    plan = plan_of(dealt)
+    assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
+    # 1,000 spans of clips that both have, 50 a task.
+    assert "hashpartitioning(clip" in plan and ", 20), REPARTITION_BY_NUM" in plan
