@@ -17,8 +17,9 @@ from dayweave.sources.shared import staged
 
 #: Bytes of centroids that are compared at once; bytes of probes that one task holds.
 BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 32 << 20
-#: Cells of one block of products, and how far products in another order of summing may lie from those in order.
-CELLS, CLOSE = 1 << 20, 1e-9
+#: Cells of one block of products, centroids in it at most, and how far products of unit vectors in another order of summing may lie from
+#: those in order.
+CELLS, WIDE, CLOSE = 1 << 19, 1 << 10, 1e-9
 
 
 def open_set_split(crops: DataFrame, n_enrolled: int, n_impostor_ids: int, enrol_per_id: int = 4, max_genuine: int = 10, max_impostor: int = 4, seed: str = "0") -> DataFrame:
@@ -81,6 +82,7 @@ def nearest_two(probes: DataFrame, gallery: DataFrame, vector: str = "vector", b
     size, wide = probes.agg(F.count("*"), F.max(F.size(vector))).first()
     cores, held = spark.sparkContext.defaultParallelism, size * (64 + 16 * max(0, wide or 0))
     n = max(1, -(-held // chunk_bytes), min(cores, size // 256))
+    n = n if n < cores else -(-n // cores) * cores  # no round leaves cores idle
     row = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
     pid = gallery.schema["pid"].dataType.simpleString()
     p = probes.select(F.pmod(F.xxhash64(F.struct(*probes.columns)), F.lit(n)).cast("int").alias("_c"), F.lit(0).alias("_k"), F.lit(None).cast(pid).alias("_pid"), F.col(vector).cast("array<double>").alias("_v"), row.alias("_row"))
@@ -151,7 +153,7 @@ class _Chunk:
         self.v, self.fits = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         with np.errstate(all="ignore"):
             self.v /= np.maximum(np.sqrt(_summed(self.v, self.v)), 1e-12)[:, None]
-        self.sure = self.fits & np.isfinite(self.v).all(1)
+        self.sure, self.v32 = self.fits & np.isfinite(self.v).all(1), self.v.astype(np.float32)
         self.d, self.who = np.full((len(self.v), 2), np.inf), np.full((len(self.v), 2), -1)
         self.n, self.pids = 0, []
 
@@ -167,29 +169,40 @@ class _Chunk:
         step = per_block(g.shape[1])
         for lo in range(0, len(g), step):
             cols = np.flatnonzero(ok[lo : lo + step]) + lo
-            for first in range(0, len(cols), 1 << 10):
-                some = cols[first : first + (1 << 10)]
-                tall = max(1, CELLS // len(some))
-                for top in range(0, len(self.v), tall):
-                    self._block(np.flatnonzero(self.sure[top : top + tall]) + top, g[some], self.n + some)
+            for first in range(0, len(cols), WIDE):
+                some = cols[first : first + WIDE]
+                self._pass(g[some], self.n + some)
         self.n += len(g)
 
-    def _block(self, mine: np.ndarray, g: np.ndarray, places: np.ndarray) -> None:
-        if not len(mine):
-            return
-        v = self.v[mine]
-        near = 1 - v @ g.T
+    def _pass(self, g: np.ndarray, places: np.ndarray) -> None:
+        """All probes against some centroids, with products in single precision where their error is known to be small."""
+        most = max(float(np.abs(g).max(initial=0)), 1e-300)
+        long = most * float(np.sqrt(_summed(g / most, g / most)).max())
+        single = long < 1e15
+        slack = CLOSE * max(1.0, long) + (single and (g.shape[1] + 4) * 2.0**-23 * long)
+        v, h = (self.v32, g.astype(np.float32)) if single else (self.v, g)
+        tall = max(1, CELLS // len(g))
+        for top in range(0, len(v), tall):
+            mine = np.flatnonzero(self.sure[top : top + tall]) + top
+            if len(mine):
+                whole = len(mine) == mine[-1] + 1 - mine[0]
+                self._block(mine, (v[mine[0] : mine[-1] + 1] if whole else v[mine]) @ h.T, slack, g, places)
+
+    def _block(self, mine: np.ndarray, near: np.ndarray, slack: float, g: np.ndarray, places: np.ndarray) -> None:
+        """The best two of some probes, from products that lie within slack of the true ones."""
         bound = self.d[mine, 1]
-        if len(g) > 1 and np.isinf(bound).any():
-            bound = np.minimum(bound, np.partition(near, 1, axis=1)[:, 1])
-        r, c = np.nonzero(near <= (bound + CLOSE)[:, None])
+        new = np.isinf(bound)
+        if len(g) > 1 and new.any():
+            bound[new] = 1 - np.partition(near[new], -2, axis=1)[:, -2].astype(float) + slack
+        least = np.nextafter((1 - bound - slack).astype(near.dtype), -np.inf, dtype=near.dtype)
+        r, c = np.divmod(np.flatnonzero(near >= least[:, None]), len(g))
         if not len(r):
             return
         touched, r = np.unique(r, return_inverse=True)
         rows = mine[touched]
         # The best two so far stand before the block's, whose ids are greater.
         row = np.concatenate([np.arange(len(rows)), np.arange(len(rows)), r])
-        d = np.concatenate([self.d[rows, 0], self.d[rows, 1], 1 - _summed(v[touched[r]], g[c])])
+        d = np.concatenate([self.d[rows, 0], self.d[rows, 1], 1 - _summed(self.v[rows[r]], g[c])])
         who = np.concatenate([self.who[rows, 0], self.who[rows, 1], places[c]])
         order = np.lexsort((np.where(who < 0, np.iinfo(np.int64).max, who), d, row))
         first = np.searchsorted(row[order], np.arange(len(rows)))

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dayweave.operators import labels as L
@@ -60,6 +61,31 @@ def test_galleries_pass_by_without_writing_probes(spark):
     assert all(got[k].best is None and got[k].who == 0 for k in range(3)) and math.isnan(got[3].best) and got[4].best == 1 and got[4].who == 0
 
 
+def test_single_precision_decides_no_distance(spark, monkeypatch):
+    from dayweave.operators import identity as I
+
+    # Centroids closer to each other than single precision tells apart; long ones and one that it cannot hold.
+    rng = np.random.default_rng(4)
+    base, v = rng.normal(size=(8, 16)), rng.normal(size=(300, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = np.concatenate([base + k * 1e-8 * rng.normal(size=base.shape) for k in range(40)])
+    unit = v / np.sqrt(I._summed(v, v))[:, None]
+    for scale, kinds in ((1.0, {"float32"}), (1e6, {"float32"}), (1e200, {"float64"})):
+        seen, block = set(), I._Chunk._block
+        monkeypatch.setattr(I._Chunk, "_block", lambda self, mine, found, *a: (seen.add(str(found.dtype)), block(self, mine, found, *a)))
+        for wide in (7, 2048):
+            monkeypatch.setattr(I, "WIDE", wide)
+            chunk = I._Chunk()
+            column = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+            chunk.take(pa.array([{"frame": i} for i in range(len(v))]), column(v))
+            chunk.meet(pa.array(range(len(near))), column(near * scale), lambda width: 100)
+            d = np.stack([1 - I._summed(unit, np.broadcast_to(g, unit.shape)) for g in near * scale], 1)
+            order = np.argsort(d, axis=1, kind="stable")[:, :2]
+            assert (chunk.who == order).all() and (chunk.d == np.take_along_axis(d, order, 1)).all()
+        monkeypatch.undo()
+        assert seen == kinds
+
+
 def test_trackers_compare_only_boxes_that_may_overlap():
     x = np.arange(2000) * 100.0
     boxes = np.stack([x, x * 0, x + 40, x * 0 + 80], 1)
