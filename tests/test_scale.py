@@ -61,6 +61,31 @@ def test_galleries_pass_by_without_writing_probes(spark):
     assert all(got[k].best is None and got[k].who == 0 for k in range(3)) and math.isnan(got[3].best) and got[4].best == 1 and got[4].who == 0
 
 
+def test_profiles_rank_distances_by_ranges(spark):
+    from dayweave.operators import identity as I
+
+    rng = random.Random(6)
+    rows = [(part, float(rng.choice([rng.random(), 0.25])), rng.random() < 0.5) for part, n in (("genuine", 501), ("impostor", 700), ("one", 1), (None, 4)) for _ in range(n)]
+    rows += [("impostor", None, None)] * 30 + [("none", None, False)] * 2 + [("odd", x, True) for x in (0.5, 0.25, math.nan)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame(rows, "part string, best double, correct boolean").repartition(3)
+    df = I.profile(d.mapInArrow(count, d.schema))
+    got = {r.part: r for r in df.collect()}
+    assert seen.value == len(rows)  # pairs are met once
+    assert "percentile" not in plan_of(df)  # which holds all distances of a part in one task
+    want = {r.part: r for r in d.groupBy("part").agg(F.count("*").alias("n"), F.avg("best").alias("mean"), F.percentile("best", F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("q")).collect()}
+    assert got.keys() == want.keys()
+    for part, w in want.items():
+        g = got[part]
+        assert g.n == w.n and repr([g.p05, g.median, g.p95]) == repr(w.q or [None] * 3) and (g.mean == w.mean or abs(g.mean - w.mean) < 1e-12 or math.isnan(w.mean))
+
+
 def test_single_precision_decides_no_distance(spark, monkeypatch):
     from dayweave.operators import identity as I
 
