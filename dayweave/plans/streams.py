@@ -81,7 +81,7 @@ def q_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a camera's users lie a hundred apart in each frame and move little, so every user is one track."""
     o = observations(spark, sf_dir)
     user = F.col("track_id")
-    rows = o.filter("frame_idx < 400").groupBy("track_id", "frame_idx").agg(F.count("*").alias("n")).select((user % 50).alias("camera"), F.col("frame_idx").cast("long").alias("frame_idx"), (F.floor(user / 50) * 100 + F.col("frame_idx") * 0.05).cast("double").alias("x1"), F.lit(10.0).alias("y1"), (F.floor(user / 50) * 100 + F.col("frame_idx") * 0.05 + 40).cast("double").alias("x2"), F.lit(90.0).alias("y2"), F.lit(0.9).alias("confidence"))
+    rows = o.groupBy("track_id", "frame_idx").agg(F.count("*").alias("n")).select((user % 50).alias("camera"), F.col("frame_idx").cast("long").alias("frame_idx"), (F.floor(user / 50) * 100 + F.col("frame_idx") * 0.05).cast("double").alias("x1"), F.lit(10.0).alias("y1"), (F.floor(user / 50) * 100 + F.col("frame_idx") * 0.05 + 40).cast("double").alias("x2"), F.lit(90.0).alias("y2"), F.lit(0.9).alias("confidence"))
     with typed_state(spark):
         found = drained(rows, track_stream, ("frame_idx < 21", "frame_idx >= 21"))
     return found.groupBy("camera").agg(F.count("*").alias("n"), F.count_if("confirmed").alias("n_confirmed"), F.count_distinct("track_id").alias("n_tracks"))
@@ -105,7 +105,7 @@ z AS (SELECT sequence, t, list_transform(range(1, 21), lambda i: a[i] + b[i]) AS
 q AS (SELECT sequence, t, list_transform(z, lambda x: exp(x - ({_LSE('z')}))) AS q FROM z),
 s AS (SELECT sequence AS track_id, t AS step, (list_position(q, list_max(q)) - 1)::INT AS state, list_max(q) AS top FROM q)
 SELECT track_id, step, state, round(top, 5) AS marginal, top < 0.4 AND state NOT IN (7, 8) AS abstained, CASE WHEN top < 0.4 AND state NOT IN (7, 8) THEN 19 ELSE state END AS label FROM s""",
-    "streaming_tracks": f"""WITH {_OBS}, o AS (SELECT DISTINCT track_id, frame_idx FROM obs WHERE frame_idx < 400), c AS (SELECT track_id, count(*) AS n FROM o GROUP BY track_id)
+    "streaming_tracks": f"""WITH {_OBS}, o AS (SELECT DISTINCT track_id, frame_idx FROM obs), c AS (SELECT track_id, count(*) AS n FROM o GROUP BY track_id)
 SELECT track_id % 50 AS camera, sum(n)::BIGINT AS n, sum(greatest(n - 2, 0))::BIGINT AS n_confirmed, count(*) AS n_tracks FROM c GROUP BY 1""",
     "streaming_drift": BATCH["drift"],
     "streaming_alerts": BATCH["alerts"],

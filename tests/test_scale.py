@@ -157,3 +157,19 @@ def test_agreement_deals_clips_to_tasks_by_their_spans(spark):
     assert "REPARTITION_BY_NUM" in plan and "ShuffledHashJoin" in plan
     # 1,000 spans of clips that both have, 50 a task.
     assert "hashpartitioning(clip" in plan and ", 20), REPARTITION_BY_NUM" in plan
+
+
+def test_tracks_of_long_histories_are_followed_to_their_end(spark, tmp_path):
+    import duckdb
+
+    from dayweave.plans.streams import ORACLES, QUERIES
+
+    events = {1: 450, 51: 330, 101: 2, 2: 321, 52: 7}  # frames run up to 559
+    at = "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int))"
+    rows = spark.createDataFrame([(u, i) for u, n in events.items() for i in range(n)], "user_id long, id long")
+    rows.selectExpr("user_id * 1000 + id as event_id", f"{at} as ts", "user_id", "'view' as event_type", "1.5 as value", """'{"k": 3}' as props""").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.camera, r.n, r.n_confirmed, r.n_tracks) for r in QUERIES["streaming_tracks"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(duck.execute(f"SELECT camera, n, n_confirmed, n_tracks FROM ({ORACLES['streaming_tracks']})").fetchall())
+    assert got == [(1, 782, 776, 3), (2, 328, 324, 2)]
